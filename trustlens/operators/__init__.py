@@ -14,7 +14,7 @@ from trustlens.operators.business import (
 from trustlens.operators.geo import geo_extent, geo_insight, geo_markers, geo_sentiment
 from trustlens.operators.models import daily_stats, industry_benchmarks, scored_businesses, trust_score
 from trustlens.operators.quality import key_checks
-from trustlens.operators.ranking import rank_split
+from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
 from trustlens.operators.report import benchmark_comparison, delta_direction, kpi_cards, trust_band
 
 __all__ = [
@@ -35,7 +35,9 @@ __all__ = [
     "geo_insight",
     "geo_markers",
     "geo_extent",
-    "rank_split",
+    "key_bits",
+    "rank_splits",
+    "ranking_keys",
     "trust_band",
     "delta_direction",
     "benchmark_comparison",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from trustlens.functions import ratio
 from trustlens.operators.base import review_replies
-from trustlens.operators.ranking import rank_split
+from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
+from trustlens.session import ensure_checkpoint_dir
 from trustlens.schemas import Feedback
 
 # Slice fractions of the insight (top 20 % vs bottom 50 % by review count,
@@ -65,48 +66,72 @@ def geo_insight(fb: Feedback, geo: DataFrame | None = None) -> DataFrame:
     """One row comparing the mean sentiment of the top 20 % of locations by review
     count with the bottom 50 % (ties in review count: lower id ranks first).
 
-    Slices are found by exact distributed selection (``rank_split``), not by sorting
-    all locations in one task. Locations with a NULL mean sentiment count in the slice
-    sizes but not in the means."""
+    The per-location keys (review count, id, sentiment) are checkpointed once to the
+    session's checkpoint folder, so the selection passes re-read that small table
+    instead of recomputing the review aggregation, and the lineage is cut. One summary
+    row (count, sums, key range) then sizes the slices. Slices are found by exact
+    distributed selection (``rank_splits``), not by sorting all locations in one task.
+    Locations with a NULL mean sentiment count in the slice sizes but not in the means."""
     geo = geo if geo is not None else geo_sentiment(fb)
-    n = geo.select(F.count(F.lit(1))).scalar()
-    k_top = F.greatest(F.lit(1).cast("bigint"), F.floor(n / TOP_DIVISOR).cast("bigint"))
-    k_bottom = F.greatest(F.lit(1).cast("bigint"), F.floor(n / BOTTOM_DIVISOR).cast("bigint"))
-    top = rank_split(geo, "review_count", "location_id", "net_sentiment_score", k_top)
-    bottom = rank_split(geo, "review_count", "location_id", "net_sentiment_score", n - k_bottom)
-    top = top.select(F.struct("head_s", "head_c")).scalar()
-    bottom = bottom.select(F.struct("tail_s", "tail_c")).scalar()
-    carrier = geo.agg(
-        F.count(F.lit(1)).alias("n_locations"),
-        F.coalesce(F.sum("net_sentiment_score"), F.lit(0.0)).alias("all_s"),
-        F.count("net_sentiment_score").alias("all_c"),
-    ).select("n_locations", "all_s", "all_c", top.alias("top"), bottom.alias("bottom"))
-    # The bottom split has no row when the bottom slice is every location (n = 1).
-    bottom_s = F.when(F.col("bottom").isNull(), F.col("all_s")).otherwise(F.col("bottom.tail_s"))
-    bottom_c = F.when(F.col("bottom").isNull(), F.col("all_c")).otherwise(F.col("bottom.tail_c"))
-    top_mean = ratio(F.col("top.head_s"), F.col("top.head_c"))
-    bottom_mean = ratio(bottom_s, bottom_c)
-    has = F.col("n_locations") > 0
+    ensure_checkpoint_dir(geo.sparkSession)
+    keyed = ranking_keys(geo, "review_count", "location_id", "net_sentiment_score").checkpoint(eager=True)
+    size = keyed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("v"), F.lit(0.0)).alias("all_s"),
+        F.count("v").alias("all_c"),
+        F.min("u").alias("min_u"),
+        F.max("u").alias("max_u"),
+    ).first()
+    n = size["n"]
+    carrier = keyed.agg(F.count(F.lit(1)).alias("n_locations"))
+    if n == 0:
+        none = [F.lit(None).cast(t).alias(c) for c, t in _INSIGHT_NUMBERS]
+        return carrier.select("n_locations", *none, F.lit(NO_DATA).alias("insight"))
+
+    k_top = max(1, n // TOP_DIVISOR)
+    k_bottom = max(1, n // BOTTOM_DIVISOR)
+    cuts = {"top": k_top}
+    if n - k_bottom > 0:
+        cuts["bottom"] = n - k_bottom
+    splits = rank_splits(keyed, cuts, key_bits(size["min_u"], size["max_u"]))
+    is_top, is_bottom = F.col("cut") == "top", F.col("cut") == "bottom"
+    slices = splits.agg(
+        F.max(F.when(is_top, F.col("head_s"))).alias("top_s"),
+        F.max(F.when(is_top, F.col("head_c"))).alias("top_c"),
+        F.max(F.when(is_bottom, F.col("tail_s"))).alias("bottom_s"),
+        F.max(F.when(is_bottom, F.col("tail_c"))).alias("bottom_c"),
+    )
+    top_mean = ratio(F.col("top_s"), F.col("top_c"))
+    if "bottom" in cuts:
+        bottom_mean = ratio(F.col("bottom_s"), F.col("bottom_c"))
+    else:  # the bottom slice is every location (n = 1)
+        bottom_mean = ratio(F.lit(size["all_s"]), F.lit(size["all_c"]))
     gap = top_mean - bottom_mean
     insight = (
-        F.when(~has, F.lit(NO_DATA))
-        .when(gap < -INSIGHT_THRESHOLD, F.lit(LOWER))
+        F.when(gap < -INSIGHT_THRESHOLD, F.lit(LOWER))
         .when(gap > INSIGHT_THRESHOLD, F.lit(HIGHER))
         .otherwise(F.lit(CONSISTENT))
     )
-    k_top = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n_locations") / TOP_DIVISOR).cast("bigint"))
-    k_bottom = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n_locations") / BOTTOM_DIVISOR).cast("bigint"))
-    return carrier.select(
-        "n_locations",
-        F.when(has, k_top).alias("top_count"),
-        F.when(has, k_bottom).alias("bottom_count"),
-        F.when(has, top_mean).alias("top_sentiment"),
-        F.when(has, bottom_mean).alias("bottom_sentiment"),
-        F.when(has, gap).alias("sentiment_gap"),
+    return slices.select(
+        F.lit(n).cast("bigint").alias("n_locations"),
+        F.lit(k_top).cast("bigint").alias("top_count"),
+        F.lit(k_bottom).cast("bigint").alias("bottom_count"),
+        top_mean.alias("top_sentiment"),
+        bottom_mean.alias("bottom_sentiment"),
+        gap.alias("sentiment_gap"),
         insight.alias("insight"),
     )
 
 
+_INSIGHT_NUMBERS = (
+    ("top_count", "bigint"),
+    ("bottom_count", "bigint"),
+    ("top_sentiment", "double"),
+    ("bottom_sentiment", "double"),
+    ("sentiment_gap", "double"),
+)
+
+
 def geo_markers(geo: DataFrame) -> DataFrame:
     """Map marker per location: sentiment band at +-0.1, its colour, and a radius
     growing with the log of the review count."""

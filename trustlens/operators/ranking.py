@@ -5,23 +5,26 @@ O11 needs the mean of a value over the first k rows in the order
 into one task, and ``row_number() OVER (PARTITION BY order_col ...)`` would put a hot
 order value (a third of all rows may share one review count) into one task.
 
-Instead the split point is found by selection on histograms, every step of which is a
-partial-then-final aggregate:
+Instead each split point is found by selection on histograms, every step of which is
+a partial-then-final aggregate:
 
 1. histogram of ``order_col`` (one row per distinct value); running sums over it
    locate the order value holding rank ``r`` and how many of its rows are still
    needed. Its size is the number of distinct order values (for review counts at
    most sqrt(2 x reviews)), never the number of rows.
-2. inside that group, radix selection on the id: four passes over 16-bit digits of
-   the id (sign bit flipped so signed ids order as unsigned keys). Each pass
-   aggregates the candidate rows by their next digit (at most 65,536 histogram rows),
-   picks the digit holding the needed rank and narrows the prefix. After the last
-   pass the boundary is one exact id.
-
-The selection state between steps is a one-row DataFrame joined to the rows by a
-broadcast equi-join (its size is one row by construction), so the whole split stays
-one lazy plan. Rows before and after the boundary are summed separately (never by
-subtraction), so both slice totals are plain sums over their own rows.
+2. inside that group, radix selection on the id: passes over 16-bit digits of the id
+   (sign bit flipped so signed ids order as unsigned keys). High bits shared by every
+   id are skipped, so ids below 2**16 need one pass and ids below 2**32 two. Each pass
+   aggregates the candidate rows by their next digit (at most 65,536 histogram rows
+   per cut), picks the digit holding the needed rank and narrows the prefix. The last
+   pass groups by (digit, value), so rows sharing one id (a broken primary key) are
+   split exactly, lowest values first.
+
+All cuts advance together: the selection state is a DataFrame with one row per cut,
+joined to the rows by a broadcast equi-join (its size is the number of cuts by
+construction). Rows before and after each boundary are summed separately (never by
+subtraction). The caller passes a materialised key table: the passes re-read it and
+must not recompute the upstream aggregation each time.
 """
 
 from __future__ import annotations
@@ -30,33 +33,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT_BITS = 16
-PASSES = 64 // DIGIT_BITS
 DIGIT_MASK = (1 << DIGIT_BITS) - 1
 SIGN_BIT = -(1 << 63)
+UNSIGNED = (1 << 64) - 1
 
 _TOTALS = ("n", "s", "c")  # rows, sum of non-null values, count of non-null values
-_STATE = ("st_o", "st_need", "st_prefix", *[f"st_{p}_{t}" for p in ("h", "t") for t in _TOTALS])
+_TYPES = {"n": "bigint", "s": "double", "c": "bigint"}
+_STATE = ("cut", "st_o", "st_need", "st_prefix", *[f"st_{p}_{t}" for p in ("h", "t") for t in _TOTALS])
 
 
-def _hist(df: DataFrame, key: Column, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows, value sum and non-null count per key (``carry`` columns are constant)."""
-    return df.groupBy(key.alias("k"), *carry).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.count("v").alias("c")
+def ranking_keys(df: DataFrame, order_col: str, id_col: str, value_col: str) -> DataFrame:
+    """(o, u, v): order value, id as an unsigned-ordered key, value."""
+    return df.select(
+        F.col(order_col).alias("o"),
+        F.col(id_col).cast("bigint").bitwiseXOR(F.lit(SIGN_BIT)).alias("u"),
+        F.col(value_col).cast("double").alias("v"),
     )
 
 
-def _with_running(hist: DataFrame, order: Column) -> DataFrame:
+def key_bits(min_u: int, max_u: int) -> int:
+    """Low bits in which the keys can differ (signed min/max of ``u`` suffice: keys
+    with different top bits make the span 64 bits wide)."""
+    return ((min_u ^ max_u) & UNSIGNED).bit_length()
+
+
+def _hist(df: DataFrame, keys: list[Column], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, value sum and non-null count per key (``carry`` columns are per-cut constants)."""
+    return df.groupBy(*carry, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.count("v").alias("c"))
+
+
+def _with_running(hist: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """Add totals of the histogram rows before (b_*) and after (a_*) each row.
 
-    The window has no partition key: it runs over one histogram, whose size is
-    bounded as described in the module docstring, never over data rows."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    zero = {"n": F.lit(0).cast("bigint"), "s": F.lit(0.0), "c": F.lit(0).cast("bigint")}
+    The windows run over a histogram (partitioned by cut), whose size is bounded as
+    described in the module docstring, never over data rows."""
+    spec = Window.partitionBy(*by).orderBy(*order)
+    before = spec.rowsBetween(Window.unboundedPreceding, -1)
+    after = spec.rowsBetween(1, Window.unboundedFollowing)
     cols = [F.col(c) for c in hist.columns]
     for t in _TOTALS:
-        cols.append(F.coalesce(F.sum(t).over(before), zero[t]).alias(f"b_{t}"))
-        cols.append(F.coalesce(F.sum(t).over(after), zero[t]).alias(f"a_{t}"))
+        zero = F.lit(0).cast(_TYPES[t])
+        cols.append(F.coalesce(F.sum(t).over(before), zero).alias(f"b_{t}"))
+        cols.append(F.coalesce(F.sum(t).over(after), zero).alias(f"a_{t}"))
     return hist.select(*cols)
 
 
@@ -65,63 +83,67 @@ def _holds(need: Column) -> Column:
     return (F.col("b_n") < need) & (need <= F.col("b_n") + F.col("n"))
 
 
-def _narrow(edge: DataFrame, prefix: Column) -> DataFrame:
-    """Next state from the selected histogram row of a pass."""
-    return edge.select(
-        F.col("st_o"),
-        (F.col("st_need") - F.col("b_n")).alias("st_need"),
-        prefix.alias("st_prefix"),
-        *[(F.col(f"st_h_{t}") + F.col(f"b_{t}")).alias(f"st_h_{t}") for t in _TOTALS],
-        *[(F.col(f"st_t_{t}") + F.col(f"a_{t}")).alias(f"st_t_{t}") for t in _TOTALS],
-    )
-
-
-def rank_split(df: DataFrame, order_col: str, id_col: str, value_col: str, r: Column) -> DataFrame:
-    """Totals of ``value_col`` over the first ``r`` rows (head) and the remaining rows
-    (tail) in the order (order_col DESC, id_col ASC).
-
-    Returns one row (head_n, head_s, head_c, tail_n, tail_s, tail_c: rows, value sum,
-    non-null count), or no row when ``r <= 0`` or ``r`` exceeds the row count. ``r``
-    is a scalar column. Rows with equal (order, id) are taken by ascending value."""
-    keyed = df.select(
-        F.col(order_col).alias("o"),
-        F.col(id_col).cast("bigint").bitwiseXOR(F.lit(SIGN_BIT)).alias("u"),
-        F.col(value_col).cast("double").alias("v"),
-    )
-
-    # Step 1: the order value that holds rank r.
-    running = _with_running(_hist(keyed, F.col("o")), F.col("k").desc())
-    state = running.filter(_holds(r)).select(
-        F.col("k").alias("st_o"),
-        (r - F.col("b_n")).alias("st_need"),
-        F.lit(0).cast("bigint").alias("st_prefix"),
-        *[F.col(f"b_{t}").alias(f"st_h_{t}") for t in _TOTALS],
-        *[F.col(f"a_{t}").alias(f"st_t_{t}") for t in _TOTALS],
-    )
-
-    # Step 2: radix selection on the id inside that group.
-    for p in range(PASSES):
-        shift = 64 - DIGIT_BITS * (p + 1)
-        st = F.broadcast(state)  # one row by construction
+def rank_splits(keyed: DataFrame, cuts: dict[str, int], bits: int) -> DataFrame:
+    """For each cut name -> rank ``r``, totals of ``v`` over the first ``r`` rows (head)
+    and the remaining rows (tail) in the order (o DESC, u ASC).
+
+    ``keyed`` comes from ``ranking_keys``; ``bits`` from ``key_bits`` over it. Returns
+    one row per cut with ``0 < r <= rows``: cut, head_n, head_s, head_c, tail_n,
+    tail_s, tail_c (rows, value sum, non-null count)."""
+    # Step 1: the order value that holds each cut's rank.
+    running = _with_running(_hist(keyed, [F.col("o").alias("k")]), [F.col("k").desc()])
+    states = [
+        running.filter(_holds(F.lit(r))).select(
+            F.lit(cut).alias("cut"),
+            F.col("k").alias("st_o"),
+            (F.lit(r) - F.col("b_n")).alias("st_need"),
+            F.lit(0).cast("bigint").alias("st_prefix"),
+            *[F.col(f"b_{t}").alias(f"st_h_{t}") for t in _TOTALS],
+            *[F.col(f"a_{t}").alias(f"st_t_{t}") for t in _TOTALS],
+        )
+        for cut, r in cuts.items()
+    ]
+    state = states[0]
+    for other in states[1:]:
+        state = state.unionByName(other)
+
+    # Step 2: radix selection on the id inside each cut's group.
+    passes = max(1, -(-bits // DIGIT_BITS))
+    for p in range(passes):
+        last = p == passes - 1
+        shift = DIGIT_BITS * (passes - 1 - p)
+        st = F.broadcast(state)  # one row per cut
         match = keyed["o"] == st["st_o"]
         if p > 0:
             match = match & (F.shiftrightunsigned(keyed["u"], shift + DIGIT_BITS) == st["st_prefix"])
         cand = keyed.join(st, match, "inner")
-        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(DIGIT_MASK))
-        running = _with_running(_hist(cand, digit, _STATE), F.col("k").asc())
+        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(DIGIT_MASK)).alias("k")
+        keys = [digit, F.col("v").alias("kv")] if last else [digit]
+        order = [F.col("k").asc(), F.col("kv").asc_nulls_last()] if last else [F.col("k").asc()]
+        running = _with_running(_hist(cand, keys, _STATE), order, ("cut",))
         edge = running.filter(_holds(F.col("st_need")))
-        state = _narrow(edge, F.shiftleft("st_prefix", DIGIT_BITS).bitwiseOR(F.col("k")))
-
-    # Step 3: the rows equal to the boundary key (one row when ids are unique).
-    st = F.broadcast(state)
-    ties = keyed.join(st, (keyed["o"] == st["st_o"]) & (keyed["u"] == st["st_prefix"]), "inner")
-    ties = ties.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").asc_nulls_last())))
-    head = F.col("i") <= F.col("st_need")
-    return ties.groupBy(*_STATE).agg(
-        (F.first("st_h_n") + F.count_if(head)).alias("head_n"),
-        (F.first("st_h_s") + F.coalesce(F.sum(F.when(head, F.col("v"))), F.lit(0.0))).alias("head_s"),
-        (F.first("st_h_c") + F.count(F.when(head, F.col("v")))).alias("head_c"),
-        (F.first("st_t_n") + F.count_if(~head)).alias("tail_n"),
-        (F.first("st_t_s") + F.coalesce(F.sum(F.when(~head, F.col("v"))), F.lit(0.0))).alias("tail_s"),
-        (F.first("st_t_c") + F.count(F.when(~head, F.col("v")))).alias("tail_c"),
-    ).drop(*_STATE)
+        if not last:
+            state = edge.select(
+                "cut",
+                "st_o",
+                (F.col("st_need") - F.col("b_n")).alias("st_need"),
+                F.shiftleft("st_prefix", DIGIT_BITS).bitwiseOR(F.col("k")).alias("st_prefix"),
+                *[(F.col(f"st_h_{t}") + F.col(f"b_{t}")).alias(f"st_h_{t}") for t in _TOTALS],
+                *[(F.col(f"st_t_{t}") + F.col(f"a_{t}")).alias(f"st_t_{t}") for t in _TOTALS],
+            )
+
+    # The edge row of the last pass is a run of rows with one id and one value: the
+    # first `take` of them belong to the head, the rest to the tail.
+    take = F.col("st_need") - F.col("b_n")
+    rest = F.col("n") - take
+    has_v = F.col("kv").isNotNull()
+    zero = F.lit(0.0)
+    return edge.select(
+        "cut",
+        (F.col("st_h_n") + F.col("b_n") + take).alias("head_n"),
+        (F.col("st_h_s") + F.col("b_s") + F.when(has_v, F.col("kv") * take).otherwise(zero)).alias("head_s"),
+        (F.col("st_h_c") + F.col("b_c") + F.when(has_v, take).otherwise(0)).alias("head_c"),
+        (F.col("st_t_n") + F.col("a_n") + rest).alias("tail_n"),
+        (F.col("st_t_s") + F.col("a_s") + F.when(has_v, F.col("kv") * rest).otherwise(zero)).alias("tail_s"),
+        (F.col("st_t_c") + F.col("a_c") + F.when(has_v, rest).otherwise(0)).alias("tail_c"),
+    )
