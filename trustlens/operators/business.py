@@ -14,6 +14,7 @@ from trustlens.functions import day_start, days_before, ratio
 from trustlens.functions.clock import AsOf
 from trustlens.operators.base import review_replies
 from trustlens.operators.models import daily_stats, industry_benchmarks, scored_businesses, trust_score
+from trustlens.plans.sizing import broadcast_if_small, materialize
 from trustlens.schemas import Feedback
 
 # Sentiment band edges (exclusive), the sentiment look-back in days and
@@ -26,17 +27,24 @@ PERIOD_DAYS = 30
 
 def business_overview(fb: Feedback, as_of: AsOf = None, benchmarks: DataFrame | None = None) -> DataFrame:
     """Every business (with or without reviews) with its score columns and its
-    industry's median and P90 trust score."""
+    industry's median and P90 trust score.
+
+    Without precomputed ``benchmarks`` the per-business scores are materialised once
+    and the benchmarks are aggregated from that copy, so the review aggregation runs
+    once. The benchmark table (one row per industry) is broadcast after a row-count
+    check: a shuffle join on industry would send every business of an industry to one
+    task."""
     scored = scored_businesses(fb, as_of)
     if benchmarks is None:
+        scored = materialize(scored)
         trust = scored.filter(F.col("total_reviews").isNotNull())
-        benchmarks = industry_benchmarks(fb, as_of, trust=trust)
-    # One row per industry: AQE turns this into a broadcast join once the measured
-    # size is below the broadcast threshold, and keeps a shuffle join otherwise.
-    bench = benchmarks.select(
-        F.col("industry").alias("bench_industry"),
-        F.col("p50_trust_score").alias("industry_avg_trust"),
-        F.col("p90_trust_score").alias("industry_top_trust"),
+        benchmarks = materialize(industry_benchmarks(fb, as_of, trust=trust))
+    bench = broadcast_if_small(
+        benchmarks.select(
+            F.col("industry").alias("bench_industry"),
+            F.col("p50_trust_score").alias("industry_avg_trust"),
+            F.col("p90_trust_score").alias("industry_top_trust"),
+        )
     )
     return scored.join(bench, scored["industry"] == bench["bench_industry"], "left").select(
         F.col("business_id").alias("id"),
@@ -61,10 +69,13 @@ def business_trends(fb: Feedback) -> DataFrame:
 
 def business_benchmark(fb: Feedback, as_of: AsOf = None, benchmarks: DataFrame | None = None) -> DataFrame:
     """Each business with its industry's benchmark row; no row when its industry
-    has no scored business."""
-    benchmarks = benchmarks if benchmarks is not None else industry_benchmarks(fb, as_of)
+    has no scored business. The benchmark table is materialised (it is tiny) and
+    broadcast after a row-count check."""
+    if benchmarks is None:
+        benchmarks = materialize(industry_benchmarks(fb, as_of))
+    bench = broadcast_if_small(benchmarks)
     b = fb.businesses.select(F.col("id").alias("business_id"), F.col("industry").alias("business_industry"))
-    return b.join(benchmarks, b["business_industry"] == benchmarks["industry"], "inner").select(
+    return b.join(bench, b["business_industry"] == bench["industry"], "inner").select(
         "business_id",
         "industry",
         "p50_rating",

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from trustlens import operators as O
 from trustlens.functions import round_at
+from trustlens.plans.sizing import materialize
 from trustlens.sources.fixtures import PROFILES, load_profile
 
 CONTRACT_SCALE = 6
@@ -68,9 +69,7 @@ SPARK_BUILDS: dict[str, Build] = {
     "delta_direction": lambda fb, a: O.delta_direction(O.performance_deltas(fb, a)),
     "geo_markers": lambda fb, a: O.geo_markers(O.geo_sentiment(fb)),
     "geo_extent": lambda fb, a: O.geo_extent(O.geo_markers(O.geo_sentiment(fb))),
-    "benchmark_comparison": lambda fb, a: O.benchmark_comparison(
-        O.business_overview(fb, a), O.business_benchmark(fb, a)
-    ),
+    "benchmark_comparison": lambda fb, a: _comparison(fb, a),
     "kpi_cards": lambda fb, a: O.kpi_cards(O.business_overview(fb, a)),
     "key_checks": lambda fb, a: O.key_checks(fb),
 }
@@ -89,6 +88,14 @@ EVENTS_KEYS = (
 )
 
 
+def _comparison(fb, as_of) -> DataFrame:
+    """O17 from one scoring pass: the benchmarks feed both the overview and the
+    per-business benchmark rows."""
+    scored = materialize(O.scored_businesses(fb, as_of))
+    bench = materialize(O.industry_benchmarks(fb, as_of, trust=scored.filter(F.col("total_reviews").isNotNull())))
+    return O.benchmark_comparison(O.business_overview(fb, as_of, bench), O.business_benchmark(fb, as_of, bench))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _spark("orders", build) for name, build in SPARK_BUILDS.items()}
     for name in EVENTS_KEYS:
