@@ -25,7 +25,9 @@ SENTIMENT_DAYS = 60
 PERIOD_DAYS = 30
 
 
-def business_overview(fb: Feedback, as_of: AsOf = None, benchmarks: DataFrame | None = None) -> DataFrame:
+def business_overview(
+    fb: Feedback, as_of: AsOf = None, benchmarks: DataFrame | None = None, scored: DataFrame | None = None
+) -> DataFrame:
     """Every business (with or without reviews) with its score columns and its
     industry's median and P90 trust score.
 
@@ -33,10 +35,12 @@ def business_overview(fb: Feedback, as_of: AsOf = None, benchmarks: DataFrame |
     and the benchmarks are aggregated from that copy, so the review aggregation runs
     once. The benchmark table (one row per industry) is broadcast after a row-count
     check: a shuffle join on industry would send every business of an industry to one
-    task."""
-    scored = scored_businesses(fb, as_of)
+    task. ``scored`` may pass an already materialised ``scored_businesses`` result."""
+    if scored is None:
+        scored = scored_businesses(fb, as_of)
+        if benchmarks is None:
+            scored = materialize(scored)
     if benchmarks is None:
-        scored = materialize(scored)
         trust = scored.filter(F.col("total_reviews").isNotNull())
         benchmarks = materialize(industry_benchmarks(fb, as_of, trust=trust))
     bench = broadcast_if_small(

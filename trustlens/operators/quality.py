@@ -14,48 +14,56 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.operators.base import reply_counts
 from trustlens.schemas import Feedback
 
 
-def _pk_checks(df: DataFrame, table: str) -> DataFrame:
-    per_key = df.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    totals = per_key.agg(
-        F.coalesce(F.sum(F.when(F.col("id").isNotNull() & (F.col("rows") > 1), F.col("rows") - 1)), F.lit(0)).alias(
-            "dup"
-        ),
-        F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("rows"))), F.lit(0)).alias("nul"),
-    )
-    return totals.select(
-        F.lit(table).alias("table_name"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("primary key unique").alias("rule"), F.col("dup").alias("violations")),
-                F.struct(F.lit("primary key not null").alias("rule"), F.col("nul").alias("violations")),
-            )
-        ),
-    )
+def _per_key(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _violations(rules: list[tuple[str, str, F.Column]], totals: DataFrame) -> DataFrame:
+    """One row per (table, rule, count column), all from one pass over ``totals``."""
+    rows = [F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), c.alias("violations")) for t, r, c in rules]
+    return totals.select(F.inline(F.array(*rows)))
+
+
+def _zero_sum(c: F.Column) -> F.Column:
+    return F.coalesce(F.sum(c), F.lit(0))
+
 
+def _parent_checks(parent: DataFrame, table: str, children: DataFrame | None = None, fk: str = "", child: str = ""):
+    """Key checks of ``parent`` and, when given, the foreign key of ``children``.
 
-def _fk_check(counts: DataFrame, fk: str, parent: DataFrame, table: str, rule: str) -> DataFrame:
-    keyed = counts.filter(F.col(fk).isNotNull())
-    orphans = keyed.join(parent.select("id"), keyed[fk] == parent["id"], "left_anti")
-    return orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"
+    The parent's rows per key and the children's rows per foreign key meet in one full
+    outer join on the key: parent rows give the duplicate and NULL counts, child keys
+    without a parent give the orphan count."""
+    keys = _per_key(parent, "id")
+    dup = F.when(F.col("k").isNotNull() & (F.col("rows") > 1), F.col("rows") - 1)
+    nul = F.when(F.col("k").isNull(), F.col("rows"))
+    if children is None:
+        totals = keys.agg(_zero_sum(dup).alias("dup"), _zero_sum(nul).alias("nul"))
+        return _violations([(table, "primary key unique", F.col("dup")), (table, "primary key not null", F.col("nul"))], totals)
+    refs = _per_key(children, fk).select(F.col("k").alias("fk"), F.col("rows").alias("child_rows"))
+    both = keys.join(refs, keys["k"] == refs["fk"], "full_outer")
+    orphan = F.when(F.col("rows").isNull() & F.col("fk").isNotNull(), F.col("child_rows"))
+    totals = both.agg(_zero_sum(dup).alias("dup"), _zero_sum(nul).alias("nul"), _zero_sum(orphan).alias("orphans"))
+    return _violations(
+        [
+            (table, "primary key unique", F.col("dup")),
+            (table, "primary key not null", F.col("nul")),
+            (child, f"{fk} references {table}", F.col("orphans")),
+        ],
+        totals,
     )
 
 
 def key_checks(fb: Feedback) -> DataFrame:
     """Rows (table_name, rule, violations): surplus rows per duplicated key, NULL keys,
-    and rows whose foreign key matches no parent row."""
-    review_fk = fb.reviews.groupBy("business_id").agg(F.count(F.lit(1)).alias("rows"))
-    reply_fk = reply_counts(fb.responses).select("review_id", F.col("reply_rows").alias("rows"))
+    and rows whose foreign key matches no parent row (NULL foreign keys allowed)."""
     parts = [
-        _pk_checks(fb.businesses, "businesses"),
-        _pk_checks(fb.reviews, "reviews"),
-        _pk_checks(fb.responses, "responses"),
-        _fk_check(review_fk, "business_id", fb.businesses, "reviews", "business_id references businesses"),
-        _fk_check(reply_fk, "review_id", fb.reviews, "responses", "review_id references reviews"),
+        _parent_checks(fb.businesses, "businesses", fb.reviews, "business_id", "reviews"),
+        _parent_checks(fb.reviews, "reviews", fb.responses, "review_id", "responses"),
+        _parent_checks(fb.responses, "responses"),
     ]
     out = reduce(DataFrame.unionByName, parts)
     return out.select("table_name", "rule", F.col("violations").cast("bigint").alias("violations"))

@@ -93,7 +93,8 @@ def _comparison(fb, as_of) -> DataFrame:
     per-business benchmark rows."""
     scored = materialize(O.scored_businesses(fb, as_of))
     bench = materialize(O.industry_benchmarks(fb, as_of, trust=scored.filter(F.col("total_reviews").isNotNull())))
-    return O.benchmark_comparison(O.business_overview(fb, as_of, bench), O.business_benchmark(fb, as_of, bench))
+    overview = O.business_overview(fb, as_of, benchmarks=bench, scored=scored)
+    return O.benchmark_comparison(overview, O.business_benchmark(fb, as_of, bench))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
