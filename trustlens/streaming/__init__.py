@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The reference has no streaming sources, event-time windows, watermarks, stateful
+operators or user-defined functions: its 30/60-day periods are batch filters against
+one as-of instant. Nothing here is invented to fill the package; batch refresh of the
+derived tables lives in ``trustlens.plans.refresh``.
+"""
