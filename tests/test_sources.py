@@ -52,3 +52,13 @@ def test_json_records(spark, tmp_path):
     write_json(O.daily_stats(fb), path)
     lines = [json.loads(x) for f in os.listdir(path) if f.endswith(".json") for x in open(os.path.join(path, f))]
     assert {d["date"] for d in lines} == {"2024-06-01", "2024-06-02"}
+
+
+def test_register_views(spark):
+    from trustlens.plans.refresh import register_views
+
+    fb, as_of = load_profile(spark, SF_SMALL, "orders")
+    register_views(fb, as_of, prefix="v_")
+    n = spark.sql("SELECT COUNT(*) FROM v_industry_benchmarks").first()[0]
+    assert n == O.industry_benchmarks(fb, as_of).count()
+    assert spark.sql("SELECT MAX(cumulative_reviews) FROM v_daily_stats").first()[0] > 0

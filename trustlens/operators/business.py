@@ -154,18 +154,26 @@ def performance_deltas(fb: Feedback, as_of: AsOf = None) -> DataFrame:
 
 def rating_trend_monthly(fb: Feedback) -> DataFrame:
     """Mean rating per business and calendar month (months without reviews are
-    absent); ``date`` is the month start as a zone-free timestamp."""
+    absent); ``date`` is the month start as a zone-free timestamp, ``month_label`` its
+    chart label (``Jan 24``)."""
     month = F.trunc(F.to_date("created_at"), "month").cast("timestamp_ntz")
     return (
         fb.reviews.groupBy("business_id", month.alias("date"))
         .agg(F.avg("rating").alias("rating"))
+        .select("business_id", "date", "rating", F.date_format("date", "MMM yy").alias("month_label"))
         .sortWithinPartitions("business_id", F.col("date").asc_nulls_last())
     )
 
 
 def list_businesses(fb: Feedback, limit: int = 10) -> DataFrame:
-    """The first ``limit`` businesses by id (a top-k, not a full sort)."""
-    return fb.businesses.select("id", "name", "industry").orderBy("id").limit(limit)
+    """The first ``limit`` businesses by id (a top-k, not a full sort), with the
+    picker label ``name (industry)``."""
+    return (
+        fb.businesses.select("id", "name", "industry")
+        .orderBy("id")
+        .limit(limit)
+        .select("id", "name", "industry", F.concat("name", F.lit(" ("), "industry", F.lit(")")).alias("label"))
+    )
 
 
 __all__ = [

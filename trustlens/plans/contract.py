@@ -359,7 +359,7 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     ),
     "rating_trend_monthly": (
         (),
-        "SELECT business_id, date, {rating} FROM (SELECT business_id, "
+        "SELECT business_id, date, {rating}, strftime(date, '%b %y') AS month_label FROM (SELECT business_id, "
         "CAST(DATE_TRUNC('month', created_at) AS TIMESTAMP) AS date, AVG(rating) AS rating FROM reviews "
         "GROUP BY business_id, CAST(DATE_TRUNC('month', created_at) AS TIMESTAMP)) m",
         ("rating",),
@@ -376,7 +376,11 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
         "FROM insight",
         ("top_sentiment", "bottom_sentiment", "sentiment_gap"),
     ),
-    "list_businesses": ((), "SELECT id, name, industry FROM businesses ORDER BY id LIMIT 10", ()),
+    "list_businesses": (
+        (),
+        "SELECT id, name, industry, name || ' (' || industry || ')' AS label FROM businesses ORDER BY id LIMIT 10",
+        (),
+    ),
     "trust_band": (
         ("trust", "bench", "overview"),
         "SELECT id AS business_id, trust_score, CASE WHEN trust_score >= 80 THEN 'good' "

@@ -40,6 +40,16 @@ def refresh_models(fb: Feedback, as_of: AsOf, root: str) -> dict[str, DataFrame]
     return {name: spark.read.parquet(_path(root, name)) for name in MODEL_ORDER}
 
 
+def register_views(fb: Feedback, as_of: AsOf, prefix: str = "") -> None:
+    """Temp views ``<prefix>daily_stats``, ``<prefix>trust_score``,
+    ``<prefix>industry_benchmarks`` for SQL users, registered in dependency order; the
+    benchmarks view reads the trust view. Views stay lazy: each read recomputes."""
+    daily_stats(fb).createOrReplaceTempView(f"{prefix}daily_stats")
+    trust_score(fb, as_of).createOrReplaceTempView(f"{prefix}trust_score")
+    trust = fb.reviews.sparkSession.table(f"{prefix}trust_score")
+    industry_benchmarks(fb, trust=trust).createOrReplaceTempView(f"{prefix}industry_benchmarks")
+
+
 def json_records(df: DataFrame) -> DataFrame:
     """Dates as ``YYYY-MM-DD``, timestamps as ``YYYY-MM-DDTHH:MM:SS[.ffffff]``."""
     cols = []
