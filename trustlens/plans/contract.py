@@ -44,9 +44,21 @@ def rounded(df: DataFrame) -> DataFrame:
 Build = Callable[[object, str], DataFrame]
 
 
+_INPUTS: dict[tuple[int, str, str], tuple] = {}
+
+
+def _inputs(spark: SparkSession, sf_dir: str, profile: str):
+    """The mapped input DataFrames, built once per session, folder and profile (they
+    are lazy and immutable, so every query of a session can share them)."""
+    key = (id(spark), sf_dir.rstrip("/"), profile)
+    if key not in _INPUTS or _INPUTS[key][0].businesses.sparkSession is not spark:
+        _INPUTS[key] = load_profile(spark, sf_dir, profile)
+    return _INPUTS[key]
+
+
 def _spark(profile: str, build: Build) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fb, as_of = load_profile(spark, sf_dir, profile)
+        fb, as_of = _inputs(spark, sf_dir, profile)
         return rounded(build(fb, as_of))
 
     return run
