@@ -64,6 +64,11 @@ def _spark(profile: str, build: Build) -> Callable[[SparkSession, str], DataFram
     return run
 
 
+def build(name: str, fb, as_of) -> DataFrame:
+    """The contract query ``name`` over given input tables, doubles rounded."""
+    return rounded(SPARK_BUILDS[name](fb, as_of))
+
+
 SPARK_BUILDS: dict[str, Build] = {
     "daily_stats": lambda fb, a: O.daily_stats(fb),
     "trust_score": lambda fb, a: O.trust_score(fb, a),
@@ -450,12 +455,21 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
 }
 
 
-def _sql(profile: str, name: str) -> str:
+def table_sql(name: str, as_of: str) -> str:
+    """Oracle SQL of one operator over tables named ``businesses``, ``reviews`` and
+    ``responses`` (no mapping from the driver tables)."""
     needs, final, doubles = _FINAL[name]
-    ctes = _ctes(PROFILES[profile].as_of)
-    parts = [_TABLES[profile]] + [ctes[n] for n in needs]
+    ctes = _ctes(as_of)
     body = final.format(**{c: _r6(c, c) for c in doubles}) if doubles else final.replace("{{", "{").replace("}}", "}")
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    if not needs:
+        return body
+    return "WITH " + ",\n".join(ctes[n] for n in needs) + "\n" + body
+
+
+def _sql(profile: str, name: str) -> str:
+    sql = table_sql(name, PROFILES[profile].as_of)
+    mapping = _TABLES[profile]
+    return f"WITH {mapping},\n{sql[5:]}" if sql.startswith("WITH ") else f"WITH {mapping}\n{sql}"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,9 @@
 """Typed schemas of the three input tables and the container that carries them.
 
 Keys are BIGINT rather than INT: at 100 TB the review and reply tables hold far more
-than 2**31 rows, so 32-bit ids would overflow. Timestamps have no zone
+than 2**31 rows, so 32-bit ids would overflow. Primary keys are declared nullable:
+Spark does not enforce keys, a false NOT NULL would let the optimizer drop NULL
+checks, and the key check job (O19) reports NULL and duplicate keys instead. Timestamps have no zone
 (``timestamp_ntz``), like the source data; nothing here depends on the session zone.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 BUSINESSES = T.StructType(
     [
-        T.StructField("id", T.LongType(), False),
+        T.StructField("id", T.LongType()),
         T.StructField("name", T.StringType()),
         T.StructField("industry", T.StringType()),
         T.StructField("location", T.StringType()),
@@ -25,7 +27,7 @@ BUSINESSES = T.StructType(
 
 REVIEWS = T.StructType(
     [
-        T.StructField("id", T.LongType(), False),
+        T.StructField("id", T.LongType()),
         T.StructField("business_id", T.LongType()),
         T.StructField("rating", T.IntegerType()),
         T.StructField("text", T.StringType()),
@@ -36,7 +38,7 @@ REVIEWS = T.StructType(
 
 RESPONSES = T.StructType(
     [
-        T.StructField("id", T.LongType(), False),
+        T.StructField("id", T.LongType()),
         T.StructField("review_id", T.LongType()),
         T.StructField("response_text", T.StringType()),
         T.StructField("responded_at", T.TimestampNTZType()),
