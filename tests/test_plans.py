@@ -66,3 +66,32 @@ def test_bucketed_layout_joins_without_shuffle(static_plans):
     # only the per-business partial aggregates are shuffled
     assert node_names(df).count("Exchange") == 1
     assert df.count() == O.trust_score(fb, as_of).count()
+
+
+REVIEW_SOURCES = ("orders.parquet", "events.parquet")
+
+
+def _raw_review_rows(node) -> bool:
+    """Whether review rows reach ``node`` from a scan without passing an aggregate."""
+    if "Aggregate" in node.name:
+        return False
+    if node.name.startswith("Scan"):
+        return any(src in node.text for src in REVIEW_SOURCES)
+    return any(_raw_review_rows(c) for c in node.children)
+
+
+@pytest.mark.parametrize("name", sorted(k for k in entry.queries() if not k.endswith("_events")))
+def test_business_key_shuffles_carry_aggregates_only(static_plans, name):
+    """A business may hold a third of all reviews: review rows keyed by business are
+    only ever shuffled after a (partial) aggregate, one row per business and map task."""
+    df = entry.queries()[name](static_plans, SF_SMALL)
+    for node in physical_plan(df).walk():
+        if node.name == "Exchange" and "hashpartitioning(business_id" in node.text:
+            assert not _raw_review_rows(node), (name, node.text)
+
+
+def test_raw_review_shuffle_is_detected(static_plans):
+    fb, _ = load_profile(static_plans, SF_SMALL, "orders")
+    bad = fb.reviews.repartition("business_id").groupBy("business_id").count()
+    exchanges = [n for n in physical_plan(bad).walk() if n.name == "Exchange"]
+    assert any(_raw_review_rows(n) for n in exchanges)
