@@ -16,6 +16,7 @@ class Node:
     name: str
     text: str
     children: list["Node"] = field(default_factory=list)
+    meta: dict = field(default_factory=dict)  # untruncated scan metadata (PushedFilters, ReadSchema, ...)
 
     def walk(self):
         yield self
@@ -37,7 +38,20 @@ def _convert(jnode) -> Node:
         kids = [jnode.child()]
     else:
         kids = _seq(jnode.children())
-    return Node(name, jnode.simpleString(400), [_convert(k) for k in kids])
+    meta = {}
+    if name.startswith("Scan"):
+        try:
+            m = jnode.metadata()
+            for key in ("PushedFilters", "ReadSchema", "Location", "PartitionFilters"):
+                opt = m.get(key)
+                if opt.isDefined():
+                    meta[key] = opt.get()
+        except Exception:  # not a file scan
+            pass
+    elif name == "Window":
+        meta["partitionSpec"] = [e.sql() for e in _seq(jnode.partitionSpec())]
+        meta["orderSpec"] = [e.sql() for e in _seq(jnode.orderSpec())]
+    return Node(name, jnode.simpleString(400), [_convert(k) for k in kids], meta)
 
 
 def physical_plan(df: DataFrame) -> Node:
@@ -51,7 +65,9 @@ def node_names(df: DataFrame) -> list[str]:
 
 def scans(df: DataFrame) -> list[str]:
     """Descriptions of the file scans (with pushed filters and read schema)."""
-    return [n.text for n in physical_plan(df).walk() if n.name.startswith("Scan")]
+    return [
+        f"{n.text} {n.meta.get('PushedFilters', '')}" for n in physical_plan(df).walk() if n.name.startswith("Scan")
+    ]
 
 
 def first_below(node: Node, names: tuple[str, ...]) -> str | None:
