@@ -43,7 +43,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="trustlens-bench-")
     spark = build_session(
         f"local[{cpus}]",
-        shuffle_partitions=cpus * 2,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
         app="trustlens-bench",
         extra={"spark.driver.memory": "8g", "spark.local.dir": scratch},
     )
