@@ -184,5 +184,4 @@ __all__ = [
     "performance_deltas",
     "rating_trend_monthly",
     "list_businesses",
-    "trust_score",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trustlens.functions import ratio
 from trustlens.operators.base import review_replies
 from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
-from trustlens.session import ensure_checkpoint_dir
+from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
 
 # Slice fractions of the insight (top 20 % vs bottom 50 % by review count,
@@ -73,8 +73,7 @@ def geo_insight(fb: Feedback, geo: DataFrame | None = None) -> DataFrame:
     distributed selection (``rank_splits``), not by sorting all locations in one task.
     Locations with a NULL mean sentiment count in the slice sizes but not in the means."""
     geo = geo if geo is not None else geo_sentiment(fb)
-    ensure_checkpoint_dir(geo.sparkSession)
-    keyed = ranking_keys(geo, "review_count", "location_id", "net_sentiment_score").checkpoint(eager=True)
+    keyed = materialize(ranking_keys(geo, "review_count", "location_id", "net_sentiment_score"))
     size = keyed.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("v"), F.lit(0.0)).alias("all_s"),
