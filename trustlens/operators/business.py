@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trustlens.functions import day_start, days_before, ratio
 from trustlens.functions.clock import AsOf
-from trustlens.operators.base import review_replies
+from trustlens.operators.base import stack_replies
 from trustlens.operators.models import daily_stats, industry_benchmarks, scored_businesses, trust_score
 from trustlens.plans.sizing import broadcast_if_small, materialize
 from trustlens.schemas import Feedback
@@ -121,22 +121,30 @@ def performance_deltas(fb: Feedback, as_of: AsOf = None) -> DataFrame:
     reviews and mean replies per review (may exceed 1). Periods start at midnight. A
     missing period counts as 0; businesses without recent reviews get 0.0 deltas.
 
-    One pass with conditional aggregates replaces the reference's self-join of the
-    period rows with the reply rows."""
+    Conditional aggregates over the period rows replace the reference's self-join of
+    the period rows with the reply rows; reply sums come from the replied reviews of
+    the period, stacked on the period rows for one aggregation."""
     current_from = day_start(as_of, PERIOD_DAYS)
     previous_from = day_start(as_of, 2 * PERIOD_DAYS)
-    rows = review_replies(fb).filter(F.col("id").isNotNull() & (F.col("created_at") >= previous_from))
-    cur = F.col("created_at") >= current_from
+    rows = fb.reviews.filter(F.col("id").isNotNull() & (F.col("created_at") >= previous_from)).select(
+        "id", "business_id", "rating", "sentiment_score", (F.col("created_at") >= current_from).alias("cur")
+    )
+    stacked = stack_replies(rows, fb.responses, carry=("business_id", "cur"))
+    review = F.col("review_row").isNotNull()
+    cur, prev = review & F.col("cur"), review & ~F.col("cur")
     neg = F.col("sentiment_score") < NEGATIVE_BELOW
-
-    def metrics(in_period: F.Column, tag: str) -> list[F.Column]:
-        return [
-            F.avg(F.when(in_period, F.col("rating"))).alias(f"{tag}_rating"),
-            ratio(F.count_if(in_period & neg), F.count_if(in_period)).alias(f"{tag}_neg"),
-            F.avg(F.when(in_period, F.col("replies"))).alias(f"{tag}_replies"),
-        ]
-
-    per = rows.groupBy("business_id").agg(*metrics(cur, "cur"), *metrics(~cur, "prev"))
+    zero = F.lit(0).cast("bigint")
+    per = stacked.groupBy("business_id").agg(
+        F.avg(F.when(cur, F.col("rating"))).alias("cur_rating"),
+        F.avg(F.when(prev, F.col("rating"))).alias("prev_rating"),
+        ratio(F.count_if(cur & neg), F.count_if(cur)).alias("cur_neg"),
+        ratio(F.count_if(prev & neg), F.count_if(prev)).alias("prev_neg"),
+        # mean replies per review of the period; reviews without replies count as 0
+        ratio(F.coalesce(F.sum(F.when(F.col("cur"), F.col("replies"))), zero), F.count_if(cur)).alias("cur_replies"),
+        ratio(F.coalesce(F.sum(F.when(~F.col("cur"), F.col("replies"))), zero), F.count_if(prev)).alias(
+            "prev_replies"
+        ),
+    )
     b = fb.businesses.select("id")
     joined = b.join(per, b["id"] == per["business_id"], "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.functions import ratio
-from trustlens.operators.base import review_replies
+from trustlens.operators.base import stack_replies
 from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
 from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
@@ -36,15 +36,16 @@ def geo_sentiment(fb: Feedback) -> DataFrame:
     """Per business with at least one review: coordinates, review count, mean
     rating, mean sentiment and replies per review (counted through the review's
     business; may exceed 1). The reference's correlated reply count becomes a
-    pre-aggregate per business."""
+    sum over the replied reviews, stacked on the review rows for one aggregation."""
+    reviews = fb.reviews.select("id", "business_id", "rating", "sentiment_score")
     per = (
-        review_replies(fb)
+        stack_replies(reviews, fb.responses)
         .groupBy("business_id")
         .agg(
             F.count("id").alias("review_count"),
             F.avg("rating").alias("avg_rating"),
             F.avg("sentiment_score").alias("net_sentiment_score"),
-            F.sum("reply_rows").alias("reply_count"),
+            F.coalesce(F.sum("reply_rows"), F.lit(0).cast("bigint")).alias("reply_count"),
         )
         .filter(F.col("review_count") > 0)
     )

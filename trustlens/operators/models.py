@@ -5,8 +5,9 @@ Plan shape at scale:
 - O1: partial+final aggregate on (business, day), then one shuffle of the *daily*
   rows by business for the running window. A hot business has at most one row per
   day in its window partition, however many reviews it has.
-- O2: replies per review (partial agg) -> join on review id -> partial+final
-  aggregate per business -> join with businesses on id.
+- O2: replies per review (partial agg) joined with the review key and business only;
+  those rows stacked on the review rows -> one partial+final aggregate per business
+  -> join with businesses on id.
 - O3: partial+final aggregate per industry over O2; the exact percentile state is a
   value->count map whose size is bounded by the number of distinct values (at most
   401 two-decimal ratings in 1..5 and 101 integer scores), so hot industries are cheap.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trustlens.functions import as_of_date, half_even_int, ratio, round2
 from trustlens.functions.clock import AsOf
-from trustlens.operators.base import review_replies
+from trustlens.operators.base import stack_replies
 from trustlens.schemas import Feedback
 
 # Fixed values of the trust score: decay horizon in days, component weights, the
@@ -68,15 +69,34 @@ def daily_stats(fb: Feedback) -> DataFrame:
 
 
 def business_review_stats(fb: Feedback, as_of: AsOf) -> DataFrame:
-    """Per business_id: review count, weighted rating sums and reply counts."""
+    """Per business_id: review count, weighted rating sums and reply counts, from one
+    aggregation over the review rows stacked with the replied-review rows.
+
+    ``joined_rows`` is what ``COUNT(review id)`` gives over the LEFT JOIN of reviews and
+    replies: one row per review with a non-NULL id, plus the extra rows of reviews with
+    several replies."""
     w = day_weight(as_of)
-    return review_replies(fb).groupBy("business_id").agg(
-        F.count(F.lit(1)).alias("total_reviews"),
+    reviews = fb.reviews.select("id", "business_id", "rating", "created_at")
+    stacked = stack_replies(reviews, fb.responses)
+    is_reply = F.col("review_row").isNull()
+    zero = F.lit(0).cast("bigint")
+    agg = stacked.groupBy("business_id").agg(
+        F.count("review_row").alias("total_reviews"),
         # NULL ratings drop out of the numerator only, as in SUM(rating*w)/SUM(w).
         F.sum(F.col("rating") * w).alias("weighted_sum"),
-        F.sum(w).alias("weight_sum"),
-        F.sum("replies").alias("replied"),
-        F.sum("joined_rows").alias("joined_rows"),
+        F.sum(F.when(F.col("review_row").isNotNull(), w)).alias("weight_sum"),
+        F.count("id").alias("id_rows"),
+        F.count_if(is_reply).alias("replied_rows"),
+        F.coalesce(F.sum("replies"), zero).alias("replied"),
+        F.coalesce(F.sum("reply_rows"), zero).alias("reply_rows"),
+    )
+    return agg.select(
+        "business_id",
+        "total_reviews",
+        "weighted_sum",
+        "weight_sum",
+        "replied",
+        (F.col("id_rows") - F.col("replied_rows") + F.col("reply_rows")).alias("joined_rows"),
     )
 
 
