@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trustlens import operators as O
 from trustlens.functions.clock import AsOf
 from trustlens.operators.models import TRUST_COLUMNS
+from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
 
 
@@ -23,11 +24,15 @@ def _only(fb: Feedback, business_id: int) -> Feedback:
     return Feedback(fb.businesses.filter(F.col("id") == business_id), reviews, fb.responses)
 
 
+def _benchmarks(fb: Feedback, as_of: AsOf) -> DataFrame:
+    """Industry benchmarks need every business of the industry, so they are computed
+    over the full inputs, once (one row per industry), before the size check."""
+    return materialize(O.industry_benchmarks(fb, as_of))
+
+
 def business_overview(fb: Feedback, business_id: int, as_of: AsOf = None) -> DataFrame:
-    """Overview row of one business. The industry benchmarks need every business of
-    the industry, so they are computed over the full inputs."""
-    bench = O.industry_benchmarks(fb, as_of)
-    return O.business_overview(_only(fb, business_id), as_of, benchmarks=bench)
+    """Overview row of one business."""
+    return O.business_overview(_only(fb, business_id), as_of, benchmarks=_benchmarks(fb, as_of))
 
 
 def business_trends(fb: Feedback, business_id: int) -> DataFrame:
@@ -35,8 +40,7 @@ def business_trends(fb: Feedback, business_id: int) -> DataFrame:
 
 
 def industry_benchmark(fb: Feedback, business_id: int, as_of: AsOf = None) -> DataFrame:
-    bench = O.industry_benchmarks(fb, as_of)
-    return O.business_benchmark(_only(fb, business_id), as_of, benchmarks=bench)
+    return O.business_benchmark(_only(fb, business_id), as_of, benchmarks=_benchmarks(fb, as_of))
 
 
 def sentiment_distribution(fb: Feedback, business_id: int, as_of: AsOf = None, days: int = 60) -> DataFrame:
