@@ -50,3 +50,24 @@ def test_results_independent_of_partitioning(spark, profile, parts):
     split = Feedback(fb.businesses.repartition(parts), fb.reviews.repartition(parts), fb.responses.repartition(parts))
     again = O.business_overview(split, as_of)
     assert base.exceptAll(again).count() == 0 and again.exceptAll(base).count() == 0
+
+
+def test_results_independent_of_session_time_zone(spark, profile):
+    from trustlens.plans.contract import rounded
+
+    fb, as_of = profile
+    ops = [
+        lambda: O.performance_deltas(fb, as_of),
+        lambda: O.sentiment_distribution(fb, as_of),
+        lambda: O.rating_trend_monthly(fb),
+        lambda: O.daily_stats(fb),
+    ]
+    before = [rounded(op()).collect() for op in ops]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        after = [rounded(op()).collect() for op in ops]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    for b, a in zip(before, after):
+        assert sorted(map(tuple, b), key=repr) == sorted(map(tuple, a), key=repr)
