@@ -23,23 +23,25 @@ JOB_CONF = {
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpointed intermediates are deleted once no DataFrame references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 # Cluster settings for the 100 TB target (apply on top of the cluster's own config).
-# The widest shuffle is the review-reply join: reviews projected to five narrow columns
-# (~40 bytes/row; the review text is never read), i.e. ~8 TB for 2e11 reviews. At
-# 256 MB per partition that is ~32k shuffle partitions; AQE then coalesces the small
-# per-business and per-industry stages and splits skewed join partitions.
+# The widest shuffle is the review side of the reply join: review key and business
+# only (~20 bytes per review with row overhead; the review text is never read), about
+# 4 TB for 2e11 reviews. At 256 MB per partition that is ~16k shuffle partitions
+# (``shuffle_partitions_for``); AQE then coalesces the small per-business and
+# per-industry stages and splits skewed join partitions.
 CLUSTER_CONF = {
     **{k: v for k, v in JOB_CONF.items() if k != "spark.ui.enabled"},
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32768",
-    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.shuffle.partitions": "16384",
     "spark.sql.files.maxPartitionBytes": str(512 << 20),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
