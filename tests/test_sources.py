@@ -63,3 +63,23 @@ def test_register_views(spark):
     n = spark.sql("SELECT COUNT(*) FROM v_industry_benchmarks").first()[0]
     assert n == O.industry_benchmarks(fb, as_of).count()
     assert spark.sql("SELECT MAX(cumulative_reviews) FROM v_daily_stats").first()[0] > 0
+
+
+def test_month_partitioned_reviews_prune(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from trustlens.plans.inspect import physical_plan
+
+    fb, as_of = load_profile(spark, SF_SMALL, "orders")
+    root = str(tmp_path / "by_month")
+    write_tables(fb, root, reviews_by_month=True)
+    stored = read_tables(spark, root, reviews_by_month=True)
+    assert "created_month" in stored.reviews.columns
+    for op in (O.sentiment_distribution, O.performance_deltas):
+        a, b = rounded(op(stored, as_of)), rounded(op(fb, as_of))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        scans = [n for n in physical_plan(op(stored, as_of)).walk() if n.name.startswith("Scan")]
+        pruned = [n.meta.get("PartitionFilters", "") for n in scans if "created_month" in n.meta.get("PartitionFilters", "")]
+        assert pruned, "the month predicate must reach the scan as a partition filter"
+    assert stored.reviews.count() == fb.reviews.count()
+    assert stored.reviews.filter(F.col("created_at").isNull()).count() == fb.reviews.filter(F.col("created_at").isNull()).count()

@@ -16,6 +16,7 @@ from trustlens.operators.base import stack_replies
 from trustlens.operators.models import daily_stats, industry_benchmarks, scored_businesses, trust_score
 from trustlens.plans.sizing import broadcast_if_small, materialize
 from trustlens.schemas import Feedback
+from trustlens.sources.tables import since
 
 # Sentiment band edges (exclusive), the sentiment look-back in days and
 # the two 30-day comparison periods counted back from the day of as_of.
@@ -101,7 +102,7 @@ def sentiment_distribution(fb: Feedback, as_of: AsOf = None, days: int = SENTIME
     """Positive / Neutral / Negative review counts of the last ``days`` x 24 h for
     every business, zero-filled. Counts are conditional aggregates in one pass."""
     s = F.col("sentiment_score")
-    recent = fb.reviews.filter(F.col("created_at") >= days_before(as_of, days))
+    recent = since(fb.reviews, days_before(as_of, days))
     counts = recent.groupBy("business_id").agg(
         F.count_if(s > POSITIVE_ABOVE).alias("pos"),
         F.count_if(sentiment_band(s) == "Neutral").alias("neu"),
@@ -126,7 +127,7 @@ def performance_deltas(fb: Feedback, as_of: AsOf = None) -> DataFrame:
     the period, stacked on the period rows for one aggregation."""
     current_from = day_start(as_of, PERIOD_DAYS)
     previous_from = day_start(as_of, 2 * PERIOD_DAYS)
-    rows = fb.reviews.filter(F.col("id").isNotNull() & (F.col("created_at") >= previous_from)).select(
+    rows = since(fb.reviews, previous_from).filter(F.col("id").isNotNull()).select(
         "id", "business_id", "rating", "sentiment_score", (F.col("created_at") >= current_from).alias("cur")
     )
     stacked = stack_replies(rows, fb.responses, carry=("business_id", "cur"))
