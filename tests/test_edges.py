@@ -195,3 +195,17 @@ def test_key_checks(spark):
     assert got[("reviews", "business_id references businesses")] == 1  # NULL key allowed
     assert got[("responses", "review_id references reviews")] == 1
     assert got[("reviews", "primary key not null")] == 0
+
+
+def test_day_weight(spark):
+    from trustlens.operators.models import day_weight
+
+    rows = [
+        (ts("2024-06-29 23:59:00"),),  # late evening the day before: 1 day old
+        (ts("2024-06-30 00:00:00"),),
+        (ts("2024-07-01 09:00:00"),),  # after as_of: weight above 730
+        (ts("2022-06-30 23:59:59"),),  # 731 days: weight 0
+        (None,),
+    ]
+    df = spark.createDataFrame(rows, "created_at timestamp_ntz")
+    assert [r[0] for r in df.select(day_weight(AS_OF)).collect()] == [729, 730, 731, 0, 0]
