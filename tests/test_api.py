@@ -54,3 +54,12 @@ def test_labels(data):
     assert first["label"] == f"{first['name']} ({first['industry']})"
     labels = {r["month_label"] for r in O.rating_trend_monthly(fb).limit(50).collect()}
     assert all(len(x) == 6 and x[3] == " " for x in labels)
+
+
+def test_lookup_with_refreshed_benchmarks(spark, data, tmp_path):
+    from trustlens.plans.refresh import refresh_models
+
+    fb, as_of = data
+    models = refresh_models(fb, as_of, str(tmp_path / "models"))
+    got = api.business_overview(fb, 3, as_of, benchmarks=models["industry_benchmarks"])
+    assert _same(got, O.business_overview(fb, as_of).filter(F.col("id") == 3))

@@ -30,17 +30,24 @@ def _benchmarks(fb: Feedback, as_of: AsOf) -> DataFrame:
     return materialize(O.industry_benchmarks(fb, as_of))
 
 
-def business_overview(fb: Feedback, business_id: int, as_of: AsOf = None) -> DataFrame:
-    """Overview row of one business."""
-    return O.business_overview(_only(fb, business_id), as_of, benchmarks=_benchmarks(fb, as_of))
+def business_overview(
+    fb: Feedback, business_id: int, as_of: AsOf = None, benchmarks: DataFrame | None = None
+) -> DataFrame:
+    """Overview row of one business. Pass the refreshed benchmark table (see
+    ``plans.refresh.refresh_models``) to avoid recomputing it per look-up."""
+    bench = benchmarks if benchmarks is not None else _benchmarks(fb, as_of)
+    return O.business_overview(_only(fb, business_id), as_of, benchmarks=bench)
 
 
 def business_trends(fb: Feedback, business_id: int) -> DataFrame:
     return O.business_trends(_only(fb, business_id)).orderBy(F.col("date").asc_nulls_last())
 
 
-def industry_benchmark(fb: Feedback, business_id: int, as_of: AsOf = None) -> DataFrame:
-    return O.business_benchmark(_only(fb, business_id), as_of, benchmarks=_benchmarks(fb, as_of))
+def industry_benchmark(
+    fb: Feedback, business_id: int, as_of: AsOf = None, benchmarks: DataFrame | None = None
+) -> DataFrame:
+    bench = benchmarks if benchmarks is not None else _benchmarks(fb, as_of)
+    return O.business_benchmark(_only(fb, business_id), as_of, benchmarks=bench)
 
 
 def sentiment_distribution(fb: Feedback, business_id: int, as_of: AsOf = None, days: int = 60) -> DataFrame:
