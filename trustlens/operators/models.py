@@ -83,7 +83,7 @@ def business_review_stats(fb: Feedback, as_of: AsOf) -> DataFrame:
     agg = stacked.groupBy("business_id").agg(
         F.count("review_row").alias("total_reviews"),
         # NULL ratings drop out of the numerator only, as in SUM(rating*w)/SUM(w).
-        F.sum(F.col("rating") * w).alias("weighted_sum"),
+        F.sum(F.col("rating").cast("bigint") * w).alias("weighted_sum"),
         F.sum(F.when(F.col("review_row").isNotNull(), w)).alias("weight_sum"),
         F.count("id").alias("id_rows"),
         F.count_if(is_reply).alias("replied_rows"),
