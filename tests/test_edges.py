@@ -209,3 +209,22 @@ def test_day_weight(spark):
     ]
     df = spark.createDataFrame(rows, "created_at timestamp_ntz")
     assert [r[0] for r in df.select(day_weight(AS_OF)).collect()] == [729, 730, 731, 0, 0]
+
+
+def test_round2_matches_duckdb_round(spark):
+    """Two-decimal rounding equals DuckDB's ROUND(x, 2) on 20,000 values, half of them
+    decimal midpoints (x.xx5) whose binary value lies just below or above."""
+    import random
+
+    import duckdb
+
+    rnd = random.Random(7)
+    vals = [rnd.randint(0, 50000) / 10000 for _ in range(10000)]
+    vals += [(rnd.randint(0, 5000) * 10 + 5) / 10000 for _ in range(10000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i bigint, x double")
+    got = {r[0]: r[1] for r in df.select("i", round2(F.col("x"))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i BIGINT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    want = dict(con.execute("SELECT i, ROUND(x, 2) FROM t").fetchall())
+    assert got == want

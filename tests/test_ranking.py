@@ -62,3 +62,29 @@ def test_key_bits():
     assert key_bits(-(1 << 63), -(1 << 63) + 65535) == 16
     assert key_bits(-(1 << 63) + 5, -(1 << 63) + 5) == 0
     assert key_bits(-1, 0) == 64
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(
+        st.tuples(
+            st.integers(0, 4),
+            st.integers(-(2**40), 2**40),
+            st.one_of(st.none(), st.sampled_from([-0.5, 0.25, 0.75])),
+        ),
+        min_size=1,
+        max_size=40,
+        unique_by=lambda t: t[1],
+    ),
+    frac=st.floats(0.0, 1.0),
+)
+def test_rank_splits_property(spark, rows, frac):
+    r = max(1, min(len(rows), int(len(rows) * frac) or 1))
+    got = run(spark, rows, {"x": r})["x"]
+    head, tail = brute(rows, r)
+    assert (got["head_n"], got["head_c"], got["tail_n"], got["tail_c"]) == (head[0], head[2], tail[0], tail[2])
+    assert got["head_s"] == pytest.approx(head[1]) and got["tail_s"] == pytest.approx(tail[1])
