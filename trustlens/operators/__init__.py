@@ -1,7 +1,7 @@
 """The analytic operators. Each takes DataFrames (and ``as_of`` where time matters)
 and returns a DataFrame; none runs a Spark action."""
 
-from trustlens.operators.base import replied_reviews, reply_counts, reply_totals, stack_replies
+from trustlens.operators.base import replied_reviews, reply_counts, stack_replies
 from trustlens.operators.business import (
     business_benchmark,
     business_overview,
@@ -20,7 +20,6 @@ from trustlens.operators.report import benchmark_comparison, delta_direction, kp
 __all__ = [
     "reply_counts",
     "replied_reviews",
-    "reply_totals",
     "stack_replies",
     "daily_stats",
     "trust_score",
