@@ -96,11 +96,14 @@ SPARK_BUILDS: dict[str, Build] = {
 EVENTS_KEYS = (
     "daily_stats",
     "trust_score",
+    "industry_benchmarks",
     "business_overview",
     "sentiment_distribution",
     "performance_deltas",
+    "delta_direction",
     "geo_sentiment",
     "geo_insight",
+    "kpi_cards",
     "key_checks",
 )
 
