@@ -228,3 +228,26 @@ def test_round2_matches_duckdb_round(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
     want = dict(con.execute("SELECT i, ROUND(x, 2) FROM t").fetchall())
     assert got == want
+
+
+def test_js_fixed_rounds_the_exact_binary_value(spark):
+    """toFixed semantics: 1.115 is 1.11499..., so 1.11; exact ties (0.125) go up."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from trustlens.functions.display import js_fixed
+
+    rnd = random.Random(11)
+    vals = [1.115, 0.125, 1.005, 2.675, 0.285, 4.345, -1.115, 0.0, 133.33333333333334]
+    vals += [rnd.randint(0, 10**6) / 1000 for _ in range(3000)]
+    vals += [(rnd.randint(0, 10**4) * 2 + 1) / 200 for _ in range(3000)]
+
+    def exact(v: float, d: int) -> str:
+        q = Decimal(v).copy_abs().quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_UP)
+        return ("-" if v < 0 else "") + f"{q:.{d}f}"
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i bigint, x double")
+    for d in (1, 2):
+        got = {r[0]: r[1] for r in df.select("i", js_fixed(F.col("x"), d)).collect()}
+        assert got == {i: exact(v, d) for i, v in enumerate(vals)}
+    assert spark.createDataFrame([(None,)], "x double").select(js_fixed(F.col("x"), 2)).first()[0] is None

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.functions import round2, round_at
+from trustlens.functions.display import js_fixed
 
 # Trust bands (score >= 80 good, >= 60 avg, else bad), change arrows and
 # labels, the metric names of the comparison chart and its constant P90 reply rate.
@@ -33,14 +33,9 @@ def trust_band(overview: DataFrame) -> DataFrame:
     )
 
 
-def fixed2(x: Column) -> Column:
-    """Two-decimal text of a number, rounding the double product x*100 (NULL stays NULL)."""
-    return F.when(x.isNotNull(), F.format_string("%.2f", round2(x)))
-
-
 def _change(value: Column, inverse: bool) -> tuple[Column, Column]:
     arrow = F.when(value > 0, UP).when(value < 0, DOWN).otherwise(FLAT)
-    text = F.when(value == 0, NO_CHANGE).otherwise(F.concat(arrow, F.lit(" "), fixed2(F.abs(value))))
+    text = F.when(value == 0, NO_CHANGE).otherwise(F.concat(arrow, F.lit(" "), js_fixed(F.abs(value), 2)))
     good = value < 0 if inverse else value > 0
     tone = F.when(value == 0, "neutral").when(good, "positive").otherwise("negative")
     return text, tone
@@ -91,9 +86,10 @@ def kpi_cards(overview: DataFrame) -> DataFrame:
     """The KPI texts of the overview card. Missing values print as the dashboard
     prints them: an empty score, industry average 0, reply rate 0.0%."""
     score = F.col("trust_score")
-    rating = F.regexp_replace(fixed2(F.col("weighted_rating")), r"\.?0+$", "")
+    # the rating is already rounded to 2 decimals; the dashboard prints its shortest form
+    rating = F.regexp_replace(js_fixed(F.col("weighted_rating"), 2), r"\.?0+$", "")
     industry_avg = F.floor(F.coalesce(F.col("industry_avg_trust"), F.lit(0.0)) + 0.5).cast("bigint")
-    rate_pct = round_at(F.coalesce(F.col("response_rate"), F.lit(0.0)) * 100, 1)
+    rate_pct = F.coalesce(F.col("response_rate"), F.lit(0.0)) * 100
     return overview.select(
         F.col("id").alias("business_id"),
         F.coalesce(score.cast("string"), F.lit("")).alias("trust_score_text"),
@@ -101,5 +97,5 @@ def kpi_cards(overview: DataFrame) -> DataFrame:
         F.concat(F.lit("Industry Avg: "), industry_avg.cast("string")).alias("industry_avg_text"),
         F.coalesce(rating, F.lit("")).alias("rating_text"),
         F.format_number(F.col("total_reviews"), 0).alias("volume_text"),
-        F.concat(F.format_string("%.1f", rate_pct), F.lit("%")).alias("response_rate_text"),
+        F.concat(js_fixed(rate_pct, 1), F.lit("%")).alias("response_rate_text"),
     )

@@ -317,15 +317,30 @@ keys AS (
     }
 
 
-def _fixed2(expr: str) -> str:
-    return f"printf('%.2f', ROUND({expr}, 2))"
+def _js_fixed(x: str, digits: int) -> str:
+    """JavaScript ``toFixed``: the exact binary value rounded, ties up in magnitude
+    (the rounding error of ``x * 10**digits`` recovered with Dekker's exact product)."""
+    m = f"CAST({10**digits} AS DOUBLE)"
+    a = f"ABS({x})"
+    c = f"({a} * CAST(134217729 AS DOUBLE))"
+    hi = f"({c} - ({c} - {a}))"
+    lo = f"({a} - {hi})"
+    s = f"({a} * {m})"
+    err = f"(({hi} * {m} - {s}) + {lo} * {m})"
+    frac = f"({s} - FLOOR({s}))"
+    n = f"(CAST(FLOOR({s}) AS BIGINT) + CASE WHEN {frac} > 0.5 OR ({frac} = 0.5 AND {err} >= 0) THEN 1 ELSE 0 END)"
+    p = 10**digits
+    return (
+        f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST({n} // {p} AS VARCHAR) || '.' "
+        f"|| lpad(CAST({n} % {p} AS VARCHAR), {digits}, '0'))"
+    )
 
 
 def _change(value: str, inverse: bool, prefix: str) -> str:
     good = f"{value} < 0" if inverse else f"{value} > 0"
     arrow = f"CASE WHEN {value} > 0 THEN '↑' WHEN {value} < 0 THEN '↓' ELSE '-' END"
     return (
-        f"CASE WHEN {value} = 0 THEN 'No change' ELSE {arrow} || ' ' || {_fixed2(f'ABS({value})')} END"
+        f"CASE WHEN {value} = 0 THEN 'No change' ELSE {arrow} || ' ' || {_js_fixed(f'ABS({value})', 2)} END"
         f" AS {prefix}_change,\n"
         f"  CASE WHEN {value} = 0 THEN 'neutral' WHEN {good} THEN 'positive' ELSE 'negative' END AS {prefix}_tone"
     )
@@ -448,9 +463,9 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
         "  CASE WHEN trust_score >= 80 THEN 'good' WHEN trust_score >= 60 THEN 'avg' ELSE 'bad' END AS trust_band,\n"
         "  'Industry Avg: ' || CAST(CAST(FLOOR(COALESCE(industry_avg_trust, 0) + 0.5) AS BIGINT) AS VARCHAR)"
         " AS industry_avg_text,\n"
-        "  COALESCE(regexp_replace(" + _fixed2("weighted_rating") + ", '\\.?0+$', ''), '') AS rating_text,\n"
+        "  COALESCE(regexp_replace(" + _js_fixed("weighted_rating", 2) + ", '\\.?0+$', ''), '') AS rating_text,\n"
         "  CASE WHEN total_reviews IS NULL THEN NULL ELSE format('{{:,}}', total_reviews) END AS volume_text,\n"
-        "  printf('%.1f', ROUND(COALESCE(response_rate, 0) * 100, 1)) || '%' AS response_rate_text\n"
+        "  " + _js_fixed("(COALESCE(response_rate, 0) * 100)", 1) + " || '%' AS response_rate_text\n"
         "FROM overview",
         (),
     ),
