@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.functions import ratio
+from trustlens.functions.display import js_fixed
 from trustlens.operators.base import stack_replies
 from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
 from trustlens.plans.sizing import materialize
@@ -133,8 +134,8 @@ _INSIGHT_NUMBERS = (
 
 
 def geo_markers(geo: DataFrame) -> DataFrame:
-    """Map marker per location: sentiment band at +-0.1, its colour, and a radius
-    growing with the log of the review count."""
+    """Map marker per location: sentiment band at +-0.1, its colour, a radius
+    growing with the log of the review count, and the popup's sentiment text."""
     s = F.col("net_sentiment_score")
     band = F.when(s < -MARKER_BAND, "negative").when(s > MARKER_BAND, "positive").otherwise("neutral")
     color = F.when(s < -MARKER_BAND, NEGATIVE_COLOR).when(s > MARKER_BAND, POSITIVE_COLOR).otherwise(NEUTRAL_COLOR)
@@ -146,6 +147,7 @@ def geo_markers(geo: DataFrame) -> DataFrame:
         band.alias("band"),
         color.alias("color"),
         radius.alias("radius"),
+        js_fixed(s, 2).alias("sentiment_text"),
     )
 
 

@@ -287,13 +287,14 @@ insight AS (
                 THEN 'High-volume locations show consistently higher sentiment compared to lower-volume locations.'
               ELSE 'Sentiment is consistent across both high and low volume locations.' END AS insight
   FROM slices)""",
-        "markers": """markers AS (
+        "markers": f"""markers AS (
   SELECT location_id, latitude, longitude,
          CASE WHEN net_sentiment_score < -0.1 THEN 'negative' WHEN net_sentiment_score > 0.1 THEN 'positive'
               ELSE 'neutral' END AS band,
          CASE WHEN net_sentiment_score < -0.1 THEN '#ef4444' WHEN net_sentiment_score > 0.1 THEN '#10b981'
               ELSE '#9ca3af' END AS color,
-         GREATEST(CAST(5 AS DOUBLE), LN(review_count) * 4) AS radius
+         GREATEST(CAST(5 AS DOUBLE), LN(review_count) * 4) AS radius,
+         {_js_fixed("net_sentiment_score", 2)} AS sentiment_text
   FROM geo)""",
         "keys": """pk AS (
   SELECT 'businesses' AS table_name, id FROM businesses
@@ -435,7 +436,7 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     ),
     "geo_markers": (
         ("geo", "markers"),
-        "SELECT location_id, {latitude}, {longitude}, band, color, {radius} FROM markers",
+        "SELECT location_id, {latitude}, {longitude}, band, color, {radius}, sentiment_text FROM markers",
         ("latitude", "longitude", "radius"),
     ),
     "geo_extent": (
