@@ -24,7 +24,7 @@ def run(spark, rows, cuts):
     df = spark.createDataFrame(rows, "o bigint, id bigint, v double")
     keyed = ranking_keys(df, "o", "id", "v").checkpoint(eager=True)
     lo, hi = keyed.selectExpr("min(u)", "max(u)").first()
-    out = {r["cut"]: r.asDict() for r in rank_splits(keyed, cuts, key_bits(lo, hi)).collect()}
+    out = {r["cut"]: r.asDict() for r in rank_splits(keyed, cuts, lo, hi).collect()}
     return out
 
 
@@ -33,6 +33,9 @@ CASES = {
     "hot_group": lambda rnd: [(7 if i % 3 == 0 else rnd.randint(1, 50), i, rnd.choice([0.5, -0.25, 0.125])) for i in range(300)],
     "negative_ids": lambda rnd: [(rnd.randint(1, 5), rnd.randint(-10**6, 10**6) * 7 + i, 0.5 * (i % 4)) for i in range(200)],
     "wide_ids": lambda rnd: [(rnd.randint(1, 3), rnd.getrandbits(63) - (1 << 62) + i, 1.0) for i in range(150)],
+    # ids above 2**16 sharing high bits: two passes below a non-zero common prefix
+    "mid_ids": lambda rnd: [(rnd.randint(1, 3), 70000 + rnd.randint(0, 10**6) * 3 + i, 0.5) for i in range(150)],
+    "negative_mid_ids": lambda rnd: [(1, -(2**20) - 70000 * i, 0.25 * (i % 3)) for i in range(60)],
     "null_values": lambda rnd: [(rnd.randint(1, 4), i, None if i % 5 == 0 else 0.25) for i in range(120)],
     "duplicate_ids": lambda rnd: [(2, i // 3, float(i % 3)) for i in range(90)],
 }

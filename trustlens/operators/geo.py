@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trustlens.functions import ratio
 from trustlens.functions.display import js_fixed
 from trustlens.operators.base import stack_replies
-from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
+from trustlens.operators.ranking import rank_splits, ranking_keys
 from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
 
@@ -94,7 +94,7 @@ def geo_insight(fb: Feedback, geo: DataFrame | None = None) -> DataFrame:
     cuts = {"top": k_top}
     if n - k_bottom > 0:
         cuts["bottom"] = n - k_bottom
-    splits = rank_splits(keyed, cuts, key_bits(size["min_u"], size["max_u"]))
+    splits = rank_splits(keyed, cuts, size["min_u"], size["max_u"])
     is_top, is_bottom = F.col("cut") == "top", F.col("cut") == "bottom"
     slices = splits.agg(
         F.max(F.when(is_top, F.col("head_s"))).alias("top_s"),

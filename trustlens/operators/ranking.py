@@ -57,6 +57,15 @@ def key_bits(min_u: int, max_u: int) -> int:
     return ((min_u ^ max_u) & UNSIGNED).bit_length()
 
 
+def _passes(bits: int) -> int:
+    return max(1, -(-bits // DIGIT_BITS))
+
+
+def _common_prefix(min_u: int, bits: int) -> int:
+    """The high bits shared by every key, above the digits the passes examine."""
+    return (min_u & UNSIGNED) >> (DIGIT_BITS * _passes(bits))
+
+
 def _hist(df: DataFrame, keys: list[Column], carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows, value sum and non-null count per key (``carry`` columns are per-cut constants)."""
     return df.groupBy(*carry, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.count("v").alias("c"))
@@ -83,13 +92,17 @@ def _holds(need: Column) -> Column:
     return (F.col("b_n") < need) & (need <= F.col("b_n") + F.col("n"))
 
 
-def rank_splits(keyed: DataFrame, cuts: dict[str, int], bits: int) -> DataFrame:
+def rank_splits(keyed: DataFrame, cuts: dict[str, int], min_u: int, max_u: int) -> DataFrame:
     """For each cut name -> rank ``r``, totals of ``v`` over the first ``r`` rows (head)
     and the remaining rows (tail) in the order (o DESC, u ASC).
 
-    ``keyed`` comes from ``ranking_keys``; ``bits`` from ``key_bits`` over it. Returns
+    ``keyed`` comes from ``ranking_keys``; ``min_u`` / ``max_u`` are its (signed) key
+    range, from which the skipped common high bits and the passes follow. Returns
     one row per cut with ``0 < r <= rows``: cut, head_n, head_s, head_c, tail_n,
     tail_s, tail_c (rows, value sum, non-null count)."""
+    bits = key_bits(min_u, max_u)
+    prefix = _common_prefix(min_u, bits)
+
     # Step 1: the order value that holds each cut's rank.
     running = _with_running(_hist(keyed, [F.col("o").alias("k")]), [F.col("k").desc()])
     states = [
@@ -97,7 +110,7 @@ def rank_splits(keyed: DataFrame, cuts: dict[str, int], bits: int) -> DataFrame:
             F.lit(cut).alias("cut"),
             F.col("k").alias("st_o"),
             (F.lit(r) - F.col("b_n")).alias("st_need"),
-            F.lit(0).cast("bigint").alias("st_prefix"),
+            F.lit(prefix).cast("bigint").alias("st_prefix"),
             *[F.col(f"b_{t}").alias(f"st_h_{t}") for t in _TOTALS],
             *[F.col(f"a_{t}").alias(f"st_t_{t}") for t in _TOTALS],
         )
@@ -108,7 +121,7 @@ def rank_splits(keyed: DataFrame, cuts: dict[str, int], bits: int) -> DataFrame:
         state = state.unionByName(other)
 
     # Step 2: radix selection on the id inside each cut's group.
-    passes = max(1, -(-bits // DIGIT_BITS))
+    passes = _passes(bits)
     for p in range(passes):
         last = p == passes - 1
         shift = DIGIT_BITS * (passes - 1 - p)
