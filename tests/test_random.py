@@ -17,11 +17,12 @@ AS_OF = "2024-06-30 12:00:00"
 SENTIMENTS = [-0.875, -0.5, -0.25, -0.2, 0.0, 0.2, 0.25, 0.5, 0.75, None]
 
 
-def generate(seed: int, id_step: int = 1):
-    """Random tables; business ids are multiples of ``id_step``."""
+def generate(seed: int, id_step: int = 1, n_biz: int | None = None, min_age_days: int = -2):
+    """Random tables; business ids are multiples of ``id_step``; reviews are at least
+    ``min_age_days`` old (negative: up to two days in the future)."""
     rnd = random.Random(seed)
     as_of = datetime.fromisoformat(AS_OF)
-    n_biz = rnd.randint(1, 25)
+    n_biz = n_biz or rnd.randint(1, 25)
     industries = ["Retail", "Food", "Auto", None]
     businesses = [
         (i * id_step, f"B{i}", rnd.choice(industries), rnd.choice(["X", "Y", None]), 6.4 + i / 64, 3.2 + i / 128)
@@ -29,7 +30,7 @@ def generate(seed: int, id_step: int = 1):
     ]
     reviews = []
     for i in range(rnd.randint(0, 250)):
-        created = as_of - timedelta(minutes=rnd.randint(-3000, 800 * 1440))
+        created = as_of - timedelta(minutes=rnd.randint(min_age_days * 1440, (min_age_days + 800) * 1440))
         reviews.append(
             (
                 None if rnd.random() < 0.03 else 1000 + i,
@@ -75,11 +76,22 @@ def canon(rows, cols):
     return sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("seed, id_step", [(1, 1), (2, 1), (3, 1), (4, 100003)])
-def test_operators_match_oracle_on_generated_tables(spark, seed, id_step):
-    """id_step 100003 spreads business ids over 2**22: the insight's selection then
-    needs two radix passes under a non-zero common prefix."""
-    businesses, reviews, responses = generate(seed, id_step)
+CASES = {
+    "mixed_1": dict(seed=1),
+    "mixed_2": dict(seed=2),
+    "mixed_3": dict(seed=3),
+    # business ids spread over 2**22: two radix passes under a non-zero common prefix
+    "wide_ids": dict(seed=4, id_step=100003),
+    # one business: the insight's bottom slice is every location
+    "one_business": dict(seed=5, n_biz=1),
+    # every review older than the decay horizon: all weights zero
+    "all_old": dict(seed=6, min_age_days=731),
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_operators_match_oracle_on_generated_tables(spark, case):
+    businesses, reviews, responses = generate(**CASES[case])
     fb = Feedback(
         spark.createDataFrame(businesses, BUSINESSES),
         spark.createDataFrame(reviews, REVIEWS),
