@@ -41,7 +41,7 @@ def rounded(df: DataFrame) -> DataFrame:
 # Spark side
 # ---------------------------------------------------------------------------------
 
-Build = Callable[[object, str], DataFrame]
+Build = Callable[[object, str], DataFrame]  # (Feedback, as_of) -> result
 
 
 _INPUTS: dict[tuple[int, str, str], tuple] = {}
@@ -56,10 +56,10 @@ def _inputs(spark: SparkSession, sf_dir: str, profile: str):
     return _INPUTS[key]
 
 
-def _spark(profile: str, build: Build) -> Callable[[SparkSession, str], DataFrame]:
+def _spark(profile: str, make: Build) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fb, as_of = _inputs(spark, sf_dir, profile)
-        return rounded(build(fb, as_of))
+        return rounded(make(fb, as_of))
 
     return run
 
@@ -118,7 +118,7 @@ def _comparison(fb, as_of) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _spark("orders", build) for name, build in SPARK_BUILDS.items()}
+    out = {name: _spark("orders", make) for name, make in SPARK_BUILDS.items()}
     for name in EVENTS_KEYS:
         out[f"{name}_events"] = _spark("events", SPARK_BUILDS[name])
     return out
