@@ -95,3 +95,21 @@ def test_raw_review_shuffle_is_detected(static_plans):
     bad = fb.reviews.repartition("business_id").groupBy("business_id").count()
     exchanges = [n for n in physical_plan(bad).walk() if n.name == "Exchange"]
     assert any(_raw_review_rows(n) for n in exchanges)
+
+
+def test_lookup_prunes_replies_with_runtime_filter(spark):
+    """A one-business look-up cannot filter replies by business (they carry only a
+    review id); with a large reply table Spark injects a bloom filter built from the
+    business's review ids into the reply scan. The size threshold is lowered here to
+    stand in for a large table."""
+    from trustlens import api
+
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        fb, as_of = load_profile(spark, SF_SMALL, "orders")
+        plan = api.trust_score(fb, 7, as_of)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    assert "might_contain" in plan
