@@ -113,3 +113,23 @@ def test_lookup_prunes_replies_with_runtime_filter(spark):
     finally:
         spark.conf.set(key, old)
     assert "might_contain" in plan
+
+
+def test_bucketed_month_partitioned_layout(static_plans):
+    """Buckets within month partitions: O8 prunes months and its reply join needs no
+    exchange on either side."""
+    from trustlens.plans.contract import rounded
+
+    fb, as_of = load_profile(static_plans, SF_SMALL, "orders")
+    save_bucketed(fb, static_plans, "bm_", 4, reviews_by_month=True)
+    static_plans.conf.set("spark.sql.shuffle.partitions", "4")
+    stored = read_tables(static_plans, prefix="bm_")
+    assert "created_month" in stored.reviews.columns
+    df = O.performance_deltas(stored, as_of)
+    tree = physical_plan(df)
+    review_scans = [n for n in tree.walk() if n.name.startswith("Scan") and "bm_reviews" in n.text]
+    assert review_scans and all("created_month" in n.meta.get("PartitionFilters", "") for n in review_scans)
+    # only the per-business partial aggregates are shuffled
+    assert [n.name for n in tree.walk()].count("Exchange") == 1
+    a, b = rounded(df), rounded(O.performance_deltas(fb, as_of))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

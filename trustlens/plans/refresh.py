@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from trustlens.functions.clock import AsOf
 from trustlens.operators.models import daily_stats, industry_benchmarks, trust_score
 from trustlens.schemas import Feedback
+from trustlens.sources.tables import MONTH_COLUMN, month_of
 
 MODEL_ORDER = ("daily_stats", "trust_score", "industry_benchmarks")
 
@@ -71,13 +72,22 @@ def write_json(df: DataFrame, path: str) -> None:
     json_records(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_bucketed(fb: Feedback, spark: SparkSession, prefix: str = "", buckets: int = 64) -> None:
+def save_bucketed(
+    fb: Feedback, spark: SparkSession, prefix: str = "", buckets: int = 64, reviews_by_month: bool = False
+) -> None:
     """Save the inputs as catalog tables ``<prefix>businesses`` etc., reviews and replies
-    bucketed (and sorted) on the review key with the same bucket count. Read them back
-    with ``read_tables(spark, prefix=prefix)``."""
+    bucketed (and sorted) on the review key with the same bucket count. With
+    ``reviews_by_month`` the reviews are also partitioned by month (buckets within each
+    month), so time windows prune months and the reply join stays shuffle-free. Read
+    them back with ``read_tables(spark, prefix=prefix)``."""
     conformed = fb.conformed()
     conformed.businesses.write.mode("overwrite").bucketBy(buckets, "id").saveAsTable(f"{prefix}businesses")
-    conformed.reviews.write.mode("overwrite").bucketBy(buckets, "id").sortBy("id").saveAsTable(f"{prefix}reviews")
+    reviews = conformed.reviews
+    writer = reviews.write.mode("overwrite")
+    if reviews_by_month:
+        reviews = reviews.withColumn(MONTH_COLUMN, month_of(F.col("created_at")))
+        writer = reviews.write.mode("overwrite").partitionBy(MONTH_COLUMN)
+    writer.bucketBy(buckets, "id").sortBy("id").saveAsTable(f"{prefix}reviews")
     conformed.responses.write.mode("overwrite").bucketBy(buckets, "review_id").sortBy("review_id").saveAsTable(
         f"{prefix}responses"
     )

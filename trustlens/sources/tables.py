@@ -22,6 +22,10 @@ MONTH_COLUMN = "created_month"
 MONTH_FORMAT = "yyyy-MM"
 
 
+def _with_month(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(MONTH_COLUMN, T.StringType())])
+
+
 def read_tables(
     spark: SparkSession, root: str | None = None, fmt: str = "parquet", prefix: str = "", reviews_by_month: bool = False
 ) -> Feedback:
@@ -30,12 +34,17 @@ def read_tables(
     frames = {}
     for name in TABLE_NAMES:
         if root is None:
-            df = conform(spark.table(f"{prefix}{name}"), SCHEMAS[name])
+            table = spark.table(f"{prefix}{name}")
+            schema = SCHEMAS[name]
+            if name == "reviews" and MONTH_COLUMN in table.columns:
+                # keep the partition column: the time-window operators prune on it
+                schema = _with_month(schema)
+            df = conform(table, schema)
         else:
             path = f"{root.rstrip('/')}/{name}"
             schema = SCHEMAS[name]
             if name == "reviews" and reviews_by_month:
-                schema = T.StructType(schema.fields + [T.StructField(MONTH_COLUMN, T.StringType())])
+                schema = _with_month(schema)
             df = spark.read.schema(schema).format(fmt).load(path)
         frames[name] = df
     return Feedback(**frames)
