@@ -251,3 +251,8 @@ def test_js_fixed_rounds_the_exact_binary_value(spark):
         got = {r[0]: r[1] for r in df.select("i", js_fixed(F.col("x"), d)).collect()}
         assert got == {i: exact(v, d) for i, v in enumerate(vals)}
     assert spark.createDataFrame([(None,)], "x double").select(js_fixed(F.col("x"), 2)).first()[0] is None
+
+
+def test_key_checks_on_empty_tables(spark):
+    got = O.key_checks(feedback(spark, [], [], [])).collect()
+    assert len(got) == 8 and all(r["violations"] == 0 for r in got)

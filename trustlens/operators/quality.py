@@ -1,69 +1,71 @@
 """The key constraints the reference declares (three primary keys, two foreign
 keys), which Spark does not enforce, as a violations table.
 
-Every count is a partial-then-final aggregate: duplicates are counted per key, and
-orphans are counted per referencing key *before* the anti join, so a hot key (a
-business with a third of all reviews) is one pre-aggregated row, not a skewed task.
-NULL foreign keys are allowed, as in SQL.
+Every key occurrence is stacked as (domain, key, role): a primary key is a ``parent``
+occurrence of its table's domain, a foreign key a ``child`` occurrence of the domain
+it references. One scan per table, one aggregation per (domain, key) counting parents
+and children (partial aggregation first, so a hot key - a business with a third of
+all reviews - is one row per map task), then one global aggregate gives every rule:
+surplus rows per duplicated key, NULL keys, and child rows whose key has no parent.
+No joins. NULL foreign keys are allowed, as in SQL.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.schemas import Feedback
 
+# The declared keys. Domain = the table whose primary key it is.
+PRIMARY_KEYS = ("businesses", "reviews", "responses")
+FOREIGN_KEYS = (
+    # (child table, column, referenced table)
+    ("reviews", "business_id", "businesses"),
+    ("responses", "review_id", "reviews"),
+)
 
-def _per_key(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def _violations(rules: list[tuple[str, str, F.Column]], totals: DataFrame) -> DataFrame:
-    """One row per (table, rule, count column), all from one pass over ``totals``."""
-    rows = [F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), c.alias("violations")) for t, r, c in rules]
-    return totals.select(F.inline(F.array(*rows)))
-
-
-def _zero_sum(c: F.Column) -> F.Column:
-    return F.coalesce(F.sum(c), F.lit(0))
 
-
-def _parent_checks(parent: DataFrame, table: str, children: DataFrame | None = None, fk: str = "", child: str = ""):
-    """Key checks of ``parent`` and, when given, the foreign key of ``children``.
-
-    The parent's rows per key and the children's rows per foreign key meet in one full
-    outer join on the key: parent rows give the duplicate and NULL counts, child keys
-    without a parent give the orphan count."""
-    keys = _per_key(parent, "id")
-    dup = F.when(F.col("k").isNotNull() & (F.col("rows") > 1), F.col("rows") - 1)
-    nul = F.when(F.col("k").isNull(), F.col("rows"))
-    if children is None:
-        totals = keys.agg(_zero_sum(dup).alias("dup"), _zero_sum(nul).alias("nul"))
-        return _violations([(table, "primary key unique", F.col("dup")), (table, "primary key not null", F.col("nul"))], totals)
-    refs = _per_key(children, fk).select(F.col("k").alias("fk"), F.col("rows").alias("child_rows"))
-    both = keys.join(refs, keys["k"] == refs["fk"], "full_outer")
-    orphan = F.when(F.col("rows").isNull() & F.col("fk").isNotNull(), F.col("child_rows"))
-    totals = both.agg(_zero_sum(dup).alias("dup"), _zero_sum(nul).alias("nul"), _zero_sum(orphan).alias("orphans"))
-    return _violations(
-        [
-            (table, "primary key unique", F.col("dup")),
-            (table, "primary key not null", F.col("nul")),
-            (child, f"{fk} references {table}", F.col("orphans")),
-        ],
-        totals,
-    )
+def _occurrences(df: DataFrame, table: str) -> DataFrame:
+    """(domain, k, parent) for the table's primary key and each of its foreign keys."""
+    entries = [F.struct(F.lit(table).alias("domain"), F.col("id").alias("k"), F.lit(True).alias("parent"))]
+    for child, column, parent in FOREIGN_KEYS:
+        if child == table:
+            entries.append(
+                F.struct(F.lit(parent).alias("domain"), F.col(column).alias("k"), F.lit(False).alias("parent"))
+            )
+    return df.select(F.inline(F.array(*entries)))
 
 
 def key_checks(fb: Feedback) -> DataFrame:
-    """Rows (table_name, rule, violations): surplus rows per duplicated key, NULL keys,
-    and rows whose foreign key matches no parent row (NULL foreign keys allowed)."""
-    parts = [
-        _parent_checks(fb.businesses, "businesses", fb.reviews, "business_id", "reviews"),
-        _parent_checks(fb.reviews, "reviews", fb.responses, "review_id", "responses"),
-        _parent_checks(fb.responses, "responses"),
+    """Rows (table_name, rule, violations) for every declared key, zero when clean."""
+    occ = (
+        _occurrences(fb.businesses, "businesses")
+        .unionByName(_occurrences(fb.reviews, "reviews"))
+        .unionByName(_occurrences(fb.responses, "responses"))
+    )
+    per_key = occ.groupBy("domain", "k").agg(
+        F.count_if(F.col("parent")).alias("parents"),
+        F.count_if(~F.col("parent")).alias("children"),
+    )
+    key, parents, children = F.col("k"), F.col("parents"), F.col("children")
+    zero = F.lit(0).cast("bigint")
+
+    def total(domain: str, value: F.Column) -> F.Column:
+        return F.coalesce(F.sum(F.when(F.col("domain") == domain, value)), zero)
+
+    sums, rules = [], []
+    for table in PRIMARY_KEYS:
+        sums.append(total(table, F.when(key.isNotNull() & (parents > 1), parents - 1)).alias(f"{table}_dup"))
+        sums.append(total(table, F.when(key.isNull(), parents)).alias(f"{table}_nul"))
+        rules.append((table, "primary key unique", f"{table}_dup"))
+        rules.append((table, "primary key not null", f"{table}_nul"))
+    for child, column, parent in FOREIGN_KEYS:
+        sums.append(total(parent, F.when(key.isNotNull() & (parents == 0), children)).alias(f"{child}_orphans"))
+        rules.append((child, f"{column} references {parent}", f"{child}_orphans"))
+    totals = per_key.agg(*sums)
+    rows = [
+        F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), F.col(c).cast("bigint").alias("violations"))
+        for t, r, c in rules
     ]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select("table_name", "rule", F.col("violations").cast("bigint").alias("violations"))
+    return totals.select(F.inline(F.array(*rows)))
