@@ -26,13 +26,18 @@ FOREIGN_KEYS = (
 )
 
 
+def _code(table: str) -> F.Column:
+    """Domains travel through the shuffle as a one-byte code, not as text."""
+    return F.lit(PRIMARY_KEYS.index(table)).cast("tinyint")
+
+
 def _occurrences(df: DataFrame, table: str) -> DataFrame:
     """(domain, k, parent) for the table's primary key and each of its foreign keys."""
-    entries = [F.struct(F.lit(table).alias("domain"), F.col("id").alias("k"), F.lit(True).alias("parent"))]
+    entries = [F.struct(_code(table).alias("domain"), F.col("id").alias("k"), F.lit(True).alias("parent"))]
     for child, column, parent in FOREIGN_KEYS:
         if child == table:
             entries.append(
-                F.struct(F.lit(parent).alias("domain"), F.col(column).alias("k"), F.lit(False).alias("parent"))
+                F.struct(_code(parent).alias("domain"), F.col(column).alias("k"), F.lit(False).alias("parent"))
             )
     return df.select(F.inline(F.array(*entries)))
 
@@ -52,7 +57,7 @@ def key_checks(fb: Feedback) -> DataFrame:
     zero = F.lit(0).cast("bigint")
 
     def total(domain: str, value: F.Column) -> F.Column:
-        return F.coalesce(F.sum(F.when(F.col("domain") == domain, value)), zero)
+        return F.coalesce(F.sum(F.when(F.col("domain") == _code(domain), value)), zero)
 
     sums, rules = [], []
     for table in PRIMARY_KEYS:
