@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm import bitpack
+from trustlens.llm import bitpack, chosen_path
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -39,9 +39,14 @@ def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, path)
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_bitpack": op3_token_bitpack,
+        "op8_chosen_path": op8_chosen_path,
     }
 
 
