@@ -22,9 +22,11 @@ always splits, so memory follows the piece, and the ids equal those of the whole
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,14 @@ BLOCK_SCHEMA = (
 BLOCK_IDS = 1 << 16
 #: Chunks whose ids a task remembers; a full memory is emptied. Affects time only.
 CACHE_CHUNKS = 1_000_000
+SLICE_BYTES = 1 << 20
 
-_ASCII_SPACE = np.zeros(256, dtype=bool)
-_ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# 1 ASCII white space, 2 ASCII letter, 3 ASCII punctuation, 4 ASCII digit, 0 all else
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[0x20, *range(0x09, 0x0E)]] = 1
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_KIND[0x30:0x3A] = 4
 
 
 def width(vocabulary: int) -> int:
@@ -76,16 +83,18 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which a byte-level pre-tokeniser always splits: document starts, and
-    ASCII white space after a character that is not white space of any kind."""
+    """Byte positions at which a byte-level pre-tokeniser always splits: document starts, ASCII
+    white space after a character that is not white space of any kind, and ASCII punctuation
+    after a letter."""
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     if n:
-        space = _ASCII_SPACE[data]
+        kind = _KIND[data]
         before, two = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         before[1:], two[2:] = data[:-1], data[:-2]
-        plain = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (two == 0xC3))
-        cut[:n] = space & plain
+        accented = (two == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        seen = _KIND[before]
+        cut[:n] = (kind == 1) & (accented | (seen >= 2)) | (kind == 3) & (accented | (seen == 2))
     cut[offsets] = True
     cut[n] = False
     return np.flatnonzero(cut)
@@ -96,34 +105,46 @@ class ChunkEncoder:
     only chunks not seen before go to the tokenizer."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        # one thread: Spark runs a worker per core (read by the library on its first batch)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_chunks
+        # strings the library takes out of a text before it pre-tokenises
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        lists = []
-        for at in range(0, len(chunks), 4096):
-            batch = self.tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)
-            lists += [x.ids for x in batch]
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum()))
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, flat])
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        """Remember the ids of new chunks; ``keys`` is sorted and disjoint from the known keys."""
+        counts, flats = [], []
+        for at in range(0, len(chunks), 1024):
+            batch = self.tokenizer.encode_batch_fast(chunks[at : at + 1024], add_special_tokens=False)
+            lists = [x.ids for x in batch]
+            counts.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+            flats.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        count = np.concatenate(counts)
+        first = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        at = np.searchsorted(self.keys, keys)
+        self.ids = np.concatenate([self.ids, *flats])
+        self.keys, self.first = np.insert(self.keys, at, keys), np.insert(self.first, at, first)
+        self.count = np.insert(self.count, at, count)
+
+    def encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, without the memory of chunks."""
+        lists = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each row)."""
         data, offsets = text_bytes(column)
         rows = len(offsets) - 1
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            return self.encode_whole([raw[a:b].decode("utf-8") for a, b in zip(offsets, offsets[1:])])
         starts = cut_points(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
@@ -138,7 +159,6 @@ class ChunkEncoder:
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
             self.learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8") for i in where[new]])
             at = np.searchsorted(self.keys, keys)
         first, count = self.first[at][back], self.count[at][back]
@@ -174,7 +194,7 @@ def _blocks(tokenizer_path: str, vocabulary: int, end_id: int, block_ids: int):
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 ids, counts = encoder.encode(part.column("text"))
                 at = 0
                 for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):

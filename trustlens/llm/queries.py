@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trustlens.llm import bitpack, chosen_path
+from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, winnowing
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -39,6 +40,20 @@ def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, path)
 
 
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = pareto_mix.mix(_table(spark, sf_dir, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -46,9 +61,14 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_bitpack": op3_token_bitpack,
+        "op6_pareto_mix": op6_pareto_mix,
+        "op7_winnowing": op7_winnowing,
         "op8_chosen_path": op8_chosen_path,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_pareto_mix": oracles.PARETO_MIX,
+        "op7_winnowing": oracles.WINNOWING,
+    }
