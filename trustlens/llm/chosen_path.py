@@ -8,14 +8,15 @@ share each chosen branch with probability s and unlike sets part ways.
 
 - A node of at most ``LEAF`` sets is compared exhaustively.
 - A larger node compares all its sets with two pivots (a random one, and the one nearest to
-  it, which in a group of edited copies tends to be their common original), links what the
-  full sets confirm, and drops the pivots and every set that cannot link to anything outside
-  the pivots' component: Jaccard distance obeys the triangle inequality, so with d(p, z) the
+  it, which in a group of edited copies tends to be their common original) and links what the
+  full sets confirm; the components of all links so far are kept. A node within one component is
+  done. From another, the pivots go, and every set of a pivot's component that cannot link to
+  anything outside it: Jaccard distance obeys the triangle inequality, so with d(p, z) the
   least distance of a set z outside the component, a set y inside with
   d(p, y) + radius < d(p, z) has no link left to find here. The rest branches on. A group of
   thousands of near copies thus costs a few comparisons per set, not all its pairs.
-- Below ``DEPTH`` levels large nodes repeat the pivot step without branching; every round
-  removes sets, so all nodes end up small. Nothing is capped or dropped.
+- Every level removes sets and parts the unlike ones, so all nodes end up small or within one
+  component, however deep. Nothing is capped or dropped.
 
 A comparison looks at the token agreement first and passes what lies within ``MARGIN``
 standard deviations of the threshold (3 in a million true links at the very threshold fail
@@ -44,10 +45,9 @@ from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
 from trustlens.plans.sizing import broadcast_if_small
 
 COORDINATES = 64
-LEAF = 64
-#: Coordinates a node chooses, by level.
-BRANCHES = (2, 2, 2, 1, 1, 1)
-DEPTH = len(BRANCHES)
+LEAF = 256
+#: Coordinates a node chooses, by level; one below these.
+BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999
 MARGIN = 4.5
 
@@ -136,7 +136,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with their Jaccard distance on the full sets, and whether they link."""
+    """Pairs (a, b), and whether they link on the full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -148,7 +148,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", both.alias("both"), union.alias("any"))
         .where(F.col("any") > 0)
         .groupBy("a", "b")  # an id with several texts: its best
-        .agg(F.min(1 - F.col("both") / F.col("any")).alias("distance"), F.max(100 * F.col("both") >= percent * F.col("any")).alias("linked"))
+        .agg(F.max(100 * F.col("both") >= percent * F.col("any")).alias("linked"))
     )
 
 
@@ -163,113 +163,154 @@ def _children(rows: DataFrame, branches: int, level: int) -> DataFrame:
     for i in range(branches):
         at = F.pmod(F.xxhash64("node", F.lit(1000 + 10 * level + i)), F.lit(COORDINATES)).cast("int")
         chosen.append(F.xxhash64("node", at, F.element_at("sketch", at + 1)))
-    return rows.select(F.explode(F.array(*chosen)).alias("node"), "id").distinct()
+    return rows.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "id")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """Candidate pairs of small nodes, compared exhaustively by token agreement."""
-    rows = leaf.join(sets, "id").select("node", "id", "sketch")
-    other = rows.select("node", F.col("id").alias("b"), F.col("sketch").alias("other"))
-    near = rows.join(other, "node").where((F.col("id") < F.col("b")) & (_agreement("sketch", "other") >= floor))
-    return near.select(F.col("id").alias("a"), "b").distinct()
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, labels: DataFrame | None, s: float, floor: float) -> DataFrame:
+    """Candidate pairs (a, b) of small nodes, compared exhaustively: different components, sizes
+    that allow the similarity, token agreement."""
+    rows = _label(leaf.join(sets, "id"), labels).select("node", "id", "c", "size", "sketch")
+    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "c", "size", "sketch")))
+    near = rows.join(other, "node").where(
+        (F.col("id") < F.col("other_id"))
+        & (F.col("c") != F.col("other_c"))
+        & (_size_ratio("size", "other_size") >= s)
+        & (_agreement("sketch", "other_sketch") >= floor)
+    )
+    return near.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
 
 
-def _with_sizes(rows: DataFrame) -> DataFrame:
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(rows.join(sizes, "node"))
+def _size_ratio(x: str, y: str) -> Column:
+    """Upper bound of two sets' similarity from their sizes."""
+    return F.least(x, y) / F.greatest(x, y)
 
 
-def _pivot_step(big: DataFrame, docs: DataFrame, k: int, percent: int, floor: float) -> tuple[DataFrame, DataFrame]:
-    """(links found, rows to go on with) for nodes above the leaf size; ``big`` has node, id, sketch."""
-    radius, slack = 1 - percent / 100, percent / 100 - floor
-    first = big.groupBy("node").agg(F.min_by("id", F.xxhash64("id", "node")).alias("p"))
-    first = first.join(big.select("node", F.col("id").alias("p"), F.col("sketch").alias("p_sketch")), ["node", "p"])
-    rows = big.join(first, "node").withColumn("p_like", _agreement("sketch", "p_sketch")).drop("p_sketch")
-    rows = materialize(rows)
-    # the nearest to the first pivot; ties by id
-    second = rows.where("id != p").groupBy("node").agg(
-        F.max_by("id", F.struct("p_like", F.xxhash64("id"))).alias("q")
+def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the component found so far of each id (its own id if none)."""
+    if labels is None:
+        return rows.withColumn("c", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, id, c, n) of the nodes that still hold several components."""
+    rows = _label(rows, labels)
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return materialize(rows.join(sizes.where("low < high").select("node", "n"), "node"))
+
+
+def _with_pivots(big: DataFrame) -> DataFrame:
+    """Rows of large nodes (node, id, c, size, sketch) with two pivots of their node, the token
+    agreement with each and the similarity its size allows: p random, q the nearest to p (ties
+    by hash)."""
+    first = big.groupBy("node").agg(
+        F.min_by(F.struct("id", "c", "size", "sketch"), F.xxhash64("id", "node")).alias("p")
     )
-    second = second.join(big.select("node", F.col("id").alias("q"), F.col("sketch").alias("q_sketch")), ["node", "q"])
-    rows = rows.join(second, "node").withColumn("q_like", _agreement("sketch", "q_sketch")).drop("q_sketch")
-    rows = materialize(rows)
-    near = rows.where((F.col("p_like") >= floor) & (F.col("id") != F.col("p"))).select(*_pairs(F.col("id"), F.col("p")))
-    near = near.unionAll(
-        rows.where((F.col("q_like") >= floor) & (F.col("id") != F.col("q"))).select(*_pairs(F.col("id"), F.col("q")))
+    rows = big.join(first, "node").withColumn("p_like", _agreement("sketch", "p.sketch"))
+    most = _size_ratio("size", "p.size").alias("p_most")
+    own = ["node", "id", "c", "size", "sketch"]
+    rows = materialize(rows.select(*own, F.col("p.id").alias("p"), F.col("p.c").alias("p_c"), "p_like", most))
+    second = rows.where("id != p").groupBy("node").agg(
+        F.max_by(F.struct("id", "c", "size", "sketch"), F.struct("p_like", F.xxhash64("id"))).alias("q")
     )
-    near = materialize(near.distinct())
-    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    known = materialize(confirm(near, shingle_sets(docs, ids, k), percent))
-    for pivot in ("p", "q"):
-        found = known.select("a", "b", F.col("distance").alias(f"{pivot}_exact"), F.col("linked").alias(f"{pivot}_linked"))
-        rows = rows.withColumn("a", F.least("id", pivot)).withColumn("b", F.greatest("id", pivot))
-        rows = rows.join(found, ["a", "b"], "left").drop("a", "b")
-        rows = (
-            rows.withColumn(f"{pivot}_linked", F.coalesce(f"{pivot}_linked", F.lit(False)) | (F.col("id") == F.col(pivot)))
-            # bounds on the distance: exact where confirmed, else the estimate and its margin
-            .withColumn(f"{pivot}_far", F.coalesce(f"{pivot}_exact", 1 - F.col(f"{pivot}_like") + slack))
-            .withColumn(f"{pivot}_close", F.coalesce(f"{pivot}_exact", 1 - F.col(f"{pivot}_like") - slack))
-        )
-    rows = materialize(rows)
-    joined = rows.groupBy("node").agg(F.max(F.col("p_linked") & F.col("q_linked")).alias("one"))
-    rows = rows.join(joined, "node")
-    either = F.col("p_linked") | F.col("q_linked")
-    for pivot in ("p", "q"):
-        rows = rows.withColumn(f"{pivot}_in", F.when(F.col("one"), either).otherwise(F.col(f"{pivot}_linked")))
-    outside = rows.groupBy("node").agg(
-        *(F.coalesce(F.min(F.when(~F.col(f"{x}_in"), F.col(f"{x}_close"))), F.lit(9.0)).alias(f"{x}_out") for x in "pq")
+    rows = rows.join(second, "node").withColumn("q_like", _agreement("sketch", "q.sketch"))
+    most = _size_ratio("size", "q.size").alias("q_most")
+    of_p = ["p", "p_c", "p_like", "p_most"]
+    return materialize(rows.select(*own, *of_p, F.col("q.id").alias("q"), F.col("q.c").alias("q_c"), "q_like", most))
+
+
+def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack: float) -> DataFrame:
+    """(node, id, sketch) of the sets that may still link to another component in their node."""
+    now = _label(rows.drop("c"), labels)
+    for x in "pq":
+        if labels is None:
+            now = now.withColumn(f"{x}_now", F.col(x))
+            continue
+        of_pivot = labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_now"))
+        now = now.join(of_pivot, x, "left").withColumn(f"{x}_now", F.coalesce(f"{x}_now", x))
+    now = materialize(now)
+    for x in "pq":
+        # upper bound of the similarity to the pivot
+        now = now.withColumn(f"{x}_most", F.least(f"{x}_most", F.col(f"{x}_like") + slack))
+    outside = now.groupBy("node").agg(
+        *(F.max(F.when(F.col("c") != F.col(f"{x}_now"), F.col(f"{x}_most"))).alias(f"{x}_out") for x in "pq")
     )
     settled = F.col("id").isin(F.col("p"), F.col("q"))
     for x in "pq":
-        settled = settled | (F.col(f"{x}_in") & (F.col(f"{x}_far") + radius < F.col(f"{x}_out")))
-    rest = rows.join(outside, "node").where(~settled).select("node", "id", "sketch")
-    return known.where("linked").select("a", "b"), materialize(rest)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+        # upper bound of d(pivot, inside) + radius < lower bound of d(pivot, any outside)
+        apart = (1 - F.col(f"{x}_like") + slack) + radius < 1 - F.col(f"{x}_out")
+        settled = settled | ((F.col("c") == F.col(f"{x}_now")) & (F.col(f"{x}_out").isNull() | apart))
+    return now.join(outside, "node").where(~settled).select("node", "id", "sketch")
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between distinct sets (id, sketch) that connect the same components as all
-    links of at least ``percent`` similarity do."""
+    """(id, component) over distinct sets (id, size, sketch): the components of all links of at least
+    ``percent`` similarity. Sets without a link are left out."""
     s = percent / 100
-    floor = s - MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
+    slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
+    floor = s - slack
     roots = F.array(*(F.xxhash64(F.lit(-1 - t)) for t in range(trees_for(s))))
     rows = _children(sets.select(F.explode(roots).alias("node"), "id", "sketch"), BRANCHES[0], 0)
-    found, leaves, level = [], [], 1
+    labels, leaves, level = None, [], 1
     while True:
-        sized = _with_sizes(rows)
-        leaves.append(sized.where(F.col("n") <= LEAF).select("node", "id"))
-        big = sized.where(F.col("n") > LEAF).select("node", "id")
+        nodes = _open_nodes(rows, labels)
+        leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id"))
+        big = nodes.where(F.col("n") > LEAF).select("node", "id", "c")
         if big.isEmpty():
             break
-        confirmed, rest = _pivot_step(materialize(big.join(sets, "id")), docs, k, percent, floor)
-        found.append(confirmed)
-        rows = _children(rest, BRANCHES[level], level) if level < DEPTH else rest.select("node", "id")
+        rows = _with_pivots(big.join(sets, "id"))
+        near = _union([
+            rows.where(
+                (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
+            ).select(*_pairs(F.col("id"), F.col(x)))
+            for x in "pq"
+        ])
+        near = materialize(near.distinct())
+        if not near.isEmpty():
+            labels = _join_components(labels, _confirmed(near, docs, k, percent))
+        rest = materialize(_unsettled(rows, labels, 1 - s, slack))
+        rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
-    pairs = materialize(_union([_leaf_pairs(leaf, sets, floor) for leaf in leaves]).distinct())
+    pairs = materialize(_leaf_pairs(_union(leaves).distinct(), sets, labels, s, floor))
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     full = materialize(shingle_sets(docs, ids, k))
     # each set with its first candidate; then only the pairs still in different components
-    spanning = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
-    found.append(confirm(spanning, full, percent).where("linked").select("a", "b"))
-    known = materialize(_union(found).distinct())
-    labels = materialize(components(known))
-    left = (
-        pairs.join(spanning, ["a", "b"], "left_anti")
-        .join(labels.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left")
-        .join(labels.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
-        .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    )
-    return known.unionAll(confirm(left, full, percent).where("linked").select("a", "b"))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = _join_components(labels, confirm(first, full, percent).where("linked").select("a", "b"))
+    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
+    return _join_components(labels, confirm(left, full, percent).where("linked").select("a", "b"))
+
+
+def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return confirm(near, shingle_sets(docs, ids, k), percent).where("linked").select("a", "b")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) whose ends are not known to be in one component."""
+    if labels is None:
+        return pairs
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def _join_components(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components of what is known and the new links; linked ids only."""
+    if labels is not None:
+        new = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new)
+    return materialize(components(new))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -285,8 +326,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    edges = links(sets.select("id", "sketch"), docs, k, percent).unionAll(same.where("a != b"))
-    labels = components(edges)
+    labels = links(sets.select("id", F.col("n_shingles").alias("size"), "sketch"), docs, k, percent)
+    if not same.isEmpty():
+        labels = _join_components(labels, same.where("a != b"))
     of_id = (
         placed.groupBy("doc_id").agg(F.min("id").alias("id"))
         .join(labels, "id", "left")
