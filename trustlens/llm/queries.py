@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, winnowing
+from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, rule_ensemble, winnowing
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -33,6 +33,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return bitpack.output_path(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = shared_folder(spark, "token-blocks")
@@ -60,6 +64,7 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rule_ensemble": op1_rule_ensemble,
         "op3_token_bitpack": op3_token_bitpack,
         "op6_pareto_mix": op6_pareto_mix,
         "op7_winnowing": op7_winnowing,
