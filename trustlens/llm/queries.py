@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, rule_ensemble, winnowing
+from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, rule_ensemble, tag_paths, winnowing
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -44,6 +44,10 @@ def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, path)
 
 
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pareto_mix.mix(_table(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
         "op3_token_bitpack": op3_token_bitpack,
+        "op5_tag_paths": op5_tag_paths,
         "op6_pareto_mix": op6_pareto_mix,
         "op7_winnowing": op7_winnowing,
         "op8_chosen_path": op8_chosen_path,
