@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, over the raw tables."""
 
+from trustlens.llm import license_rules
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,3 +75,63 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
     ELSE 0 END AS BIGINT) AS taken
 FROM r
 """
+
+
+def _licenses() -> str:
+    """The same sentence and rule tables, applied with joins and window functions to one row per
+    sentence instead of arrays within a row."""
+    sentences = ", ".join(f"({i}, '{name}', '{pattern}')" for i, (name, pattern) in enumerate(license_rules.SENTENCES))
+    steps, previous = [], "seqs"
+    for i, (name, ids) in enumerate(license_rules.RULES):
+        pattern = ",+" + ",+".join(x.replace(".", r"\.") for x in ids) + ",+"
+        steps.append(
+            f"r{i} AS (SELECT r, ids, regexp_replace(rest, '{pattern}', ',,', 'g') AS rest, "
+            f"CASE WHEN regexp_matches(rest, '{pattern}') THEN list_append(named, '{name}') ELSE named END AS named "
+            f"FROM {previous})"
+        )
+        previous = f"r{i}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM d WHERE regexp_matches(text, '{license_rules.TRIGGER}')),
+parts AS (
+  SELECT r, line_no, unnest(string_split_regex(line, '{license_rules.SENTENCE_END}')) AS part,
+    generate_subscripts(string_split_regex(line, '{license_rules.SENTENCE_END}'), 1) AS part_no
+  FROM lines WHERE regexp_matches(line, '{license_rules.TRIGGER}')),
+clean AS (
+  SELECT r, line_no, part_no, trim(regexp_replace(
+    replace(regexp_replace(regexp_replace(regexp_replace(lower(part), '([0-9])\.([0-9])', '\1~\2', 'g'),
+      '([0-9])\.([0-9])', '\1~\2', 'g'), '[^\p{{L}}\p{{N}}~/]', ' ', 'g'), '~', '.'), '\s+', ' ', 'g')) AS s FROM parts),
+known(rank, name, pattern) AS (VALUES {sentences}),
+hits AS (
+  SELECT r, line_no, part_no, arg_min(name, rank) AS name
+  FROM clean JOIN known ON regexp_full_match(s, ' ?(?:' || pattern || ')') WHERE s <> '' GROUP BY ALL),
+seqs AS (
+  SELECT r, string_agg(name, ',' ORDER BY line_no, part_no) AS ids,
+    string_agg(',' || name || ',', '' ORDER BY line_no, part_no) AS rest, CAST([] AS VARCHAR[]) AS named
+  FROM hits GROUP BY r),
+{", ".join(steps)}
+SELECT doc_id, CAST(coalesce(len(string_split(ids, ',')), 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(named)), ','), '') AS licenses,
+  coalesce(trim(regexp_replace(rest, ',+', ',', 'g'), ','), '') AS unmatched
+FROM d LEFT JOIN {previous} USING (r)
+"""
+
+
+LICENSES = _licenses()
+
+_ESCAPED = r"regexp_replace(regexp_replace({0}, '<(\\*)(/?)s>', '<\\\1\2s>', 'g'), '\[(\\*)(/?)INST\]', '[\\\1\2INST]', 'g')"
+
+CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(20 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""

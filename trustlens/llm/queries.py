@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm import bitpack, chosen_path, oracles, pareto_mix, rule_ensemble, tag_paths, winnowing
+from trustlens.llm import bitpack, chat_grammar, chosen_path, license_rules, oracles, pareto_mix, rule_ensemble, tag_paths, winnowing
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -66,6 +66,33 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_rules.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", F.array_sort("licenses")).alias("licenses"),
+        F.concat_ws(",", "unmatched").alias("unmatched"),
+    )
+
+
+def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    said = [(0, "user"), (1, "assistant")]
+    probe = F.array(*(
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                 F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in said
+    ))
+    rows = _table(spark, sf_dir, "conversations").select(*columns).unionAll(spark.range(1).select(F.inline(probe)))
+    back = chat_grammar.read_back(chat_grammar.format_conversations(rows))
+    told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    loss = F.concat_ws("", "loss_texts")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
@@ -74,6 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pareto_mix": op6_pareto_mix,
         "op7_winnowing": op7_winnowing,
         "op8_chosen_path": op8_chosen_path,
+        "op9_license_rules": op9_license_rules,
+        "op10_chat_grammar": op10_chat_grammar,
     }
 
 
@@ -81,4 +110,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_pareto_mix": oracles.PARETO_MIX,
         "op7_winnowing": oracles.WINNOWING,
+        "op9_license_rules": oracles.LICENSES,
+        "op10_chat_grammar": oracles.CHAT,
     }
