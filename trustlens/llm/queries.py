@@ -13,7 +13,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm import bitpack, chat_grammar, chosen_path, license_rules, oracles, pareto_mix, rule_ensemble, tag_paths, winnowing
+from trustlens.llm import (
+    bitpack,
+    chat_grammar,
+    chosen_path,
+    kneser_ney,
+    license_rules,
+    oracles,
+    pareto_mix,
+    rule_ensemble,
+    tag_paths,
+    winnowing,
+)
 from trustlens.llm.common import ship_code
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 
@@ -44,6 +55,10 @@ def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, path)
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(_table(spark, sf_dir, "pages"))
 
@@ -97,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
         "op3_token_bitpack": op3_token_bitpack,
+        "op4_kneser_ney": op4_kneser_ney,
         "op5_tag_paths": op5_tag_paths,
         "op6_pareto_mix": op6_pareto_mix,
         "op7_winnowing": op7_winnowing,
