@@ -12,9 +12,12 @@ hash prefixes), broadcast only if the table is counted to hold at most ``MAX_GRA
 one joins the documents' n-gram counts by a shuffle instead. Both ways sum the same
 numbers.
 
-**Bands.** Per language, over all documents that pass the base rules: the median of log perplexity
-plus and minus ``SPREAD`` median absolute deviations, at least ``LEAST_WIDTH``. Documents below the
-lower (repetitive) or above the upper band (unlike the language) are rejected.
+**Bands.** A mean over n characters scatters as 1 / sqrt(n), so deviations from the language's median
+of log perplexity are scaled by sqrt(n). Median and median absolute deviation (MAD) are taken per
+language over all documents that pass the base rules. A document's band is the median plus and minus
+``SPREAD`` MADs / sqrt(n), at least ``LEAST_WIDTH``; the MAD counts as ``LEAST_MAD`` at least, so that
+a language made up mostly of copies does not close the band. Below the lower band (repetitive) or
+above the upper (unlike the language) a document is rejected.
 
 **Cases.** Null, empty and blank texts have no words, fail the base rules and have a null
 perplexity. A null language is a language of its own. Repeated rows are counted and scored as
@@ -38,8 +41,9 @@ ORDER = 5
 MAX_GRAMS = 4_000_000
 #: A task hands on its counts when it holds this many n-grams. Affects the shuffle's size only.
 HELD_GRAMS = 2_000_000
-SPREAD = 6.0
-LEAST_WIDTH = 0.35
+SPREAD = 8.0
+LEAST_WIDTH = 0.05
+LEAST_MAD = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -365,21 +369,21 @@ def score(docs: DataFrame, table: DataFrame, max_grams: int = MAX_GRAMS) -> Data
         scored = rows.mapInArrow(_rules_and_score(None), schema).drop("log_p").join(sums, "key", "left")
     log_ppl = F.when(F.col("read") > 0, -F.col("log_p") / F.col("read"))
     return scored.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", log_ppl.alias("log_ppl")
-    )
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "read",
+        log_ppl.alias("log_ppl"),
+    )
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """lang, lower, upper (log perplexity) from the documents that pass the base rules."""
+    """lang, median (of log perplexity), mad (of its deviation times sqrt(read)) from the documents that
+    pass the base rules."""
     usable = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
     middle = usable.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("median"))
-    middle = middle.withColumnRenamed("lang", "m_lang")
-    away = usable.join(middle, F.col("lang").eqNullSafe(F.col("m_lang"))).groupBy("lang", "median").agg(
-        F.percentile_approx(F.abs(F.col("log_ppl") - F.col("median")), 0.5, 10_000).alias("mad")
-    )
-    width = F.greatest(F.lit(LEAST_WIDTH), SPREAD * F.col("mad"))
-    return away.select(
-        F.col("lang").alias("band_lang"), (F.col("median") - width).alias("lower"), (F.col("median") + width).alias("upper")
+    middle = materialize(middle.withColumnRenamed("lang", "m_lang"))
+    scaled = F.abs(F.col("log_ppl") - F.col("median")) * F.sqrt("read")
+    away = usable.join(F.broadcast(middle) if _few(middle) else middle, F.col("lang").eqNullSafe(F.col("m_lang")))
+    return away.groupBy("lang", "median").agg(F.percentile_approx(scaled, 0.5, 10_000).alias("mad")).select(
+        F.col("lang").alias("band_lang"), "median", F.greatest(F.lit(LEAST_MAD), "mad").alias("mad")
     )
 
 
@@ -392,6 +396,8 @@ def quality_rules(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     scored = materialize(score(docs, table, max_grams).withColumn("base_failed", failed))
     band = materialize(bands(scored))
     out = scored.join(F.broadcast(band) if _few(band) else band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    half = F.greatest(F.lit(LEAST_WIDTH), SPREAD * F.col("mad") / F.sqrt("read"))
+    out = out.withColumn("lower", F.col("median") - half).withColumn("upper", F.col("median") + half)
     within = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
