@@ -149,6 +149,12 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """hit_doc_id and hit_doc_hash (xxhash64 of the text) of the documents with a shared window."""
+    shared = shared_windows(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return shared.select(F.col("doc_id").alias("hit_doc_id"), F.col("doc_hash").alias("hit_doc_hash")).distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any shared window), items (ids of
     the items with a shared window, sorted as strings), contaminated."""
