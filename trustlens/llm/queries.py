@@ -19,6 +19,7 @@ from trustlens.llm import (
     chosen_path,
     kneser_ney,
     license_rules,
+    line_variants,
     oracles,
     pareto_mix,
     rule_ensemble,
@@ -48,6 +49,14 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_variants.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op3_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = shared_folder(spark, "token-blocks")
@@ -111,6 +120,7 @@ def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
+        "op2_line_variants": op2_line_variants,
         "op3_token_bitpack": op3_token_bitpack,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_tag_paths": op5_tag_paths,
