@@ -9,15 +9,13 @@ define.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlens.llm import bitpack, chosen_path, pareto_mix, rule_ensemble, winnowing
-from trustlens.llm.common import ship_code
-from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
+from trustlens.llm.common import shared_folder, ship_code
+from trustlens.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bit-packed token files, as the directory of documents read back from them."""
     _ready(spark)
-    path = bitpack.output_path(checkpoint_dir(spark), f"pipeline-tokens-{uuid.uuid4().hex}")
+    path = shared_folder(spark, "pipeline-tokens")
     bitpack.write_blocks(docs, path, public_tokenizers.path(TOKENIZER), VOCABULARY, END_ID)
     return bitpack.read_documents(spark, path)
 
@@ -87,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last stage's rows."""
     _ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = bitpack.output_path(checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")

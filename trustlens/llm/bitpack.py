@@ -23,7 +23,6 @@ always splits, so memory follows the piece, and the ids equal those of the whole
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -284,8 +283,3 @@ def read_ids(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray:
         low, high = max(start - row["start"], 0), min(start + n - row["start"], row["n_ids"])
         out.append(unpack(row["payload"], row["bits"], low, high - low))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
-
-
-def output_path(root: str, name: str) -> str:
-    """A folder below the shared folder ``root`` (a path or URI)."""
-    return f"{re.sub('/+$', '', root)}/{name}"

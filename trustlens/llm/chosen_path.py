@@ -39,10 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import materialize
-from trustlens.llm.components import components
+from trustlens.llm.common import materialize, materialize_counted, stored_side
+from trustlens.llm.components import components, contract, labels_of
 from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
-from trustlens.plans.sizing import broadcast_if_small
 
 COORDINATES = 64
 LEAF = 256
@@ -131,7 +130,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             weight=1,
         )
 
-    wanted = broadcast_if_small(ids.select(F.col("id").alias("doc_id")))
+    wanted = stored_side(ids.select(F.col("id").alias("doc_id")))
     return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, items array<long>")
 
 
@@ -196,11 +195,14 @@ def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, id, c, n) of the nodes that still hold several components."""
+def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int]:
+    """(node, id, c, n) of the nodes that still hold several components, and how many rows lie in nodes
+    above the leaf size."""
     rows = _label(rows, labels)
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    return materialize(rows.join(sizes.where("low < high").select("node", "n"), "node"))
+    nodes = rows.join(sizes.where("low < high").select("node", "n"), "node")
+    stored, (big,) = materialize_counted(nodes, F.count_if(F.col("n") > LEAF))
+    return stored, big
 
 
 def _with_pivots(big: DataFrame) -> DataFrame:
@@ -232,7 +234,6 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack:
             continue
         of_pivot = labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_now"))
         now = now.join(of_pivot, x, "left").withColumn(f"{x}_now", F.coalesce(f"{x}_now", x))
-    now = materialize(now)
     for x in "pq":
         # upper bound of the similarity to the pivot
         now = now.withColumn(f"{x}_most", F.least(f"{x}_most", F.col(f"{x}_like") + slack))
@@ -248,46 +249,53 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack:
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, component) over distinct sets (id, size, sketch): the components of all links of at least
-    ``percent`` similarity. Sets without a link are left out."""
+    """Edges (u, v) over distinct sets (id, size, sketch) with the same components as all links of at least
+    ``percent`` similarity."""
     s = percent / 100
     slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
     floor = s - slack
     roots = F.array(*(F.xxhash64(F.lit(-1 - t)) for t in range(trees_for(s))))
     rows = _children(sets.select(F.explode(roots).alias("node"), "id", "sketch"), BRANCHES[0], 0)
-    labels, leaves, level = None, [], 1
+    edges = labels = None
+    leaves, level = [], 1
     while True:
-        nodes = _open_nodes(rows, labels)
+        nodes, n_big = _open_nodes(rows, labels)
         leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id"))
-        big = nodes.where(F.col("n") > LEAF).select("node", "id", "c")
-        if big.isEmpty():
+        if not n_big:
             break
-        rows = _with_pivots(big.join(sets, "id"))
+        rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "c").join(sets, "id"))
         near = _union([
             rows.where(
                 (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
             ).select(*_pairs(F.col("id"), F.col(x)))
             for x in "pq"
         ])
-        near = materialize(near.distinct())
-        if not near.isEmpty():
-            labels = _join_components(labels, _confirmed(near, docs, k, percent))
+        near, (n_near,) = materialize_counted(near.distinct(), F.count(F.lit(1)))
+        if n_near:
+            found = confirm(near, shingle_sets(docs, _ends(near), k), percent)
+            edges, labels = _with_links(edges, found)
         rest = materialize(_unsettled(rows, labels, 1 - s, slack))
         rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
     pairs = materialize(_leaf_pairs(_union(leaves).distinct(), sets, labels, s, floor))
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    full = materialize(shingle_sets(docs, ids, k))
+    full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its first candidate; then only the pairs still in different components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = _join_components(labels, confirm(first, full, percent).where("linked").select("a", "b"))
+    edges, labels = _with_links(edges, confirm(first, full, percent))
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
-    return _join_components(labels, confirm(left, full, percent).where("linked").select("a", "b"))
+    found = confirm(left, full, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return edges.unionAll(found)
 
 
-def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return confirm(near, shingle_sets(docs, ids, k), percent).where("linked").select("a", "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _with_links(edges: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges (u, v) with the links found, one contraction on, and the labels they give so far."""
+    new = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = materialize(contract(new if edges is None else edges.unionAll(new)))
+    return edges, labels_of(edges)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -299,13 +307,6 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def _join_components(labels: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Components of what is known and the new links; linked ids only."""
-    if labels is not None:
-        new = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new)
-    return materialize(components(new))
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -326,9 +327,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    labels = links(sets.select("id", F.col("n_shingles").alias("size"), "sketch"), docs, k, percent)
-    if not same.isEmpty():
-        labels = _join_components(labels, same.where("a != b"))
+    edges = links(sets.select("id", F.col("n_shingles").alias("size"), "sketch"), docs, k, percent)
+    labels = components(edges.unionAll(same.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     of_id = (
         placed.groupBy("doc_id").agg(F.min("id").alias("id"))
         .join(labels, "id", "left")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import pkgutil
 import sys
+import uuid
 from functools import lru_cache
 from importlib import import_module
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.plans.sizing import materialize
-
-__all__ = ["code_points_order", "materialize", "ship_code", "word_count", "words"]
+from trustlens.plans.sizing import MAX_BROADCAST_ROWS, materialize
+from trustlens.session import checkpoint_dir
 
 #: A word: a maximal run of characters that are not ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,6 +29,14 @@ def ship_code() -> None:
         cloudpickle.register_pickle_by_value(import_module(f"{__package__}.{info.name}"))
 
 
+def materialize_counted(df: DataFrame, *measures: Column) -> tuple[DataFrame, tuple]:
+    """``df`` computed once into the checkpoint folder, with aggregates over its rows that Spark
+    takes along the way (no second job)."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, *(m.alias(f"m{i}") for i, m in enumerate(measures))))
+    return stored, tuple(seen.get[f"m{i}"] for i in range(len(measures)))
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -45,5 +53,19 @@ def code_points_order(column: Column) -> Column:
     return column.asc_nulls_last()
 
 
-def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns).distinct()
+def stored_side(df: DataFrame) -> DataFrame:
+    """A join side computed once, broadcast if it is counted to hold few rows."""
+    stored, (n,) = materialize_counted(df, F.count(F.lit(1)))
+    return F.broadcast(stored) if n <= MAX_BROADCAST_ROWS else stored
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, for one run's files."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_table(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: cuts lineage like ``materialize``, in a
+    fraction of the bytes."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

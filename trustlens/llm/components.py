@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import materialize
+from trustlens.llm.common import materialize_counted
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,28 +30,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("a"), F.bit_xor(F.hash("u", "v")).alias("b")
-    ).first()
-    return tuple(row)
+def contract(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star round over edges (u, v): the same components in fewer hops."""
+    return _star(_star(edges, large=True), large=False)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node in ``edges`` (columns a, b): the least node reachable.
+    """(id, component) of every node in ``edges`` (columns u, v): the least node reachable.
 
     Rounds run until the edge set no longer changes (each node then points at its
     component's least node); the number of rounds grows with the logarithm of the size.
     """
-    edges = materialize(
-        edges.where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    )
-    state = _state(edges)
+    measures = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v")))
+    edges, state = materialize_counted(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), *measures)
     while state[0]:
-        edges = materialize(_star(_star(edges, large=True), large=False))
-        new = _state(edges)
+        edges, new = materialize_counted(contract(edges), *measures)
         if new == state:
             break
         state = new
     pairs = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return pairs.unionAll(pairs.select(F.col("component").alias("id"), "component").distinct())
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """(id, component) from edges that need not be fully contracted: ids of one label are connected, but a
+    component may still have several labels."""
+    least = edges.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("component"))
+    least = least.unionAll(least.select(F.col("component").alias("id"), "component"))
+    return least.groupBy("id").agg(F.min("component").alias("component"))

@@ -30,10 +30,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import materialize
+from trustlens.llm.common import materialize, shared_folder, stored_side, stored_table
 from trustlens.llm.textbatch import mix, slices, span_hashes, text_bytes, windows, word_spans
 
 ORDER = 5
@@ -189,66 +189,80 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(grams: DataFrame) -> list[DataFrame]:
-    """Per order from 1: lang, gram, first (the discounted share of its context), back_off (the
-    weight its context leaves to the next lower order). ``grams`` are the counted ORDER-grams."""
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def _tail(order: int) -> Column:
+    """The last ``order`` characters of column gram."""
+    return F.expr(f"right(gram, {order})") if order else F.lit("")
+
+
+def _context(order: int) -> Column:
+    return F.expr(f"substr(gram, 1, {order - 1})")
+
+
+def fit(grams: DataFrame, folder: str) -> list[DataFrame]:
+    """The levels from order 1 up, each written to ``folder``: lang, gram, share (its discounted share of
+    its context) and back_off (the weight its context leaves to the next lower order). ``grams``
+    are the counted ORDER-grams (lang, gram, n). A context has at most one gram per character."""
     levels, counts = [], grams
     for order in range(ORDER, 0, -1):
-        ahead = F.expr(f"substr(gram, 1, {order - 1})")
         of = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = [
-            F.greatest(F.lit(0.0), F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0)), F.lit(0.5))).alias(f"d{i}")
-            for i in (1, 2, 3)
-        ]
-        discounts = counts.groupBy("lang").agg(*of).select(F.col("lang").alias("of_lang"), *cut)
-        rows = counts.withColumn("context", ahead).join(F.broadcast(discounts) if _few(discounts) else discounts, F.col("lang").eqNullSafe(F.col("of_lang")))
+        cuts = []
+        for i in (1, 2, 3):
+            cut = i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0))
+            cuts.append(F.greatest(F.lit(0.0), F.coalesce(cut, F.lit(0.5))).alias(f"d{i}"))
+        discounts = stored_side(counts.groupBy("lang").agg(*of).select(F.col("lang").alias("of_lang"), *cuts))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("lang", "gram", "context", "n", F.least(discount, F.col("n")).alias("d"))
-        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        contexts = contexts.select(F.col("lang").alias("c_lang"), F.col("context").alias("c_context"), "total", "left")
-        same = F.col("lang").eqNullSafe(F.col("c_lang")) & (F.col("context") == F.col("c_context"))
-        level = rows.join(contexts, same).select(
-            "lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("first"),
-            (F.col("left") / F.col("total")).alias("back_off"),
-        )
-        levels.insert(0, level)
+        rows = counts.join(discounts, _same("lang", "of_lang")).select(
+            "lang", "gram", _context(order).alias("context"), "n", F.least(discount, F.col("n")).alias("d")
+        )
+        within = Window.partitionBy("lang", "context")
+        total = F.sum("n").over(within)
+        share, back_off = (F.col("n") - F.col("d")) / total, F.sum("d").over(within) / total
+        level = rows.select("lang", "gram", share.alias("share"), back_off.alias("back_off"))
+        levels.insert(0, stored_table(level, f"{folder}/order-{order}"))
         # a lower order counts the distinct characters before each of its n-grams
-        counts = materialize(counts.groupBy("lang", F.expr("substr(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        if order > 1:
+            counts = counts.groupBy("lang", _tail(order - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+            counts = stored_table(counts, f"{folder}/counts-{order - 1}")
     return levels
 
 
-def _few(rows: DataFrame) -> bool:
-    return rows.limit(10_001).count() <= 10_000
+def _flat(levels: list[DataFrame]) -> DataFrame:
+    flat = levels[0].groupBy(F.col("lang").alias("f_lang")).agg((1.0 / (1 + F.count(F.lit(1)))).alias("lower"))
+    return flat.select("f_lang", F.lit("").alias("f_gram"), "lower")
+
+
+def model_probabilities(levels: list[DataFrame]) -> DataFrame:
+    """lang, gram, log_p (the interpolated probability of the last character) of the model's own grams."""
+    lower = _flat(levels)
+    for order, level in enumerate(levels, 1):
+        rows = level.withColumn("shorter", _tail(order - 1))
+        rows = rows.join(lower, _same("lang", "f_lang") & (F.col("shorter") == F.col("f_gram")))
+        out = rows.select("lang", "gram", (F.col("share") + F.col("back_off") * F.col("lower")).alias("p"))
+        lower = out.select(F.col("lang").alias("f_lang"), F.col("gram").alias("f_gram"), F.col("p").alias("lower"))
+    return out.select("lang", "gram", F.log("p").alias("log_p"))
 
 
 def probabilities(levels: list[DataFrame], grams: DataFrame) -> DataFrame:
-    """lang, gram, log_p of each given ORDER-gram (distinct lang, gram), seen or not: the interpolated
-    probability of its last character."""
-    asked = grams.select("lang", "gram")
-    letters = levels[0].groupBy("lang").agg((1.0 / (1 + F.count(F.lit(1)))).alias("flat"))
-    out = None
+    """As ``model_probabilities`` for any distinct ORDER-grams (lang, gram), seen or not."""
+    lower = _flat(levels)
     for order, level in enumerate(levels, 1):
-        part = asked.select("lang", F.expr(f"substr(gram, {ORDER - order + 1})").alias("gram")).distinct()
-        seen = level.select(F.col("lang").alias("s_lang"), F.col("gram").alias("s_gram"), "first")
-        weight = level.select(
-            F.col("lang").alias("w_lang"), F.expr(f"substr(gram, 1, {order - 1})").alias("w_context"), "back_off"
-        ).distinct()
-        part = part.withColumn("context", F.expr(f"substr(gram, 1, {order - 1})"))
-        part = part.join(seen, F.col("lang").eqNullSafe(F.col("s_lang")) & (F.col("gram") == F.col("s_gram")), "left")
-        part = part.join(weight, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("context") == F.col("w_context")), "left")
-        if out is None:
-            lower = letters.select(F.col("lang").alias("l_lang"), F.col("flat").alias("lower"))
-            part = part.join(lower, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-            below = F.coalesce("lower", F.lit(1.0))
-        else:
-            lower = out.select(F.col("lang").alias("l_lang"), F.col("gram").alias("l_gram"), F.col("p").alias("lower"))
-            part = part.join(
-                lower, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.expr("substr(gram, 2)") == F.col("l_gram"))
-            )
-            below = F.col("lower")
-        p = F.coalesce("first", F.lit(0.0)) + F.coalesce("back_off", F.lit(1.0)) * below
+        part = grams.select("lang", _tail(order).alias("gram")).distinct()
+        part = part.withColumn("context", _context(order)).withColumn("shorter", _tail(order - 1))
+        seen = level.select(F.col("lang").alias("s_lang"), F.col("gram").alias("s_gram"), "share")
+        ahead = level.select(F.col("lang").alias("c_lang"), _context(order).alias("c_context"), "back_off")
+        ahead = ahead.groupBy("c_lang", "c_context").agg(F.max("back_off").alias("back_off"))
+        part = part.join(seen, _same("lang", "s_lang") & (F.col("gram") == F.col("s_gram")), "left")
+        part = part.join(ahead, _same("lang", "c_lang") & (F.col("context") == F.col("c_context")), "left")
+        part = part.join(lower, _same("lang", "f_lang") & (F.col("shorter") == F.col("f_gram")), "left")
+        # a language without a model gives every character one chance in two
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("back_off", F.lit(1.0)) * F.coalesce("lower", F.lit(0.5))
         out = part.select("lang", "gram", p.alias("p"))
+        lower = out.select(F.col("lang").alias("f_lang"), F.col("gram").alias("f_gram"), F.col("p").alias("lower"))
     return out.select("lang", "gram", F.log("p").alias("log_p"))
 
 
@@ -311,12 +325,11 @@ def _rules_and_score(table):
         for batch in batches:
             for part in slices(batch):
                 base = base_rules(part.column("text"))
+                key, row, _, _ = _grams(part)
+                read = np.bincount(row, minlength=part.num_rows)
                 total = np.zeros(part.num_rows)
                 if table is not None:
-                    key, row, _, _ = _grams(part)
                     total = np.bincount(row, weights=log_p[index.find(key)], minlength=part.num_rows)
-                points, bounds = _characters(part)
-                read = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
                 arrays = [part.column("doc_id"), part.column("lang"), part.column("key")]
                 arrays += [pa.array(v.astype(np.int64)) for v in base.values()]
                 arrays += [pa.array(read.astype(np.int64)), pa.array(total)]
@@ -348,16 +361,17 @@ def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("log_p")], ["gram_key", "log_p"])
 
 
-def score(docs: DataFrame, table: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def score(docs: DataFrame, table: DataFrame, folder: str, max_grams: int = MAX_GRAMS) -> DataFrame:
     """doc_id, lang, the base rules, and log_ppl (null without words) of every document; ``table`` has
     the probability of each of their n-grams."""
     spark = docs.sparkSession
-    keyed = materialize(table.mapInArrow(_keyed, "gram_key long, log_p double"))
+    keyed = stored_table(table.mapInArrow(_keyed, "gram_key long, log_p double"), f"{folder}/sorted-hashes")
+    n_grams = keyed.count()
     rows = docs.select("doc_id", "lang", "text", F.xxhash64("lang", "text").alias("key"))
     schema = f"doc_id long, lang string, key long, {_BASE}, read long, log_p double"
-    if keyed.limit(max_grams + 1).count() <= max_grams:
-        held = keyed.toPandas()  # at most max_grams rows of 16 bytes
-        keys = held["gram_key"].to_numpy(np.int64).view(np.uint64)
+    if n_grams <= max_grams:
+        held = keyed.toArrow()  # at most max_grams rows of 16 bytes
+        keys = held["gram_key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], held["log_p"].to_numpy()[order]))
         scored = rows.mapInArrow(_rules_and_score(sent), schema)
@@ -379,9 +393,9 @@ def bands(scored: DataFrame) -> DataFrame:
     pass the base rules."""
     usable = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
     middle = usable.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("median"))
-    middle = materialize(middle.withColumnRenamed("lang", "m_lang"))
+    middle = stored_side(middle.withColumnRenamed("lang", "m_lang"))
     scaled = F.abs(F.col("log_ppl") - F.col("median")) * F.sqrt("read")
-    away = usable.join(F.broadcast(middle) if _few(middle) else middle, F.col("lang").eqNullSafe(F.col("m_lang")))
+    away = usable.join(middle, F.col("lang").eqNullSafe(F.col("m_lang")))
     return away.groupBy("lang", "median").agg(F.percentile_approx(scaled, 0.5, 10_000).alias("mad")).select(
         F.col("lang").alias("band_lang"), "median", F.greatest(F.lit(LEAST_MAD), "mad").alias("mad")
     )
@@ -390,12 +404,12 @@ def bands(scored: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """doc_id, the base rules, base_failed, kept, perplexity, lower and upper of every document."""
     docs = docs.select("doc_id", "lang", "text")
-    grams = materialize(count_grams(docs))
-    table = probabilities(fit(grams), grams)
+    folder = shared_folder(docs.sparkSession, "ngram-model")
+    grams = stored_table(count_grams(docs), f"{folder}/counts-{ORDER}")
+    table = model_probabilities(fit(grams, folder))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = materialize(score(docs, table, max_grams).withColumn("base_failed", failed))
-    band = materialize(bands(scored))
-    out = scored.join(F.broadcast(band) if _few(band) else band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    scored = materialize(score(docs, table, folder, max_grams).withColumn("base_failed", failed))
+    out = scored.join(stored_side(bands(scored)), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     half = F.greatest(F.lit(LEAST_WIDTH), SPREAD * F.col("mad") / F.sqrt("read"))
     out = out.withColumn("lower", F.col("median") - half).withColumn("upper", F.col("median") + half)
     within = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))

@@ -6,7 +6,6 @@ the contract's digest columns from the operator's own output.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -26,8 +25,8 @@ from trustlens.llm import (
     tag_paths,
     winnowing,
 )
-from trustlens.llm.common import ship_code
-from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
+from trustlens.llm.common import shared_folder, ship_code
+from trustlens.session import ensure_checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = 50_257
@@ -40,11 +39,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder, for one run's files."""
-    return bitpack.output_path(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 

@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     # at most ``sample`` rows of two numbers: small by construction
     learned = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = statistics(learned, "doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS)
-    table = rows.limit(2 * sample).toPandas()
+    table = rows.limit(2 * sample).toArrow().to_pandas()
     fold = (table["doc_id"].to_numpy(dtype=np.int64) % np.int64(9973)) % FOLDS
     return fit(table[list(STATISTICS)].to_numpy(dtype=float), (table["label"].to_numpy() > 0).astype(float), fold)
 
