@@ -178,7 +178,7 @@ def test_report_columns(shop):
     assert d[1]["rating_change"] == "↑ 4.00" and d[1]["rating_tone"] == "positive"
     assert d[1]["sentiment_change"] == "↑ 0.33" and d[1]["sentiment_tone"] == "negative"  # inverse
     assert d[1]["response_change"] == "↑ 133.33"
-    bands = rows_by(O.trust_band(ov), "business_id")
+    bands = rows_by(O.trust_band(O.scored_businesses(shop, AS_OF)), "business_id")
     assert bands[2]["trust_band"] == "bad"
 
 

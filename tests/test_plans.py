@@ -6,12 +6,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from tools.inspect_plan import first_below, node_names, physical_plan, scans
 from trustlens import operators as O
-from trustlens.plans.inspect import first_below, node_names, physical_plan, scans
-from trustlens.plans.refresh import save_bucketed
-from trustlens.sources import load_profile, read_tables
+from trustlens.plans import contract as entry
+from trustlens.plans.refresh import append_bucketed, save_bucketed
+from trustlens.schemas import Feedback
+from trustlens.session import CLUSTER_CONF
+from trustlens.sources import load_profile, read_tables, write_tables
 
 
 @pytest.fixture()
@@ -97,22 +99,124 @@ def test_raw_review_shuffle_is_detected(static_plans):
     assert any(_raw_review_rows(n) for n in exchanges)
 
 
-def test_lookup_prunes_replies_with_runtime_filter(spark):
-    """A one-business look-up cannot filter replies by business (they carry only a
-    review id); with a large reply table Spark injects a bloom filter built from the
-    business's review ids into the reply scan. The size threshold is lowered here to
-    stand in for a large table."""
+def _reply_scans(tree):
+    return [n for n in tree.walk() if n.name.startswith("Scan") and "lineitem" in n.text]
+
+
+def _review_scans(tree):
+    return [n for n in tree.walk() if n.name.startswith("Scan") and "orders" in n.text]
+
+
+@pytest.mark.parametrize("part", ["markers", "extent", "keys"])
+def test_geo_parts_without_replies(static_plans, part):
+    """Markers, extent and ranking keys use no reply column: one review scan, no reply scan."""
+    fb, _ = load_profile(static_plans, SF_SMALL, "orders")
+    geo = O.geo_sentiment(fb)
+    df = {
+        "markers": lambda: O.geo_markers(geo),
+        "extent": lambda: O.geo_extent(O.geo_markers(geo)),
+        "keys": lambda: O.ranking_keys(geo, "review_count", "location_id", "net_sentiment_score"),
+    }[part]()
+    tree = physical_plan(df)
+    assert not _reply_scans(tree) and len(_review_scans(tree)) == 1
+    assert _reply_scans(physical_plan(geo))
+
+
+def test_trust_band_starts_no_job(static_plans):
+    fb, as_of = load_profile(static_plans, SF_SMALL, "orders")
+    sc = static_plans.sparkContext
+    sc.setJobGroup("trust-band", "building the query")
+    entry.SPARK_BUILDS["trust_band"](fb, as_of)
+    jobs = sc.statusTracker().getJobIdsForGroup("trust-band")
+    sc.setJobGroup("", "")
+    assert list(jobs) == []
+
+
+def test_comparison_joins_on_the_industry_only(static_plans):
+    fb, as_of = load_profile(static_plans, SF_SMALL, "orders")
+    twice = Feedback(fb.businesses.unionByName(fb.businesses.filter("id = 7")), fb.reviews, fb.responses)
+    df = entry.SPARK_BUILDS["benchmark_comparison"](twice, as_of)
+    joins = [n for n in physical_plan(df).walk() if n.name.endswith("Join")]
+    assert [("business_id" in n.text) for n in joins] == [False]
+    assert df.filter("business_id = 7").count() == 4
+
+
+def test_lookup_shuffles_only_its_replies(spark):
+    """Replies carry no business id: the look-up semi-joins them to the business's stored
+    review ids before they are grouped, whatever the size of the tables."""
     from trustlens import api
 
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "1")
+    fb, as_of = load_profile(spark, SF_SMALL, "orders")
+    only = api._only(fb, 7, fb.reviews)
+    wanted = fb.responses.join(fb.reviews.filter("business_id = 7"), F.col("review_id") == fb.reviews["id"], "left_semi")
+    assert only.responses.count() == wanted.count() < fb.responses.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
     try:
-        fb, as_of = load_profile(spark, SF_SMALL, "orders")
-        plan = api.trust_score(fb, 7, as_of)._jdf.queryExecution().optimizedPlan().toString()
+        plan = api.trust_score(fb, 7, as_of)._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set(key, old)
-    assert "might_contain" in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_recent_replies_are_pruned_beyond_the_creation_threshold(spark):
+    """O8 joins all replies with the reviews of 60 days. With the cluster settings Spark builds
+    a bloom filter of those reviews though the review table lies above the default
+    creation threshold (lowered here below this table's size)."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    keys = [k for k in CLUSTER_CONF if k.startswith(prefix)]
+    assert f"{prefix}creationSideThreshold" in keys
+    fb, as_of = load_profile(spark, SF_SMALL, "orders")
+    old = {k: spark.conf.get(k) for k in [*keys, f"{prefix}applicationSideScanSizeThreshold"]}
+
+    def plan() -> str:
+        return O.performance_deltas(fb, as_of)._jdf.queryExecution().optimizedPlan().toString()
+
+    try:
+        spark.conf.set(f"{prefix}applicationSideScanSizeThreshold", "1")
+        spark.conf.set(f"{prefix}creationSideThreshold", "1000")
+        assert "might_contain" not in plan()
+        for k in keys:
+            spark.conf.set(k, CLUSTER_CONF[k])
+        spark.conf.set(f"{prefix}applicationSideScanSizeThreshold", "1")
+        assert "might_contain" in plan()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _files(spark, table: str) -> int:
+    return len(spark.table(table).inputFiles())
+
+
+def test_file_count_does_not_follow_the_input_tasks(static_plans, tmp_path):
+    fb, _ = load_profile(static_plans, SF_SMALL, "orders")
+    many = Feedback(fb.businesses, fb.reviews.repartition(16), fb.responses.repartition(16))
+    for prefix, data in (("f1_", fb), ("f2_", many)):
+        save_bucketed(data, static_plans, prefix, 4)
+    assert _files(static_plans, "f1_reviews") == _files(static_plans, "f2_reviews") == 4
+    save_bucketed(many, static_plans, "f3_", reviews_by_month=True)  # bucket count from the volume
+    months = static_plans.table("f3_reviews").select("created_month").distinct().count()
+    assert _files(static_plans, "f3_reviews") == months
+    static_plans.conf.set("spark.sql.adaptive.enabled", "true")
+    write_tables(many, str(tmp_path / "m"), reviews_by_month=True)
+    stored = read_tables(static_plans, str(tmp_path / "m"), reviews_by_month=True)
+    assert len(stored.reviews.inputFiles()) <= 2 * months
+
+
+def test_append_into_the_bucketed_layout(static_plans):
+    fb, as_of = load_profile(static_plans, SF_SMALL, "orders")
+    even = F.col("id") % 2 == 0
+    save_bucketed(
+        Feedback(fb.businesses, fb.reviews.filter(even), fb.responses.filter(even)), static_plans, "ap_", 4, reviews_by_month=True
+    )
+    rest = Feedback(fb.businesses.limit(0), fb.reviews.filter(~even), fb.responses.filter(~even))
+    append_bucketed(rest, static_plans, "ap_")
+    static_plans.conf.set("spark.sql.shuffle.partitions", "4")
+    stored = read_tables(static_plans, prefix="ap_")
+    a, b = entry.rounded(O.trust_score(stored, as_of)), entry.rounded(O.trust_score(fb, as_of))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert node_names(O.trust_score(stored, as_of)).count("Exchange") == 1
 
 
 def test_bucketed_month_partitioned_layout(static_plans):

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from trustlens.plans.inspect import node_names
+from tools.inspect_plan import node_names
 from trustlens.plans.sizing import broadcast_if_small
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir, shuffle_partitions_for
 
@@ -62,15 +62,18 @@ def test_shuffle_partitions_for():
     assert shuffle_partitions_for(4 * 10**12) == 16384
 
 
-def test_broadcast_only_below_the_row_limit(spark):
+def test_broadcast_only_below_the_byte_limit(spark):
     big = spark.range(1000).withColumnRenamed("id", "k")
     small = spark.range(10).withColumnRenamed("id", "k")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hinted = big.join(broadcast_if_small(small, max_rows=100), "k")
-        plain = big.join(broadcast_if_small(big.select("k"), max_rows=100), "k")
+        wide = small.selectExpr("k", "repeat('x', 1000) AS name")  # as few rows, more bytes
+        hinted = big.join(broadcast_if_small(small, max_bytes=1000), "k")
         assert "BroadcastHashJoin" in node_names(hinted)
-        assert "BroadcastHashJoin" not in node_names(plain)
+        for large in (big.select("k"), wide):
+            plain = big.join(broadcast_if_small(large, max_bytes=1000), "k")
+            assert "BroadcastHashJoin" not in node_names(plain)
+            assert plain.count() == large.count()  # the same rows either way
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

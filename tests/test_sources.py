@@ -68,7 +68,7 @@ def test_register_views(spark):
 def test_month_partitioned_reviews_prune(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from trustlens.plans.inspect import physical_plan
+    from tools.inspect_plan import physical_plan
 
     fb, as_of = load_profile(spark, SF_SMALL, "orders")
     root = str(tmp_path / "by_month")

@@ -10,7 +10,7 @@ import sys
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
 import __spark_entry__ as E  # noqa: E402
-from trustlens.plans.inspect import physical_plan  # noqa: E402
+from tools.inspect_plan import physical_plan  # noqa: E402
 from trustlens.session import build_session  # noqa: E402
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 AsOf = datetime | date | str | Column | None
@@ -23,13 +23,23 @@ def as_of_ts(as_of: AsOf = None) -> Column:
     if isinstance(as_of, Column):
         return as_of.cast("timestamp_ntz")
     if isinstance(as_of, datetime):
-        text = as_of.replace(tzinfo=None).isoformat(sep=" ")
+        if as_of.tzinfo is not None:
+            raise ValueError("as_of must be zone-free, like the data's timestamps; convert it to their zone first")
+        text = as_of.isoformat(sep=" ")
     else:
         text = str(as_of)
     # A string cast is zone-free, unlike a Python datetime literal.
     return F.lit(text).cast("timestamp_ntz")
 
 
+def fixed_as_of(spark: SparkSession, as_of: AsOf = None) -> AsOf:
+    """``as_of`` itself, or the session's current local time as a fixed text: one instant for
+    a call that runs several queries."""
+    if as_of is not None:
+        return as_of
+    return spark.range(1).select(F.localtimestamp().cast("string")).first()[0]
+
+
 def as_of_date(as_of: AsOf = None) -> Column:
     """The calendar day of ``as_of`` (the reference's CURRENT_DATE)."""
     return F.to_date(as_of_ts(as_of))

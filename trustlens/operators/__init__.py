@@ -1,5 +1,10 @@
 """The analytic operators. Each takes DataFrames (and ``as_of`` where time matters)
-and returns a DataFrame; none runs a Spark action."""
+and returns a DataFrame.
+
+Most are lazy. ``business_overview`` and ``business_benchmark`` materialise the industry
+benchmark table (and the scores it comes from) and measure it before they broadcast it,
+unless the caller passes it; ``geo_insight`` materialises its ranking keys and reads one
+summary row."""
 
 from trustlens.operators.base import replied_reviews, reply_counts, stack_replies
 from trustlens.operators.business import (

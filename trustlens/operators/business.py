@@ -164,12 +164,14 @@ def performance_deltas(fb: Feedback, as_of: AsOf = None) -> DataFrame:
 def rating_trend_monthly(fb: Feedback) -> DataFrame:
     """Mean rating per business and calendar month (months without reviews are
     absent); ``date`` is the month start as a zone-free timestamp, ``month_label`` its
-    chart label (``Jan 24``)."""
+    chart label (``Jan 24``). In month order per business, a NULL month last."""
     month = F.trunc(F.to_date("created_at"), "month").cast("timestamp_ntz")
+    monthly = fb.reviews.groupBy("business_id", month.alias("date")).agg(F.avg("rating").alias("rating"))
+    # The aggregate is spread by (business, month); its rows (one per business and month)
+    # are brought together by business so that each series is in date order.
     return (
-        fb.reviews.groupBy("business_id", month.alias("date"))
-        .agg(F.avg("rating").alias("rating"))
-        .select("business_id", "date", "rating", F.date_format("date", "MMM yy").alias("month_label"))
+        monthly.select("business_id", "date", "rating", F.date_format("date", "MMM yy").alias("month_label"))
+        .repartition("business_id")
         .sortWithinPartitions("business_id", F.col("date").asc_nulls_last())
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trustlens.functions import ratio
 from trustlens.functions.display import js_fixed
-from trustlens.operators.base import stack_replies
+from trustlens.operators.base import replied_reviews
 from trustlens.operators.ranking import rank_splits, ranking_keys
 from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
@@ -36,20 +36,22 @@ RADIUS_SCALE = 4
 def geo_sentiment(fb: Feedback) -> DataFrame:
     """Per business with at least one review: coordinates, review count, mean
     rating, mean sentiment and replies per review (counted through the review's
-    business; may exceed 1). The reference's correlated reply count becomes a
-    sum over the replied reviews, stacked on the review rows for one aggregation."""
-    reviews = fb.reviews.select("id", "business_id", "rating", "sentiment_score")
-    per = (
-        stack_replies(reviews, fb.responses)
-        .groupBy("business_id")
-        .agg(
-            F.count("id").alias("review_count"),
-            F.avg("rating").alias("avg_rating"),
-            F.avg("sentiment_score").alias("net_sentiment_score"),
-            F.coalesce(F.sum("reply_rows"), F.lit(0).cast("bigint")).alias("reply_count"),
-        )
-        .filter(F.col("review_count") > 0)
+    business; may exceed 1).
+
+    Reviews and replies are aggregated per business separately and the reply counts
+    are left-joined. A caller that drops ``response_rate`` (markers, extent, ranking
+    keys) thereby drops the whole reply side: the right side's key is unique, so
+    Catalyst removes the join, and the plan reads the reviews once and no replies."""
+    per = fb.reviews.groupBy("business_id").agg(
+        F.count("id").alias("review_count"),
+        F.avg("rating").alias("avg_rating"),
+        F.avg("sentiment_score").alias("net_sentiment_score"),
     )
+    per = per.filter(F.col("review_count") > 0)
+    replied = replied_reviews(fb.reviews.select("id", "business_id"), fb.responses)
+    replies = replied.groupBy(F.col("business_id").alias("replied_id")).agg(F.sum("reply_rows").alias("reply_rows"))
+    per = per.join(replies, per["business_id"] == replies["replied_id"], "left")
+    per = per.withColumn("reply_count", F.coalesce("reply_rows", F.lit(0).cast("bigint")))
     b = fb.businesses.select("id", "name", "location", "latitude", "longitude")
     return b.join(per, b["id"] == per["business_id"], "inner").select(
         b["id"].alias("location_id"),
@@ -135,13 +137,16 @@ _INSIGHT_NUMBERS = (
 
 def geo_markers(geo: DataFrame) -> DataFrame:
     """Map marker per location: sentiment band at +-0.1, its colour, a radius
-    growing with the log of the review count, and the popup's sentiment text."""
+    growing with the log of the review count, and the popup's name, review count and
+    sentiment text."""
     s = F.col("net_sentiment_score")
     band = F.when(s < -MARKER_BAND, "negative").when(s > MARKER_BAND, "positive").otherwise("neutral")
     color = F.when(s < -MARKER_BAND, NEGATIVE_COLOR).when(s > MARKER_BAND, POSITIVE_COLOR).otherwise(NEUTRAL_COLOR)
     radius = F.greatest(F.lit(float(MIN_RADIUS)), F.ln(F.col("review_count")) * RADIUS_SCALE)
     return geo.select(
         "location_id",
+        "name",
+        "review_count",
         "latitude",
         "longitude",
         band.alias("band"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.functions.display import js_fixed
+from trustlens.plans.sizing import broadcast_if_small
 
 # Trust bands (score >= 80 good, >= 60 avg, else bad), change arrows and
 # labels, the metric names of the comparison chart and its constant P90 reply rate.
@@ -26,11 +27,9 @@ def band_of(score: Column) -> Column:
     return F.when(score >= GOOD_FROM, "good").when(score >= AVG_FROM, "avg").otherwise("bad")
 
 
-def trust_band(overview: DataFrame) -> DataFrame:
-    """Trust band per business."""
-    return overview.select(
-        F.col("id").alias("business_id"), "trust_score", band_of(F.col("trust_score")).alias("trust_band")
-    )
+def trust_band(scored: DataFrame) -> DataFrame:
+    """Trust band per business, from ``scored_businesses`` (no benchmark is needed)."""
+    return scored.select("business_id", "trust_score", band_of(F.col("trust_score")).alias("trust_band"))
 
 
 def _change(value: Column, inverse: bool) -> tuple[Column, Column]:
@@ -59,12 +58,17 @@ def delta_direction(deltas: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_comparison(overview: DataFrame, business_benchmark: DataFrame) -> DataFrame:
+def benchmark_comparison(scored: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Two rows per business with a benchmark: (metric, this business, industry
     P50, industry P90). For replies the "P50" is the industry mean and the P90 is the
-    constant 95."""
-    o = overview.select(F.col("id").alias("business_id"), "trust_score", "response_rate")
-    joined = o.join(business_benchmark, "business_id", "inner")
+    constant 95. ``scored`` is ``scored_businesses``, ``benchmarks`` the materialised
+    industry benchmarks: one join, on the industry."""
+    bench = broadcast_if_small(
+        benchmarks.select(
+            F.col("industry").alias("bench_industry"), "p50_trust_score", "p90_trust_score", "avg_response_rate"
+        )
+    )
+    joined = scored.join(bench, scored["industry"] == bench["bench_industry"], "inner")
     rows = F.array(
         F.struct(
             F.lit(TRUST_METRIC).alias("metric"),

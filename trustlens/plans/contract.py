@@ -1,11 +1,10 @@
 """The query contract: every operator as a named query over the driver tables, plus an
 independent DuckDB SQL formulation of the same semantics (the correctness oracle).
 
-The oracle SQL is deliberately written the naive way the metrics are defined (reply
-rates over the fanned-out LEFT JOIN, a correlated reply count, the period rows joined
-to per-review reply rows, a global ROW_NUMBER for the insight slices), so each Spark
-rewrite (pre-aggregated replies, decorrelated counts, one-pass periods, radix
-selection) is checked against the plain definition.
+The oracle SQL is written in a plainer form than the Spark side (reply rates over the
+fanned-out LEFT JOIN, one row per review with its period and reply count, a global
+ROW_NUMBER for the insight slices), so each Spark rewrite (pre-aggregated and stacked
+replies, one-pass periods, radix selection) is checked against the definition.
 
 Both sides round every DOUBLE column to 6 decimals the same way (``round(x * 1e6) /
 1e6``), because distributed sums and percentile interpolation may differ in the last
@@ -14,16 +13,22 @@ bits from a single-process run.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustlens import api
 from trustlens import operators as O
 from trustlens.functions import round_at
+from trustlens.plans.refresh import json_records, refresh_models
 from trustlens.plans.sizing import materialize
+from trustlens.schemas import Feedback
+from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 from trustlens.sources.fixtures import PROFILES, load_profile
+from trustlens.sources.tables import append_tables, is_empty, read_tables, write_tables
 
 CONTRACT_SCALE = 6
 
@@ -82,7 +87,7 @@ SPARK_BUILDS: dict[str, Build] = {
     "geo_sentiment": lambda fb, a: O.geo_sentiment(fb),
     "geo_insight": lambda fb, a: O.geo_insight(fb),
     "list_businesses": lambda fb, a: O.list_businesses(fb),
-    "trust_band": lambda fb, a: O.trust_band(O.business_overview(fb, a)),
+    "trust_band": lambda fb, a: O.trust_band(O.scored_businesses(fb, a)),
     "delta_direction": lambda fb, a: O.delta_direction(O.performance_deltas(fb, a)),
     "geo_markers": lambda fb, a: O.geo_markers(O.geo_sentiment(fb)),
     "geo_extent": lambda fb, a: O.geo_extent(O.geo_markers(O.geo_sentiment(fb))),
@@ -109,12 +114,74 @@ EVENTS_KEYS = (
 
 
 def _comparison(fb, as_of) -> DataFrame:
-    """O17 from one scoring pass: the benchmarks feed both the overview and the
-    per-business benchmark rows."""
+    """O17 from one scoring pass: the stored scores give the benchmarks and the rows."""
     scored = materialize(O.scored_businesses(fb, as_of))
     bench = materialize(O.industry_benchmarks(fb, as_of, trust=scored.filter(F.col("total_reviews").isNotNull())))
-    overview = O.business_overview(fb, as_of, benchmarks=bench, scored=scored)
-    return O.benchmark_comparison(overview, O.business_benchmark(fb, as_of, bench))
+    return O.benchmark_comparison(scored, bench)
+
+
+# The ids asked by the look-up entries; the last is in no table.
+LOOKUP_IDS = (7, 42, -1)
+
+
+def _per_id(look_up: Callable) -> Build:
+    """The look-up of every id, one below the other."""
+
+    def make(fb, as_of) -> DataFrame:
+        out = look_up(fb, LOOKUP_IDS[0], as_of)
+        for i in LOOKUP_IDS[1:]:
+            out = out.unionByName(look_up(fb, i, as_of))
+        return out
+
+    return make
+
+
+def _folder(fb, name: str) -> str:
+    spark = fb.reviews.sparkSession
+    ensure_checkpoint_dir(spark)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(fb, as_of) -> DataFrame:
+    """The daily series over tables that were written, appended to and read back."""
+    root = _folder(fb, "tables")
+    even = F.col("id") % 2 == 0
+    write_tables(Feedback(fb.businesses, fb.reviews.filter(even), fb.responses.filter(even)), root, reviews_by_month=True)
+    none = fb.businesses.limit(0)
+    append_tables(Feedback(none, fb.reviews.filter(~even), fb.responses.filter(~even)), root, reviews_by_month=True)
+    return O.daily_stats(read_tables(fb.reviews.sparkSession, root, reviews_by_month=True))
+
+
+def _emptiness(fb, as_of) -> DataFrame:
+    """Whether each input table is empty, and whether its rows of no id are."""
+    spark = fb.reviews.sparkSession
+    out = None
+    for name in ("businesses", "reviews", "responses"):
+        table = getattr(fb, name)
+        row = spark.range(1).select(
+            F.lit(name).alias("table_name"),
+            F.lit(is_empty(table)).alias("is_empty"),
+            F.lit(is_empty(table.filter(F.col("id").isNull()))).alias("no_null_id"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# The library's sinks, stored models and look-ups (one per route of the reference).
+SERVICE_BUILDS: dict[str, Build] = {
+    "records_trends": lambda fb, a: json_records(rounded(O.business_trends(fb))),
+    "records_monthly": lambda fb, a: json_records(rounded(O.rating_trend_monthly(fb))),
+    "lookup_overview": _per_id(lambda fb, i, a: api.business_overview(fb, i, a)),
+    "lookup_trends": _per_id(lambda fb, i, a: api.business_trends(fb, i)),
+    "lookup_benchmark": _per_id(lambda fb, i, a: api.industry_benchmark(fb, i, a)),
+    "lookup_sentiment": _per_id(lambda fb, i, a: api.sentiment_distribution(fb, i, a)),
+    "lookup_deltas": _per_id(lambda fb, i, a: api.performance_deltas(fb, i, a)),
+    "lookup_monthly": _per_id(lambda fb, i, a: api.rating_trend_monthly(fb, i)),
+    "refreshed_benchmarks": lambda fb, a: refresh_models(fb, a, _folder(fb, "models"))["industry_benchmarks"],
+    "stored_daily_stats": _stored,
+    "emptiness": _emptiness,
+}
+SPARK_BUILDS.update(SERVICE_BUILDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -223,28 +290,25 @@ trust AS (
   SELECT b.id AS business_id, k.industry, k.p50_rating, k.p90_rating, k.p50_trust_score, k.p90_trust_score,
          k.avg_response_rate
   FROM businesses b JOIN bench k ON b.industry = k.industry)""",
-        "deltas": f"""periods AS (
-  SELECT id, business_id, rating, sentiment_score,
-         CASE WHEN created_at >= {day} - INTERVAL 30 DAY THEN 'current' ELSE 'previous' END AS period
-  FROM reviews WHERE created_at >= {day} - INTERVAL 60 DAY),
-replied AS (
-  SELECT r.id, COUNT(x.id) AS has_response
-  FROM reviews r LEFT JOIN responses x ON r.id = x.review_id
-  WHERE r.created_at >= {day} - INTERVAL 60 DAY GROUP BY r.id, r.created_at),
-period_stats AS (
-  SELECT p.business_id, p.period, AVG(p.rating) AS rating,
-         CAST(SUM(CASE WHEN p.sentiment_score < -0.2 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS neg,
-         AVG(q.has_response) AS resp
-  FROM periods p JOIN replied q ON p.id = q.id GROUP BY p.business_id, p.period),
+        "deltas": f"""reply_rows AS (SELECT review_id, COUNT(id) AS n FROM responses GROUP BY review_id),
+windowed AS (
+  SELECT v.business_id, v.rating, v.sentiment_score, COALESCE(c.n, 0) AS n,
+         v.created_at >= {day} - INTERVAL 30 DAY AS is_now
+  FROM reviews v LEFT JOIN reply_rows c ON c.review_id = v.id
+  WHERE v.id IS NOT NULL AND v.created_at >= {day} - INTERVAL 60 DAY),
+sides AS (
+  SELECT business_id,
+         AVG(rating) FILTER (WHERE is_now) AS rating_now, AVG(rating) FILTER (WHERE NOT is_now) AS rating_then,
+         AVG(CASE WHEN sentiment_score < -0.2 THEN 1 ELSE 0 END) FILTER (WHERE is_now) AS neg_now,
+         AVG(CASE WHEN sentiment_score < -0.2 THEN 1 ELSE 0 END) FILTER (WHERE NOT is_now) AS neg_then,
+         AVG(n) FILTER (WHERE is_now) AS replies_now, AVG(n) FILTER (WHERE NOT is_now) AS replies_then
+  FROM windowed GROUP BY business_id),
 deltas AS (
   SELECT b.id AS business_id,
-         COALESCE(MAX(CASE WHEN s.period = 'current' THEN s.rating END), 0)
-           - COALESCE(MAX(CASE WHEN s.period = 'previous' THEN s.rating END), 0) AS delta_rating,
-         COALESCE(MAX(CASE WHEN s.period = 'current' THEN s.neg END), 0)
-           - COALESCE(MAX(CASE WHEN s.period = 'previous' THEN s.neg END), 0) AS delta_neg_sentiment,
-         COALESCE(MAX(CASE WHEN s.period = 'current' THEN s.resp END), 0)
-           - COALESCE(MAX(CASE WHEN s.period = 'previous' THEN s.resp END), 0) AS delta_response_rate
-  FROM businesses b LEFT JOIN period_stats s ON b.id = s.business_id GROUP BY b.id)""",
+         COALESCE(rating_now, 0) - COALESCE(rating_then, 0) AS delta_rating,
+         COALESCE(neg_now, 0) - COALESCE(neg_then, 0) AS delta_neg_sentiment,
+         COALESCE(replies_now, 0) - COALESCE(replies_then, 0) AS delta_response_rate
+  FROM businesses b LEFT JOIN sides ON sides.business_id = b.id)""",
         "sentiment": f"""recent AS (
   SELECT business_id,
          CASE WHEN sentiment_score > 0.2 THEN 'Positive' WHEN sentiment_score < -0.2 THEN 'Negative'
@@ -256,14 +320,18 @@ sentiment AS (
          COUNT(CASE WHEN r.band = 'Neutral' THEN 1 END) AS "Neutral",
          COUNT(CASE WHEN r.band = 'Negative' THEN 1 END) AS "Negative"
   FROM businesses b LEFT JOIN recent r ON b.id = r.business_id GROUP BY b.id)""",
-        "geo": """geo AS (
-  SELECT b.id AS location_id, b.name, b.location AS city, b.latitude, b.longitude,
-         COUNT(r.id) AS review_count, AVG(r.rating) AS avg_rating, AVG(r.sentiment_score) AS net_sentiment_score,
-         CAST((SELECT COUNT(*) FROM responses x JOIN reviews r2 ON x.review_id = r2.id
-               WHERE r2.business_id = b.id) AS DOUBLE) / CAST(NULLIF(COUNT(r.id), 0) AS DOUBLE) AS response_rate
-  FROM businesses b LEFT JOIN reviews r ON b.id = r.business_id
-  GROUP BY b.id, b.name, b.location, b.latitude, b.longitude
-  HAVING COUNT(r.id) > 0)""",
+        "geo": """volume AS (
+  SELECT business_id, COUNT(id) AS review_count, AVG(rating) AS avg_rating,
+         AVG(sentiment_score) AS net_sentiment_score
+  FROM reviews GROUP BY business_id),
+answered AS (
+  SELECT v.business_id, COUNT(*) AS n
+  FROM responses a, reviews v WHERE a.review_id = v.id GROUP BY v.business_id),
+geo AS (
+  SELECT b.id AS location_id, b.name, b.location AS city, b.latitude, b.longitude, review_count, avg_rating,
+         net_sentiment_score, CAST(COALESCE(n, 0) AS DOUBLE) / review_count AS response_rate
+  FROM volume JOIN businesses b ON b.id = volume.business_id
+  LEFT JOIN answered ON answered.business_id = b.id WHERE review_count > 0)""",
         "insight": """ranked AS (
   SELECT net_sentiment_score AS s, ROW_NUMBER() OVER (ORDER BY review_count DESC, location_id ASC) AS rk FROM geo),
 sizes AS (
@@ -288,7 +356,7 @@ insight AS (
               ELSE 'Sentiment is consistent across both high and low volume locations.' END AS insight
   FROM slices)""",
         "markers": f"""markers AS (
-  SELECT location_id, latitude, longitude,
+  SELECT location_id, name, review_count, latitude, longitude,
          CASE WHEN net_sentiment_score < -0.1 THEN 'negative' WHEN net_sentiment_score > 0.1 THEN 'positive'
               ELSE 'neutral' END AS band,
          CASE WHEN net_sentiment_score < -0.1 THEN '#ef4444' WHEN net_sentiment_score > 0.1 THEN '#10b981'
@@ -436,7 +504,7 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     ),
     "geo_markers": (
         ("geo", "markers"),
-        "SELECT location_id, {latitude}, {longitude}, band, color, {radius}, sentiment_text FROM markers",
+        "SELECT location_id, name, review_count, {latitude}, {longitude}, band, color, {radius}, sentiment_text FROM markers",
         ("latitude", "longitude", "radius"),
     ),
     "geo_extent": (
@@ -471,6 +539,45 @@ _FINAL: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
         (),
     ),
     "key_checks": (("keys",), "SELECT table_name, rule, violations FROM keys", ()),
+    "emptiness": (
+        (),
+        "SELECT 'businesses' AS table_name, COUNT(*) = 0 AS is_empty, COUNT(*) = COUNT(id) AS no_null_id FROM businesses "
+        "UNION ALL SELECT 'reviews', COUNT(*) = 0, COUNT(*) = COUNT(id) FROM reviews "
+        "UNION ALL SELECT 'responses', COUNT(*) = 0, COUNT(*) = COUNT(id) FROM responses",
+        (),
+    ),
+}
+
+
+def _of_ids(name: str, key: str = "business_id", zeros: str = "") -> tuple[tuple[str, ...], str, tuple[str, ...]]:
+    """An operator's SQL for the look-up ids; ``zeros`` answers for an id without a row."""
+    needs, final, doubles = _FINAL[name]
+    ids = ", ".join(f"({i})" for i in LOOKUP_IDS)
+    body = f"SELECT r.* FROM ({final}) r WHERE r.{key} IN (SELECT i FROM (VALUES {ids}) t(i))"
+    if zeros:
+        body += f" UNION ALL SELECT {zeros} FROM (VALUES {ids}) t(i) WHERE i NOT IN (SELECT id FROM businesses)"
+    return needs, body, doubles
+
+
+_FINAL |= {
+    "records_trends": (
+        ("daily",),
+        "SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM (" + _FINAL["business_trends"][1] + ") x",
+        _FINAL["business_trends"][2],
+    ),
+    "records_monthly": (
+        (),
+        "SELECT * REPLACE (strftime(date, '%Y-%m-%dT%H:%M:%S') AS date) FROM (" + _FINAL["rating_trend_monthly"][1] + ") x",
+        ("rating",),
+    ),
+    "lookup_overview": _of_ids("business_overview", "id"),
+    "lookup_trends": _of_ids("business_trends"),
+    "lookup_benchmark": _of_ids("business_benchmark"),
+    "lookup_sentiment": _of_ids("sentiment_distribution", zeros="i, 0, 0, 0"),
+    "lookup_deltas": _of_ids("performance_deltas", zeros="i, 0, 0, 0"),
+    "lookup_monthly": _of_ids("rating_trend_monthly"),
+    "refreshed_benchmarks": _FINAL["industry_benchmarks"],
+    "stored_daily_stats": _FINAL["daily_stats"],
 }
 
 

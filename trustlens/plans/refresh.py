@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from trustlens.functions.clock import AsOf
 from trustlens.operators.models import daily_stats, industry_benchmarks, trust_score
 from trustlens.schemas import Feedback
+from trustlens.session import shuffle_partitions_for
 from trustlens.sources.tables import MONTH_COLUMN, month_of
 
 MODEL_ORDER = ("daily_stats", "trust_score", "industry_benchmarks")
@@ -72,22 +73,47 @@ def write_json(df: DataFrame, path: str) -> None:
     json_records(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def save_bucketed(
-    fb: Feedback, spark: SparkSession, prefix: str = "", buckets: int = 64, reviews_by_month: bool = False
-) -> None:
-    """Save the inputs as catalog tables ``<prefix>businesses`` etc., reviews and replies
-    bucketed (and sorted) on the review key with the same bucket count. With
-    ``reviews_by_month`` the reviews are also partitioned by month (buckets within each
-    month), so time windows prune months and the reply join stays shuffle-free. Read
-    them back with ``read_tables(spark, prefix=prefix)``."""
+def buckets_for(reviews: DataFrame, target_bytes: int = 256 << 20) -> int:
+    """Buckets so that one holds about ``target_bytes`` of the reply join's rows (review
+    key and business, 32 bytes a review in the row format)."""
+    return shuffle_partitions_for(32 * reviews.count(), target_bytes)
+
+
+def _bucketed(df: DataFrame, mode: str, buckets: int, key: str, table: str, partition: str | None = None) -> None:
+    """Write with one task per bucket: Spark deals rows to buckets by the same hash as to
+    partitions, so the files are one per bucket (and partition value), however many
+    tasks the input has."""
+    writer = df.repartition(buckets, key).write.mode(mode)
+    if partition:
+        writer = writer.partitionBy(partition)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def _save_all(fb: Feedback, prefix: str, mode: str, buckets: int, by_month: bool) -> None:
     conformed = fb.conformed()
-    conformed.businesses.write.mode("overwrite").bucketBy(buckets, "id").saveAsTable(f"{prefix}businesses")
     reviews = conformed.reviews
-    writer = reviews.write.mode("overwrite")
-    if reviews_by_month:
+    if by_month:
         reviews = reviews.withColumn(MONTH_COLUMN, month_of(F.col("created_at")))
-        writer = reviews.write.mode("overwrite").partitionBy(MONTH_COLUMN)
-    writer.bucketBy(buckets, "id").sortBy("id").saveAsTable(f"{prefix}reviews")
-    conformed.responses.write.mode("overwrite").bucketBy(buckets, "review_id").sortBy("review_id").saveAsTable(
-        f"{prefix}responses"
-    )
+    _bucketed(conformed.businesses, mode, buckets, "id", f"{prefix}businesses")
+    _bucketed(reviews, mode, buckets, "id", f"{prefix}reviews", MONTH_COLUMN if by_month else None)
+    _bucketed(conformed.responses, mode, buckets, "review_id", f"{prefix}responses")
+
+
+def save_bucketed(
+    fb: Feedback, spark: SparkSession, prefix: str = "", buckets: int | None = None, reviews_by_month: bool = False
+) -> None:
+    """Save the inputs as catalog tables ``<prefix>businesses`` etc., reviews and replies
+    bucketed (and sorted) on the review key with the same bucket count (from the
+    review volume, ``buckets_for``, unless given). With ``reviews_by_month`` the reviews
+    are also partitioned by month (buckets within each month), so time windows prune
+    months and the reply join stays shuffle-free. Read them back with
+    ``read_tables(spark, prefix=prefix)``."""
+    _save_all(fb, prefix, "overwrite", buckets or buckets_for(fb.reviews), reviews_by_month)
+
+
+def append_bucketed(fb: Feedback, spark: SparkSession, prefix: str = "") -> None:
+    """Append to tables saved by ``save_bucketed``, in their layout (bucket count and month
+    partitions are read from the catalog)."""
+    detail = spark.sql(f"DESCRIBE EXTENDED {prefix}reviews").where("col_name = 'Num Buckets'").first()
+    by_month = MONTH_COLUMN in spark.table(f"{prefix}reviews").columns
+    _save_all(fb, prefix, "append", int(detail["data_type"]), by_month)

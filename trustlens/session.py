@@ -42,6 +42,16 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": str(512 << 20),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    # O8 joins the replies of all time with the reviews of 60 days: let Spark build its
+    # runtime bloom filter from a review scan of any size. 64 MB of filter hold 4e7 ids;
+    # with more recent reviews than that it passes ever more replies, and the bucketed
+    # layout (``save_bucketed``), which shuffles neither side, is the way.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 50),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "40000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "40000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 29),
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 29),
 }
 
 

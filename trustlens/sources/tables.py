@@ -71,8 +71,10 @@ def _write(fb: Feedback, root: str, mode: str, fmt: str, reviews_by_month: bool)
         df = getattr(conformed, name)
         writer = df.write.mode(mode).format(fmt)
         if name == "reviews" and reviews_by_month:
-            writer = df.withColumn(MONTH_COLUMN, month_of(F.col("created_at"))).write.mode(mode).format(fmt)
-            writer = writer.partitionBy(MONTH_COLUMN)
+            # Months are gathered before writing (AQE splits large ones and merges small
+            # ones), so files follow the volume of a month, not the input's tasks.
+            by_month = df.withColumn(MONTH_COLUMN, month_of(F.col("created_at"))).hint("rebalance", MONTH_COLUMN)
+            writer = by_month.write.mode(mode).format(fmt).partitionBy(MONTH_COLUMN)
         writer.save(f"{root.rstrip('/')}/{name}")
 
 
