@@ -44,7 +44,7 @@ from trustlens.llm.components import components, contract, labels_of
 from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
 
 COORDINATES = 64
-LEAF = 256
+LEAF = 1024
 #: Coordinates a node chooses, by level; one below these.
 BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999

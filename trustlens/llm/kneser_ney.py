@@ -1,10 +1,11 @@
 """Quality rules with an n-gram perplexity band per language.
 
-**Model.** A document's words, joined by single blanks, are read as characters; the model is a
+**Model.** A document's words, joined by single blanks, are read as UTF-8 bytes; the model is a
 modified Kneser-Ney model of order ``ORDER`` over them, one per language, counted over all documents.
-Character n-grams are counted per task in sorted hash arrays and summed by Spark, so the shuffle
+Byte n-grams are counted per task in sorted hash arrays and summed by Spark, so the shuffle
 carries a task's distinct n-grams and not its words (word n-grams are about as many as
-the words themselves). Lower orders, count-of-count discounts, back-off weights and
+the words themselves). An n-gram is one integer (the hash is a bijection of it and the
+language). Lower orders, count-of-count discounts, back-off weights and
 probabilities are joins and grouped sums over the distinct n-grams.
 
 **Scoring.** Each n-gram's probability is kept in one array sorted by hash (with an index of
@@ -12,7 +13,7 @@ hash prefixes), broadcast only if the table is counted to hold at most ``MAX_GRA
 one joins the documents' n-gram counts by a shuffle instead. Both ways sum the same
 numbers.
 
-**Bands.** A mean over n characters scatters as 1 / sqrt(n), so deviations from the language's median
+**Bands.** A mean over n bytes scatters as 1 / sqrt(n), so deviations from the language's median
 of log perplexity are scaled by sqrt(n). Median and median absolute deviation (MAD) are taken per
 language over all documents that pass the base rules. A document's band is the median plus and minus
 ``SPREAD`` MADs / sqrt(n), at least ``LEAST_WIDTH``; the MAD counts as ``LEAST_MAD`` at least, so that
@@ -48,8 +49,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
+SLICE_BYTES = 1 << 20
 _PAD = 0x02
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class SortedHashes:
@@ -86,68 +89,61 @@ def language_key(lang: str | None) -> np.uint64:
     return span_hashes(seed, np.array([0]), np.array([len(seed)]))[0] if len(seed) else np.uint64(1)
 
 
-def _characters(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of each text's words joined by single blanks after ORDER - 1 pads, and the n + 1
-    bounds; a text without words is empty."""
+def _stream(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each text's words joined by single blanks, after ORDER - 1 pads, and the n + 1 bounds; a
+    text without words is empty."""
     data, offsets = text_bytes(part.column("text"))
-    word = np.ones(256, dtype=bool)
-    word[[0x20, *range(0x09, 0x0E)]] = False
-    head = (data & 0xC0) != 0x80
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    inside = word[data][head]
-    bounds = np.append(0, np.cumsum(head))[offsets]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    at = np.flatnonzero(inside)
-    points, row = points[at], row[at]
-    # a word starts where characters were skipped; a text where the row changes
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = np.diff(row) != 0
-    blank = np.zeros(len(at), dtype=bool)
-    blank[1:] = (np.diff(at) > 1) & ~fresh[1:]
-    before = np.where(fresh, ORDER - 1, blank)
-    place = np.cumsum(before + 1) - 1
-    out = np.full(int(place[-1]) + 1 if len(place) else 0, _PAD, np.uint32)
-    out[place] = np.where(points == 0, 0xFFFD, points)
-    out[place[blank] - 1] = 0x20
-    sizes = np.bincount(row, weights=before + 1, minlength=len(offsets) - 1).astype(np.int64)
-    return out, np.append(0, np.cumsum(sizes))
-
-
-def _grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, first place, code points): each real character's ORDER-gram, keyed with its language."""
-    points, bounds = _characters(part)
-    sizes = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
-    row = np.repeat(np.arange(part.num_rows), sizes)
-    first = np.repeat(bounds[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    wide = points.astype(np.uint64)
-    key = np.zeros(len(first), np.uint64)
+    row, starts, _ = word_spans(data, offsets)
+    kept = ~_WHITE[data]
+    later = np.zeros(len(row), dtype=bool)
+    later[1:] = row[1:] == row[:-1]
+    kept[starts[later] - 1] = True
+    letters = np.where(_WHITE[data], np.uint8(0x20), data)[kept]
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kept, out=sums[1:])
+    sizes = sums[offsets[1:]] - sums[offsets[:-1]]
+    padded = np.where(sizes > 0, sizes + ORDER - 1, 0)
+    bounds = np.append(0, np.cumsum(padded))
+    out = np.full(int(bounds[-1]), _PAD, np.uint8)
+    body = np.ones(len(out), dtype=bool)
+    body[(bounds[:-1][sizes > 0][:, None] + np.arange(ORDER - 1)).ravel()] = False
+    out[body] = letters
+    return out, bounds
+
+
+def _grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, gram, row) of each real byte's ORDER-gram; the key is hashed with the language."""
+    stream, bounds = _stream(part)
+    n = len(stream) - (ORDER - 1)
+    if n <= 0:
+        empty = np.zeros(0, np.uint64)
+        return empty, empty, np.zeros(0, np.int64)
+    gram = np.zeros(n, np.uint64)
     for i in range(ORDER):
-        key = key * _FACTOR + wide[first + i] + np.uint64(1)
+        gram <<= np.uint64(8)
+        gram |= stream[i : i + n]
+    # windows that reach into the next text's pads are not grams
+    whole = np.ones(n, dtype=bool)
+    inner = bounds[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    whole[(inner[:, None] - np.arange(1, ORDER)).ravel()] = False
+    gram = gram[whole]
+    sizes = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
     langs = part.column("lang").to_pylist()
     known = {lang: language_key(lang) for lang in set(langs)}
     seeds = np.array([known[lang] for lang in langs], np.uint64)
-    return mix(key + seeds[row]), row, first, points
-
-
-def _gram_keys(lang: Iterable[str | None], grams: list[str]) -> np.ndarray:
-    points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER).astype(np.uint64)
-    key = np.zeros(len(grams), np.uint64)
-    for i in range(ORDER):
-        key = key * _FACTOR + points[:, i] + np.uint64(1)
-    known: dict = {}
-    seeds = np.array([known[x] if x in known else known.setdefault(x, language_key(x)) for x in lang], np.uint64)
-    return mix(key + seeds)
+    return mix(gram ^ np.repeat(seeds, sizes)), gram, np.repeat(np.arange(part.num_rows), sizes)
 
 
 class _Counter:
-    """Counts of n-grams in sorted hash arrays; new n-grams keep their language and characters."""
+    """Counts of n-grams in sorted hash arrays."""
 
     def __init__(self):
         self.index, self.counts = SortedHashes(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
-        self.langs, self.grams = np.zeros(0, object), np.zeros(0, f"<U{ORDER}")
+        self.langs, self.grams = np.zeros(0, object), np.zeros(0, np.uint64)
 
     def add(self, part: pa.RecordBatch) -> None:
-        key, row, first, points = _grams(part)
+        key, gram, row = _grams(part)
         found = self.index.find(key)
         self.counts += np.bincount(found[found >= 0], minlength=len(self.counts))
         rest = np.flatnonzero(found < 0)
@@ -155,37 +151,35 @@ class _Counter:
             return
         new, where, n = np.unique(key[rest], return_index=True, return_counts=True)
         where = rest[where]
-        letters = points[first[where][:, None] + np.arange(ORDER)].astype("<u4")
-        grams = np.ascontiguousarray(letters).view(f"<U{ORDER}").ravel()
-        langs = np.array(part.column("lang").to_pylist(), object)[row[where]]
         at = np.searchsorted(self.index.keys, new)
         self.index = SortedHashes(np.insert(self.index.keys, at, new))
-        self.counts = np.insert(self.counts, at, n)
-        self.langs, self.grams = np.insert(self.langs, at, langs), np.insert(self.grams, at, grams)
+        self.counts, self.grams = np.insert(self.counts, at, n), np.insert(self.grams, at, gram[where])
+        self.langs = np.insert(self.langs, at, np.array(part.column("lang").to_pylist(), object)[row[where]])
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(self.counts), 100_000):
+            here = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[i : i + 100_000].tolist(), t) for x, t in (
-                    (self.langs, pa.string()), (self.grams, pa.string()), (self.counts, pa.int64()))],
+                [pa.array(self.langs[here].tolist(), pa.string()), pa.array(self.grams[here].view(np.int64)),
+                 pa.array(self.counts[here])],
                 ["lang", "gram", "n"],
             )
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: the ORDER-grams of all texts and how often they occur."""
+    """lang, gram (the bytes as one number), n: the ORDER-grams of all texts and how often they occur."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 counter.add(part)
                 if len(counter.counts) > HELD_GRAMS:
                     yield from counter.batches()
                     counter = _Counter()
         yield from counter.batches()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -194,12 +188,13 @@ def _same(left: str, right: str) -> Column:
 
 
 def _tail(order: int) -> Column:
-    """The last ``order`` characters of column gram."""
-    return F.expr(f"right(gram, {order})") if order else F.lit("")
+    """The last ``order`` bytes of column gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("long"))
 
 
-def _context(order: int) -> Column:
-    return F.expr(f"substr(gram, 1, {order - 1})")
+def _context() -> Column:
+    """Column gram without its last byte."""
+    return F.shiftright("gram", 8)
 
 
 def fit(grams: DataFrame, folder: str) -> list[DataFrame]:
@@ -217,7 +212,7 @@ def fit(grams: DataFrame, folder: str) -> list[DataFrame]:
         discounts = stored_side(counts.groupBy("lang").agg(*of).select(F.col("lang").alias("of_lang"), *cuts))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = counts.join(discounts, _same("lang", "of_lang")).select(
-            "lang", "gram", _context(order).alias("context"), "n", F.least(discount, F.col("n")).alias("d")
+            "lang", "gram", _context().alias("context"), "n", F.least(discount, F.col("n")).alias("d")
         )
         within = Window.partitionBy("lang", "context")
         total = F.sum("n").over(within)
@@ -233,7 +228,7 @@ def fit(grams: DataFrame, folder: str) -> list[DataFrame]:
 
 def _flat(levels: list[DataFrame]) -> DataFrame:
     flat = levels[0].groupBy(F.col("lang").alias("f_lang")).agg((1.0 / (1 + F.count(F.lit(1)))).alias("lower"))
-    return flat.select("f_lang", F.lit("").alias("f_gram"), "lower")
+    return flat.select("f_lang", F.lit(0).cast("long").alias("f_gram"), "lower")
 
 
 def model_probabilities(levels: list[DataFrame]) -> DataFrame:
@@ -252,9 +247,9 @@ def probabilities(levels: list[DataFrame], grams: DataFrame) -> DataFrame:
     lower = _flat(levels)
     for order, level in enumerate(levels, 1):
         part = grams.select("lang", _tail(order).alias("gram")).distinct()
-        part = part.withColumn("context", _context(order)).withColumn("shorter", _tail(order - 1))
+        part = part.withColumn("context", _context()).withColumn("shorter", _tail(order - 1))
         seen = level.select(F.col("lang").alias("s_lang"), F.col("gram").alias("s_gram"), "share")
-        ahead = level.select(F.col("lang").alias("c_lang"), _context(order).alias("c_context"), "back_off")
+        ahead = level.select(F.col("lang").alias("c_lang"), _context().alias("c_context"), "back_off")
         ahead = ahead.groupBy("c_lang", "c_context").agg(F.max("back_off").alias("back_off"))
         part = part.join(seen, _same("lang", "s_lang") & (F.col("gram") == F.col("s_gram")), "left")
         part = part.join(ahead, _same("lang", "c_lang") & (F.col("context") == F.col("c_context")), "left")
@@ -281,8 +276,6 @@ def base_rules(column: pa.Array) -> dict[str, np.ndarray]:
     rows = len(offsets) - 1
     row, starts, ends = word_spans(data, offsets)
     hashes = span_hashes(data, starts, ends)
-    white = np.zeros(256, dtype=bool)
-    white[[0x20, *range(0x09, 0x0E)]] = True
     symbol = np.zeros(256, dtype=bool)
     symbol[[ord(c) for c in SYMBOLS]] = True
     n_words = np.bincount(row, minlength=rows)
@@ -309,7 +302,7 @@ def base_rules(column: pa.Array) -> dict[str, np.ndarray]:
     _, kept = np.unique(lines, return_index=True)
     return {
         "n_words": n_words,
-        "word_chars": _row_sums(((data & 0xC0) != 0x80) & ~white[data], offsets),
+        "word_chars": _row_sums(((data & 0xC0) != 0x80) & ~_WHITE[data], offsets),
         "n_symbols": _row_sums(symbol[data], offsets),
         "n_dup_lines": np.bincount(line_row, minlength=rows) - np.bincount(line_row[kept], minlength=rows),
         "n_repeat_words": np.bincount(row[marked], minlength=rows),
@@ -323,9 +316,9 @@ def _rules_and_score(table):
         if table is not None:
             index, log_p = SortedHashes(table.value[0]), table.value[1]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 base = base_rules(part.column("text"))
-                key, row, _, _ = _grams(part)
+                key, _, row = _grams(part)
                 read = np.bincount(row, minlength=part.num_rows)
                 total = np.zeros(part.num_rows)
                 if table is not None:
@@ -341,8 +334,8 @@ def _rules_and_score(table):
 def _document_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, gram key, n) per document, for tables too large to broadcast."""
     for batch in batches:
-        for part in slices(batch):
-            grams, row, _, _ = _grams(part)
+        for part in slices(batch, limit=SLICE_BYTES):
+            grams, _, row = _grams(part)
             keys = np.array(part.column("key").to_pylist(), np.int64)
             order = np.lexsort((grams, row))
             grams, row = grams[order], row[order]
@@ -357,7 +350,10 @@ def _document_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = _gram_keys(batch.column("lang").to_pylist(), batch.column("gram").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
+        langs = batch.column("lang").to_pylist()
+        known = {lang: language_key(lang) for lang in set(langs)}
+        seeds = np.array([known[lang] for lang in langs], np.uint64)
+        keys = mix(batch.column("gram").to_numpy().view(np.uint64) ^ seeds)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("log_p")], ["gram_key", "log_p"])
 
 
