@@ -60,27 +60,27 @@ class SortedHashes:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = np.uint64(max(1, min(21, int(len(keys)).bit_length() + 1)))
-        edges = np.arange((1 << int(self.bits)) + 1, dtype=np.uint64)
-        shift = np.uint64(64) - self.bits
-        prefix = keys >> shift
-        self.first = np.searchsorted(prefix, edges).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.shift = np.uint64(64 - max(1, min(21, int(len(keys)).bit_length() + 1)))
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        # one more entry than prefixes, and one more key than real ones, so that every prefix has a place
+        self.first = np.append(0, np.cumsum(sizes)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.padded = np.append(keys, np.uint64(0))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Index of each wanted key, -1 where it is absent."""
-        out = np.full(len(wanted), -1, np.int64)
         if not len(self.keys):
-            return out
-        prefix = (wanted >> (np.uint64(64) - self.bits)).astype(np.int64)
-        at, end = self.first[prefix], self.first[prefix + 1]
-        open_ = np.flatnonzero(at < end)
-        at, end, wanted = at[open_], end[open_], wanted[open_]
-        while len(open_):
-            found = self.keys[at]
-            hit = found == wanted
-            out[open_[hit]] = at[hit]
-            go = np.flatnonzero((found < wanted) & (at + 1 < end))
-            open_, at, end, wanted = open_[go], at[go] + 1, end[go], wanted[go]
+            return np.full(len(wanted), -1, np.int64)
+        prefix = (wanted >> self.shift).astype(np.int64)
+        out = self.first[prefix].astype(np.int64)
+        # most are the first key of their prefix
+        left = np.flatnonzero((self.padded[out] != wanted) | (out == len(self.keys)))
+        at, end, wanted = out[left], self.first[prefix[left] + 1], wanted[left]
+        out[left] = -1
+        while len(left):
+            go = np.flatnonzero((at < end) & (self.padded[at] < wanted))
+            hit = np.flatnonzero((at < end) & (self.padded[at] == wanted))
+            out[left[hit]] = at[hit]
+            left, at, end, wanted = left[go], at[go] + 1, end[go], wanted[go]
         return out
 
 

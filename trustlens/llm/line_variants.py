@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import materialize, words
+from trustlens.llm.common import shared_folder, stored_table, words
 from trustlens.llm.textbatch import mix, slices, span_hashes, text_bytes, word_spans
+from trustlens.plans.sizing import broadcast_if_small
 
 NEAR_WORDS = 8
 
@@ -129,9 +130,12 @@ def _variant_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.flatnonzero(word == 0)
             raw = lines.data
             text[at] = [raw[begin[i] : end[i]].tobytes().decode("utf-8") for i in line[at]]
+            of_row = pa.array(lines.row[line])
             yield pa.RecordBatch.from_arrays(
-                [_long(keys[line]), _long(word), _long(rest), pa.array(text, pa.string())], ["key", "word", "rest", "text"]
-            )
+                [_long(keys[line]), _long(word), _long(rest), part.column("doc_id").take(of_row),
+                 part.column("doc_hash").take(of_row), _long(lines.line[line]), pa.array(text, pa.string())],
+                ["key", "word", "rest", "doc_id", "doc_hash", "line", "text"],
+            )
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -153,6 +157,7 @@ def duplicate_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, doc_hash, line (from 0), near (false: equal words) of every line that an earlier one repeats."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
     place = ["doc_id", "doc_hash", "line"]
+    folder = shared_folder(docs.sparkSession, "line-variants")
     rows = keyed.mapInArrow(
         _line_rows,
         "doc_id long, doc_hash long, line long, key long, size long, h0 long, h1 long, h2 long, h3 long",
@@ -160,25 +165,28 @@ def duplicate_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     first = rows.groupBy("key").agg(
         F.min(F.struct(*place)).alias("at"), *(F.first(c).alias(c) for c in ("size", "h0", "h1", "h2", "h3"))
     )
-    first = materialize(first)
+    first = stored_table(first, f"{folder}/first")
     # lines that share a half with a different line
     long_lines = first.where(F.col("size") >= near_words)
-    halves = long_lines.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
+    halves = long_lines.select("key", "at", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    asked = halves.join(shared, "half", "left_semi").select("key").distinct()
-    asked = materialize(long_lines.join(asked, "key", "left_semi").select("key", "at"))
+    asked = stored_table(halves.join(shared, "half", "left_semi").select("key", "at").distinct(), f"{folder}/asked")
     wanted = asked.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.doc_hash").alias("w_hash")).agg(
         F.collect_set("at.line").alias("wanted")
     )
+    wanted = broadcast_if_small(stored_table(wanted, f"{folder}/wanted"))
     same_doc = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("doc_hash") == F.col("w_hash"))
-    texts = keyed.join(wanted, same_doc).select("text", "wanted", F.struct("doc_id", "doc_hash").alias("doc"))
-    made = texts.select("text", "wanted").mapInArrow(_variant_rows, "key long, word long, rest long, text string")
-    made = materialize(made.dropDuplicates(["key", "word"]))
-    variants = made.select("key", "word", "rest").join(asked, "key")
-    variants = materialize(variants)
+    texts = keyed.join(wanted, same_doc).select("doc_id", "doc_hash", "text", "wanted")
+    # rows equal in id and text give equal variants; none of what follows counts them twice
+    made = texts.mapInArrow(
+        _variant_rows, "key long, word long, rest long, doc_id long, doc_hash long, line long, text string"
+    )
+    made = stored_table(made, f"{folder}/variants")
+    variants = made.select("key", "word", "rest", F.struct(*place).alias("at"))
     # the earliest line per key: equal without the same word; equal to the rest; whose rest it is
     least = F.min(F.struct("at", F.col("key").alias("other"))).alias("found")
-    by_word = variants.groupBy("rest", "word").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = F.min("key") < F.max("key")
+    by_word = variants.groupBy("rest", "word").agg(least, several.alias("several")).where("several").drop("several")
     replaced = variants.join(by_word, ["rest", "word"]).select("key", "at", "found")
     full = asked.select(F.col("key").alias("rest"), F.struct("at", F.col("key").alias("other")).alias("found"))
     deleted = variants.join(full, "rest").select("key", "at", "found")
@@ -193,27 +201,28 @@ def duplicate_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     pairs = pairs.select("key", words(F.col("text")).alias("a"), words(F.col("other_text")).alias("b"))
     verified = pairs.where(within_one_edit(F.col("a"), F.col("b"))).select("key", F.lit(True).alias("is_near"))
     # every occurrence: later than the first of its key, or of a line near an earlier one
-    decided = first.join(materialize(verified), "key", "left").select("key", "at", "is_near")
+    verified = stored_table(verified.distinct(), f"{folder}/near")
+    decided = first.join(verified, "key", "left").select("key", "at", "is_near")
     occurrences = rows.select("key", *place).join(decided, "key")
     dropped = occurrences.where(F.col("is_near") | (F.struct(*place) > F.col("at")))
-    return dropped.select(*place, F.coalesce("is_near", F.lit(False)).alias("near")).distinct()
+    return dropped.select(*place, F.coalesce("is_near", F.lit(False)).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, text without the dropped lines, n_lines (lines with words), n_exact and n_near (dropped)."""
-    dropped = materialize(duplicate_lines(docs.select("doc_id", "text"), near_words))
+    dropped = duplicate_lines(docs.select("doc_id", "text"), near_words)
     per_doc = dropped.groupBy(F.col("doc_id").alias("d_id"), F.col("doc_hash").alias("d_hash")).agg(
-        F.collect_set(F.col("line").cast("int")).alias("gone"), F.count_if(F.col("near")).alias("n_near")
+        F.collect_set(F.col("line").cast("int")).alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near")
     )
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("doc_hash"))
     out = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("doc_hash") == F.col("d_hash")), "left")
-    out = out.select("doc_id", "text", "gone", "n_near", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    out = out.select("doc_id", "text", "gone", "near", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.concat_ws("\n", F.transform(F.array_sort(kept), lambda i: F.get("lines", i)))
     )
     gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    near = F.coalesce("n_near", F.lit(0)).cast("long")
+    near = F.coalesce(F.size("near"), F.lit(0)).cast("long")
     worded = F.size(F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return out.select(
         "doc_id", text.alias("text"), worded.alias("n_lines"),
