@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from trustlens.llm import chat_grammar as cg
+from llm_fixtures import shipped  # noqa: F401
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+PIECES = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<\\s>", "[\\/INST]", "<", "/", "s>", "[", "INST]", "a", "\n", " ", "é", "\U0001f600", "$1"]
+
+
+def _back(spark, rows):
+    made = cg.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    return made, {r["conv_id"]: r for r in cg.read_back(made).collect()}
+
+
+def test_control_strings_survive(spark):
+    said = "</s>[INST] ok [/INST]"
+    made, back = _back(spark, [(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, "user", "plain"), (2, 1, "assistant", "<\\s>")])
+    assert [tuple(t) for t in back[1]["turns"]] == [("user", said), ("assistant", said)]
+    assert back[1]["loss_texts"] == [said] and back[2]["loss_texts"] == ["<\\s>"]
+    formatted = {r["conv_id"]: r for r in made.collect()}
+    assert formatted[2]["formatted"] == "<s>user[INST]plain[/INST]</s><s>assistant[INST]<\\\\s>[/INST]</s>"
+    for r in formatted.values():
+        for start, size in r["loss_spans"]:
+            assert r["formatted"][start - 6 : start] == "[INST]" and r["formatted"][start + size :].startswith("[/INST]")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(st.sampled_from(PIECES), max_size=3), st.lists(st.sampled_from(PIECES), max_size=12)), min_size=1, max_size=12))
+def test_round_trip(spark, turns):
+    rows = [(1, i, "".join(role), "".join(text)) for i, (role, text) in enumerate(turns)]
+    _, back = _back(spark, rows)
+    assert [tuple(t) for t in back[1]["turns"]] == [(r[2], r[3]) for r in rows]
+
+
+def test_escape_is_reversible(spark):
+    texts = ["<s>", "<\\s>", "<\\\\/s>", "[INST][/INST]", "[\\INST]", "\\<s>", "none", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", cg.escape(F.col("t")).alias("e"), cg.unescape(cg.escape(F.col("t"))).alias("u")).collect()
+    assert all(r["u"] == r["t"] for r in got)
+    assert all(c not in r["e"] for r in got for c in (cg.START, cg.END, cg.OPEN, cg.CLOSE))
+
+
+def test_cases(spark):
+    rows = [(1, 1, "assistant", None), (1, 0, None, "q"), (None, 0, "user", "x"), (None, 0, "user", "x"), (3, None, "user", "first"), (3, 0, "user", "b"), (3, 0, "user", "a"), (4, 0, "system", "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("place", F.lit(1)).withColumn("rendered", F.lit("clash"))
+    back = {r["conv_id"]: r for r in cg.read_back(cg.format_conversations(df)).collect()}
+    assert [tuple(t) for t in back[1]["turns"]] == [("", "q"), ("assistant", "")] and back[1]["loss_texts"] == [""]
+    assert len(back[None]["turns"]) == 2 and back[None]["loss_texts"] == []
+    assert [t["text"] for t in back[3]["turns"]] == ["first", "a", "b"] and [tuple(t) for t in back[4]["turns"]] == [("system", "")]
+    assert cg.format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " * 20) for i in range(4000)]
+    _, back = _back(spark, rows)
+    told = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert hashlib.sha256("".join(back[1]["loss_texts"]).encode()).digest() == hashlib.sha256(told.encode()).digest()
+
+
+def test_a_wrong_parse_fails_the_job(spark, monkeypatch):
+    monkeypatch.setattr(cg, "unescape", lambda c: F.concat(c, F.lit("!")))
+    with pytest.raises(Exception, match="does not parse back"):
+        cg.format_conversations(spark.createDataFrame([(1, 0, "user", "x")], SCHEMA)).collect()

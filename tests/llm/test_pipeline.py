@@ -1,0 +1,86 @@
+"""The pipeline against each stage's brute force on the smallest tables."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from brute_sets import components
+from tokenizers import Tokenizer
+
+import corpus_pipeline as cp
+from conftest import SF_SMALL
+from trustlens.llm import pareto_mix, rule_ensemble
+from trustlens.llm.queries import TOKENIZER
+from llm_fixtures import make_docs, shipped  # noqa: F401
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("stages")
+    docs, kept = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), []
+    for i, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF_SMALL).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        kept.append(docs)
+    return kept
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.select(*cp.COLUMNS).collect()), key=repr)
+
+
+def test_quality_keeps_what_the_classifier_accepts(spark, stages):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    accepted = rule_ensemble.classify(docs, spark.read.parquet(f"{SF_SMALL}/labels.parquet")).where("predicted = 1")
+    assert {r[0] for r in _rows(stages[0])} == {r["doc_id"] for r in accepted.collect()}
+
+
+def test_near_duplicates_keep_one_of_each_group(stages):
+    before = _rows(stages[0])
+    groups = components([(r[0], r[1]) for r in before], k=5, percent=80)
+    assert _rows(stages[1]) == [r for r in before if groups[r[0]][1] == r[0]]
+    assert len(stages[1].columns) == 5
+
+
+def test_decontamination(spark, stages):
+    from test_winnowing import _brute
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
+    before = _rows(stages[1])
+    bad = {r[0] for r in _brute([(r[0], r[1]) for r in before], items) if r[4]}
+    assert bad and _rows(stages[2]) == [r for r in before if r[0] not in bad]
+
+
+def test_mix_takes_whole_copies(stages):
+    copies = {r["doc_id"]: r["copies"] for r in pareto_mix.mix(stages[2]).collect()}
+    want = sorted((r for r in _rows(stages[2]) for _ in range(copies[r[0]])), key=repr)
+    assert _rows(stages[3]) == want
+
+
+def test_tokens(stages):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    at, want = 0, []
+    for r in sorted(_rows(stages[3]), key=lambda r: (r[0], (r[1] or "").encode())):
+        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, cp.END_ID]
+        want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = sorted((tuple(r) for r in stages[4].select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    assert got == want
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    assert sorted(map(tuple, cp.run(spark, SF_SMALL).collect())) == sorted(map(tuple, stages[4].collect()))
+
+
+def test_odd_rows_pass_every_stage(spark, make_docs, tmp_path):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (1, text), (2, text + " more"), (3, None, None, None), (None, text, None, None), (None, None), (4, ""), (5, "Different words stand here, quite alone.")]
+    for data in (rows, []):
+        docs = make_docs(data)
+        for i, (_, stage) in enumerate(cp.STAGES):
+            path = f"{tmp_path}/{len(data)}-{i}"
+            stage(spark, docs, SF_SMALL).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert {"doc_id", "start", "n_tokens"} <= set(docs.columns)

@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import html
+import re
+
+import pytest
+
+from conftest import SF_MID
+from trustlens.llm.tag_paths import extract, main_text, path_scores, blocks
+from llm_fixtures import shipped  # noqa: F401
+
+LONG = "This is a paragraph of the article, with commas, and several sentences. It goes on for a while, as articles do."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (None, ""), ("", ""), ("just text", "just text"), ("a &lt; b &amp;&nbsp;c &copy", "a < b & c ©"),
+        ("<p>one <b>two</b>\n  three<br>four<p>five", "one two three four five"),
+        ("<article><p>a</p><nav><a href=/x>menu</a></nav><p>b</p></article><p>outside</p>", "a b"),
+        ("<main><h1>T</h1><p>x<div class='ad-slot'>buy</div><aside>s</aside><p>y</main>", "T x y"),
+        ("<article>k<script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>no</p> -->l</article>", "kl"),
+        ("<article><p>x</p><section id='comments'><p>I agree, great text.</p></section></article>", "x"),
+        ("<article><form><label>Mail</label></form><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "yes"),
+        ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "one two a b c"),
+        ("<article><p>unclosed <a href=\"x>y</p>", "unclosed y"), ("</p></div>tail", "tail"), ("a<p", "a"),
+        ("<div role=main><p>r</p></div><div role='navigation'>n</div>", "r"), ("<article><br/><hr><p></p></article>", ""),
+    ],
+)
+def test_pages(page, want):
+    assert main_text(page) == want
+
+
+def test_paths_without_a_marked_article():
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8))
+    page = f"<body><div class=top><ul>{menu}</ul></div><div class=text>" + f"<p>{LONG}</p>" * 4 + "</div><div class=low>Terms</div></body>"
+    assert main_text(page) == " ".join([LONG] * 4)
+    scores = path_scores(blocks(page))
+    content = max(scores, key=lambda p: scores[p][0])
+    assert content[-1] == "p" and scores[content][1] == 0
+
+
+def test_generated_pages_equal_their_article(spark):
+    pages = spark.read.parquet(f"{SF_MID}/pages.parquet")
+    got = {r["page_id"]: r for r in extract(pages).collect()}
+    for r in pages.collect():
+        body = r["html"].split("<article>")[1].split("</article>")[0]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+    assert len(got) == pages.count()
+
+
+def test_rows_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>é x</p>", "t"), (1, "u", "<p>é x</p>", "t"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((tuple(r) for r in extract(df).collect()), key=repr)
+    assert got == sorted([(1, "u", "é x", 3), (1, "u", "é x", 3), (None, None, "", 0)], key=repr)
+    assert extract(df.limit(0)).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<div>" * 20_000 + "x", "<p " + "a='" * 20_000, "<" * 50_000, "&amp" * 20_000, "<b>" * 5_000 + "<p>y" * 2_000):
+        main_text(page)

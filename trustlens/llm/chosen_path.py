@@ -169,14 +169,13 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, labels: DataFrame | None, s: float, floor: float) -> DataFrame:
-    """Candidate pairs (a, b) of small nodes, compared exhaustively: different components, sizes
-    that allow the similarity, token agreement."""
-    rows = _label(leaf.join(sets, "id"), labels).select("node", "id", "c", "size", "sketch")
-    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "c", "size", "sketch")))
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, s: float, floor: float) -> DataFrame:
+    """Candidate pairs (a, b) of small nodes, compared exhaustively: sizes that allow the similarity,
+    token agreement."""
+    rows = leaf.join(sets, "id").select("node", "id", "size", "sketch")
+    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch")))
     near = rows.join(other, "node").where(
         (F.col("id") < F.col("other_id"))
-        & (F.col("c") != F.col("other_c"))
         & (_size_ratio("size", "other_size") >= s)
         & (_agreement("sketch", "other_sketch") >= floor)
     )
@@ -277,7 +276,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         rest = materialize(_unsettled(rows, labels, 1 - s, slack))
         rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
-    pairs = materialize(_leaf_pairs(_union(leaves).distinct(), sets, labels, s, floor))
+    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, s, floor), labels))
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its first candidate; then only the pairs still in different components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

@@ -204,7 +204,7 @@ def fit(grams: DataFrame, folder: str) -> list[DataFrame]:
     levels, counts = [], grams
     for order in range(ORDER, 0, -1):
         of = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0))
         cuts = []
         for i in (1, 2, 3):
             cut = i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0))
@@ -406,7 +406,7 @@ def quality_rules(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = materialize(score(docs, table, folder, max_grams).withColumn("base_failed", failed))
     out = scored.join(stored_side(bands(scored)), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    half = F.greatest(F.lit(LEAST_WIDTH), SPREAD * F.col("mad") / F.sqrt("read"))
+    half = F.greatest(F.lit(LEAST_WIDTH), SPREAD * F.col("mad") / F.sqrt(F.nullif(F.col("read"), F.lit(0))))
     out = out.withColumn("lower", F.col("median") - half).withColumn("upper", F.col("median") + half)
     within = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.select(

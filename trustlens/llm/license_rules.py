@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line without any of these holds no known sentence.
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|gnu "
+TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|gnu |rights reserved"
 SENTENCE_END = r"[.!?;](?:\s+|$)"
 
 # Licence sentences (normalised, as patterns of the whole sentence) by identifier.

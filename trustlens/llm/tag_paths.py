@@ -4,8 +4,8 @@ A page is cut into blocks: runs of text between block-level tags. Each block bel
 root-to-leaf path of block-level tags (with class names, so that a path names one kind of
 node on the page). Over the page, every path's blocks are aggregated: mean text length per
 block, and mean punctuation per block. Both series are laid out in page order, smoothed with a
-Gaussian over neighbouring blocks weighed by how much of the path they share, and fused; a path
-whose fused ratio reaches a share of the page's standard deviation is content, unless its
+Gaussian over neighbouring blocks weighed by how much of the path they share, and fused (the
+geometric mean of a path's own ratio and its smoothed one); a path whose fused ratio reaches a share of the page's standard deviation is content, unless its
 text is mostly links.
 
 Two kinds of evidence beyond the ratios are taken from the markup. Subtrees that are never article text
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Share of the standard deviation of the fused ratios that a content path reaches.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 #: Neighbours on either side, and the width, of the Gaussian over blocks.
 REACH, WIDTH = 3, 1.5
 #: Share of link characters from which a path is a link list.
@@ -223,7 +223,8 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]
             length += w * text[j]
             punctuation += w * marks[j]
         f = fused.setdefault(b.path, [0.0, 0])
-        f[0] += length / weights * (1 + punctuation / weights)
+        near = length / weights * (1 + punctuation / weights)
+        f[0] += math.sqrt(near * text[i] * (1 + marks[i]))
         f[1] += 1
     return {p: (f[0] / f[1], totals[p][3] / totals[p][1]) for p, f in fused.items()}
 

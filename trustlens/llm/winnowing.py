@@ -64,15 +64,16 @@ def fingerprints(rows: DataFrame, keys: list[str], short: list[int]) -> DataFram
             F.shiftright(F.xxhash64(*(_at("hashes", i + j) for j in range(K))), _PLACE_BITS), _PLACE_BITS
         ),
     )
-    extra = [
-        F.transform(
+
+    def whole_grams(size: int) -> Column:
+        return F.transform(
             _positions(n - size),
-            lambda i, size=size: F.struct(
+            lambda i: F.struct(
                 F.xxhash64(F.lit(size), *(_at("hashes", i + j) for j in range(size))).alias("fp"), i.alias("pos")
             ),
         )
-        for size in short
-    ]
+
+    extra = [whole_grams(size) for size in short]
     out = out.select(*keys, grams.alias("grams"), *(x.alias(f"short_{i}") for i, x in enumerate(extra)))
     kept = [F.col(f"short_{i}") for i in range(len(extra))]
     # start of the window and place of its least gram, in one long
