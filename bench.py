@@ -37,6 +37,12 @@ HEADLINE = (
     "geo_sentiment",
     "geo_insight",
     "list_businesses",
+    "trust_band",
+    "delta_direction",
+    "geo_markers",
+    "geo_extent",
+    "benchmark_comparison",
+    "kpi_cards",
     "key_checks",
 )
 

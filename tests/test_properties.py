@@ -71,3 +71,33 @@ def test_results_independent_of_session_time_zone(spark, profile):
         spark.conf.set("spark.sql.session.timeZone", old)
     for b, a in zip(before, after):
         assert sorted(map(tuple, b), key=repr) == sorted(map(tuple, a), key=repr)
+
+
+def test_score_against_fractional_weights(spark):
+    """O2 weighs a day by the integer 730 - age. Against the fraction 1 - age / 730.0 (evaluated by
+    DuckDB, in its order of addition) only the last bit of a sum differs, so a rating moves by 0.01 and a
+    score by 1 at most, and only where it lies on a rounding edge."""
+    import duckdb
+
+    from conftest import SF_MID
+    from trustlens.plans import contract
+    from trustlens.sources.fixtures import PROFILES
+
+    fb, as_of = contract.load_profile(spark, SF_MID, "orders")
+    con = duckdb.connect()
+    for t in ("customer", "nation", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
+    sql = contract.oracle_sql()["trust_score"]
+    whole = f"GREATEST(0, 730 - DATE_DIFF('day', CAST(created_at AS DATE), DATE '{PROFILES['orders'].as_of[:10]}'))"
+    part = whole.replace("GREATEST(0, 730 - ", "GREATEST(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - ").replace("'))", "') / CAST(730 AS DOUBLE))")
+    assert whole in sql
+    want = {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT business_id, weighted_rating, trust_score FROM ({sql.replace(whole, part)})").fetchall()}
+    got = {r["business_id"]: (r["weighted_rating"], r["trust_score"]) for r in contract.rounded(O.trust_score(fb, as_of)).collect()}
+    assert set(got) == set(want) and len(got) > 900
+    differing = 0
+    for i, (rating, score) in got.items():
+        assert (rating is None) == (want[i][0] is None) and (score is None) == (want[i][1] is None)
+        if rating is not None:
+            assert abs(rating - want[i][0]) <= 0.01 + 1e-9 and abs(score - want[i][1]) <= 1
+            differing += (rating, score) != want[i]
+    assert differing <= 0.005 * len(got)

@@ -35,7 +35,7 @@ def _convert(jnode) -> Node:
     elif name == "AdaptiveSparkPlan":
         kids = [jnode.executedPlan()]
     elif name == "ReusedExchange":
-        kids = [jnode.child()]
+        kids = []  # it reads another exchange's output; nothing below runs again
     else:
         kids = _seq(jnode.children())
     meta = {}

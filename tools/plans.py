@@ -9,8 +9,8 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-import __spark_entry__ as E  # noqa: E402
 from tools.inspect_plan import physical_plan  # noqa: E402
+from trustlens.plans import contract  # noqa: E402
 from trustlens.session import build_session  # noqa: E402
 
 
@@ -19,7 +19,7 @@ def short(text: str) -> str:
 
 
 def summary(df) -> dict:
-    out = {"exchange": [], "join": [], "window": [], "scan": [], "broadcast": 0}
+    out = {"exchange": [], "join": [], "window": [], "scan": [], "broadcast": 0, "reused": 0}
     for n in physical_plan(df).walk():
         if n.name == "Exchange":
             m = re.search(r"Exchange (\w+(\([^)]*\))?)", n.text)
@@ -30,6 +30,8 @@ def summary(df) -> dict:
         elif n.name == "Window":
             part, order = ", ".join(n.meta["partitionSpec"]), ", ".join(n.meta["orderSpec"])
             out["window"].append(f"by [{part}] order [{order}]")
+        elif n.name == "ReusedExchange":
+            out["reused"] += 1
         elif n.name == "BroadcastExchange":
             out["broadcast"] += 1
         elif n.name.startswith("Scan"):
@@ -47,15 +49,19 @@ def main(sf_dir: str) -> None:
         4,
         extra={"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"},
     )
-    q = E.queries()
-    print("| query | scans (pushed filters) | exchanges | joins | windows | broadcasts |")
-    print("| --- | --- | --- | --- | --- | --- |")
-    for name in q:
-        if name.endswith("_events"):
+    sc = spark.sparkContext
+    print("| query | jobs while building | scans (pushed filters) | exchanges (reused) | joins | windows | broadcasts |")
+    print("| --- | --- | --- | --- | --- | --- | --- |")
+    for name in contract.SPARK_BUILDS:
+        if name in contract.SERVICE_BUILDS:
             continue
-        s = summary(q[name](spark, sf_dir))
+        sc.setJobGroup(name, "building")
+        df = contract.queries()[name](spark, sf_dir)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(name))
+        s = summary(df)
+        s["exchange"].append(f"({s['reused']} reused)") if s["reused"] else None
         cells = [", ".join(s[k]) or "-" for k in ("scan", "exchange", "join", "window")]
-        print(f"| {name} | " + " | ".join(cells) + f" | {s['broadcast']} |")
+        print(f"| {name} | {jobs} | " + " | ".join(cells) + f" | {s['broadcast']} |")
 
 
 if __name__ == "__main__":
