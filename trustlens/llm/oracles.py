@@ -135,3 +135,55 @@ g AS (
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
+
+_FOLDED_WORDS = (
+    f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    r"'[\x20\x09-\x0D]+'), lambda x: x <> '')"
+)
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_FOLDED_WORDS} AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(3, len(w)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared s JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y
+  WHERE 100 * s.n >= 85 * (i.n + j.n - s.n)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id,
+  least(d.doc_id, coalesce(y, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_id ON least_id.x = d.doc_id
+"""
+
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n,
+    unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
+first AS (SELECT words, min((doc_id, n)) AS place FROM w WHERE len(words) > 0 GROUP BY words),
+long AS (SELECT * FROM first WHERE len(words) >= 8),
+cut AS (
+  SELECT place, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest
+  FROM (SELECT place, words, unnest(range(1, len(words) + 1)) AS i FROM long)),
+near AS (
+  SELECT DISTINCT place FROM (
+    SELECT a.place FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND b.place < a.place
+    UNION ALL SELECT a.place FROM cut a JOIN long b ON a.rest = b.words AND b.place < a.place
+    UNION ALL SELECT a.place FROM long a JOIN cut b ON b.rest = a.words AND b.place < a.place)),
+judged AS (
+  SELECT w.doc_id, w.n, line, len(w.words) > 0 AS worded, near.place IS NOT NULL AS is_near,
+    near.place IS NULL AND first.place < (w.doc_id, w.n) AS is_repeat
+  FROM w LEFT JOIN first ON first.words = w.words LEFT JOIN near ON near.place = first.place)
+SELECT doc_id, CAST(count(*) FILTER (WHERE worded) AS BIGINT) AS n_lines,
+  CAST(count(*) FILTER (WHERE worded AND is_repeat) AS BIGINT) AS n_exact,
+  CAST(count(*) FILTER (WHERE worded AND is_near) AS BIGINT) AS n_near,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT (worded AND (is_near OR is_repeat))), '')) AS BIGINT)
+    AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT (worded AND (is_near OR is_repeat))), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""

@@ -45,9 +45,10 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_variants.dedup_lines(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
     return cleaned.select(
-        "doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("kept_chars"),
-        F.sha2("text", 256).alias("kept_sha256"),
+        "doc_id", "n_lines", "n_exact", "n_near", F.length(text).cast("long").alias("kept_chars"),
+        F.sha2(text, 256).alias("kept_sha256"),
     )
 
 
@@ -128,8 +129,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_variants": oracles.LINE_DEDUP,
         "op6_pareto_mix": oracles.PARETO_MIX,
         "op7_winnowing": oracles.WINNOWING,
+        "op8_chosen_path": oracles.NEAR_DUPLICATES,
         "op9_license_rules": oracles.LICENSES,
         "op10_chat_grammar": oracles.CHAT,
     }
