@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import materialize, materialize_counted, stored_side
+from trustlens.llm.common import materialize, materialize_counted, release, stored_side
 from trustlens.llm.components import components, contract, labels_of
 from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
 
@@ -276,14 +276,19 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         rest = materialize(_unsettled(rows, labels, 1 - s, slack))
         rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
+        release(docs.sparkSession)
     pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, s, floor), labels))
+    release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its first candidate; then only the pairs still in different components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges, labels = _with_links(edges, confirm(first, full, percent))
+    release(docs.sparkSession)
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
     found = confirm(left, full, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return edges.unionAll(found)
+    found = materialize(edges.unionAll(found))
+    release(docs.sparkSession)
+    return found
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -323,6 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = materialize(linkable.select("doc_id", *shape).join(groups, shape).select("doc_id", "id").distinct())
     representatives = linkable.join(groups.withColumnRenamed("id", "doc_id"), ["doc_id", *shape], "left_semi")
     sets = materialize(representatives.select(F.col("doc_id").alias("id"), *shape, "sketch").dropDuplicates(["id", *shape]))
+    release(docs.sparkSession)
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))

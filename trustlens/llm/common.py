@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pkgutil
+import gc
 import sys
 import uuid
 from functools import lru_cache
@@ -37,6 +38,14 @@ def materialize_counted(df: DataFrame, *measures: Column) -> tuple[DataFrame, tu
     return stored, tuple(seen.get[f"m{i}"] for i in range(len(measures)))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished steps now. It does so for results that
+    neither Python nor the driver's JVM references any more, but learns of them only from a
+    garbage collection, which a long loop of small jobs may not cause for a while."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
