@@ -271,6 +271,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns kept."""
     columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("row"), "text")
-    scored = score(whole, train(docs, labels), "row")
-    return scored.where(F.col("score") >= THRESHOLD).select("row.*")
+    model = train(docs, labels)
+    whole = statistics(docs.select(F.struct(*columns).alias("row"), "text"), "row")
+    # A filter is pushed below a projection by copying the projection's expressions into it, each
+    # as often as it is used: every statistic once per rule. One column that may not be copied
+    # keeps the filter above the statistics.
+    whole = whole.withColumn("place", F.monotonically_increasing_id())
+    return whole.where((model.column() >= THRESHOLD) & (F.col("place") >= 0)).select("row.*")
