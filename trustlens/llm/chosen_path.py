@@ -36,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens.llm.common import materialize, materialize_counted, release, stored_side
@@ -156,27 +156,42 @@ def _agreement(x: str, y: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, v: s + v) / F.lit(float(COORDINATES))
 
 
+def _roots(sets: DataFrame, slots: int) -> DataFrame:
+    """(node, id, sid, slot): the first branches of all trees. Slot j chooses coordinate j."""
+    chosen = F.array(*(F.xxhash64(F.lit(j), F.element_at("sketch", j + 1)) for j in range(slots)))
+    return sets.select("id", "sid", F.posexplode(chosen).alias("slot", "node"))
+
+
 def _children(rows: DataFrame, branches: int, level: int) -> DataFrame:
-    """(node, id) one level down, from (node, id, sketch)."""
+    """(node, id, sid, slot -1) one level down, from (node, id, sid, sketch)."""
     chosen = []
     for i in range(branches):
         at = F.pmod(F.xxhash64("node", F.lit(1000 + 10 * level + i)), F.lit(COORDINATES)).cast("int")
         chosen.append(F.xxhash64("node", at, F.element_at("sketch", at + 1)))
-    return rows.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "id")
+    return rows.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "id", "sid", F.lit(-1).alias("slot"))
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, s: float, floor: float) -> DataFrame:
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, s: float, floor: float, slots: int) -> DataFrame:
     """Candidate pairs (a, b) of small nodes, compared exhaustively: sizes that allow the similarity,
-    token agreement."""
-    rows = leaf.join(sets, "id").select("node", "id", "size", "sketch")
+    token agreement. Two sets that share several small first branches are compared in the first of
+    them only: ``seen`` has a bit for each slot in which the set's own branch is small."""
+    rows = leaf.join(sets, ["id", "sid"])
+    bit = F.when(F.col("slot") >= 0, F.call_function("shiftleft", F.lit(1), F.col("slot"))).otherwise(0)
+    rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
+    rows = rows.select("node", "id", "slot", "seen", "size", "sketch")
     other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch")))
+    met = F.lit(False)
+    for i in range(slots):
+        same = F.element_at("sketch", i + 1) == F.element_at("other_sketch", i + 1)
+        met = met | ((F.col("slot") > i) & (F.col("seen").bitwiseAND(F.lit(1 << i)) != 0) & same)
     near = rows.join(other, "node").where(
         (F.col("id") < F.col("other_id"))
         & (_size_ratio("size", "other_size") >= s)
+        & ~met
         & (_agreement("sketch", "other_sketch") >= floor)
     )
     return near.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
@@ -195,7 +210,7 @@ def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int]:
-    """(node, id, c, n) of the nodes that still hold several components, and how many rows lie in nodes
+    """(node, id, sid, slot, c, n) of the nodes that still hold several components, and how many rows lie in nodes
     above the leaf size."""
     rows = _label(rows, labels)
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -213,7 +228,7 @@ def _with_pivots(big: DataFrame) -> DataFrame:
     )
     rows = big.join(first, "node").withColumn("p_like", _agreement("sketch", "p.sketch"))
     most = _size_ratio("size", "p.size").alias("p_most")
-    own = ["node", "id", "c", "size", "sketch"]
+    own = ["node", "id", "sid", "c", "size", "sketch"]
     rows = materialize(rows.select(*own, F.col("p.id").alias("p"), F.col("p.c").alias("p_c"), "p_like", most))
     second = rows.where("id != p").groupBy("node").agg(
         F.max_by(F.struct("id", "c", "size", "sketch"), F.struct("p_like", F.xxhash64("id"))).alias("q")
@@ -244,25 +259,25 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack:
         # upper bound of d(pivot, inside) + radius < lower bound of d(pivot, any outside)
         apart = (1 - F.col(f"{x}_like") + slack) + radius < 1 - F.col(f"{x}_out")
         settled = settled | ((F.col("c") == F.col(f"{x}_now")) & (F.col(f"{x}_out").isNull() | apart))
-    return now.join(outside, "node").where(~settled).select("node", "id", "sketch")
+    return now.join(outside, "node").where(~settled).select("node", "id", "sid", "sketch")
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) over distinct sets (id, size, sketch) with the same components as all links of at least
+    """Edges (u, v) over distinct sets (id, sid, size, sketch) with the same components as all links of at least
     ``percent`` similarity."""
     s = percent / 100
     slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
     floor = s - slack
-    roots = F.array(*(F.xxhash64(F.lit(-1 - t)) for t in range(trees_for(s))))
-    rows = _children(sets.select(F.explode(roots).alias("node"), "id", "sketch"), BRANCHES[0], 0)
+    slots = trees_for(s) * BRANCHES[0]
+    rows = _roots(sets, slots)
     edges = labels = None
     leaves, level = [], 1
     while True:
         nodes, n_big = _open_nodes(rows, labels)
-        leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id"))
+        leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "slot"))
         if not n_big:
             break
-        rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "c").join(sets, "id"))
+        rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets, ["id", "sid"]))
         near = _union([
             rows.where(
                 (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
@@ -277,7 +292,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
         release(docs.sparkSession)
-    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, s, floor), labels))
+    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, s, floor, slots), labels))
     release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its first candidate; then only the pairs still in different components
@@ -332,7 +347,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    edges = links(sets.select("id", F.col("n_shingles").alias("size"), "sketch"), docs, k, percent)
+    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch")
+    edges = links(sets, docs, k, percent)
     labels = components(edges.unionAll(same.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     of_id = (
         placed.groupBy("doc_id").agg(F.min("id").alias("id"))
