@@ -18,9 +18,10 @@ share each chosen branch with probability s and unlike sets part ways.
 - Every level removes sets and parts the unlike ones, so all nodes end up small or within one
   component, however deep. Nothing is capped or dropped.
 
-A comparison looks at the token agreement first and passes what lies within ``MARGIN``
+A comparison looks at the sizes and the token agreement first and passes what lies within ``MARGIN``
 standard deviations of the threshold (3 in a million true links at the very threshold fail
-that); passed pairs are confirmed on the full shingle sets (64-bit hashes). The number of
+that); sets of at most ``TINY`` items bring them along and are compared at once, other passed pairs are
+confirmed on the full shingle sets (64-bit hashes). The number of
 trees follows from ``RECALL``, the chance for a pair at the threshold in the deepest nodes.
 
 **Cases.** Null, empty and blank texts have no set and link with nothing (their component is
@@ -45,12 +46,14 @@ from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
 
 COORDINATES = 64
 LEAF = 1024
+#: Sets of at most this size carry their whole items beside the sketch: candidates among them are exact.
+TINY = 40
 #: Coordinates a node chooses, by level; one below these.
 BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999
 MARGIN = 4.5
 
-_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>"
+_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, tiny array<long>"
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -98,21 +101,22 @@ def _batched(rows: Iterable[tuple], types: dict[str, pa.DataType], weight: int,
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (order-free 64-bit fingerprints of the whole set),
-    sketch (null for an empty set)."""
+    sketch (null for an empty set), tiny (the items of a set of at most TINY)."""
 
     def run(batches):
         def rows():
             for doc_id, items in _document_sets(batches, k):
                 if not len(items):
-                    yield doc_id, 0, 0, 0, None
+                    yield doc_id, 0, 0, 0, None, None
                     continue
                 a = np.add.reduce(mix(items)).astype(np.uint64).view(np.int64)
                 b = np.bitwise_xor.reduce(mix(items ^ np.uint64(0xD6E8FEB86659FD93))).astype(np.uint64).view(np.int64)
-                yield doc_id, len(items), int(a), int(b), minwise_tokens(items)
+                tiny = items.view(np.int64) if len(items) <= TINY else None
+                yield doc_id, len(items), int(a), int(b), minwise_tokens(items), tiny
 
         types = {
             "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(),
-            "sketch": pa.list_(pa.int32()),
+            "sketch": pa.list_(pa.int32()), "tiny": pa.list_(pa.int64()),
         }
         yield from _batched(rows(), types, weight=4)
 
@@ -135,20 +139,18 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), and whether they link on the full sets."""
+    """The pairs (a, b) that link on the full sets (an id with several texts: any of them)."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    return (
-        pairs.select("a", "b")
-        .join(left, "a")
-        .join(right, "b")
-        .select("a", "b", both.alias("both"), union.alias("any"))
-        .where(F.col("any") > 0)
-        .groupBy("a", "b")  # an id with several texts: its best
-        .agg(F.max(100 * F.col("both") >= percent * F.col("any")).alias("linked"))
-    )
+    right = sets.select(F.col("id").alias("other"), F.col("items").alias("y"))
+    # the comparison is part of the join, so that only links leave it
+    found = pairs.select("a", "b").join(left, "a").join(right, (F.col("b") == F.col("other")) & _similar("x", "y", percent))
+    return found.select("a", "b").distinct()
+
+
+def _similar(x: str, y: str, percent: int) -> Column:
+    """Whether two item arrays (not empty) are similar enough."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
 
 def _agreement(x: str, y: str) -> Column:
@@ -175,26 +177,28 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, s: float, floor: float, slots: int) -> DataFrame:
-    """Candidate pairs (a, b) of small nodes, compared exhaustively: sizes that allow the similarity,
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, floor: float, slots: int) -> DataFrame:
+    """Candidate pairs (a, b, like) of small nodes, compared exhaustively: sizes that allow the similarity,
     token agreement. Two sets that share several small first branches are compared in the first of
     them only: ``seen`` has a bit for each slot in which the set's own branch is small."""
     rows = leaf.join(sets, ["id", "sid"])
     bit = F.when(F.col("slot") >= 0, F.call_function("shiftleft", F.lit(1), F.col("slot"))).otherwise(0)
     rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
-    rows = rows.select("node", "id", "slot", "seen", "size", "sketch")
-    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch")))
+    rows = rows.select("node", "id", "slot", "seen", "size", "sketch", "tiny")
+    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch", "tiny")))
     met = F.lit(False)
     for i in range(slots):
         same = F.element_at("sketch", i + 1) == F.element_at("other_sketch", i + 1)
         met = met | ((F.col("slot") > i) & (F.col("seen").bitwiseAND(F.lit(1 << i)) != 0) & same)
     near = rows.join(other, "node").where(
         (F.col("id") < F.col("other_id"))
-        & (_size_ratio("size", "other_size") >= s)
+        & (_size_ratio("size", "other_size") >= percent / 100)
         & ~met
         & (_agreement("sketch", "other_sketch") >= floor)
+        & F.coalesce(_similar("tiny", "other_tiny", percent), F.lit(True))
     )
-    return near.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+    like = F.max(_agreement("sketch", "other_sketch")).alias("like")
+    return near.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(like)
 
 
 def _size_ratio(x: str, y: str) -> Column:
@@ -263,7 +267,7 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack:
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) over distinct sets (id, sid, size, sketch) with the same components as all links of at least
+    """Edges (u, v) over distinct sets (id, sid, size, sketch, tiny) with the same components as all links of at least
     ``percent`` similarity."""
     s = percent / 100
     slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
@@ -292,15 +296,18 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
         level += 1
         release(docs.sparkSession)
-    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, s, floor, slots), labels))
+    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, percent, floor, slots), labels))
     release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
-    # each set with its first candidate; then only the pairs still in different components
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges, labels = _with_links(edges, confirm(first, full, percent))
+    # each set with its likest candidate; then only the pairs still in different components
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
+    first = both.groupBy("a").agg(F.max_by("b", F.struct("like", F.xxhash64("b"))).alias("b"))
+    first = materialize(first.select(*_pairs(F.col("a"), F.col("b"))).distinct())
+    edges, _ = _with_links(edges, confirm(first, full, percent))
+    labels = components(edges)
     release(docs.sparkSession)
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
-    found = confirm(left, full, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = confirm(left, full, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = materialize(edges.unionAll(found))
     release(docs.sparkSession)
     return found
@@ -312,7 +319,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _with_links(edges: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges (u, v) with the links found, one contraction on, and the labels they give so far."""
-    new = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = materialize(contract(new if edges is None else edges.unionAll(new)))
     return edges, labels_of(edges)
 
@@ -323,7 +330,7 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         return pairs
     for x in "ab":
         pairs = pairs.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
-    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -342,12 +349,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = linkable.groupBy(*shape).agg(F.min("doc_id").alias("id"))
     placed = materialize(linkable.select("doc_id", *shape).join(groups, shape).select("doc_id", "id").distinct())
     representatives = linkable.join(groups.withColumnRenamed("id", "doc_id"), ["doc_id", *shape], "left_semi")
-    sets = materialize(representatives.select(F.col("doc_id").alias("id"), *shape, "sketch").dropDuplicates(["id", *shape]))
+    representatives = representatives.select(F.col("doc_id").alias("id"), *shape, "sketch", "tiny")
+    sets = materialize(representatives.dropDuplicates(["id", *shape]))
     release(docs.sparkSession)
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch")
+    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch", "tiny")
     edges = links(sets, docs, k, percent)
     labels = components(edges.unionAll(same.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     of_id = (
