@@ -145,7 +145,7 @@ def _folder(fb, name: str) -> str:
 def _stored(fb, as_of) -> DataFrame:
     """The daily series over tables that were written, appended to and read back."""
     root = _folder(fb, "tables")
-    even = F.col("id") % 2 == 0
+    even = F.coalesce(F.col("id") % 2 == 0, F.lit(False))  # rows without an id come with the append
     write_tables(Feedback(fb.businesses, fb.reviews.filter(even), fb.responses.filter(even)), root, reviews_by_month=True)
     none = fb.businesses.limit(0)
     append_tables(Feedback(none, fb.reviews.filter(~even), fb.responses.filter(~even)), root, reviews_by_month=True)
