@@ -40,6 +40,16 @@ def test_paths_without_a_marked_article():
     assert content[-1] == "p" and scores[content][1] == 0
 
 
+def test_ratios_decide_within_and_beside_a_marked_article():
+    text = f"<p>{LONG}</p>" * 4
+    items = "<h2>Parts</h2><ul><li>one cup</ul><table><tr><td>salt</table>"
+    page = f"<main><h1>T</h1>{text}{items}{text}<div class=tools>Share this</div></main>"
+    assert main_text(page) == " ".join(["T"] + [LONG] * 4 + ["Parts one cup salt"] + [LONG] * 4)
+    cards = "<article><p>Another story</p></article>" * 3
+    assert LONG in main_text(f"<div class=post>{text}</div>{cards}")
+    assert main_text(f"<article>{text}</article><div class=low>Terms of use apply.</div>") == " ".join([LONG] * 4)
+
+
 def test_generated_pages_equal_their_article(spark):
     pages = spark.read.parquet(f"{SF_MID}/pages.parquet")
     got = {r["page_id"]: r for r in extract(pages).collect()}
