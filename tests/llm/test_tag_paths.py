@@ -50,6 +50,27 @@ def test_ratios_decide_within_and_beside_a_marked_article():
     assert main_text(f"<article>{text}</article><div class=low>Terms of use apply.</div>") == " ".join([LONG] * 4)
 
 
+@pytest.mark.parametrize(
+    "name",
+    "overflow-hidden has-sidebar no-sidebar comments-open ad-free md:hidden lg:block widget sidebar-wrapper comment-wide".split(),
+)
+def test_layout_classes_do_not_empty_a_page(name):
+    low = "<div class='ad-slot'>buy</div><div class='site-footer'>Imprint, terms.</div>"
+    for text in (f"<article><p>{LONG}</p></article>", f"<div>{f'<p>{LONG}</p>' * 4}</div>"):
+        want = " ".join([LONG] * text.count(LONG))
+        assert main_text(f"<body><div class='{name}'>{text}{low}</div></body>") == want
+        assert main_text(f"<body><div class='{name}'><div id=sidebar>{text}{low}</div></div></body>") == want
+
+
+def test_named_parts_are_left_out():
+    for name in "ad ad-slot site-header nav-menu comment-list cookie-banner sidebar-left page__sidebar widget_recent ad-300x250".split():
+        assert main_text(f"<article><p>{LONG}</p><div class='x {name}'><p>{LONG} No.</p></div></article>") == LONG
+    cards = "<div class=related>" + "<article><p>Another story.</p></article>" * 3 + "</div>"
+    assert main_text(f"<div class=post><p>{LONG}</p><p>{LONG}</p></div>{cards}") == f"{LONG} {LONG}"
+    talk = f"<div class='user-comments'>{'<p>I agree, me too.</p>' * 3}</div>"
+    assert main_text(f"<article>{f'<p>{LONG}</p>' * 3}{talk}</article>") == " ".join([LONG] * 3)
+
+
 def test_generated_pages_equal_their_article(spark):
     pages = spark.read.parquet(f"{SF_MID}/pages.parquet")
     got = {r["page_id"]: r for r in extract(pages).collect()}

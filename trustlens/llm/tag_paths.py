@@ -10,8 +10,10 @@ text is mostly links.
 
 Two kinds of evidence beyond the ratios are taken from the markup. Subtrees that are never article text
 by their tag (menus, headers, footers, sidebars, forms, scripts, styles, hidden parts)
-or by a word of their class, id or role (adverts, comments, notices, ...) are left out before any
-counting. Where a page marks its article (``article``, ``main`` or the role), the mark is evidence
+or by their class, id or role (adverts, comments, notices, ...) are left out before any
+counting. A class counts as a whole (``ad-slot``, ``site-header``): every part is a skip word or a known
+companion of one. Layout states (``has-sidebar``, ``md:hidden``) say nothing; other classes with a skip word divide the
+ratio by MARK. A part that holds the only marked article, ``main`` or most of the text is not left out for its class. Where a page marks its article (``article``, ``main`` or the role), the mark is evidence
 beside the ratios: it multiplies the ratios of paths within it and divides those of the others by MARK
 before the threshold. Headings, list items, cells and captions of a marked article are short by
 nature; they also stay with the text they belong to (the next block for headings, the one before for the others)
@@ -42,6 +44,8 @@ THRESHOLD = 0.3
 REACH, WIDTH = 3, 1.5
 #: Share of link characters from which a path is a link list.
 LINKS = 0.6
+#: Share of the page's text from which a part is not left out for its class, id or role.
+MOST = 0.8
 #: Weight of a marked article: its paths' ratios count so many times, other paths' so many times less.
 MARK = 8.0
 
@@ -57,7 +61,8 @@ SKIPPED_TAGS = frozenset(
     "head script style noscript template textarea xmp iframe noembed noframes object svg math canvas audio video "
     "nav header footer aside form button select option optgroup datalist dialog menu search title".split()
 )
-#: Words of a class, id or role that mark a part as not the article's text.
+#: Words of a class, id or role that mark a part as not the article's text: the class is made of these and of
+#: COMPANIONS. A class with a word of STATES tells how something else is laid out.
 SKIPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar pagination pager "
@@ -67,6 +72,13 @@ SKIPPED_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search form widget "
     "copyright disclaimer hidden".split()
 )
+COMPANIONS = frozenset(
+    "slot box list area wrap wrapper container section block unit zone placeholder left right top bottom inner outer main "
+    "primary secondary site page global post posts article entry blog recent latest top links link buttons button btn bar "
+    "icons group row col column body content desktop mobile sticky fixed floating inline wp fb js visually rail "
+    "leaderboard skyscraper rectangle small large sm md lg xl user item items text title".split()
+)
+STATES = frozenset("has no not with without show hide overflow open opened closed free enabled disabled on off hover focus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is short by nature, besides headings.
 SHORT_TAGS = frozenset("li dt dd td th caption figcaption pre".split())
@@ -88,6 +100,7 @@ _TOKEN = re.compile(
 )
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_PLAIN = re.compile(r"[^\W_][\w-]*")  # no variant such as md:hidden
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
@@ -98,24 +111,50 @@ class Block:
     text: str
     links: int
     in_article: bool
+    doubtful: bool = False
+
+
+@dataclass
+class Part:
+    """A part whose class, id or role has it left out: its text and the marked articles in it."""
+
+    start: int
+    outermost: bool
+    in_article: bool
+    chars: int = 0
+    articles: int = 0
+    main: bool = False
+
 
+#: What a part's markup says of it, from nothing to left out in any case.
+LIKELY, DOUBTFUL, NAMED, NEVER = range(4)
 
-def _unlikely(tag: str, attrs: str) -> bool:
-    """Whether a part is left out by its tag, class, id, role or because it is hidden."""
+
+def _word_level(token: str) -> int:
+    """What one class, id or role says."""
+    words = [w for w in _WORDS.findall(token) if len(w) > 1]
+    if SKIPPED_WORDS.isdisjoint(words) or not STATES.isdisjoint(words) or not _PLAIN.fullmatch(token):
+        return LIKELY
+    return NAMED if all(w in SKIPPED_WORDS or w in COMPANIONS for w in words) else DOUBTFUL
+
+
+def _level(tag: str, attrs: str) -> int:
+    """What a part's tag, class, id, role or hiding says of it."""
     if tag in SKIPPED_TAGS:
-        return True
+        return NEVER
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return LIKELY
+    level = LIKELY
     for name, a, b, c in _MARK.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return NEVER
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif not SKIPPED_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+                return NEVER
+        else:
+            level = max([level, *map(_word_level, value.split())])
+    return level
 
 
 def _classes(attrs: str) -> str:
@@ -127,8 +166,25 @@ def _classes(attrs: str) -> str:
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without left-out parts."""
+    found, parts = _parse(page, frozenset())
+    if not parts:
+        return found
+    total = sum(len(b.text) for b in found) + sum(p.chars for p in parts if p.outermost)
+    marked = any(b.in_article for b in found)
+    held = frozenset(
+        p.start
+        for p in parts
+        if not p.in_article and p.chars and (p.chars >= MOST * total or (not marked and (p.main or p.articles == 1)))
+    )
+    return _parse(page, held)[0] if held else found
+
+
+def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
+    """The blocks outside of left-out parts, and the parts left out by name, but for those that start
+    at ``held``."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path step, left out, article
+    parts: list[Part] = []
+    stack: list[tuple[str, str, bool, bool, bool, Part | None]] = []  # tag, path step, left out, article, doubtful, named part
     text: list[str] = []
     links = link_depth = 0
 
@@ -137,7 +193,7 @@ def blocks(page: str) -> list[Block]:
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
             steps = tuple(s[1] for s in stack if s[1])
-            found.append(Block(steps, joined, links, any(s[3] for s in stack)))
+            found.append(Block(steps, joined, links, bool(stack) and stack[-1][3], bool(stack) and stack[-1][4]))
         text.clear()
         links = 0
 
@@ -146,7 +202,13 @@ def blocks(page: str) -> list[Block]:
         if any(s[1] for s in stack[depth:]):
             close_block()
         link_depth -= sum(s[0] == "a" for s in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            part = stack.pop()[5]
+            above = stack[-1][5] if stack else None
+            if part and above and part is not above:
+                above.chars += part.chars
+                above.articles += part.articles
+                above.main |= part.main
 
     at = 0
     while True:
@@ -156,6 +218,8 @@ def blocks(page: str) -> list[Block]:
             text.append(piece)
             if link_depth:
                 links += len(piece.strip())
+        elif piece and stack[-1][5]:
+            stack[-1][5].chars += len(piece.strip())
         if not token:
             break
         at = token.end()
@@ -188,16 +252,33 @@ def blocks(page: str) -> list[Block]:
             close_block()
         if tag in VOID_TAGS:
             continue
-        skipped = bool(stack and stack[-1][2]) or _unlikely(tag, token["attrs"])
         if tag in RAW_TAGS:  # their content is not markup
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        article = tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", token["attrs"], re.I))
-        stack.append((tag, f"{tag}{_classes(token['attrs'])}" if block else "", skipped, article))
+        _, _, out, in_article, doubtful, part = stack[-1] if stack else ("", "", False, False, False, None)
+        if not out or part:  # within a part left out in any case nothing counts
+            level = _level(tag, token["attrs"])
+            if level == NEVER:
+                out, part = True, None
+            elif level == NAMED and token.start() not in held:
+                part = Part(token.start(), part is None, in_article)
+                parts.append(part)
+                out = True
+            doubtful = doubtful or level == DOUBTFUL
+        role = re.search(r"role\s*=\s*[\"']?(main|article)\b", token["attrs"], re.I)
+        if tag in ("article", "main") or role:
+            if not in_article:
+                doubtful = False
+                if part:
+                    part.articles += 1
+                    part.main |= tag == "main" or bool(role and role[1].lower() == "main")
+            in_article = True
+        stack.append((tag, f"{tag}{_classes(token['attrs'])}" if block else "", out, in_article, doubtful, part))
         link_depth += tag == "a"
     close_block()
-    return found
+    pop_to(0)
+    return found, parts
 
 
 def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -251,7 +332,8 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     scores = path_scores(found)
     marked = any(b.in_article for b in found)
-    values = [scores[b.path][0] * ((MARK if b.in_article else 1 / MARK) if marked else 1.0) for b in found]
+    weights = [(MARK if b.in_article else 1 / MARK) if marked else 1.0 for b in found]
+    values = [scores[b.path][0] * w / (MARK if b.doubtful else 1.0) for b, w in zip(found, weights)]
     mean = sum(values) / len(values) if values else 0.0
     deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) if values else 0.0
     kept = [v >= THRESHOLD * deviation and scores[b.path][1] < LINKS for v, b in zip(values, found)]
