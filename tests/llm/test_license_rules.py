@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 import pytest
 
 from trustlens.llm import license_rules
@@ -40,6 +42,69 @@ def test_full_texts_use_up_their_sentences(make_docs):
     assert got[1][2] == ["mit-permission", "mit-condition", "mit-disclaimer", "mit-liability"]
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def _wrap(text, width=60):
+    return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+
+
+def test_wrapped_notices_in_comments(make_docs):
+    notices = [
+        (_wrap(MIT), "MIT"), (_wrap(APACHE), "Apache-2.0"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"),
+        (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2).replace("2 of the License", "2"), "GPL-2.0-or-later"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (ISC, "ISC"),
+        ("Licensed under the Apache\nLicense, Version 2.0.", "Apache-2.0"), ("Released into the public\ndomain.", "Public-Domain"),
+        ("Licensed under Creative Commons Attribution\nNonCommercial 4.0.", "CC-BY-NC"),
+    ]
+    rows, want = [], {}
+    for text, name in notices:
+        one_line = " ".join(text.split())
+        lines = text.split("\n")
+        starred = "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */"
+        forms = [text, starred, text.replace("\n", "\r\n"), *("\n".join(f"{c} {x}".rstrip() for x in lines) for c in ("#", "//", ";;", "--"))]
+        for form in forms + ([one_line] if name.startswith("GPL") else []):
+            want[len(rows)] = ([name], [])
+            rows.append((len(rows), form))
+    got = {i: v[:2] for i, v in _scan(make_docs(rows)).items()}
+    assert got == want
+
+
+def test_lines_without_a_full_stop_stay_apart(make_docs):
+    rows = [
+        (1, "A title\nReleased under the MIT License\nLicensed under CC BY-SA 4.0\nmore"),
+        (2, "Copyright 2020 A\nReleased under the MIT License\nAll rights reserved"),
+        (3, "Copyright 2020 A Company of Many\nWords, all rights reserved"), (4, "Copyright 2020\n" * 20_000),
+    ]
+    got = {i: v[2] for i, v in _scan(make_docs(rows)).items()}
+    assert got == {1: ["mit-grant", "cc-by-sa-grant"], 2: ["mit-grant", "all-rights"], 3: ["all-rights"], 4: []}
+
+
 def test_order_matters(make_docs):
     turned = "\n".join(reversed(MIT.split("\n")))
     assert _scan(make_docs([(1, turned)]))[1][0] == []

@@ -1,8 +1,11 @@
 """License scans by sentence rules.
 
-Lines that hold a licence word are cut into sentences. A sentence is normalised (lower case, no
-punctuation but dots inside numbers, single spaces) and mapped to the identifier of the
-licence sentence it is, by an ordered table of patterns; other sentences have none. A document's
+Comment signs at either end of the lines are taken off. Paragraphs (runs of lines that are not blank) that hold a
+licence word are cut into sentences. A sentence is normalised (lower case, no punctuation but dots inside numbers,
+single spaces, its line ends kept) and searched for licence sentences, by an ordered table of patterns. They
+start where a sentence or a line starts and end where one ends, so that both wrapped sentences and lines without
+a full stop are found; within a pattern, free words run over at most WRAPS line ends, and over none before
+another licence sentence. Other sentences have no identifier. A document's
 identifiers, in order, form a sequence; ordered licence rules, longest first, are matched against it.
 A rule that matches names its licence and uses up its sentences, so that a full licence text is not
 also reported as its parts. Identifiers that no rule used are listed as unmatched. The whole
@@ -15,12 +18,24 @@ are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line without any of these holds no known sentence.
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|gnu |rights reserved"
 SENTENCE_END = r"[.!?;](?:\s+|$)"
+#: TRIGGER with its blanks as line ends and comment signs.
+WRAPPED_TRIGGER = TRIGGER.replace(" ", r"[\s/*#;%>!-]+")
+#: Line ends that free words within a pattern run over.
+WRAPS = 20
+COMMENT = r"(?im)^[^\S\n]*(?:(?:<!--|/+\*+|//+|\*+/|[*#;%>!]+|--+|(?:rem|dnl)(?=\s))[^\S\n]*)+|[^\S\n]*(?:\*+/+|--+>|[*#]+)[^\S\n]*$"
+BLANK_LINES = r"\n\s*\n"
+#: The GPL's first sentence as one, its version clause as the next, and that clause with the words "of the License".
+FREE_SOFTWARE = r"(?i)(free\s+software)\s*;(\s+you\s+can\s+redistribute)"
+FOUNDATION = r"(?i)(free\s+software\s+foundation),(\s+(?:either\s+)?version\s)"
+VERSION_ONLY = r"(?i)(either\s+version\s+[23])(,?\s+or\s)"
 
 # Licence sentences (normalised, as patterns of the whole sentence) by identifier.
 _SUBJECT = r"(?:(?:this|the) (?:work|program|software|file|project|code|document|package|library|source code)(?: is| may be used)?|it is)?"
@@ -124,16 +139,39 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 
 def normalise(sentence: Column) -> Column:
-    """Lower case, punctuation as blanks but for dots between digits and slashes, single blanks."""
-    kept = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}./]|\.(?![0-9])|(?<![0-9])\.", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    """Lower case, punctuation as blanks but for dots between digits and slashes, single blanks and line ends."""
+    kept = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}./\n]|\.(?![0-9])|(?<![0-9])\.", " ")
+    return F.regexp_replace(F.regexp_replace(kept, r"[^\S\n]+", " "), r"^\s+|\s+$|(?: ?\n)+ ?(?=\n)| (?=\n)|(?<=\n) ", "")
+
+
+def _over_lines(pattern: str, free: str) -> str:
+    """A pattern with line ends for blanks; free words at either end stay in their line, others are ``free``."""
+    start, end = pattern.startswith(".*"), re.search(r"( ?)\.\*((?:\)\?)?)$", pattern)
+    body = pattern[2 * start : end.start() if end else None].replace(".*", "\0").replace(" ", r"[ \n]").replace("\0", free)
+    return (r"[^\n]*" if start else "") + body + (end[1] + r"[^\n]*" + end[2] if end else "")
+
+
+def _any_sentence() -> str:
+    """One pattern for every licence sentence, from a line's start to a line's end, in order of the table."""
+    lines = "|".join(_over_lines(pattern, r"[^\n]*") for _, pattern in SENTENCES)
+    free = rf"(?:[^\n]*\n(?!(?:{lines})(?:\n|$))){{0,{WRAPS}}}?[^\n]*"
+    return r"(?:^|(?<=\n))(?:" + "|".join(_over_lines(pattern, free) for _, pattern in SENTENCES) + r")(?=\n|$)"
 
 
 def sentences(text: Column) -> Column:
-    """The normalised sentences of the lines that hold a licence word, in order."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(TRIGGER))
-    parts = F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE_END)))
-    return F.filter(F.transform(parts, normalise), lambda x: x != "")
+    """The normalised licence sentences of a text, in order."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), COMMENT, "")
+    paragraphs = F.filter(F.split(bare, BLANK_LINES), lambda x: x.rlike(WRAPPED_TRIGGER))
+
+    def cut(paragraph: Column) -> Column:
+        for pattern, told in ((FREE_SOFTWARE, "$1:$2"), (FOUNDATION, "$1;$2"), (VERSION_ONLY, "$1 of the License$2")):
+            paragraph = F.regexp_replace(paragraph, pattern, told)
+        return F.split(paragraph, SENTENCE_END)
+
+    parts = F.flatten(F.transform(paragraphs, cut))
+    every = F.lit(_any_sentence())
+    found = F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(normalise(x), every, F.lit(0))))
+    return F.filter(F.transform(found, lambda x: F.trim(F.translate(x, "\n", " "))), lambda x: x != "")
 
 
 def identifier(sentence: Column) -> Column:
@@ -151,7 +189,7 @@ def _rule_pattern(names: tuple[str, ...]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids (in order), licenses (in order of the rules, each
     once), unmatched (identifiers that no rule used)."""
-    holds = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    holds = F.coalesce(F.col("text").rlike(WRAPPED_TRIGGER), F.lit(False))
     found = F.when(holds, sentences(F.col("text"))).otherwise(F.array().cast("array<string>"))
     out = docs.select("doc_id", found.alias("sentences"))
     out = out.select("doc_id", F.transform("sentences", identifier).alias("ids"))
