@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from brute_sets import components as brute
 
 from trustlens.llm import chosen_path
@@ -89,3 +91,37 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_trees_follow_the_recall():
     assert chosen_path.trees_for(0.8) > chosen_path.trees_for(0.95) >= 1
     assert chosen_path.trees_for(0.85, 0.999999) > chosen_path.trees_for(0.85, 0.9)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_meet_in_deep_trees(spark, percent):
+    """Follows the nodes that the two sets of a pair share down to level 24."""
+    rng, depth, pairs, similar = random.Random(3), 24, 150, percent / 100
+    rows = []
+    for pair in range(pairs):
+        a = [rng.randrange(2**31) for _ in range(chosen_path.COORDINATES)]
+        same = set(rng.sample(range(len(a)), math.ceil(similar * len(a))))
+        b = [x if i in same else rng.randrange(2**31) for i, x in enumerate(a)]
+        rows += [(pair, 0, a), (pair, 1, b)]
+    sets = spark.createDataFrame(rows, "id long, sid long, sketch array<int>").cache()
+    trees = chosen_path.trees_for(similar, depth=depth)
+    nodes = chosen_path._roots(sets, range(trees * chosen_path.BRANCHES[0]))
+    for level in range(1, depth + 1):
+        both = nodes.groupBy("id", "node").agg(F.countDistinct("sid").alias("n")).where("n = 2").select("id", "node")
+        met = both.localCheckpoint()
+        if level < depth:
+            nodes = chosen_path._children(met.join(sets, "id"), level, similar)
+    assert met.select("id").distinct().count() >= pairs - 3
+
+
+def test_deep_trees_are_added(make_docs, monkeypatch):
+    """Leaves of two sets and alike sets without links: the trees go deeper than BRANCHES."""
+    rng, ranges, roots = random.Random(9), [], chosen_path._roots
+    words = [f"z{i}" for i in range(150)]
+    rows = [(i, " ".join(_edited(rng, words, 5))) for i in range(60)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 60, 3)]
+    monkeypatch.setattr(chosen_path, "LEAF", 2)
+    monkeypatch.setattr(chosen_path, "BRANCHES", (2, 2))
+    monkeypatch.setattr(chosen_path, "_roots", lambda sets, slots: ranges.append(slots) or roots(sets, slots))
+    _check(rows, _found(make_docs(rows), k=3, percent=85), k=3, percent=85)
+    assert len(ranges) > 1 and all(a.stop == b.start for a, b in zip(ranges, ranges[1:]))

@@ -2,8 +2,8 @@
 
 A document's set holds its distinct k-word shingles. Exact copies (equal sets) collapse
 first. Each distinct set is embedded as ``COORDINATES`` minwise tokens. Several independent
-trees then branch recursively: a node picks two (deeper down one) of the coordinates by its
-own hash, and its sets go to a child per token they have there, so two sets of similarity s
+trees then branch recursively: a node picks two (deeper down one, below the levels of ``BRANCHES`` at times
+two) of the coordinates by its own hash, and its sets go to a child per token they have there, so two sets of similarity s
 share each chosen branch with probability s and unlike sets part ways.
 
 - A node of at most ``LEAF`` sets is compared exhaustively.
@@ -22,7 +22,9 @@ A comparison looks at the sizes and the token agreement first and passes what li
 standard deviations of the threshold (3 in a million true links at the very threshold fail
 that); sets of at most ``TINY`` items bring them along and are compared at once, other passed pairs are
 confirmed on the full shingle sets (64-bit hashes). The number of
-trees follows from ``RECALL``, the chance for a pair at the threshold in the deepest nodes.
+trees follows from ``RECALL``, the chance for a pair at the threshold in the deepest nodes: below
+``BRANCHES`` such a pair has one shared child on average, and where the trees went deeper than their number
+allows for, more trees follow until it does.
 
 **Cases.** Null, empty and blank texts have no set and link with nothing (their component is
 their own id). A text of fewer words than k is one shingle. Rows without an id link with
@@ -48,7 +50,8 @@ COORDINATES = 64
 LEAF = 1024
 #: Sets of at most this size carry their whole items beside the sketch: candidates among them are exact.
 TINY = 40
-#: Coordinates a node chooses, by level; one below these.
+#: Coordinates a node chooses, by level; below these one, and a second one so often that a pair at the threshold shares
+#: one child on average.
 BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999
 MARGIN = 4.5
@@ -57,10 +60,18 @@ _SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch a
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def trees_for(similarity: float, recall: float = RECALL) -> int:
+def second_branch(similarity: float) -> float:
+    """How often a node below the levels of ``BRANCHES`` chooses a second coordinate."""
+    return min(1.0, 1 / similarity - 1)
+
+
+def trees_for(similarity: float, recall: float = RECALL, depth: int = 0) -> int:
     """Independent trees such that a pair at ``similarity`` shares a leaf with chance ``recall``
-    even if its path goes to full depth."""
-    survive = 1.0
+    even if its path goes to full depth: ``depth`` levels, those of ``BRANCHES`` at least."""
+    survive, second = 1.0, second_branch(similarity)
+    for _ in range(depth - len(BRANCHES)):
+        one = similarity * survive
+        survive = (1 - second) * one + second * (1 - (1 - one) ** 2)
     for branches in reversed(BRANCHES):
         survive = 1 - (1 - similarity * survive) ** branches
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
@@ -158,19 +169,26 @@ def _agreement(x: str, y: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, v: s + v) / F.lit(float(COORDINATES))
 
 
-def _roots(sets: DataFrame, slots: int) -> DataFrame:
-    """(node, id, sid, slot): the first branches of all trees. Slot j chooses coordinate j."""
-    chosen = F.array(*(F.xxhash64(F.lit(j), F.element_at("sketch", j + 1)) for j in range(slots)))
-    return sets.select("id", "sid", F.posexplode(chosen).alias("slot", "node"))
+def _roots(sets: DataFrame, slots: range) -> DataFrame:
+    """(node, id, sid, slot): the first branches of the trees. Slot j chooses coordinate j, from the first again
+    after the last."""
+    chosen = F.array(*(F.xxhash64(F.lit(j), F.element_at("sketch", j % COORDINATES + 1)) for j in slots))
+    return sets.select("id", "sid", F.posexplode(chosen).alias("slot", "node")).withColumn("slot", F.col("slot") + slots.start)
 
 
-def _children(rows: DataFrame, branches: int, level: int) -> DataFrame:
+def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
     """(node, id, sid, slot -1) one level down, from (node, id, sid, sketch)."""
+    below = level >= len(BRANCHES)
     chosen = []
-    for i in range(branches):
+    for i in range(2 if below else BRANCHES[level]):
         at = F.pmod(F.xxhash64("node", F.lit(1000 + 10 * level + i)), F.lit(COORDINATES)).cast("int")
-        chosen.append(F.xxhash64("node", at, F.element_at("sketch", at + 1)))
-    return rows.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "id", "sid", F.lit(-1).alias("slot"))
+        child = F.xxhash64("node", at, F.element_at("sketch", at + 1))
+        if below and i:
+            draw = F.pmod(F.xxhash64("node", F.lit(1009 + 10 * level)), F.lit(1 << 20))
+            child = F.when(draw < math.ceil(second_branch(similarity) * (1 << 20)), child)
+        chosen.append(child)
+    nodes = F.array_compact(F.array_distinct(F.array(*chosen)))
+    return rows.select(F.explode(nodes).alias("node"), "id", "sid", F.lit(-1).alias("slot"))
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -180,16 +198,18 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, floor: float, slots: int) -> DataFrame:
     """Candidate pairs (a, b, like) of small nodes, compared exhaustively: sizes that allow the similarity,
     token agreement. Two sets that share several small first branches are compared in the first of
-    them only: ``seen`` has a bit for each slot in which the set's own branch is small."""
+    them only: ``seen`` has a bit for each slot (of the first COORDINATES - 1) in which the set's own branch is small."""
+    slots = min(slots, COORDINATES - 1)
     rows = leaf.join(sets, ["id", "sid"])
-    bit = F.when(F.col("slot") >= 0, F.call_function("shiftleft", F.lit(1), F.col("slot"))).otherwise(0)
+    one = F.lit(1).cast("long")
+    bit = F.when(F.col("slot").between(0, slots - 1), F.call_function("shiftleft", one, F.col("slot"))).otherwise(0)
     rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
     rows = rows.select("node", "id", "slot", "seen", "size", "sketch", "tiny")
     other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch", "tiny")))
     met = F.lit(False)
     for i in range(slots):
         same = F.element_at("sketch", i + 1) == F.element_at("other_sketch", i + 1)
-        met = met | ((F.col("slot") > i) & (F.col("seen").bitwiseAND(F.lit(1 << i)) != 0) & same)
+        met = met | ((F.col("slot") > i) & (F.col("seen").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & same)
     near = rows.join(other, "node").where(
         (F.col("id") < F.col("other_id"))
         & (_size_ratio("size", "other_size") >= percent / 100)
@@ -272,30 +292,33 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     s = percent / 100
     slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
     floor = s - slack
-    slots = trees_for(s) * BRANCHES[0]
-    rows = _roots(sets, slots)
     edges = labels = None
-    leaves, level = [], 1
-    while True:
-        nodes, n_big = _open_nodes(rows, labels)
-        leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "slot"))
-        if not n_big:
-            break
-        rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets, ["id", "sid"]))
-        near = _union([
-            rows.where(
-                (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
-            ).select(*_pairs(F.col("id"), F.col(x)))
-            for x in "pq"
-        ])
-        near, (n_near,) = materialize_counted(near.distinct(), F.count(F.lit(1)))
-        if n_near:
-            found = confirm(near, shingle_sets(docs, _ends(near), k), percent)
-            edges, labels = _with_links(edges, found)
-        rest = materialize(_unsettled(rows, labels, 1 - s, slack))
-        rows = _children(rest, BRANCHES[level] if level < len(BRANCHES) else 1, level)
-        level += 1
-        release(docs.sparkSession)
+    leaves, trees, depth = [], 0, len(BRANCHES)
+    while trees < (wanted := trees_for(s, depth=depth)):
+        rows, level = _roots(sets, range(trees * BRANCHES[0], wanted * BRANCHES[0])), 1
+        trees = wanted
+        while True:
+            nodes, n_big = _open_nodes(rows, labels)
+            leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "slot"))
+            if not n_big:
+                break
+            rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets, ["id", "sid"]))
+            near = _union([
+                rows.where(
+                    (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
+                ).select(*_pairs(F.col("id"), F.col(x)))
+                for x in "pq"
+            ])
+            near, (n_near,) = materialize_counted(near.distinct(), F.count(F.lit(1)))
+            if n_near:
+                found = confirm(near, shingle_sets(docs, _ends(near), k), percent)
+                edges, labels = _with_links(edges, found)
+            rest = materialize(_unsettled(rows, labels, 1 - s, slack))
+            rows = _children(rest, level, s)
+            level += 1
+            release(docs.sparkSession)
+        depth = max(depth, level)
+    slots = trees * BRANCHES[0]
     pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, percent, floor, slots), labels))
     release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
