@@ -20,6 +20,7 @@ from trustlens.llm import (
     license_rules,
     line_variants,
     oracles,
+    orchard_codes,
     pareto_mix,
     rule_ensemble,
     tag_paths,
@@ -112,6 +113,10 @@ def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
@@ -124,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chosen_path": op8_chosen_path,
         "op9_license_rules": op9_license_rules,
         "op10_chat_grammar": op10_chat_grammar,
+        "op11_orchard_codes": op11_orchard_codes,
     }
 
 
