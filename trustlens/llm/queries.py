@@ -24,6 +24,7 @@ from trustlens.llm import (
     pareto_mix,
     rule_ensemble,
     tag_paths,
+    target_resampling,
     winnowing,
 )
 from trustlens.llm.common import shared_folder, ship_code
@@ -117,6 +118,10 @@ def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
@@ -130,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_rules": op9_license_rules,
         "op10_chat_grammar": op10_chat_grammar,
         "op11_orchard_codes": op11_orchard_codes,
+        "op12_target_resampling": op12_target_resampling,
     }
 
 
