@@ -25,6 +25,7 @@ from trustlens.llm import (
     rule_ensemble,
     tag_paths,
     target_resampling,
+    url_trees,
     winnowing,
 )
 from trustlens.llm.common import shared_folder, ship_code
@@ -122,6 +123,10 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rule_ensemble": op1_rule_ensemble,
@@ -136,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat_grammar": op10_chat_grammar,
         "op11_orchard_codes": op11_orchard_codes,
         "op12_target_resampling": op12_target_resampling,
+        "op13_url_trees": op13_url_trees,
     }
 
 
