@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import textwrap
+import time
 
 import pytest
 
@@ -122,3 +123,16 @@ def test_cases(make_docs):
 @pytest.mark.parametrize("name, ids", license_rules.RULES)
 def test_rules_name_known_sentences(name, ids):
     assert name and set(ids) <= {n for n, _ in license_rules.SENTENCES}
+
+
+def test_long_runs_take_linear_time(make_docs):
+    """Signs, blanks and lines by the hundred thousand neither exhaust the stack nor take quadratic time."""
+    grant, n = "Released under the MIT License.", 100_000
+    runs = ["* " * n, " " * n, "#" * n, "*" * n, "-" * n, "/" * n, "x" * n, "word " * n, "* x " * n, "=\n" * n, "* \n" * n, "# a\n" * n, "\n" * n]
+    runs += ["<!--" * n, "-- " * n, "rem " * n, "*/" * n, "\t \n" * n, "…\n" * n, "copyright " * n, "neither the name of a\n" * 5000]
+    rows = [(i, f"{grant}\n\n{run}") for i, run in enumerate(runs)] + [(100 + i, f"{run}\n\n{grant}") for i, run in enumerate(runs)]
+    rows += [(200 + i, f"{grant}\n{run}") for i, run in enumerate(runs)] + [(300 + i, run + "\nx") for i, run in enumerate(runs)]
+    start = time.monotonic()
+    got = _scan(make_docs(rows))
+    assert time.monotonic() - start < 120
+    assert all(got[i][0] == (["MIT"] if i < 300 else []) for i in got)

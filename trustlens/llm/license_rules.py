@@ -30,7 +30,12 @@ SENTENCE_END = r"[.!?;](?:\s+|$)"
 WRAPPED_TRIGGER = TRIGGER.replace(" ", r"[\s/*#;%>!-]+")
 #: Line ends that free words within a pattern run over.
 WRAPS = 20
-COMMENT = r"(?im)^[^\S\n]*(?:(?:<!--|/+\*+|//+|\*+/|[*#;%>!]+|--+|(?:rem|dnl)(?=\s))[^\S\n]*)+|[^\S\n]*(?:\*+/+|--+>|[*#]+)[^\S\n]*$"
+#: Signs and blanks at the start of a line, a sign at its end. Possessive loops run without a stack, and a run of one
+#: sign or of blanks is tried from its start only, so that time follows the length of the text.
+COMMENT = (
+    r"(?im)^[^\S\n]*+(?:(?:<!--|/++\*++|//++|\*++/|[*#;%>!]++|--++|(?:rem|dnl)(?=\s))[^\S\n]*+)++"
+    r"|(?<![^\S\n])[^\S\n]*+(?:(?<!\*)\*++/++|(?<!-)--++>|(?<![*#])[*#]++)[^\S\n]*+$"
+)
 BLANK_LINES = r"\n\s*\n"
 #: The GPL's first sentence as one, its version clause as the next, and that clause with the words "of the License".
 FREE_SOFTWARE = r"(?i)(free\s+software)\s*;(\s+you\s+can\s+redistribute)"
@@ -141,7 +146,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 def normalise(sentence: Column) -> Column:
     """Lower case, punctuation as blanks but for dots between digits and slashes, single blanks and line ends."""
     kept = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}./\n]|\.(?![0-9])|(?<![0-9])\.", " ")
-    return F.regexp_replace(F.regexp_replace(kept, r"[^\S\n]+", " "), r"^\s+|\s+$|(?: ?\n)+ ?(?=\n)| (?=\n)|(?<=\n) ", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(kept, r"[^\S\n]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
 def _over_lines(pattern: str, free: str) -> str:
