@@ -17,8 +17,10 @@ class Node:
     text: str
     children: list["Node"] = field(default_factory=list)
     meta: dict = field(default_factory=dict)  # untruncated scan metadata (PushedFilters, ReadSchema, ...)
+    reused: list["Node"] = field(default_factory=list)  # the exchange whose output is read again
 
     def walk(self):
+        """The nodes that run; what a reused exchange stands for runs once, elsewhere."""
         yield self
         for c in self.children:
             yield from c.walk()
@@ -35,9 +37,10 @@ def _convert(jnode) -> Node:
     elif name == "AdaptiveSparkPlan":
         kids = [jnode.executedPlan()]
     elif name == "ReusedExchange":
-        kids = []  # it reads another exchange's output; nothing below runs again
+        kids = []
     else:
         kids = _seq(jnode.children())
+    reused = [jnode.child()] if name == "ReusedExchange" else []
     meta = {}
     if name.startswith("Scan"):
         try:
@@ -51,7 +54,7 @@ def _convert(jnode) -> Node:
     elif name == "Window":
         meta["partitionSpec"] = [e.sql() for e in _seq(jnode.partitionSpec())]
         meta["orderSpec"] = [e.sql() for e in _seq(jnode.orderSpec())]
-    return Node(name, jnode.simpleString(400), [_convert(k) for k in kids], meta)
+    return Node(name, jnode.simpleString(400), [_convert(k) for k in kids], meta, [_convert(k) for k in reused])
 
 
 def physical_plan(df: DataFrame) -> Node:
@@ -71,10 +74,10 @@ def scans(df: DataFrame) -> list[str]:
 
 
 def first_below(node: Node, names: tuple[str, ...]) -> str | None:
-    """Name of the first node under ``node`` (depth first) whose name starts with one of
-    ``names``."""
-    for child in node.children:
-        for n in child.walk():
-            if n.name.startswith(names):
-                return n.name
+    """Name of the first node under ``node`` (depth first, through reused exchanges) whose name
+    starts with one of ``names``."""
+    for child in node.children + node.reused:
+        found = child.name if child.name.startswith(names) else first_below(child, names)
+        if found:
+            return found
     return None
