@@ -85,12 +85,10 @@ def test_search_prunes():
     """On well separated entries most list entries lie beyond the bound and are never compared."""
     rng = np.random.default_rng(3)
     entries = rng.integers(-100_000, 100_000, (256, 4))
-    search, seen = oc.Orchard(entries, 1), []
-    plain = search._distances
-    search._distances = lambda x, y: (seen.append(len(x) * len(y)), plain(x, y))[1]
+    search = oc.Orchard(entries, 1)
     x = entries[rng.integers(0, 256, 500)] + rng.integers(-50, 50, (500, 4))
     index, _ = search.nearest(x)
-    assert sum(seen) < 0.4 * 500 * 256
+    assert search.compared < 0.4 * 500 * 256
     assert (index == ((x[:, None] - entries[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
 
 

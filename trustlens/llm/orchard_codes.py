@@ -11,7 +11,7 @@ is marked and compared; when it is nearer (or as near with a lower index) the pa
 entry's list. It stops at the first list entry farther from the current one than twice the
 current distance, as by the triangle inequality nothing beyond can be as near. All numbers are
 integers, so the bound and the ties are exact: the result is the nearest entry, the lowest index
-among equals. Parts at the same entry walk its list together, ``BLOCK`` entries a step.
+among equals. Many parts walk their lists together, ``BLOCK`` entries a step.
 
 **Scale.** Vectors are stored once as integers (zstd Parquet in the shared folder); every round is
 one pass of Arrow batches over them that gives at most ``PARTS * ENTRIES`` partial sums a task,
@@ -46,12 +46,12 @@ ROUNDS = 4
 SCALE = 1024
 LIMIT = 1 << 26
 #: List entries that a step compares, probe entries of a start, vectors searched together.
-BLOCK = 32
+BLOCK = 16
 PROBES = 16
 TOGETHER = 1 << 15
 SALTS = 32
-#: Largest component for which float64 products and their sums are exact integers.
-_EXACT = 1 << 21
+#: Squared distances below this are exact in float64, with all products and sums on the way.
+_EXACT = 1 << 50
 
 
 def integer_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,68 +91,62 @@ class Orchard:
     """Nearest-entry search in one codebook (entries by components, integers)."""
 
     def __init__(self, entries: np.ndarray, block: int = BLOCK):
-        exact = len(entries) == 0 or (np.abs(entries).max() <= _EXACT // 2 and entries.shape[1] <= 256)
-        self.entries, self.block = entries, block
-        self.kind = np.float64 if exact else np.int64
-        own = self._distances(entries, entries)
         k = len(entries)
+        self.entries = entries
+        own = self._distances(entries, np.arange(k))
+        self.steps = np.arange(block)
         self.lists = np.argsort(own, axis=1, kind="stable")
         self.reach = np.take_along_axis(own, self.lists, axis=1)
+        # a block may reach past a list's end: repeat the last name there, out of reach
+        self.lists = np.pad(self.lists, ((0, 0), (0, block)), "edge")
+        self.reach = np.pad(self.reach, ((0, 0), (0, block)), constant_values=np.iinfo(np.int64).max)
         self.probes = np.arange(0, k, max(1, k // PROBES))
+        self.compared = 0
 
-    def _distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Squared distances, exact."""
-        small = self.kind is np.float64 and (x.size == 0 or np.abs(x).max() <= _EXACT)
-        a, b = (x.astype(np.float64), y.astype(np.float64)) if small else (x, y)
-        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-        return (squares - 2 * (a @ b.T)).astype(np.int64)
+    def _distances(self, x: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Squared distances from ``x`` to the entries ``names``, exact."""
+        x, entries, square = self._numbers(x)
+        return ((x * x).sum(axis=1)[:, None] + square[names] - 2 * (x @ entries[names].T)).astype(np.int64)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of the nearest entry of each row of ``x``."""
         n, k = len(x), len(self.entries)
-        start = self._distances(x, self.entries[self.probes])
+        start = self._distances(x, self.probes)
         at = start.argmin(axis=1)
         best, current = start[np.arange(n), at], self.probes[at].astype(np.int64)
         visited = np.zeros((n, k), dtype=bool)
         visited[:, self.probes] = True
         place = np.zeros(n, dtype=np.int64)
+        x, entries, square = self._numbers(x)
+        x2 = (x * x).sum(axis=1)
         active = np.arange(n)
         while len(active):
-            # the parts at one place of one list walk it together
-            key = current[active] * k + place[active]
-            order = np.argsort(key, kind="stable")
-            active, key = active[order], key[order]
-            cuts = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
-            done = np.zeros(len(active), dtype=bool)
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                rows = active[lo:hi]
-                c, p = divmod(int(key[lo]), k)
-                done[lo:hi] = self._step(x, rows, c, p, best, current, visited, place)
-            active = active[~done]
+            c, p = current[active], place[active]
+            slot = (c * self.lists.shape[1] + p)[:, None] + self.steps  # past the end of a list nothing is in reach
+            names, reach = self.lists.ravel()[slot], self.reach.ravel()[slot]
+            within = reach <= 4 * best[active][:, None]
+            mark = (active * k)[:, None] + names
+            fresh = within & ~visited.ravel()[mark]
+            visited.ravel()[mark[fresh]] = True
+            self.compared += int(fresh.sum())
+            dots = np.matmul(entries.take(names.ravel(), axis=0).reshape(*names.shape, -1), x[active][:, :, None])[:, :, 0]
+            near = (x2[active][:, None] + square[names] - 2 * dots).astype(np.int64)
+            near[~fresh] = np.iinfo(np.int64).max
+            least = near.min(axis=1)
+            name = np.where(near == least[:, None], names, k).min(axis=1)
+            jump = fresh.any(axis=1) & ((least < best[active]) | ((least == best[active]) & (name < c)))
+            moved = active[jump]
+            place[active] += len(self.steps)
+            best[moved], current[moved], place[moved] = least[jump], name[jump], 0
+            active = active[jump | within[:, -1]]
         return current, best
 
-    def _step(self, x, rows, c, p, best, current, visited, place) -> np.ndarray:
-        """``rows``, all at place ``p`` of entry ``c``'s list, look at its next entries; which of them stop."""
-        names = self.lists[c, p : p + self.block]
-        reach = self.reach[c, p : p + self.block]
-        within = reach[None, :] <= 4 * best[rows][:, None]
-        fresh = within & ~visited[rows[:, None], names[None, :]]
-        stops = ~within[:, -1] | (p + self.block >= len(self.entries))
-        look = fresh.any(axis=1)
-        place[rows] += self.block
-        if not look.any():
-            return stops
-        some, fresh = rows[look], fresh[look]
-        near = self._distances(x[some], self.entries[names])
-        near[~fresh] = np.iinfo(np.int64).max
-        visited[some[:, None], names[None, :]] |= fresh
-        least = near.min(axis=1)
-        name = np.where(near == least[:, None], names[None, :], len(self.entries)).min(axis=1)
-        jump = (least < best[some]) | ((least == best[some]) & (name < current[some]))
-        moved = some[jump]
-        best[moved], current[moved], place[moved] = least[jump], name[jump], 0
-        stops[np.flatnonzero(look)[jump]] = False
-        return stops
+    def _numbers(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``x``, the entries and the entries' squares, as floats where all products and sums stay exact."""
+        most = max(int(np.abs(x).max(initial=0)), int(np.abs(self.entries).max(initial=0)))
+        kind = np.float64 if x.shape[1] * (2 * most) ** 2 < _EXACT else np.int64
+        entries = self.entries.astype(kind)
+        return x.astype(kind), entries, (entries * entries).sum(axis=1)
 
 
 def _stored_vectors(vectors: DataFrame, name: str, dim: int, path: str) -> DataFrame:
