@@ -17,6 +17,7 @@ from trustlens.operators.business import (
     sentiment_distribution,
 )
 from trustlens.operators.geo import geo_extent, geo_insight, geo_markers, geo_sentiment
+from trustlens.operators.history import trust_history
 from trustlens.operators.models import daily_stats, industry_benchmarks, scored_businesses, trust_score
 from trustlens.operators.quality import key_checks
 from trustlens.operators.ranking import key_bits, rank_splits, ranking_keys
@@ -27,6 +28,7 @@ __all__ = [
     "replied_reviews",
     "stack_replies",
     "daily_stats",
+    "trust_history",
     "trust_score",
     "scored_businesses",
     "industry_benchmarks",

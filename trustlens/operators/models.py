@@ -33,12 +33,12 @@ VOLUME_SCALE = 50
 VOLUME_CAP = 100
 
 
-def day_weight(as_of: AsOf) -> Column:
+def day_weight(as_of: AsOf, day: Column | None = None) -> Column:
     """Linear decay in whole calendar days, scaled by 730 to stay an integer.
 
     ``greatest`` skips NULL, so a review without a date weighs 0. A review dated
     after ``as_of`` weighs more than a fresh one (no upper clamp)."""
-    age = F.datediff(as_of_date(as_of), F.to_date("created_at"))
+    age = F.datediff(as_of_date(as_of), F.to_date("created_at") if day is None else day)
     return F.greatest(F.lit(0), F.lit(DECAY_DAYS) - age)
 
 
@@ -51,6 +51,11 @@ def daily_stats(fb: Feedback) -> DataFrame:
         F.avg("rating").alias("daily_rating"),
         F.avg("sentiment_score").alias("daily_sentiment"),
     )
+    return running_series(daily)
+
+
+def running_series(daily: DataFrame) -> DataFrame:
+    """Daily rows with the running review count and the running mean of the daily means."""
     # (business_id, date) is unique after the aggregate, so ROWS equals RANGE here.
     running = (
         Window.partitionBy("business_id")
@@ -102,8 +107,13 @@ def business_review_stats(fb: Feedback, as_of: AsOf) -> DataFrame:
 
 def scored_businesses(fb: Feedback, as_of: AsOf) -> DataFrame:
     """Every business with its score columns; NULL scores when it has no reviews."""
-    stats = business_review_stats(fb, as_of)
-    b = fb.businesses.select("id", "name", "industry", "location")
+    return score_stats(fb.businesses, business_review_stats(fb, as_of))
+
+
+def score_stats(businesses: DataFrame, stats: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every business with the score columns of its sums (``business_review_stats``), and the columns
+    ``carry`` of ``stats`` first."""
+    b = businesses.select("id", "name", "industry", "location")
     twr = ratio(F.col("weighted_sum"), F.col("weight_sum"))  # NULL when all weights are 0
     rate = F.coalesce(ratio(F.col("replied"), F.col("joined_rows")), F.lit(0.0))
     volume = F.least(F.log10(F.col("total_reviews") + 1) * VOLUME_SCALE, F.lit(VOLUME_CAP))
@@ -111,6 +121,7 @@ def scored_businesses(fb: Feedback, as_of: AsOf) -> DataFrame:
     return (
         b.join(stats, b["id"] == stats["business_id"], "left")
         .select(
+            *carry,
             b["id"].alias("business_id"),
             "name",
             "industry",

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,13 @@ from pyspark.sql import types as T
 from trustlens import api
 from trustlens import operators as O
 from trustlens.functions import round_at
+from trustlens.plans.incremental import refresh
 from trustlens.plans.refresh import json_records, refresh_models
 from trustlens.plans.sizing import materialize
 from trustlens.schemas import Feedback
 from trustlens.session import checkpoint_dir, ensure_checkpoint_dir
 from trustlens.sources.fixtures import PROFILES, load_profile
+from trustlens.sources.store import FeedbackStore, stack
 from trustlens.sources.tables import append_tables, is_empty, read_tables, write_tables
 
 CONTRACT_SCALE = 6
@@ -167,6 +170,42 @@ def _emptiness(fb, as_of) -> DataFrame:
     return out
 
 
+_STORES: dict[int, tuple] = {}
+
+
+def _versions(fb, as_of) -> tuple[FeedbackStore, int, int]:
+    """A store with the rows of even ids as one batch, refreshed, and all others as a second one that was
+    sent twice, refreshed again; with the versions after either batch. Built once per input tables."""
+    if _STORES.get(id(fb), (None,))[0] is not fb:
+        store = FeedbackStore.create(fb.reviews.sparkSession, _folder(fb, "store"), rows_per_file=20_000)
+        even = F.coalesce(F.col("id") % 2 == 0, F.lit(False))
+        first = store.append(Feedback(fb.businesses, fb.reviews.filter(even), fb.responses.filter(even)), "even")
+        refresh(store, as_of)
+        rest = Feedback(fb.businesses.limit(0), fb.reviews.filter(~even), fb.responses.filter(~even))
+        second = store.append(rest, "odd")
+        store.append(rest, "odd")
+        store.append(Feedback(*[t.filter("id IS NOT NULL") for t in (fb.businesses, rest.reviews, rest.responses)]), "odd again")
+        refresh(store, as_of)
+        _STORES[id(fb)] = (fb, store, first, second)
+    return _STORES[id(fb)][1:]
+
+
+def _from_store(look_up: Callable) -> Build:
+    """The look-up of every id, each over the files that hold the business."""
+
+    def make(fb, as_of) -> DataFrame:
+        store = _versions(fb, as_of)[0]
+        return stack([look_up(store.of_business([i]), i, as_of) for i in LOOKUP_IDS])
+
+    return make
+
+
+def history_dates(as_of: str) -> list[date]:
+    """24 dates back from the day of ``as_of``, 30 days apart."""
+    day = date.fromisoformat(as_of[:10])
+    return [day - timedelta(days=30 * i) for i in range(24)]
+
+
 # The library's sinks, stored models and look-ups (one per route of the reference).
 SERVICE_BUILDS: dict[str, Build] = {
     "records_trends": lambda fb, a: json_records(rounded(O.business_trends(fb))),
@@ -180,6 +219,15 @@ SERVICE_BUILDS: dict[str, Build] = {
     "refreshed_benchmarks": lambda fb, a: refresh_models(fb, a, _folder(fb, "models"))["industry_benchmarks"],
     "stored_daily_stats": _stored,
     "emptiness": _emptiness,
+    # the versioned store: look-ups by file index, ledger, pinned readers, incremental refresh
+    "clustered_trends": _from_store(lambda fb, i, a: api.business_trends(fb, i)),
+    "clustered_deltas": _from_store(lambda fb, i, a: api.performance_deltas(fb, i, a)),
+    "appended_twice": lambda fb, a: O.geo_sentiment(_versions(fb, a)[0].read()),
+    "pinned_daily_stats": lambda fb, a: O.daily_stats(_versions(fb, a)[0].read(_versions(fb, a)[1])),
+    "incremental_daily_stats": lambda fb, a: _versions(fb, a)[0].derived("model", "daily_stats"),
+    "incremental_trust_score": lambda fb, a: _versions(fb, a)[0].derived("model", "trust_score"),
+    "incremental_benchmarks": lambda fb, a: _versions(fb, a)[0].derived("model", "industry_benchmarks"),
+    "trust_history": lambda fb, a: O.trust_history(fb, history_dates(a)),
 }
 SPARK_BUILDS.update(SERVICE_BUILDS)
 
@@ -578,14 +626,29 @@ _FINAL |= {
     "lookup_monthly": _of_ids("rating_trend_monthly"),
     "refreshed_benchmarks": _FINAL["industry_benchmarks"],
     "stored_daily_stats": _FINAL["daily_stats"],
+    "clustered_trends": _of_ids("business_trends"),
+    "clustered_deltas": _of_ids("performance_deltas", zeros="i, 0, 0, 0"),
+    "appended_twice": _FINAL["geo_sentiment"],
+    "pinned_daily_stats": (
+        ("daily_even",),
+        _FINAL["daily_stats"][1].replace("FROM daily", "FROM daily_even"),
+        _FINAL["daily_stats"][2],
+    ),
+    "incremental_daily_stats": _FINAL["daily_stats"],
+    "incremental_trust_score": _FINAL["trust_score"],
+    "incremental_benchmarks": _FINAL["industry_benchmarks"],
 }
 
 
 def table_sql(name: str, as_of: str) -> str:
     """Oracle SQL of one operator over tables named ``businesses``, ``reviews`` and
     ``responses`` (no mapping from the driver tables)."""
+    if name == "trust_history":
+        days = history_dates(as_of)
+        return "\nUNION ALL ".join(f"SELECT DATE '{d}' AS as_of, x.* FROM ({table_sql('trust_score', f'{d}')}) x" for d in days)
     needs, final, doubles = _FINAL[name]
     ctes = _ctes(as_of)
+    ctes["daily_even"] = ctes["daily"].replace("daily AS", "daily_even AS").replace("FROM reviews", "FROM reviews WHERE id % 2 = 0")
     body = final.format(**{c: _r6(c, c) for c in doubles}) if doubles else final.replace("{{", "{").replace("}}", "}")
     if not needs:
         return body
