@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from brute_sets import components as brute
@@ -102,13 +103,13 @@ def test_pairs_at_the_threshold_meet_in_deep_trees(spark, percent):
         a = [rng.randrange(2**31) for _ in range(chosen_path.COORDINATES)]
         same = set(rng.sample(range(len(a)), math.ceil(similar * len(a))))
         b = [x if i in same else rng.randrange(2**31) for i, x in enumerate(a)]
-        rows += [(pair, 0, a), (pair, 1, b)]
-    sets = spark.createDataFrame(rows, "id long, sid long, sketch array<int>").cache()
+        rows += [(pair, 0, 0, a), (pair, 1, 0, b)]
+    sets = spark.createDataFrame(rows, "id long, sid long, c long, sketch array<int>").cache()
     trees = chosen_path.trees_for(similar, depth=depth)
     nodes = chosen_path._roots(sets, range(trees * chosen_path.BRANCHES[0]))
     for level in range(1, depth + 1):
         both = nodes.groupBy("id", "node").agg(F.countDistinct("sid").alias("n")).where("n = 2").select("id", "node")
-        met = both.localCheckpoint()
+        met = both.checkpoint()
         if level < depth:
             nodes = chosen_path._children(met.join(sets, "id"), level, similar)
     assert met.select("id").distinct().count() >= pairs - 3
@@ -125,3 +126,23 @@ def test_deep_trees_are_added(make_docs, monkeypatch):
     monkeypatch.setattr(chosen_path, "_roots", lambda sets, slots: ranges.append(slots) or roots(sets, slots))
     _check(rows, _found(make_docs(rows), k=3, percent=85), k=3, percent=85)
     assert len(ranges) > 1 and all(a.stop == b.start for a, b in zip(ranges, ranges[1:]))
+
+
+def test_likeness_bounds_the_similarity(spark):
+    """Pairs of all sizes, across levels and around the threshold: the true similarity lies within the bounds."""
+    rng, rows, true = np.random.default_rng(4), [], []
+    for i in range(400):
+        size = int(rng.choice([3, 30, 300, 1000, 1023, 1024, 1500, 2047, 2048, 5000, 40_000]))
+        gone = int(size * rng.choice([0, 0.02, 0.08, 0.1, 0.2, 0.6]))
+        more = int(size * rng.choice([0, 0.05, 0.15, 1.5, 5]))
+        pool = rng.integers(0, 1 << 63, size + more, dtype=np.uint64)
+        a, b = np.unique(pool[:size]), np.unique(pool[gone:])
+        true.append(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+        rows.append((i, len(a), len(b), chosen_path.odd_sketches(a).tolist(), chosen_path.odd_sketches(b).tolist()))
+    table = spark.createDataFrame(rows, "i int, n long, m long, x array<long>, y array<long>")
+    low, high = chosen_path.likeness("x", "y", "n", "m")
+    got = table.select("i", low.alias("low"), high.alias("high")).collect()
+    assert all(r["low"] <= true[r["i"]] + 1e-9 and r["high"] >= true[r["i"]] - 1e-9 for r in got)
+    # and they are tight near the threshold
+    wide = [r["high"] - r["low"] for r in got if 0.8 <= true[r["i"]] < 1]
+    assert len(wide) > 40 and max(wide) < 0.25 and sorted(wide)[len(wide) // 2] < 0.12

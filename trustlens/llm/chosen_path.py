@@ -18,10 +18,12 @@ share each chosen branch with probability s and unlike sets part ways.
 - Every level removes sets and parts the unlike ones, so all nodes end up small or within one
   component, however deep. Nothing is capped or dropped.
 
-A comparison looks at the sizes and the token agreement first and passes what lies within ``MARGIN``
-standard deviations of the threshold (3 in a million true links at the very threshold fail
-that); sets of at most ``TINY`` items bring them along and are compared at once, other passed pairs are
-confirmed on the full shingle sets (64-bit hashes). The number of
+A comparison looks at the sizes and at odd sketches first: a set's ``ODD_BITS`` bits, each the parity of the number
+of items hashed to it, so that the differing bits of two sketches tell the size of the symmetric difference. Sets of
+``ODD_BITS`` items and more are thinned by powers of two, by the items' hash, to half of that at least; a sketch one
+level thinner goes with it, for pairs across a level. What lies within ``MARGIN`` standard deviations of the
+threshold passes (3 in a million true links at the very threshold fail that); sets of at most ``TINY`` items bring
+them along and are compared at once, other passed pairs are confirmed on the full shingle sets (64-bit hashes). The number of
 trees follows from ``RECALL``, the chance for a pair at the threshold in the deepest nodes: below
 ``BRANCHES`` such a pair has one shared child on average, and where the trees went deeper than their number
 allows for, more trees follow until it does.
@@ -50,13 +52,15 @@ COORDINATES = 64
 LEAF = 1024
 #: Sets of at most this size carry their whole items beside the sketch: candidates among them are exact.
 TINY = 40
+#: Bits of an odd sketch.
+ODD_BITS = 1024
 #: Coordinates a node chooses, by level; below these one, and a second one so often that a pair at the threshold shares
 #: one child on average.
 BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999
 MARGIN = 4.5
 
-_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, tiny array<long>"
+_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, odd array<long>, tiny array<long>"
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -88,6 +92,18 @@ def minwise_tokens(items: np.ndarray) -> np.ndarray:
     return least.view(np.int32)
 
 
+def odd_sketches(items: np.ndarray) -> np.ndarray:
+    """The odd sketches of a set at its own level and at the next thinner one, as 64-bit words."""
+    h = mix(items + np.uint64(0x632BE59BD9B4E019))
+    level = (len(items) // ODD_BITS).bit_length()
+    out = []
+    for at in (level, level + 1):
+        kept = h[(h & np.uint64((1 << at) - 1)) == 0]
+        odd = np.bincount((kept >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(out)
+
+
 def _document_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
         for part in slices(batch):
@@ -112,22 +128,22 @@ def _batched(rows: Iterable[tuple], types: dict[str, pa.DataType], weight: int,
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (order-free 64-bit fingerprints of the whole set),
-    sketch (null for an empty set), tiny (the items of a set of at most TINY)."""
+    sketch and odd (null for an empty set), tiny (the items of a set of at most TINY)."""
 
     def run(batches):
         def rows():
             for doc_id, items in _document_sets(batches, k):
                 if not len(items):
-                    yield doc_id, 0, 0, 0, None, None
+                    yield doc_id, 0, 0, 0, None, None, None
                     continue
                 a = np.add.reduce(mix(items)).astype(np.uint64).view(np.int64)
                 b = np.bitwise_xor.reduce(mix(items ^ np.uint64(0xD6E8FEB86659FD93))).astype(np.uint64).view(np.int64)
                 tiny = items.view(np.int64) if len(items) <= TINY else None
-                yield doc_id, len(items), int(a), int(b), minwise_tokens(items), tiny
+                yield doc_id, len(items), int(a), int(b), minwise_tokens(items), odd_sketches(items), tiny
 
         types = {
             "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(),
-            "sketch": pa.list_(pa.int32()), "tiny": pa.list_(pa.int64()),
+            "sketch": pa.list_(pa.int32()), "odd": pa.list_(pa.int64()), "tiny": pa.list_(pa.int64()),
         }
         yield from _batched(rows(), types, weight=4)
 
@@ -164,20 +180,49 @@ def _similar(x: str, y: str, percent: int) -> Column:
     return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
 
-def _agreement(x: str, y: str) -> Column:
-    same = F.zip_with(x, y, lambda a, b: F.when(a == b, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda s, v: s + v) / F.lit(float(COORDINATES))
+def _level(size: Column) -> Column:
+    """How often a set of ``size`` items is halved for its odd sketch."""
+    return F.when(size < ODD_BITS, 0).otherwise(F.floor(F.log2(F.floor(size / ODD_BITS))) + 1).cast("int")
+
+
+def likeness(x: str, y: str, size_x: str, size_y: str) -> tuple[Column, Column]:
+    """(least, most): the similarity of two sets by their odd sketches, ``MARGIN`` standard deviations down and up.
+
+    Of d differing items the sketches differ in about n / 2 * (1 - exp(-2 d / n)) of n bits; the variance is that of the
+    bits for a given d, and of the thinning. Sets more than a level apart have only the bound of their sizes."""
+    n, words = float(ODD_BITS), ODD_BITS // 64
+    level_x, level_y = _level(F.col(size_x)), _level(F.col(size_y))
+    half = lambda c, thinner: F.slice(c, F.when(thinner, words + 1).otherwise(1), words)
+    differ = F.zip_with(half(x, level_x < level_y), half(y, level_y < level_x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    z = F.least(F.aggregate(differ, F.lit(0), lambda t, v: t + v), F.lit(0.495 * n))
+    level = F.greatest(level_x, level_y)
+    fade = 1 - 2 * z / n  # exp(-2 d / n)
+    d = -n / 2 * F.log(fade)
+    spread = (n / 4 * (1 - fade * fade) - d * fade * fade) / (fade * fade) + F.when(level > 0, d).otherwise(0.0) + 1
+    kept = (F.col(size_x) + F.col(size_y)) / F.pow(F.lit(2.0), level)
+    off = F.lit(MARGIN) * F.sqrt(spread)
+    similar = lambda gap: F.greatest(F.lit(0.0), (kept - gap) / (kept + gap))
+    near, bound = F.abs(level_x - level_y) <= 1, _size_ratio(size_x, size_y)
+    low = F.when(near, similar(d + off)).otherwise(F.lit(0.0))
+    high = F.when(near, F.when(z < 0.49 * n, similar(F.greatest(F.lit(0.0), d - off))).otherwise(_saturated())).otherwise(bound)
+    return low, F.least(high, bound)
+
+
+def _saturated() -> Column:
+    """Most similarity of two sets whose sketches differ in nearly half their bits: so many differing items."""
+    gap = -ODD_BITS / 2 * math.log(1 - 2 * 0.45)
+    return F.lit((2 * ODD_BITS - gap) / (2 * ODD_BITS + gap))
 
 
 def _roots(sets: DataFrame, slots: range) -> DataFrame:
-    """(node, id, sid, slot): the first branches of the trees. Slot j chooses coordinate j, from the first again
+    """(node, id, sid, c, slot): the first branches of the trees. Slot j chooses coordinate j, from the first again
     after the last."""
     chosen = F.array(*(F.xxhash64(F.lit(j), F.element_at("sketch", j % COORDINATES + 1)) for j in slots))
-    return sets.select("id", "sid", F.posexplode(chosen).alias("slot", "node")).withColumn("slot", F.col("slot") + slots.start)
+    return sets.select("id", "sid", "c", F.posexplode(chosen).alias("slot", "node")).withColumn("slot", F.col("slot") + slots.start)
 
 
 def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
-    """(node, id, sid, slot -1) one level down, from (node, id, sid, sketch)."""
+    """(node, id, sid, c, slot -1) one level down, from (node, id, sid, c, sketch)."""
     below = level >= len(BRANCHES)
     chosen = []
     for i in range(2 if below else BRANCHES[level]):
@@ -188,24 +233,25 @@ def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
             child = F.when(draw < math.ceil(second_branch(similarity) * (1 << 20)), child)
         chosen.append(child)
     nodes = F.array_compact(F.array_distinct(F.array(*chosen)))
-    return rows.select(F.explode(nodes).alias("node"), "id", "sid", F.lit(-1).alias("slot"))
+    return rows.select(F.explode(nodes).alias("node"), "id", "sid", "c", F.lit(-1).alias("slot"))
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, floor: float, slots: int) -> DataFrame:
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
     """Candidate pairs (a, b, like) of small nodes, compared exhaustively: sizes that allow the similarity,
-    token agreement. Two sets that share several small first branches are compared in the first of
+    odd sketches. Two sets that share several small first branches are compared in the first of
     them only: ``seen`` has a bit for each slot (of the first COORDINATES - 1) in which the set's own branch is small."""
     slots = min(slots, COORDINATES - 1)
     rows = leaf.join(sets, ["id", "sid"])
     one = F.lit(1).cast("long")
     bit = F.when(F.col("slot").between(0, slots - 1), F.call_function("shiftleft", one, F.col("slot"))).otherwise(0)
     rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
-    rows = rows.select("node", "id", "slot", "seen", "size", "sketch", "tiny")
-    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch", "tiny")))
+    rows = rows.select("node", "id", "slot", "seen", "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", "tiny")
+    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch", "odd", "tiny")))
+    low, high = likeness("odd", "other_odd", "size", "other_size")
     met = F.lit(False)
     for i in range(slots):
         same = F.element_at("sketch", i + 1) == F.element_at("other_sketch", i + 1)
@@ -214,10 +260,10 @@ def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, floor: float, sl
         (F.col("id") < F.col("other_id"))
         & (_size_ratio("size", "other_size") >= percent / 100)
         & ~met
-        & (_agreement("sketch", "other_sketch") >= floor)
+        & (high >= percent / 100)
         & F.coalesce(_similar("tiny", "other_tiny", percent), F.lit(True))
     )
-    like = F.max(_agreement("sketch", "other_sketch")).alias("like")
+    like = F.max(low + high).alias("like")
     return near.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(like)
 
 
@@ -233,10 +279,9 @@ def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int]:
+def _open_nodes(rows: DataFrame) -> tuple[DataFrame, int]:
     """(node, id, sid, slot, c, n) of the nodes that still hold several components, and how many rows lie in nodes
     above the leaf size."""
-    rows = _label(rows, labels)
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
     nodes = rows.join(sizes.where("low < high").select("node", "n"), "node")
     stored, (big,) = materialize_counted(nodes, F.count_if(F.col("n") > LEAF))
@@ -244,27 +289,23 @@ def _open_nodes(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, i
 
 
 def _with_pivots(big: DataFrame) -> DataFrame:
-    """Rows of large nodes (node, id, c, size, sketch) with two pivots of their node, the token
-    agreement with each and the similarity its size allows: p random, q the nearest to p (ties
-    by hash)."""
-    first = big.groupBy("node").agg(
-        F.min_by(F.struct("id", "c", "size", "sketch"), F.xxhash64("id", "node")).alias("p")
-    )
-    rows = big.join(first, "node").withColumn("p_like", _agreement("sketch", "p.sketch"))
-    most = _size_ratio("size", "p.size").alias("p_most")
-    own = ["node", "id", "sid", "c", "size", "sketch"]
-    rows = materialize(rows.select(*own, F.col("p.id").alias("p"), F.col("p.c").alias("p_c"), "p_like", most))
-    second = rows.where("id != p").groupBy("node").agg(
-        F.max_by(F.struct("id", "c", "size", "sketch"), F.struct("p_like", F.xxhash64("id"))).alias("q")
-    )
-    rows = rows.join(second, "node").withColumn("q_like", _agreement("sketch", "q.sketch"))
-    most = _size_ratio("size", "q.size").alias("q_most")
-    of_p = ["p", "p_c", "p_like", "p_most"]
-    return materialize(rows.select(*own, *of_p, F.col("q.id").alias("q"), F.col("q.c").alias("q_c"), "q_like", most))
-
-
-def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack: float) -> DataFrame:
-    """(node, id, sketch) of the sets that may still link to another component in their node."""
+    """Rows of large nodes (node, id, c, size, sketch, odd) with two pivots of their node and the least and most similarity
+    to each: p random, q the nearest to p (ties by hash)."""
+    pivot, own = F.struct("id", "c", "size", "odd"), ["node", "id", "sid", "c", "size", "sketch", "odd"]
+    first = big.groupBy("node").agg(F.min_by(pivot, F.xxhash64("id", "node")).alias("p"))
+    low, high = likeness("odd", "p.odd", "size", "p.size")
+    rows = big.join(first, "node").select(*own, F.col("p.id").alias("p"), F.col("p.c").alias("p_c"), low.alias("p_low"), high.alias("p_most"))
+    rows = materialize(rows)
+    nearest = F.struct(F.col("p_low") + F.col("p_most"), F.xxhash64("id"))
+    second = rows.where("id != p").groupBy("node").agg(F.max_by(pivot, nearest).alias("q"))
+    low, high = likeness("odd", "q.odd", "size", "q.size")
+    of_q = [F.col("q.id").alias("q"), F.col("q.c").alias("q_c"), low.alias("q_low"), high.alias("q_most")]
+    kept = [c for c in own if c != "odd"]
+    return materialize(rows.join(second, "node").select(*kept, "p", "p_c", "p_low", "p_most", *of_q))
+
+
+def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float) -> DataFrame:
+    """(node, id, sid, c, sketch) of the sets that may still link to another component in their node."""
     now = _label(rows.drop("c"), labels)
     for x in "pq":
         if labels is None:
@@ -272,54 +313,47 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float, slack:
             continue
         of_pivot = labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_now"))
         now = now.join(of_pivot, x, "left").withColumn(f"{x}_now", F.coalesce(f"{x}_now", x))
-    for x in "pq":
-        # upper bound of the similarity to the pivot
-        now = now.withColumn(f"{x}_most", F.least(f"{x}_most", F.col(f"{x}_like") + slack))
     outside = now.groupBy("node").agg(
         *(F.max(F.when(F.col("c") != F.col(f"{x}_now"), F.col(f"{x}_most"))).alias(f"{x}_out") for x in "pq")
     )
     settled = F.col("id").isin(F.col("p"), F.col("q"))
     for x in "pq":
         # upper bound of d(pivot, inside) + radius < lower bound of d(pivot, any outside)
-        apart = (1 - F.col(f"{x}_like") + slack) + radius < 1 - F.col(f"{x}_out")
+        apart = (1 - F.col(f"{x}_low")) + radius < 1 - F.col(f"{x}_out")
         settled = settled | ((F.col("c") == F.col(f"{x}_now")) & (F.col(f"{x}_out").isNull() | apart))
-    return now.join(outside, "node").where(~settled).select("node", "id", "sid", "sketch")
+    return now.join(outside, "node").where(~settled).select("node", "id", "sid", "c", "sketch")
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) over distinct sets (id, sid, size, sketch, tiny) with the same components as all links of at least
+    """Edges (u, v) over distinct sets (id, sid, size, sketch, odd, tiny) with the same components as all links of at least
     ``percent`` similarity."""
     s = percent / 100
-    slack = MARGIN * math.sqrt(s * (1 - s) / COORDINATES)
-    floor = s - slack
     edges = labels = None
     leaves, trees, depth = [], 0, len(BRANCHES)
     while trees < (wanted := trees_for(s, depth=depth)):
-        rows, level = _roots(sets, range(trees * BRANCHES[0], wanted * BRANCHES[0])), 1
+        rows, level = _roots(_label(sets, labels), range(trees * BRANCHES[0], wanted * BRANCHES[0])), 1
         trees = wanted
         while True:
-            nodes, n_big = _open_nodes(rows, labels)
+            nodes, n_big = _open_nodes(rows)
             leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "slot"))
             if not n_big:
                 break
-            rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets, ["id", "sid"]))
+            rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets.drop("tiny"), ["id", "sid"]))
             near = _union([
-                rows.where(
-                    (F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s) & (F.col(f"{x}_like") >= floor)
-                ).select(*_pairs(F.col("id"), F.col(x)))
+                rows.where((F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s)).select(*_pairs(F.col("id"), F.col(x)))
                 for x in "pq"
             ])
             near, (n_near,) = materialize_counted(near.distinct(), F.count(F.lit(1)))
             if n_near:
                 found = confirm(near, shingle_sets(docs, _ends(near), k), percent)
                 edges, labels = _with_links(edges, found)
-            rest = materialize(_unsettled(rows, labels, 1 - s, slack))
+            rest = materialize(_unsettled(rows, labels, 1 - s))
             rows = _children(rest, level, s)
             level += 1
             release(docs.sparkSession)
         depth = max(depth, level)
     slots = trees * BRANCHES[0]
-    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, percent, floor, slots), labels))
+    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, percent, slots), labels))
     release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its likest candidate; then only the pairs still in different components
@@ -372,13 +406,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = linkable.groupBy(*shape).agg(F.min("doc_id").alias("id"))
     placed = materialize(linkable.select("doc_id", *shape).join(groups, shape).select("doc_id", "id").distinct())
     representatives = linkable.join(groups.withColumnRenamed("id", "doc_id"), ["doc_id", *shape], "left_semi")
-    representatives = representatives.select(F.col("doc_id").alias("id"), *shape, "sketch", "tiny")
+    representatives = representatives.select(F.col("doc_id").alias("id"), *shape, "sketch", "odd", "tiny")
     sets = materialize(representatives.dropDuplicates(["id", *shape]))
     release(docs.sparkSession)
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch", "tiny")
+    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch", "odd", "tiny")
     edges = links(sets, docs, k, percent)
     labels = components(edges.unionAll(same.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     of_id = (
