@@ -49,7 +49,9 @@ from trustlens.llm.components import components, contract, labels_of
 from trustlens.llm.textbatch import mix, row_bounds, shingles, slices, words
 
 COORDINATES = 64
-LEAF = 1024
+LEAF = 4096
+#: Rows that a task compares together.
+TOGETHER = 8192
 #: Sets of at most this size carry their whole items beside the sketch: candidates among them are exact.
 TINY = 40
 #: Bits of an odd sketch.
@@ -240,31 +242,101 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _likeness_of(z: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``likeness`` of pairs from their differing bits, the level compared at and the sum of their sizes."""
+    n = float(ODD_BITS)
+    z = np.minimum(z, 0.495 * n)
+    fade = 1 - 2 * z / n
+    d = -n / 2 * np.log(fade)
+    spread = (n / 4 * (1 - fade * fade) - d * fade * fade) / (fade * fade) + np.where(level > 0, d, 0) + 1
+    kept, off = sizes / 2.0**level, MARGIN * np.sqrt(spread)
+    similar = lambda gap: np.maximum(0, (kept - gap) / (kept + gap))
+    gap = -n / 2 * math.log(1 - 2 * 0.45)
+    most = np.where(z < 0.49 * n, similar(np.maximum(0, d - off)), (2 * n - gap) / (2 * n + gap))
+    return similar(d + off), most
+
+
+def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordBatch:
+    """Candidate pairs (a, b, like) within the nodes of a table of whole nodes, sorted by node: row i meets row
+    i + 1 of its node, then i + 2 and so on, all nodes at once."""
+    flat = lambda c, width: table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
+    plain = {c: table.column(c).to_numpy() for c in ("node", "id", "c", "size", "slot", "seen")}
+    node, ids, c, size = plain["node"], plain["id"], plain["c"], plain["size"]
+    odd, words = flat("odd", ODD_BITS // 32).view(np.uint64), ODD_BITS // 64
+    sketch, tiny = flat("sketch", slots), table.column("tiny")
+    level = np.array([(int(x) // ODD_BITS).bit_length() for x in size])
+    out: list[tuple[np.ndarray, ...]] = []
+    left = np.arange(len(node))
+    for step in range(1, len(node)):
+        left = left[left + step < len(node)]
+        left = left[node[left] == node[left + step]]
+        if not len(left):
+            break
+        i, j = left, left + step
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        fits = (ids[i] != ids[j]) & (c[i] != c[j]) & (small >= similarity * large)
+        i, j = i[fits], j[fits]
+        at = np.maximum(level[i], level[j])
+        z = np.zeros(len(i), np.int64)
+        for w in range(words):
+            x = odd[i, np.where(level[i] < at, w + words, w)]
+            y = odd[j, np.where(level[j] < at, w + words, w)]
+            z += np.bitwise_count(x ^ y)
+        bound = np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1)
+        far = np.abs(level[i] - level[j]) > 1
+        low, most = _likeness_of(z, at, size[i] + size[j])
+        low, most = np.where(far, 0, low), np.where(far, bound, np.minimum(most, bound))
+        near = most >= similarity
+        i, j, like = i[near], j[near], (low + most)[near]
+        # a pair that shares several small first branches is compared in the first of them only
+        met = np.zeros(len(i), dtype=bool)
+        for k in range(slots):
+            met |= (plain["slot"][i] > k) & (plain["seen"][i] >> k & 1 > 0) & (sketch[i, k] == sketch[j, k])
+        for k in np.flatnonzero(~met):
+            x, y = tiny[int(i[k])].as_py(), tiny[int(j[k])].as_py()
+            if x is not None and y is not None:
+                both = len(set(x) & set(y))
+                met[k] = both < similarity * (len(x) + len(y) - both) - 1e-9
+        i, j, like = i[~met], j[~met], like[~met]
+        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), like))
+    a, b, like = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "like"])
+
+
 def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
     """Candidate pairs (a, b, like) of small nodes, compared exhaustively: sizes that allow the similarity,
-    odd sketches. Two sets that share several small first branches are compared in the first of
+    odd sketches. Every set goes to its node once; a node of at most ``LEAF`` sets is one array of a task. Two sets
+    that share several small first branches are compared in the first of
     them only: ``seen`` has a bit for each slot (of the first COORDINATES - 1) in which the set's own branch is small."""
     slots = min(slots, COORDINATES - 1)
     rows = leaf.join(sets, ["id", "sid"])
     one = F.lit(1).cast("long")
     bit = F.when(F.col("slot").between(0, slots - 1), F.call_function("shiftleft", one, F.col("slot"))).otherwise(0)
     rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
-    rows = rows.select("node", "id", "slot", "seen", "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", "tiny")
-    other = rows.select("node", *(F.col(x).alias(f"other_{x}") for x in ("id", "size", "sketch", "odd", "tiny")))
-    low, high = likeness("odd", "other_odd", "size", "other_size")
-    met = F.lit(False)
-    for i in range(slots):
-        same = F.element_at("sketch", i + 1) == F.element_at("other_sketch", i + 1)
-        met = met | ((F.col("slot") > i) & (F.col("seen").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & same)
-    near = rows.join(other, "node").where(
-        (F.col("id") < F.col("other_id"))
-        & (_size_ratio("size", "other_size") >= percent / 100)
-        & ~met
-        & (high >= percent / 100)
-        & F.coalesce(_similar("tiny", "other_tiny", percent), F.lit(True))
-    )
-    like = F.max(low + high).alias("like")
-    return near.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(like)
+    rows = rows.select("node", "id", "c", "slot", "seen", "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", "tiny")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < TOGETHER:
+                continue
+            table = pa.Table.from_batches(held)
+            node = table.column("node").to_numpy()
+            cut = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on in the next batch
+            if cut:
+                yield _near_in_nodes(table.slice(0, cut), percent / 100, slots)
+            held, n = table.slice(cut).to_batches(), len(node) - cut
+        if n:
+            yield _near_in_nodes(pa.Table.from_batches(held), percent / 100, slots)
+
+    # ascending by node, as whole nodes are cut off by their number
+    near = rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long, like double")
+    return near.groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
 def _size_ratio(x: str, y: str) -> Column:
@@ -335,7 +407,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         trees = wanted
         while True:
             nodes, n_big = _open_nodes(rows)
-            leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "slot"))
+            leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "c", "slot"))
             if not n_big:
                 break
             rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets.drop("tiny"), ["id", "sid"]))
