@@ -146,3 +146,30 @@ def test_likeness_bounds_the_similarity(spark):
     # and they are tight near the threshold
     wide = [r["high"] - r["low"] for r in got if 0.8 <= true[r["i"]] < 1]
     assert len(wide) > 40 and max(wide) < 0.25 and sorted(wide)[len(wide) // 2] < 0.12
+
+
+def test_sure_pairs_that_do_not_link(make_docs, monkeypatch):
+    """Sketches that take every candidate for a sure link stand for pairs that the full sets refuse: these are
+    compared again, so nothing is lost."""
+    rng, calls, plain, pairs = random.Random(12), [], chosen_path._likeness_of, chosen_path._leaf_pairs
+    words = [f"q{i}" for i in range(100)]
+    rows = [(i, " ".join(_edited(rng, words, i % 5))) for i in range(50)]
+
+    def leaf_pairs(*args, **options):
+        calls.append(options)
+        return pairs(*args, **options)
+
+    def sure(*args):
+        low, most = plain(*args)
+        return low * 0 + 1, most
+
+    monkeypatch.setattr(chosen_path, "_likeness_of", sure)
+    monkeypatch.setattr(chosen_path, "_leaf_pairs", leaf_pairs)
+    _check(rows, _found(make_docs(rows), k=3, percent=85), k=3, percent=85)
+    assert len(calls) == 2 and calls[1] == {"trust": False}
+
+
+def test_merge_of_parts():
+    part = chosen_path._merge(np.arange(8), np.array([5, 3, 1, 6]), np.array([3, 1, 0, 7]))
+    assert part.tolist() == [0, 0, 2, 0, 4, 0, 6, 6]
+    assert chosen_path._merge(part, np.array([7]), np.array([2])).tolist() == [0, 0, 2, 0, 4, 0, 2, 2]

@@ -256,9 +256,25 @@ def _likeness_of(z: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> tuple[n
     return similar(d + off), most
 
 
-def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordBatch:
-    """Candidate pairs (a, b, like) within the nodes of a table of whole nodes, sorted by node: row i meets row
-    i + 1 of its node, then i + 2 and so on, all nodes at once."""
+def _merge(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The parts (a least row number per row) after joining rows i and j."""
+    while True:
+        low = np.minimum(part[i], part[j])
+        new = part.copy()
+        np.minimum.at(new, part[i], low)
+        np.minimum.at(new, part[j], low)
+        new = new[new]
+        new = new[new[part]]
+        if (new == part).all():
+            return part
+        part = new
+
+
+def _near_in_nodes(table: pa.Table, similarity: float, slots: int, trust: bool) -> pa.RecordBatch:
+    """Candidate pairs (a, b, like, sure) within the nodes of a table of whole nodes, sorted by node: row i meets row
+    i + 1 of its node, then i + 2 and so on, all nodes at once. A pair is sure if even its least similarity is enough.
+    With ``trust`` rows that sure pairs join are not compared any more, so that a group of copies
+    gives about as many pairs as it has sets."""
     flat = lambda c, width: table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
     plain = {c: table.column(c).to_numpy() for c in ("node", "id", "c", "size", "slot", "seen")}
     node, ids, c, size = plain["node"], plain["id"], plain["c"], plain["size"]
@@ -267,6 +283,7 @@ def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordB
     level = np.array([(int(x) // ODD_BITS).bit_length() for x in size])
     out: list[tuple[np.ndarray, ...]] = []
     left = np.arange(len(node))
+    part = np.arange(len(node))
     for step in range(1, len(node)):
         left = left[left + step < len(node)]
         left = left[node[left] == node[left + step]]
@@ -274,7 +291,7 @@ def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordB
             break
         i, j = left, left + step
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        fits = (ids[i] != ids[j]) & (c[i] != c[j]) & (small >= similarity * large)
+        fits = (ids[i] != ids[j]) & (c[i] != c[j]) & (part[i] != part[j]) & (small >= similarity * large)
         i, j = i[fits], j[fits]
         at = np.maximum(level[i], level[j])
         z = np.zeros(len(i), np.int64)
@@ -287,7 +304,7 @@ def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordB
         low, most = _likeness_of(z, at, size[i] + size[j])
         low, most = np.where(far, 0, low), np.where(far, bound, np.minimum(most, bound))
         near = most >= similarity
-        i, j, like = i[near], j[near], (low + most)[near]
+        i, j, low, like = i[near], j[near], low[near], (low + most)[near]
         # a pair that shares several small first branches is compared in the first of them only
         met = np.zeros(len(i), dtype=bool)
         for k in range(slots):
@@ -297,14 +314,18 @@ def _near_in_nodes(table: pa.Table, similarity: float, slots: int) -> pa.RecordB
             if x is not None and y is not None:
                 both = len(set(x) & set(y))
                 met[k] = both < similarity * (len(x) + len(y) - both) - 1e-9
-        i, j, like = i[~met], j[~met], like[~met]
-        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), like))
-    a, b, like = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "like"])
-
-
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
-    """Candidate pairs (a, b, like) of small nodes, compared exhaustively: sizes that allow the similarity,
+        i, j, low, like = i[~met], j[~met], low[~met], like[~met]
+        sure = low >= similarity
+        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), like, sure))
+        if trust and sure.any():
+            part = _merge(part, i[sure], j[sure])
+    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(columns, types)], ["a", "b", "like", "sure"])
+
+
+def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int, trust: bool = True) -> DataFrame:
+    """Candidate pairs (a, b, like, sure) of small nodes, compared exhaustively: sizes that allow the similarity,
     odd sketches. Every set goes to its node once; a node of at most ``LEAF`` sets is one array of a task. Two sets
     that share several small first branches are compared in the first of
     them only: ``seen`` has a bit for each slot (of the first COORDINATES - 1) in which the set's own branch is small."""
@@ -329,14 +350,14 @@ def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> D
             node = table.column("node").to_numpy()
             cut = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on in the next batch
             if cut:
-                yield _near_in_nodes(table.slice(0, cut), percent / 100, slots)
+                yield _near_in_nodes(table.slice(0, cut), percent / 100, slots, trust)
             held, n = table.slice(cut).to_batches(), len(node) - cut
         if n:
-            yield _near_in_nodes(pa.Table.from_batches(held), percent / 100, slots)
+            yield _near_in_nodes(pa.Table.from_batches(held), percent / 100, slots, trust)
 
     # ascending by node, as whole nodes are cut off by their number
-    near = rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long, like double")
-    return near.groupBy("a", "b").agg(F.max("like").alias("like"))
+    near = rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long, like double, sure boolean")
+    return near.groupBy("a", "b").agg(F.max("like").alias("like"), F.max("sure").alias("sure"))
 
 
 def _size_ratio(x: str, y: str) -> Column:
@@ -429,17 +450,22 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     release(docs.sparkSession)
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its likest candidate; then only the pairs still in different components
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
+    both = pairs.select("a", "b", "like").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
     first = both.groupBy("a").agg(F.max_by("b", F.struct("like", F.xxhash64("b"))).alias("b"))
     first = materialize(first.select(*_pairs(F.col("a"), F.col("b"))).distinct())
     edges, _ = _with_links(edges, confirm(first, full, percent))
     labels = components(edges)
     release(docs.sparkSession)
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
-    found = confirm(left, full, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = materialize(edges.unionAll(found))
+    edges, _ = _with_links(edges, confirm(left, full, percent))
+    # pairs that stood for others and did not link after all: compare again what is still apart, every pair
+    labels = components(edges)
+    if not _apart(pairs.where("sure"), labels).isEmpty():
+        leaf = _label(_union(leaves).drop("c"), labels)
+        again = materialize(_apart(_leaf_pairs(leaf, sets, percent, slots, trust=False), labels))
+        edges, _ = _with_links(edges, confirm(again, shingle_sets(docs, _ends(again), k), percent))
     release(docs.sparkSession)
-    return found
+    return edges
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
