@@ -61,6 +61,9 @@ ODD_BITS = 1024
 BRANCHES = (2, 2, 2, 2, 1, 1, 1, 1)
 RECALL = 0.9999
 MARGIN = 4.5
+#: Standard deviations by which the least similarity of a pair lies below the estimate. Wider, as few differing items scatter
+#: to one side, and as the bound says that a pair links or that a set has no link left.
+SURE = 8.0
 
 _SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, odd array<long>, tiny array<long>"
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -95,11 +98,15 @@ def minwise_tokens(items: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(items: np.ndarray) -> np.ndarray:
-    """The odd sketches of a set at its own level and at the next thinner one, as 64-bit words."""
+    """The odd sketches of a set at its own level and at the next thinner one, as 64-bit words. A set of less than half the
+    size at which that level starts is never compared there: zeros, which compress well."""
     h = mix(items + np.uint64(0x632BE59BD9B4E019))
     level = (len(items) // ODD_BITS).bit_length()
     out = []
     for at in (level, level + 1):
+        if at > level and 2 * len(items) < ODD_BITS << level:
+            out.append(np.zeros(ODD_BITS // 64, np.int64))
+            continue
         kept = h[(h & np.uint64((1 << at) - 1)) == 0]
         odd = np.bincount((kept >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS) & 1
         out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
@@ -188,10 +195,10 @@ def _level(size: Column) -> Column:
 
 
 def likeness(x: str, y: str, size_x: str, size_y: str) -> tuple[Column, Column]:
-    """(least, most): the similarity of two sets by their odd sketches, ``MARGIN`` standard deviations down and up.
+    """(least, most): the similarity of two sets by their odd sketches, ``SURE`` standard deviations down and ``MARGIN`` up.
 
     Of d differing items the sketches differ in about n / 2 * (1 - exp(-2 d / n)) of n bits; the variance is that of the
-    bits for a given d, and of the thinning. Sets more than a level apart have only the bound of their sizes."""
+    bits for a given d, and of the thinning. Sets more than a level apart, or one more than twice the other, have only the bound of their sizes."""
     n, words = float(ODD_BITS), ODD_BITS // 64
     level_x, level_y = _level(F.col(size_x)), _level(F.col(size_y))
     half = lambda c, thinner: F.slice(c, F.when(thinner, words + 1).otherwise(1), words)
@@ -202,11 +209,12 @@ def likeness(x: str, y: str, size_x: str, size_y: str) -> tuple[Column, Column]:
     d = -n / 2 * F.log(fade)
     spread = (n / 4 * (1 - fade * fade) - d * fade * fade) / (fade * fade) + F.when(level > 0, d).otherwise(0.0) + 1
     kept = (F.col(size_x) + F.col(size_y)) / F.pow(F.lit(2.0), level)
-    off = F.lit(MARGIN) * F.sqrt(spread)
+    off = F.sqrt(spread)
     similar = lambda gap: F.greatest(F.lit(0.0), (kept - gap) / (kept + gap))
-    near, bound = F.abs(level_x - level_y) <= 1, _size_ratio(size_x, size_y)
-    low = F.when(near, similar(d + off)).otherwise(F.lit(0.0))
-    high = F.when(near, F.when(z < 0.49 * n, similar(F.greatest(F.lit(0.0), d - off))).otherwise(_saturated())).otherwise(bound)
+    bound = _size_ratio(size_x, size_y)
+    near = (F.abs(level_x - level_y) <= 1) & (bound >= 0.5)
+    low = F.when(near, similar(d + SURE * off)).otherwise(F.lit(0.0))
+    high = F.when(near, F.when(z < 0.49 * n, similar(F.greatest(F.lit(0.0), d - MARGIN * off))).otherwise(_saturated())).otherwise(bound)
     return low, F.least(high, bound)
 
 
@@ -249,11 +257,11 @@ def _likeness_of(z: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> tuple[n
     fade = 1 - 2 * z / n
     d = -n / 2 * np.log(fade)
     spread = (n / 4 * (1 - fade * fade) - d * fade * fade) / (fade * fade) + np.where(level > 0, d, 0) + 1
-    kept, off = sizes / 2.0**level, MARGIN * np.sqrt(spread)
+    kept, off = sizes / 2.0**level, np.sqrt(spread)
     similar = lambda gap: np.maximum(0, (kept - gap) / (kept + gap))
     gap = -n / 2 * math.log(1 - 2 * 0.45)
-    most = np.where(z < 0.49 * n, similar(np.maximum(0, d - off)), (2 * n - gap) / (2 * n + gap))
-    return similar(d + off), most
+    most = np.where(z < 0.49 * n, similar(np.maximum(0, d - MARGIN * off)), (2 * n - gap) / (2 * n + gap))
+    return similar(d + SURE * off), most
 
 
 def _merge(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -300,7 +308,7 @@ def _near_in_nodes(table: pa.Table, similarity: float, slots: int, trust: bool)
             y = odd[j, np.where(level[j] < at, w + words, w)]
             z += np.bitwise_count(x ^ y)
         bound = np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1)
-        far = np.abs(level[i] - level[j]) > 1
+        far = (np.abs(level[i] - level[j]) > 1) | (bound < 0.5)
         low, most = _likeness_of(z, at, size[i] + size[j])
         low, most = np.where(far, 0, low), np.where(far, bound, np.minimum(most, bound))
         near = most >= similarity
