@@ -77,3 +77,10 @@ def test_a_long_text_among_short_ones(spark, make_docs, tmp_path, reference):
     bitpack.write_blocks(make_docs([(1, "a b"), (2, long), (3, "c")]), path, TOKENIZER, VOCABULARY, END_ID)
     got = {r["doc_id"]: r for r in bitpack.read_documents(spark, path).collect()}
     assert got[2]["n_tokens"] == len(reference(long)) + 1 and got[3]["start"] == got[2]["start"] + got[2]["n_tokens"]
+
+
+def test_an_id_that_does_not_fit_is_an_error():
+    for bits in (8, 11, 16):
+        assert bitpack.unpack(bitpack.pack(np.array([(1 << bits) - 1]), bits), bits, 0, 1).tolist() == [(1 << bits) - 1]
+        with pytest.raises(ValueError, match="does not fit"):
+            bitpack.pack(np.array([1, 1 << bits]), bits)

@@ -56,7 +56,9 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids as a little-endian bit string of ``bits`` bits each."""
+    """Ids as a little-endian bit string of ``bits`` bits each; an id that needs more is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     out = bytearray()
