@@ -137,3 +137,18 @@ def test_repeated_rows_count_as_often_as_they_occur(make_docs):
     rows = [(1, text), (1, text), (2, text + " end")]
     got = kn.quality_rules(make_docs(rows)).collect()
     assert len(got) == 3 and len({(r["doc_id"], r["perplexity"]) for r in got}) == 2
+
+
+def test_no_language_and_an_empty_name_on_both_paths(spark, make_docs, texts):
+    """Null, "" and a named language each have a model of their own, by broadcast and by shuffle."""
+    langs = [None, "", "en"]
+    rows = [(i, t, langs[i % 3]) for i, t in enumerate(texts)]
+    docs, folder = make_docs(rows), shared_folder(spark, "test-model")
+    table = kn.model_probabilities(kn.fit(kn.count_grams(docs), folder))
+    models = {lang: Brute([t for _, t, x in rows if x == lang]) for lang in langs}
+    for i, limit in enumerate((kn.MAX_GRAMS, 0)):
+        for r in kn.score(docs, table, f"{folder}/{i}", limit).collect():
+            _, text, lang = rows[r["doc_id"]]
+            want = models[lang].log_ppl(text)
+            assert (r["log_ppl"] is None) == (want is None)
+            assert want is None or math.isclose(r["log_ppl"], want, rel_tol=1e-9)
