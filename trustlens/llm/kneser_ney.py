@@ -87,7 +87,7 @@ class SortedHashes:
 def language_key(lang: str | None) -> np.uint64:
     """A language's part of its n-grams' keys; no language and the empty name are two languages."""
     if lang is None:
-        return np.uint64(2)
+        return np.uint64(0x8F1BBCDCBFA53E0B)  # beyond any gram, so that no two languages share a key
     seed = np.frombuffer(lang.encode("utf-8"), np.uint8)
     return span_hashes(seed, np.array([0]), np.array([len(seed)]))[0] if len(seed) else np.uint64(1)
 
