@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from brute_sets import components as brute
@@ -148,28 +149,62 @@ def test_likeness_bounds_the_similarity(spark):
     assert len(wide) > 40 and max(wide) < 0.35 and sorted(wide)[len(wide) // 2] < 0.16
 
 
-def test_sure_pairs_that_do_not_link(make_docs, monkeypatch):
-    """Sketches that take every candidate for a sure link stand for pairs that the full sets refuse: these are
-    compared again, so nothing is lost."""
-    rng, calls, plain, pairs = random.Random(12), [], chosen_path._likeness_of, chosen_path._leaf_pairs
-    words = [f"q{i}" for i in range(100)]
-    rows = [(i, " ".join(_edited(rng, words, i % 5))) for i in range(50)]
+def test_sets_above_the_whole_size_are_confirmed_by_a_join(make_docs, corpus, monkeypatch):
+    """Pairs of large sets, and of a large and a small one, take the join; all others their node."""
+    calls, plain = [], chosen_path.confirm
+    monkeypatch.setattr(chosen_path, "WHOLE", 80)
+    monkeypatch.setattr(chosen_path, "confirm", lambda *args: calls.append(1) or plain(*args))
+    _check(corpus, _found(make_docs(corpus), k=3, percent=85), k=3, percent=85)
+    assert calls
 
-    def leaf_pairs(*args, **options):
-        calls.append(options)
-        return pairs(*args, **options)
 
-    def sure(*args):
-        low, most = plain(*args)
-        return low * 0 + 1, most
-
-    monkeypatch.setattr(chosen_path, "_likeness_of", sure)
-    monkeypatch.setattr(chosen_path, "_leaf_pairs", leaf_pairs)
+@pytest.mark.parametrize("whole", [0, 2048])
+def test_group_around_the_threshold(make_docs, monkeypatch, whole):
+    """Hundreds of copies whose similarities scatter around the threshold: many refused pairs lie beside the links."""
+    rng = random.Random(12)
+    words = [f"q{i}" for i in range(70)]
+    rows = [(i, " ".join(_edited(rng, words, i % 5))) for i in range(200)]
+    monkeypatch.setattr(chosen_path, "WHOLE", whole)
     _check(rows, _found(make_docs(rows), k=3, percent=85), k=3, percent=85)
-    assert len(calls) == 2 and calls[1] == {"trust": False}
 
 
-def test_merge_of_parts():
-    part = chosen_path._merge(np.arange(8), np.array([5, 3, 1, 6]), np.array([3, 1, 0, 7]))
-    assert part.tolist() == [0, 0, 2, 0, 4, 0, 6, 6]
-    assert chosen_path._merge(part, np.array([7]), np.array([2])).tolist() == [0, 0, 2, 0, 4, 0, 2, 2]
+def _table(rows):
+    """The rows (node, id, c, items) as a comparison receives them."""
+    rows = sorted(rows, key=lambda r: r[0])
+    sets = [np.unique(r[3]) for r in rows]
+    return pa.table({
+        "node": [r[0] for r in rows], "id": [r[1] for r in rows], "c": [r[2] for r in rows], "slot": [-1] * len(rows),
+        "seen": [0] * len(rows), "size": [len(x) for x in sets], "sketch": [[0, 0]] * len(rows),
+        "odd": [chosen_path.odd_sketches(x).tolist() for x in sets],
+        "items": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+    })
+
+
+def test_links_of_a_node_are_no_more_than_its_sets():
+    """A group of copies gives a forest of true links; the same components as all pairs; known components are left alone."""
+    rng, rows = np.random.default_rng(6), []
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    for i in range(120):
+        items = base.copy()
+        items[rng.choice(100, rng.integers(0, 14), replace=False)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)[0] + i
+        rows.append((i % 3, i, 1000 if i < 6 else i, items))
+    table = _table(rows)
+    nodes = chosen_path._Nodes(table, 0.85, 2)
+    found = list(chosen_path._linked(nodes, table.column("items").combine_chunks(), 85))
+    parts = {i: i for i in range(120)}
+
+    def root(x):
+        while parts[x] != x:
+            x = parts[x]
+        return x
+
+    sets = {i: set(items.tolist()) for _, i, _, items in rows}
+    true = {(a, b) for a in sets for b in sets if a < b and a % 3 == b % 3 and len(sets[a] & sets[b]) * 100 >= 85 * len(sets[a] | sets[b])}
+    for a, b, _, linked in found:
+        assert linked and (a, b) in true and root(a) != root(b) and not (a < 6 and b < 6)
+        parts[root(a)] = root(b)
+    for a, b in true:
+        known = {root(x) for x in range(6)}
+        assert root(a) == root(b) or (root(a) in known and root(b) in known)
+    marked = {int(i) for i in nodes.ids[chosen_path._marked(nodes)]}
+    assert marked >= {x for a, b in true if not (a < 6 and b < 6) for x in (a, b)}

@@ -22,8 +22,10 @@ A comparison looks at the sizes and at odd sketches first: a set's ``ODD_BITS``
 of items hashed to it, so that the differing bits of two sketches tell the size of the symmetric difference. Sets of
 ``ODD_BITS`` items and more are thinned by powers of two, by the items' hash, to half of that at least; a sketch one
 level thinner goes with it, for pairs across a level. What lies within ``MARGIN`` standard deviations of the
-threshold passes (3 in a million true links at the very threshold fail that); sets of at most ``TINY`` items bring
-them along and are compared at once, other passed pairs are confirmed on the full shingle sets (64-bit hashes). The number of
+threshold passes (3 in a million true links at the very threshold fail that). In small nodes the sets of passed pairs
+then come with their full shingle sets (64-bit hashes) and are confirmed there, so that refused pairs, which may be nearly all pairs
+of a group just below the threshold, never leave the task; pairs of sets above ``WHOLE`` items, which would not fit
+a task by the thousand, are confirmed by a join. The number of
 trees follows from ``RECALL``, the chance for a pair at the threshold in the deepest nodes: below
 ``BRANCHES`` such a pair has one shared child on average, and where the trees went deeper than their number
 allows for, more trees follow until it does.
@@ -52,8 +54,8 @@ COORDINATES = 64
 LEAF = 4096
 #: Rows that a task compares together.
 TOGETHER = 8192
-#: Sets of at most this size carry their whole items beside the sketch: candidates among them are exact.
-TINY = 40
+#: Sets of at most this size are confirmed in their small nodes, which receive them whole; larger ones by a join.
+WHOLE = 2048
 #: Bits of an odd sketch.
 ODD_BITS = 1024
 #: Coordinates a node chooses, by level; below these one, and a second one so often that a pair at the threshold shares
@@ -65,7 +67,7 @@ MARGIN = 4.5
 #: to one side, and as the bound says that a pair links or that a set has no link left.
 SURE = 8.0
 
-_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, odd array<long>, tiny array<long>"
+_SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>, odd array<long>"
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -137,41 +139,52 @@ def _batched(rows: Iterable[tuple], types: dict[str, pa.DataType], weight: int,
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (order-free 64-bit fingerprints of the whole set),
-    sketch and odd (null for an empty set), tiny (the items of a set of at most TINY)."""
+    sketch and odd (null for an empty set)."""
 
     def run(batches):
         def rows():
             for doc_id, items in _document_sets(batches, k):
                 if not len(items):
-                    yield doc_id, 0, 0, 0, None, None, None
+                    yield doc_id, 0, 0, 0, None, None
                     continue
-                a = np.add.reduce(mix(items)).astype(np.uint64).view(np.int64)
-                b = np.bitwise_xor.reduce(mix(items ^ np.uint64(0xD6E8FEB86659FD93))).astype(np.uint64).view(np.int64)
-                tiny = items.view(np.int64) if len(items) <= TINY else None
-                yield doc_id, len(items), int(a), int(b), minwise_tokens(items), odd_sketches(items), tiny
+                yield doc_id, len(items), *fingerprints(items), minwise_tokens(items), odd_sketches(items)
 
         types = {
             "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(),
-            "sketch": pa.list_(pa.int32()), "odd": pa.list_(pa.int64()), "tiny": pa.list_(pa.int64()),
+            "sketch": pa.list_(pa.int32()), "odd": pa.list_(pa.int64()),
         }
         yield from _batched(rows(), types, weight=4)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH_SCHEMA)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, items): the full shingle sets of the documents whose id is in ``ids`` (column id).
-    The id list is broadcast only if it is counted small, else joined by a shuffle."""
+def fingerprints(items: np.ndarray) -> tuple[int, int]:
+    """Two order-free 64-bit fingerprints of a whole set."""
+    a = np.add.reduce(mix(items)).astype(np.uint64).view(np.int64)
+    b = np.bitwise_xor.reduce(mix(items ^ np.uint64(0xD6E8FEB86659FD93))).astype(np.uint64).view(np.int64)
+    return int(a), int(b)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """(id, set_a, set_b, items): the full shingle sets of the documents whose id is in ``ids`` (column id), items null
+    above ``most`` of them; a task gives rows of equal id and set once. The id list is broadcast only
+    if it is counted small, else joined by a shuffle."""
 
     def run(batches):
-        yield from _batched(
-            ((doc_id, items.view(np.int64)) for doc_id, items in _document_sets(batches, k)),
-            {"id": pa.int64(), "items": pa.list_(pa.int64())},
-            weight=1,
-        )
+        def rows():
+            given = set()
+            for doc_id, items in _document_sets(batches, k):
+                key = doc_id, *(fingerprints(items) if len(items) else (0, 0))
+                if key not in given:
+                    given.add(key)
+                    yield *key, items.view(np.int64) if most is None or len(items) <= most else None
+
+        types = {"id": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), "items": pa.list_(pa.int64())}
+        yield from _batched(rows(), types, weight=3)
 
     wanted = stored_side(ids.select(F.col("id").alias("doc_id")))
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, items array<long>")
+    wanted_docs = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return wanted_docs.mapInArrow(run, "id long, set_a long, set_b long, items array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,87 +277,95 @@ def _likeness_of(z: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> tuple[n
     return similar(d + SURE * off), most
 
 
-def _merge(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The parts (a least row number per row) after joining rows i and j."""
-    while True:
-        low = np.minimum(part[i], part[j])
-        new = part.copy()
-        np.minimum.at(new, part[i], low)
-        np.minimum.at(new, part[j], low)
-        new = new[new]
-        new = new[new[part]]
-        if (new == part).all():
-            return part
-        part = new
-
-
-def _near_in_nodes(table: pa.Table, similarity: float, slots: int, trust: bool) -> pa.RecordBatch:
-    """Candidate pairs (a, b, like, sure) within the nodes of a table of whole nodes, sorted by node: row i meets row
-    i + 1 of its node, then i + 2 and so on, all nodes at once. A pair is sure if even its least similarity is enough.
-    With ``trust`` rows that sure pairs join are not compared any more, so that a group of copies
-    gives about as many pairs as it has sets."""
-    flat = lambda c, width: table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
-    plain = {c: table.column(c).to_numpy() for c in ("node", "id", "c", "size", "slot", "seen")}
-    node, ids, c, size = plain["node"], plain["id"], plain["c"], plain["size"]
-    odd, words = flat("odd", ODD_BITS // 32).view(np.uint64), ODD_BITS // 64
-    sketch, tiny = flat("sketch", slots), table.column("tiny")
-    level = np.array([(int(x) // ODD_BITS).bit_length() for x in size])
-    out: list[tuple[np.ndarray, ...]] = []
-    left = np.arange(len(node))
-    part = np.arange(len(node))
-    for step in range(1, len(node)):
-        left = left[left + step < len(node)]
-        left = left[node[left] == node[left + step]]
-        if not len(left):
-            break
-        i, j = left, left + step
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        fits = (ids[i] != ids[j]) & (c[i] != c[j]) & (part[i] != part[j]) & (small >= similarity * large)
-        i, j = i[fits], j[fits]
-        at = np.maximum(level[i], level[j])
+class _Nodes:
+    """The rows of whole nodes as arrays, sorted by node."""
+
+    def __init__(self, table: pa.Table, similarity: float, slots: int):
+        flat = lambda c, width: table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
+        self.node, self.ids, self.c, self.size, self.slot, self.seen = (
+            table.column(c).to_numpy() for c in ("node", "id", "c", "size", "slot", "seen")
+        )
+        self.odd, self.sketch = flat("odd", ODD_BITS // 32).view(np.uint64), flat("sketch", slots)
+        self.level = np.array([(int(x) // ODD_BITS).bit_length() for x in self.size])
+        self.similarity, self.slots = similarity, slots
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs of rows may link, the most similarity of those): sizes and odd sketches allow it, and
+        the pair does not meet in an earlier small first branch, which compares it."""
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        at = np.flatnonzero((self.ids[i] != self.ids[j]) & (small >= self.similarity * large))
+        i, j = i[at], j[at]
+        level, words = np.maximum(self.level[i], self.level[j]), ODD_BITS // 64
         z = np.zeros(len(i), np.int64)
         for w in range(words):
-            x = odd[i, np.where(level[i] < at, w + words, w)]
-            y = odd[j, np.where(level[j] < at, w + words, w)]
+            x = self.odd[i, np.where(self.level[i] < level, w + words, w)]
+            y = self.odd[j, np.where(self.level[j] < level, w + words, w)]
             z += np.bitwise_count(x ^ y)
-        bound = np.minimum(size[i], size[j]) / np.maximum(np.maximum(size[i], size[j]), 1)
-        far = (np.abs(level[i] - level[j]) > 1) | (bound < 0.5)
-        low, most = _likeness_of(z, at, size[i] + size[j])
-        low, most = np.where(far, 0, low), np.where(far, bound, np.minimum(most, bound))
-        near = most >= similarity
-        i, j, low, like = i[near], j[near], low[near], (low + most)[near]
-        # a pair that shares several small first branches is compared in the first of them only
-        met = np.zeros(len(i), dtype=bool)
-        for k in range(slots):
-            met |= (plain["slot"][i] > k) & (plain["seen"][i] >> k & 1 > 0) & (sketch[i, k] == sketch[j, k])
-        for k in np.flatnonzero(~met):
-            x, y = tiny[int(i[k])].as_py(), tiny[int(j[k])].as_py()
-            if x is not None and y is not None:
-                both = len(set(x) & set(y))
-                met[k] = both < similarity * (len(x) + len(y) - both) - 1e-9
-        i, j, low, like = i[~met], j[~met], low[~met], like[~met]
-        sure = low >= similarity
-        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), like, sure))
-        if trust and sure.any():
-            part = _merge(part, i[sure], j[sure])
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
-    types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(columns, types)], ["a", "b", "like", "sure"])
-
-
-def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int, trust: bool = True) -> DataFrame:
-    """Candidate pairs (a, b, like, sure) of small nodes, compared exhaustively: sizes that allow the similarity,
-    odd sketches. Every set goes to its node once; a node of at most ``LEAF`` sets is one array of a task. Two sets
-    that share several small first branches are compared in the first of
-    them only: ``seen`` has a bit for each slot (of the first COORDINATES - 1) in which the set's own branch is small."""
-    slots = min(slots, COORDINATES - 1)
-    rows = leaf.join(sets, ["id", "sid"])
-    one = F.lit(1).cast("long")
-    bit = F.when(F.col("slot").between(0, slots - 1), F.call_function("shiftleft", one, F.col("slot"))).otherwise(0)
-    rows = rows.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
-    rows = rows.select("node", "id", "c", "slot", "seen", "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", "tiny")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = np.minimum(self.size[i], self.size[j]) / np.maximum(np.maximum(self.size[i], self.size[j]), 1)
+        _, most = _likeness_of(z, level, self.size[i] + self.size[j])
+        far = (np.abs(self.level[i] - self.level[j]) > 1) | (bound < 0.5)
+        most = np.where(far, bound, np.minimum(most, bound))
+        ok = most >= self.similarity
+        for k in range(self.slots):
+            ok &= ~((self.slot[i] > k) & (self.seen[i] >> k & 1 > 0) & (self.sketch[i, k] == self.sketch[j, k]))
+        return at[ok], most[ok]
+
+
+def _marked(rows: _Nodes) -> np.ndarray:
+    """Whether a row may link to a row of another component in its node: row i meets row i + 1 of its node, then i + 2
+    and so on, all nodes at once; pairs of two marked rows are left out."""
+    marked = np.zeros(len(rows.node), dtype=bool)
+    left = np.arange(len(rows.node))
+    for step in range(1, len(rows.node)):
+        left = left[left + step < len(rows.node)]
+        left = left[rows.node[left] == rows.node[left + step]]
+        if not len(left):
+            break
+        i = left[(rows.c[left] != rows.c[left + step]) & ~(marked[left] & marked[left + step])]
+        near, _ = rows.near(i, i + step)
+        marked[i[near]] = marked[i[near] + step] = True
+    return marked
+
+
+def _linked(rows: _Nodes, items: pa.Array, percent: int) -> Iterator[tuple[int, int, float, bool]]:
+    """(a, b, most similarity, whether the full sets link) of pairs in the nodes that may link: of sets with items the links
+    alone, one for two parts that links join in the node; pairs of sets without items unconfirmed."""
+    whole = np.asarray(items.is_valid())
+    bounds = np.concatenate([[0], np.cumsum(np.where(whole, rows.size, 0))])
+    values, codes = np.unique(items.drop_null().flatten().to_numpy(), return_inverse=True)
+    inside = np.zeros(len(values), dtype=bool)
+    starts = np.flatnonzero(np.concatenate([[True], rows.node[1:] != rows.node[:-1]]))
+    for low, high in zip(starts, [*starts[1:], len(rows.node)]):
+        _, part = np.unique(rows.c[low:high], return_inverse=True)
+        for i in range(low, high - 1):
+            j = np.arange(i + 1, high)[part[i + 1 - low :] != part[i - low]]
+            near, most = rows.near(np.full(len(j), i), j)
+            j = j[near]
+            known = whole[j] & whole[i]
+            for other, like in zip(j[~known], most[~known]):
+                yield min(rows.ids[i], rows.ids[other]), max(rows.ids[i], rows.ids[other]), like, False
+            j, most = j[known], most[known]
+            if not len(j):
+                continue
+            sizes = rows.size[j]
+            ends = np.cumsum(sizes)
+            at = np.repeat(bounds[j] - (ends - sizes), sizes) + np.arange(ends[-1])
+            own = codes[bounds[i] : bounds[i + 1]]
+            inside[own] = True
+            both = np.add.reduceat(inside[codes[at]].astype(np.int64), ends - sizes)
+            inside[own] = False
+            links = 100 * both >= percent * (rows.size[i] + sizes - both)
+            parts, first = np.unique(part[j[links] - low], return_index=True)
+            for x in first:
+                other = j[links][x]
+                yield min(rows.ids[i], rows.ids[other]), max(rows.ids[i], rows.ids[other]), most[links][x], True
+            part[np.isin(part, parts)] = part[i - low]
+
+
+def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on tables of whole nodes of about TOGETHER rows, sorted by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
@@ -358,14 +379,54 @@ def _leaf_pairs(leaf: DataFrame, sets: DataFrame, percent: int, slots: int, trus
             node = table.column("node").to_numpy()
             cut = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on in the next batch
             if cut:
-                yield _near_in_nodes(table.slice(0, cut), percent / 100, slots, trust)
+                yield work(table.slice(0, cut))
             held, n = table.slice(cut).to_batches(), len(node) - cut
         if n:
-            yield _near_in_nodes(pa.Table.from_batches(held), percent / 100, slots, trust)
+            yield work(pa.Table.from_batches(held))
 
     # ascending by node, as whole nodes are cut off by their number
-    near = rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long, like double, sure boolean")
-    return near.groupBy("a", "b").agg(F.max("like").alias("like"), F.max("sure").alias("sure"))
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
+
+
+_ROW = ["node", "id", "sid", "c", "slot", "seen"]
+
+
+def _compared(rows: DataFrame, sets: DataFrame, slots: int, *more: str) -> DataFrame:
+    """``rows`` with what a comparison looks at."""
+    return rows.join(sets, ["id", "sid"]).select(*_ROW, "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", *more)
+
+
+def _open_sets(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
+    """The rows of small nodes whose set may link to another component in its node. Every set goes to its node once; a
+    node of at most ``LEAF`` sets is one array of a task. ``seen`` has a bit for each slot (of the first
+    COORDINATES - 1) in which the set's own branch is small."""
+    one = F.lit(1).cast("long")
+    bit = F.when(F.col("slot").between(0, slots - 1), F.call_function("shiftleft", one, F.col("slot"))).otherwise(0)
+    rows = leaf.withColumn("seen", F.bit_or(bit).over(Window.partitionBy("id", "sid")))
+
+    def mark(table: pa.Table) -> pa.RecordBatch:
+        kept = table.select(_ROW).filter(pa.array(_marked(_Nodes(table, percent / 100, slots))))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], _ROW)
+
+    return _by_node(_compared(rows, sets, slots), mark, "node long, id long, sid long, c long, slot int, seen long")
+
+
+def _node_links(rows: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
+    """(a, b, like, linked): links within the nodes of ``rows``, confirmed there on the full sets, which go to each
+    node once. A group of thousands of copies thus gives a link a set, and the refused pairs never leave
+    their node. Pairs with a set above ``WHOLE`` items come unconfirmed."""
+    items = shingle_sets(docs, rows.select("id").distinct(), k, WHOLE)
+    items = items.select("id", F.xxhash64("set_a", "set_b").alias("sid"), "items")
+    full = materialize(items)
+
+    def link(table: pa.Table) -> pa.RecordBatch:
+        found = _linked(_Nodes(table, percent / 100, slots), table.column("items").combine_chunks(), percent)
+        columns = list(zip(*found)) or [()] * 4
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "like", "linked"])
+
+    all_of = sets.join(full, ["id", "sid"])
+    return _by_node(_compared(rows, all_of, slots, "items"), link, "a long, b long, like double, linked boolean")
 
 
 def _size_ratio(x: str, y: str) -> Column:
@@ -426,7 +487,7 @@ def _unsettled(rows: DataFrame, labels: DataFrame | None, radius: float) -> Data
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) over distinct sets (id, sid, size, sketch, odd, tiny) with the same components as all links of at least
+    """Edges (u, v) over distinct sets (id, sid, size, sketch, odd) with the same components as all links of at least
     ``percent`` similarity."""
     s = percent / 100
     edges = labels = None
@@ -439,7 +500,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             leaves.append(nodes.where(F.col("n") <= LEAF).select("node", "id", "sid", "c", "slot"))
             if not n_big:
                 break
-            rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets.drop("tiny"), ["id", "sid"]))
+            rows = _with_pivots(nodes.where(F.col("n") > LEAF).select("node", "id", "sid", "c").join(sets, ["id", "sid"]))
             near = _union([
                 rows.where((F.col("c") != F.col(f"{x}_c")) & (F.col(f"{x}_most") >= s)).select(*_pairs(F.col("id"), F.col(x)))
                 for x in "pq"
@@ -453,25 +514,31 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             level += 1
             release(docs.sparkSession)
         depth = max(depth, level)
-    slots = trees * BRANCHES[0]
-    pairs = materialize(_apart(_leaf_pairs(_union(leaves), sets, percent, slots), labels))
+    slots = min(trees * BRANCHES[0], COORDINATES - 1)
+    marked = materialize(_open_sets(_union(leaves), sets, percent, slots))
     release(docs.sparkSession)
+    found = _node_links(_label(marked.drop("c"), labels), sets, docs, k, percent, slots)
+    found, (n_far,) = materialize_counted(found, F.count_if(~F.col("linked")))
+    edges, _ = _with_links(edges, found.where("linked"))
+    release(docs.sparkSession)
+    if n_far:
+        far = found.where("NOT linked").groupBy("a", "b").agg(F.max("like").alias("like"))
+        edges = _far_links(far, edges, docs, k, percent)
+    return edges
+
+
+def _far_links(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``edges`` with the links among pairs (a, b, like) of large sets, confirmed by a join with the sets."""
+    pairs = materialize(_apart(pairs, components(edges)))
     full = materialize(shingle_sets(docs, _ends(pairs), k))
     # each set with its likest candidate; then only the pairs still in different components
     both = pairs.select("a", "b", "like").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
     first = both.groupBy("a").agg(F.max_by("b", F.struct("like", F.xxhash64("b"))).alias("b"))
     first = materialize(first.select(*_pairs(F.col("a"), F.col("b"))).distinct())
     edges, _ = _with_links(edges, confirm(first, full, percent))
-    labels = components(edges)
     release(docs.sparkSession)
-    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
+    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), components(edges))
     edges, _ = _with_links(edges, confirm(left, full, percent))
-    # pairs that stood for others and did not link after all: compare again what is still apart, every pair
-    labels = components(edges)
-    if not _apart(pairs.where("sure"), labels).isEmpty():
-        leaf = _label(_union(leaves).drop("c"), labels)
-        again = materialize(_apart(_leaf_pairs(leaf, sets, percent, slots, trust=False), labels))
-        edges, _ = _with_links(edges, confirm(again, shingle_sets(docs, _ends(again), k), percent))
     release(docs.sparkSession)
     return edges
 
@@ -507,18 +574,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
     docs = docs.select("doc_id", "text")
     members = materialize(sketches(docs, k))
+    counts = materialize(members.select("doc_id", "n_shingles"))
     shape = ["n_shingles", "set_a", "set_b"]
     linkable = members.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = linkable.groupBy(*shape).agg(F.min("doc_id").alias("id"))
     placed = materialize(linkable.select("doc_id", *shape).join(groups, shape).select("doc_id", "id").distinct())
     representatives = linkable.join(groups.withColumnRenamed("id", "doc_id"), ["doc_id", *shape], "left_semi")
-    representatives = representatives.select(F.col("doc_id").alias("id"), *shape, "sketch", "odd", "tiny")
+    representatives = representatives.select(F.col("doc_id").alias("id"), *shape, "sketch", "odd")
     sets = materialize(representatives.dropDuplicates(["id", *shape]))
+    del members, linkable, groups, representatives  # the stored sketches are those of ``sets`` from here on
     release(docs.sparkSession)
     # an id with several texts joins their groups
     same = placed.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     same = placed.join(same, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch", "odd", "tiny")
+    sets = sets.select("id", F.xxhash64("set_a", "set_b").alias("sid"), F.col("n_shingles").alias("size"), "sketch", "odd")
     edges = links(sets, docs, k, percent)
     labels = components(edges.unionAll(same.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     of_id = (
@@ -526,7 +595,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .join(labels, "id", "left")
         .select("doc_id", F.coalesce("component", "id").alias("found"))
     )
-    out = members.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
+    out = counts.join(of_id, "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
