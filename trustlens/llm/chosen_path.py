@@ -388,16 +388,12 @@ def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
-_ROW = ["node", "id", "sid", "c", "slot", "seen"]
-
-
-def _compared(rows: DataFrame, sets: DataFrame, slots: int, *more: str) -> DataFrame:
-    """``rows`` with what a comparison looks at."""
-    return rows.join(sets, ["id", "sid"]).select(*_ROW, "size", F.slice("sketch", 1, slots).alias("sketch"), "odd", *more)
+_ROW = ["node", "id", "sid", "c", "slot", "seen", "size", "sketch", "odd"]
+_ROW_SCHEMA = "node long, id long, sid long, c long, slot int, seen long, size long, sketch array<int>, odd array<long>"
 
 
 def _open_sets(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame:
-    """The rows of small nodes whose set may link to another component in its node. Every set goes to its node once; a
+    """The rows of small nodes, with what a comparison looks at, whose set may link to another component in its node. Every set goes to its node once; a
     node of at most ``LEAF`` sets is one array of a task. ``seen`` has a bit for each slot (of the first
     COORDINATES - 1) in which the set's own branch is small."""
     one = F.lit(1).cast("long")
@@ -408,10 +404,11 @@ def _open_sets(leaf: DataFrame, sets: DataFrame, percent: int, slots: int) -> Da
         kept = table.select(_ROW).filter(pa.array(_marked(_Nodes(table, percent / 100, slots))))
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], _ROW)
 
-    return _by_node(_compared(rows, sets, slots), mark, "node long, id long, sid long, c long, slot int, seen long")
+    rows = rows.join(sets.withColumn("sketch", F.slice("sketch", 1, slots)), ["id", "sid"]).select(*_ROW)
+    return _by_node(rows, mark, _ROW_SCHEMA)
 
 
-def _node_links(rows: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
+def _node_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
     """(a, b, like, linked): links within the nodes of ``rows``, confirmed there on the full sets, which go to each
     node once. A group of thousands of copies thus gives a link a set, and the refused pairs never leave
     their node. Pairs with a set above ``WHOLE`` items come unconfirmed."""
@@ -425,8 +422,8 @@ def _node_links(rows: DataFrame, sets: DataFrame, docs: DataFrame, k: int, perce
         types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "like", "linked"])
 
-    all_of = sets.join(full, ["id", "sid"])
-    return _by_node(_compared(rows, all_of, slots, "items"), link, "a long, b long, like double, linked boolean")
+    rows = rows.join(full, ["id", "sid"]).select(*_ROW, "items")
+    return _by_node(rows, link, "a long, b long, like double, linked boolean")
 
 
 def _size_ratio(x: str, y: str) -> Column:
@@ -517,7 +514,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     slots = min(trees * BRANCHES[0], COORDINATES - 1)
     marked = materialize(_open_sets(_union(leaves), sets, percent, slots))
     release(docs.sparkSession)
-    found = _node_links(_label(marked.drop("c"), labels), sets, docs, k, percent, slots)
+    found = _node_links(_label(marked.drop("c"), labels), docs, k, percent, slots)
     found, (n_far,) = materialize_counted(found, F.count_if(~F.col("linked")))
     edges, _ = _with_links(edges, found.where("linked"))
     release(docs.sparkSession)
@@ -538,8 +535,11 @@ def _far_links(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, perc
     edges, _ = _with_links(edges, confirm(first, full, percent))
     release(docs.sparkSession)
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), components(edges))
-    edges, _ = _with_links(edges, confirm(left, full, percent))
-    release(docs.sparkSession)
+    left, (n_left,) = materialize_counted(left, F.count(F.lit(1)))
+    if n_left:
+        asked = full.join(stored_side(_ends(left)), "id", "left_semi")
+        edges, _ = _with_links(edges, confirm(left, asked, percent))
+        release(docs.sparkSession)
     return edges
 
 
@@ -549,7 +549,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _with_links(edges: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges (u, v) with the links found, one contraction on, and the labels they give so far."""
-    new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    new = materialize(found.select(F.col("a").alias("u"), F.col("b").alias("v")))  # a contraction reads it several times
     edges = materialize(contract(new if edges is None else edges.unionAll(new)))
     return edges, labels_of(edges)
 
