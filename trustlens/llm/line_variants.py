@@ -37,14 +37,48 @@ from trustlens.plans.sizing import broadcast_if_small
 
 NEAR_WORDS = 8
 
-_FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_FACTOR, -1, 1 << 64))
 _U = np.uint64
+#: The prime 2**61 - 1, modulo which the lines' polynomials are taken, and their base.
+_PRIME = (1 << 61) - 1
+_FACTOR = 0x1E3779B97F4A7C15
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for a and b below it, from 31-bit halves (2**61 is 1)."""
+    low, half = _U((1 << 31) - 1), _U(31)
+    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    middle = a_low * b_high + a_high * b_low
+    high = a_high * b_high * _U(2) + (middle >> _U(30))
+    return _fold(_fold(high + ((middle & _U((1 << 30) - 1)) << half)) + _fold(a_low * b_low))
+
+
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _fold(a + (_U(_PRIME) - b))
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Prefix sums modulo the prime of values below it: high and low halves are summed apart."""
+    low, high = np.cumsum(values & _U(0xFFFFFFFF), dtype=_U), np.cumsum(values >> _U(32), dtype=_U)
+    return _fold(_fold(low) + _times(_fold(high), _U(1 << 32)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime, doubled block by block."""
+    out = np.ones(1, dtype=_U)
+    while len(out) < n:
+        out = np.append(out, _times(out, _U(pow(base, len(out), _PRIME))))
+    return out[:n]
 
 
 class Lines:
     """The lines with words of a batch: row, line number, word count, and the prefix sums of a polynomial
-    hash over their words."""
+    hash over their words modulo the prime 2**61 - 1."""
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
@@ -59,21 +93,21 @@ class Lines:
         self.size = np.diff(np.append(self.first, len(row)))
         self.row, self.line = row[self.first], line[self.first]
         longest = int(self.size.max()) if len(self.size) else 0
-        self.up = np.cumprod(np.append(_U(1), np.full(longest + 1, _FACTOR, _U)), dtype=_U)
-        self.down = np.cumprod(np.append(_U(1), np.full(longest + 1, _INVERSE, _U)), dtype=_U)
+        up = _powers(_FACTOR, longest + 2)
+        self.down = _powers(pow(_FACTOR, -1, _PRIME), longest + 2)
         inside = np.arange(len(row)) - np.repeat(self.first, self.size)
-        self.sums = np.append(_U(0), np.cumsum(hashes * self.up[inside], dtype=_U))
+        self.sums = np.append(_U(0), _running(_times(_fold(hashes), up[inside])))
         begin, end = starts[self.first], ends[self.first + self.size - 1] if len(self.first) else starts
         self.spans, self.data = (begin, end), data
 
     def prefix(self, of: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Sum over the first n words of each line."""
-        return self.sums[self.first[of] + n] - self.sums[self.first[of]]
+        return _minus(self.sums[self.first[of] + n], self.sums[self.first[of]])
 
     def suffix(self, of: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Sum over the last n words, as if they stood at the front."""
         skip = self.size[of] - n
-        return (self.prefix(of, self.size[of]) - self.prefix(of, skip)) * self.down[skip]
+        return _times(_minus(self.prefix(of, self.size[of]), self.prefix(of, skip)), self.down[skip])
 
     def keys(self) -> np.ndarray:
         of = np.arange(len(self.first))
@@ -93,8 +127,8 @@ class Lines:
         size = self.size[of]
         line = np.repeat(of, size)
         word = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-        rest = self.prefix(line, self.size[line]) - self.prefix(line, word + 1)
-        return line, word, _key(self.prefix(line, word) + rest * self.down[1], self.size[line] - 1)
+        rest = _minus(self.prefix(line, self.size[line]), self.prefix(line, word + 1))
+        return line, word, _key(_fold(self.prefix(line, word) + _times(rest, self.down[1])), self.size[line] - 1)
 
 
 def _key(sums: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -18,13 +18,14 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+# the low 1 to 8 bytes of a word of eight
+_LOW_BYTES = np.array([0] + [(1 << (8 * n)) - 1 for n in range(1, 9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,33 +73,31 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
-        up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
-        up[0] = down[0] = 1
-        _powers = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _powers
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; spans are sorted and do not overlap.
 
-    The hash is polynomial (prefix sums modulo 2**64, shifted back to the span's own
-    origin), then mixed with the span's length.
+    A span is read in words of eight bytes (the last one filled with zeros); each word is mixed
+    together with its place, the mixed words are added up, and the sum is mixed with the length. Every
+    word passes the full mixer before the sum, so no pattern of the bytes cancels out (a polynomial
+    modulo 2**64 gives equal hashes to Thue-Morse sequences whatever its base).
     """
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
         origin = starts[at]
         to = max(int(np.searchsorted(ends, origin + PIECE_BYTES, "right")), at + 1)
-        piece = data[origin : ends[to - 1]]
-        up, down = _power_tables(len(piece) + 1)
-        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-        s, e = starts[at:to] - origin, ends[at:to] - origin
-        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        piece = np.append(data[origin : ends[to - 1]], np.zeros(8, np.uint8))
+        size = (ends[at:to] - starts[at:to]).astype(np.int64)
+        eights = np.maximum((size + 7) >> 3, 1)
+        first = np.cumsum(eights) - eights
+        place = np.arange(int(eights.sum())) - np.repeat(first, eights)
+        begin = np.repeat(starts[at:to] - origin, eights) + 8 * place
+        left = np.repeat(size, eights) - 8 * place
+        # eight bytes from any position on
+        words = np.ndarray((len(piece) - 7,), "<u8", piece.tobytes(), strides=(1,))[begin]
+        words = words & _LOW_BYTES[np.minimum(left, 8)]
+        mixed = mix(words + mix((place.astype(np.uint64) + np.uint64(1)) * _STEP))
+        out[at:to] = mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _LENGTH)
         at = to
     return out
 
