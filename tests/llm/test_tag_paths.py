@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -92,3 +93,57 @@ def test_rows_and_clashing_columns(spark):
 def test_hostile_pages_take_linear_time():
     for page in ("<div>" * 20_000 + "x", "<p " + "a='" * 20_000, "<" * 50_000, "&amp" * 20_000, "<b>" * 5_000 + "<p>y" * 2_000):
         main_text(page)
+
+
+def test_page_in_a_form():
+    text = f"<p>{LONG}</p>" * 3
+    rest = "<nav>menu</nav><select><option>pick</select><button>Go</button>"
+    for part in (f"<article>{text}</article>", f"<main>{text}</main>", text):
+        assert main_text(f"<body><form id=aspnetForm>{rest}{part}</form></body>") == " ".join([LONG] * 3)
+    # a form beside or within an article, or without paragraphs, is none
+    comment = f"<form><p>{LONG}</p><p>{LONG}</p><label>Name</label></form>"
+    assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
+    assert main_text(f"<article><p>{LONG}</p>{comment}</article>") == LONG
+    assert main_text("<body><form><label>Name</label> <label>Mail</label></form></body>") == ""
+
+
+def test_short_blocks_of_a_plain_page():
+    p = f"<p>{LONG}</p>"
+    menu = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>"
+    page = f"<body>{menu}<h1>Title</h1>{p}{p}<h2>Part</h2>{p}<ul><li>salt<li>oil</ul>{p}<div class=low>Terms</div></body>"
+    assert main_text(page) == " ".join(["Title", LONG, LONG, "Part", LONG, "salt oil", LONG])
+    side = "<div class=side><h3>About</h3><ul><li>Us</ul></div>"
+    assert main_text(f"<body><div class=text>{p * 3}</div>{side}</body>") == " ".join([LONG] * 3)
+
+
+def test_short_blocks_of_a_marked_article():
+    p = f"<p>{LONG}</p>"
+    page = f"<article>{p}<div>Yes, he said.</div><div>No.</div>{p}<blockquote>So be it.</blockquote>{p}<div class=verse>A verse</div>{p}<div class=tools>Share</div></article>"
+    assert main_text(page) == " ".join([LONG, "Yes, he said. No.", LONG, "So be it.", LONG, "A verse", LONG])
+    assert main_text(f"<article>{p}{p}<div class=share-box>Share</div>{p}</article>") == " ".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("added", ["<div>A short line</div>", "<blockquote>A short line</blockquote>", "<div class=verse>A short line</div>"])
+def test_generated_pages_keep_an_added_line(spark, added):
+    """A short block after the first of several paragraphs, on every page that has them."""
+    seen = 0
+    for r in spark.read.parquet(f"{SF_MID}/pages.parquet").collect():
+        head, body = r["html"].split("<article>")
+        if body.split("</article>")[0].count("</p>") < 2:
+            continue
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", (body.replace("</p>", "</p>" + added, 1)).split("</article>")[0])).split())
+        seen += 1
+        assert main_text(f"{head}<article>{body.replace('</p>', '</p>' + added, 1)}") == want
+    assert seen > 50
+
+
+def test_nesting_and_stray_tags_take_linear_time():
+    def seconds(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    makers = [lambda n: "<div>x" * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li></li>" * n,
+              lambda n: "<div>x" * n + "</div>" * n + "<p>y" * n]
+    for make in makers:
+        assert seconds(make(20_000)) < 10 * seconds(make(4_000)) + 1

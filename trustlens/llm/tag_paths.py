@@ -15,13 +15,18 @@ counting. A class counts as a whole (``ad-slot``, ``site-header``): every part i
 companion of one. Layout states (``has-sidebar``, ``md:hidden``) say nothing; other classes with a skip word divide the
 ratio by MARK. A part that holds the only marked article, ``main`` or most of the text is not left out for its class. Where a page marks its article (``article``, ``main`` or the role), the mark is evidence
 beside the ratios: it multiplies the ratios of paths within it and divides those of the others by MARK
-before the threshold. Headings, list items, cells and captions of a marked article are short by
-nature; they also stay with the text they belong to (the next block for headings, the one before for the others)
-where the ratios keep that.
+before the threshold. Headings, list items, cells and captions are short by nature; they also stay with the
+text they belong to (the next block for headings, the one before for the others) where the ratios keep that: in a
+marked article anywhere, on other pages within the container of that text. Other short blocks of a marked
+article (a line of dialogue, a verse, a quotation) stay beside text of the same article that the ratios keep:
+on one side for a block without a class, on both sides for one with a class.
+
+A form is left out, but for the one that holds an otherwise unmarked page's article, ``main`` or paragraphs
+(pages wrapped in one form).
 
 Pages are parsed by a tolerant tokenizer: implied end tags, stray end tags, unclosed elements,
 comments, raw text elements and broken markup at the end of a page all have a defined reading
-(the text so far). Tasks handle one page at a time; the rows are Spark's.
+(the text so far). Time is linear in the page: paths are nodes of one tree, open elements are found by tag. Tasks handle one page at a time; the rows are Spark's.
 
 **Cases.** Null and empty pages give an empty text. Repeated rows and ids are separate pages. A
 page without markup is one block and is returned whole. Other columns are ignored.
@@ -82,6 +87,7 @@ STATES = frozenset("has no not with without show hide overflow open opened close
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is short by nature, besides headings.
 SHORT_TAGS = frozenset("li dt dd td th caption figcaption pre".split())
+_LIST_PARTS = frozenset("ul ol dl menu dir li dt dd table thead tbody tfoot tr td th caption figure figcaption hgroup".split())
 _CLOSED_BY_BLOCK = "p"
 _SAME_LEVEL = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -105,12 +111,35 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
+class Path:
+    """A root-to-leaf path of steps, as a node of the page's tree of paths (equal paths are one node)."""
+
+    __slots__ = ("above", "step", "depth", "below")
+
+    def __init__(self, above: Path | None, step: str):
+        self.above, self.step, self.below = above, step, {}
+        self.depth = above.depth + 1 if above else 0
+
+    def child(self, step: str) -> Path:
+        found = self.below.get(step)
+        if found is None:
+            found = self.below[step] = Path(self, step)
+        return found
+
+    def steps(self) -> tuple[str, ...]:
+        out, node = [], self
+        while node.above:
+            out.append(node.step)
+            node = node.above
+        return tuple(reversed(out))
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     links: int
-    in_article: bool
+    in_article: int  # number of the marked article, 0 for none
     doubtful: bool = False
 
 
@@ -121,10 +150,21 @@ class Part:
     start: int
     outermost: bool
     in_article: bool
+    form: bool
     chars: int = 0
     articles: int = 0
+    paragraphs: int = 0
     main: bool = False
 
+    def held(self, total: int, marked: bool) -> bool:
+        """Whether the part is not to be left out after all."""
+        if self.in_article or not self.chars:
+            return False
+        most = self.chars >= MOST * total
+        if self.form:
+            return not marked and (self.main or self.articles == 1 or (most and self.paragraphs > 0))
+        return most or (not marked and (self.main or self.articles == 1))
+
 
 #: What a part's markup says of it, from nothing to left out in any case.
 LIKELY, DOUBTFUL, NAMED, NEVER = range(4)
@@ -141,7 +181,7 @@ def _word_level(token: str) -> int:
 def _level(tag: str, attrs: str) -> int:
     """What a part's tag, class, id, role or hiding says of it."""
     if tag in SKIPPED_TAGS:
-        return NEVER
+        return NAMED if tag == "form" else NEVER
     if not attrs or tag in ("html", "body", "article", "main"):
         return LIKELY
     level = LIKELY
@@ -171,11 +211,7 @@ def blocks(page: str) -> list[Block]:
         return found
     total = sum(len(b.text) for b in found) + sum(p.chars for p in parts if p.outermost)
     marked = any(b.in_article for b in found)
-    held = frozenset(
-        p.start
-        for p in parts
-        if not p.in_article and p.chars and (p.chars >= MOST * total or (not marked and (p.main or p.articles == 1)))
-    )
+    held = frozenset(p.start for p in parts if p.held(total, marked))
     return _parse(page, held)[0] if held else found
 
 
@@ -184,16 +220,22 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
     at ``held``."""
     found: list[Block] = []
     parts: list[Part] = []
-    stack: list[tuple[str, str, bool, bool, bool, Part | None]] = []  # tag, path step, left out, article, doubtful, named part
+    root = Path(None, "")
+    # tag, whether a block, left out, article, doubtful, named part, path
+    stack: list[tuple[str, bool, bool, int, bool, Part | None, Path]] = []
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each tag
     text: list[str] = []
-    links = link_depth = 0
+    links = link_depth = articles = 0
+
+    def deepest(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
     def close_block() -> None:
         nonlocal links
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            steps = tuple(s[1] for s in stack if s[1])
-            found.append(Block(steps, joined, links, bool(stack) and stack[-1][3], bool(stack) and stack[-1][4]))
+            _, _, _, article, doubtful, _, path = stack[-1] if stack else ("", False, False, 0, False, None, root)
+            found.append(Block(path, joined, links, article, doubtful))
         text.clear()
         links = 0
 
@@ -203,11 +245,13 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
             close_block()
         link_depth -= sum(s[0] == "a" for s in stack[depth:])
         while len(stack) > depth:
-            part = stack.pop()[5]
+            tag, *_, part, _ = stack.pop()
+            opened[tag].pop()
             above = stack[-1][5] if stack else None
             if part and above and part is not above:
                 above.chars += part.chars
                 above.articles += part.articles
+                above.paragraphs += part.paragraphs
                 above.main |= part.main
 
     at = 0
@@ -227,10 +271,8 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
         if not tag:
             continue
         if token["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
+            if opened.get(tag):
+                pop_to(opened[tag][-1])
             continue
         if tag == "br":
             text.append(" ")
@@ -239,16 +281,11 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
         if block:
             if tag in _SAME_LEVEL:
                 same, scope = _SAME_LEVEL[tag]
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in scope:
-                        break
-                    if stack[depth][0] in same:
-                        pop_to(depth)
-                        break
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == _CLOSED_BY_BLOCK:
-                    pop_to(depth)
-                    break
+                sibling = deepest(same - scope)
+                if sibling > deepest(scope):
+                    pop_to(sibling)
+            if opened.get(_CLOSED_BY_BLOCK):
+                pop_to(opened[_CLOSED_BY_BLOCK][-1])
             close_block()
         if tag in VOID_TAGS:
             continue
@@ -256,13 +293,13 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        _, _, out, in_article, doubtful, part = stack[-1] if stack else ("", "", False, False, False, None)
+        _, _, out, in_article, doubtful, part, path = stack[-1] if stack else ("", False, False, 0, False, None, root)
         if not out or part:  # within a part left out in any case nothing counts
             level = _level(tag, token["attrs"])
             if level == NEVER:
                 out, part = True, None
             elif level == NAMED and token.start() not in held:
-                part = Part(token.start(), part is None, in_article)
+                part = Part(token.start(), part is None, bool(in_article), tag == "form")
                 parts.append(part)
                 out = True
             doubtful = doubtful or level == DOUBTFUL
@@ -273,27 +310,38 @@ def _parse(page: str, held: frozenset[int]) -> tuple[list[Block], list[Part]]:
                 if part:
                     part.articles += 1
                     part.main |= tag == "main" or bool(role and role[1].lower() == "main")
-            in_article = True
-        stack.append((tag, f"{tag}{_classes(token['attrs'])}" if block else "", out, in_article, doubtful, part))
+                articles += 1
+                in_article = articles
+        if part and tag == "p":
+            part.paragraphs += 1
+        if block:
+            path = path.child(f"{tag}{_classes(token['attrs'])}")
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, block, out, in_article, doubtful, part, path))
         link_depth += tag == "a"
     close_block()
     pop_to(0)
     return found, parts
 
 
-def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def _shared(a: Path, b: Path) -> float:
     """Share of the longer path that both start with."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return (same + 1) / (max(len(a), len(b)) + 1)
+    longer = max(a.depth, b.depth)
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+    return (a.depth + 1) / (longer + 1)
 
 
 def path_scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
     """Each path's fused ratio and its share of link characters."""
-    totals: dict[tuple[str, ...], list[float]] = {}
+    return {path.steps(): score for path, score in _scores(found).items()}
+
+
+def _scores(found: list[Block]) -> dict[Path, tuple[float, float]]:
+    totals: dict[Path, list[float]] = {}
     for b in found:
         t = totals.setdefault(b.path, [0, 0, 0, 0])
         t[0] += 1
@@ -303,7 +351,7 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]
     text = [totals[b.path][1] / totals[b.path][0] for b in found]
     marks = [totals[b.path][2] / totals[b.path][0] for b in found]
     kernel = [math.exp(-(d * d) / (2 * WIDTH * WIDTH)) for d in range(REACH + 1)]
-    fused: dict[tuple[str, ...], list[float]] = {}
+    fused: dict[Path, list[float]] = {}
     for i, b in enumerate(found):
         weights, length, punctuation = 0.0, 0.0, 0.0
         for j in range(max(0, i - REACH), min(len(found), i + REACH + 1)):
@@ -318,36 +366,76 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]
     return {p: (f[0] / f[1], totals[p][3] / totals[p][1]) for p, f in fused.items()}
 
 
+def _tag(path: Path) -> str:
+    return path.step.split(".", 1)[0]
+
+
+def _owner(path: Path) -> Path:
+    """The path without the paragraphs at its end."""
+    while path.above and _tag(path) == "p":
+        path = path.above
+    return path
+
+
 def _short_kind(block: Block) -> str:
     """"heading" or "item" for a block that is short by nature, else empty."""
-    steps = [x.split(".", 1)[0] for x in block.path]
-    while steps and steps[-1] == "p":
-        steps.pop()
-    last = steps[-1] if steps else ""
+    last = _tag(_owner(block.path))
     return "heading" if last in HEADINGS else "item" if last in SHORT_TAGS else ""
 
 
+def _container(path: Path) -> Path:
+    """The element that holds a text block, its heading or the list or table that it is an item of."""
+    path = _owner(path) if _tag(path) == "p" else path.above or path
+    while path.above and _tag(path) in _LIST_PARTS:
+        path = path.above
+    return path
+
+
+def _belongs(found: list[Block], kept: list[bool], kind: str, order: range, links: list[bool]) -> None:
+    """Keep the blocks of a short kind that follow, in the given order, a kept block that they belong to."""
+    anchor: Block | None = None
+    for i in order:
+        b = found[i]
+        if _short_kind(b) == kind:
+            same = anchor and (b.in_article if anchor.in_article else _container(b.path) is _container(anchor.path))
+            kept[i] = kept[i] or bool(same and not links[i] and not b.doubtful)
+        elif b.in_article or kind == "heading" or not _short_kind(b):
+            anchor = b if kept[i] else None
+
+
+def _beside(found: list[Block], kept: list[bool], links: list[bool]) -> list[bool]:
+    """Blocks of a marked article next to text of the same article that is kept: on one side for a block whose
+    own element has no class, on both for one with a class."""
+    n, sides = len(found), []
+    for order in (range(n), range(n - 1, -1, -1)):
+        near, last = [False] * n, 0  # the article whose text was kept last
+        for i in order:
+            article = found[i].in_article
+            near[i] = article > 0 and article == last
+            if kept[i] or article != last:
+                last = article if kept[i] else 0
+        sides.append(near)
+    return [
+        not links[i] and not b.doubtful and ((x and y) if "." in b.path.step else (x or y))
+        for i, (b, x, y) in enumerate(zip(found, *sides))
+    ]
+
+
 def main_text(page: str | None) -> str:
     """The article text of a page: its content blocks in page order, joined by one space."""
     found = blocks(page or "")
-    scores = path_scores(found)
+    scores = _scores(found)
     marked = any(b.in_article for b in found)
     weights = [(MARK if b.in_article else 1 / MARK) if marked else 1.0 for b in found]
     values = [scores[b.path][0] * w / (MARK if b.doubtful else 1.0) for b, w in zip(found, weights)]
     mean = sum(values) / len(values) if values else 0.0
     deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) if values else 0.0
-    kept = [v >= THRESHOLD * deviation and scores[b.path][1] < LINKS for v, b in zip(values, found)]
+    links = [scores[b.path][1] >= LINKS for b in found]
+    kept = [v >= THRESHOLD * deviation and not x for v, x in zip(values, links)]
     if marked:
-        kinds = [_short_kind(b) for b in found]
-        for kind, order in (("item", range(len(found))), ("heading", range(len(found) - 1, -1, -1))):
-            anchored = False  # whether the block that these belong to is kept
-            for i in order:
-                if not found[i].in_article:
-                    anchored = False
-                elif kinds[i] == kind:
-                    kept[i] = kept[i] or (anchored and scores[found[i].path][1] < LINKS)
-                elif kind == "heading" or not kinds[i]:
-                    anchored = kept[i]
+        kept = [k or x for k, x in zip(kept, _beside(found, kept, links))]
+    _belongs(found, kept, "item", range(len(found)), links)
+    _belongs(found, kept, "heading", range(len(found) - 1, -1, -1), links)
     return " ".join(b.text for b, k in zip(found, kept) if k)
 
 
