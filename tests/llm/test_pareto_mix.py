@@ -94,3 +94,42 @@ def test_cases(make_docs):
     assert pareto_mix.mix(make_docs([])).count() == 0
     nothing = pareto_mix.mix(make_docs([(1, "", "en", "a"), (2, None, "en", "b")])).collect()
     assert [(r["target"], r["copies"]) for r in nothing] == [(0.0, 0)] * 2
+
+
+def _shares(sizes, rest):
+    """Inclusion probabilities min(1, c / sqrt(size)) with expected words ``rest``, by bisection on c."""
+    low, high = 0.0, max(sizes) ** 0.5
+    for _ in range(200):
+        c = (low + high) / 2
+        if sum(min(n, c * n**0.5) for n in sizes) < rest:
+            low = c
+        else:
+            high = c
+    return [min(1.0, low / n**0.5) for n in sizes]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.8, 0.97])
+def test_inclusion_probabilities_sum_to_the_rest(make_docs, share):
+    rng = random.Random(11)
+    sizes = [rng.choice([1, 4, 9, 50, rng.randrange(1, 3000)]) for _ in range(200)]
+    docs = make_docs([(i, "w " * n, "en", "a") for i, n in enumerate(sizes)] + [(900, "", "en", "a")])
+    got = {r["doc_id"]: r["share"] for r in pareto_mix.mix(docs, weights=(1,), share=share).collect()}
+    assert got.pop(900) is None
+    want = _shares(sizes, share * sum(sizes))
+    assert [got[i] for i in range(200)] == pytest.approx(want, rel=0.002)
+    assert sum(got[i] * n for i, n in enumerate(sizes)) == pytest.approx(share * sum(sizes))
+
+
+def test_frequencies_follow_the_inclusion_probabilities(make_docs):
+    """Over seeds, documents of each size are drawn about as often as their probability says."""
+    sizes = [10] * 60 + [40] * 60 + [160] * 60
+    docs = make_docs([(i, "w " * n, "en", "a") for i, n in enumerate(sizes)])
+    docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema).cache()
+    seeds, drawn, share = 10, {}, {}
+    for seed in range(seeds):
+        for r in pareto_mix.mix(docs, weights=(1,), share=0.4, seed=f"f{seed}").collect():
+            drawn[r["size"]] = drawn.get(r["size"], 0) + r["copies"]
+            share[r["size"]] = r["share"]
+    for size, p in share.items():
+        n = 60 * seeds
+        assert abs(drawn[size] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 0.01

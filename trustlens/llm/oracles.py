@@ -57,10 +57,25 @@ p AS (
 u AS (
   SELECT *, (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h), 1, 13)) AS BIGINT) + 0.5::DOUBLE)
     / 4503599627370496.0::DOUBLE AS u FROM d),
-q AS (
-  SELECT u.*, source_size, target, whole, target - whole * source_size AS rest,
-    CASE WHEN size > 0 THEN u / (1 - u) * sqrt(size / (source_size / n)) END AS odds
-  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source),
+rests AS (SELECT *, greatest(0::DOUBLE, target - whole * source_size) AS rest FROM p),
+roots AS (
+  SELECT source, size, count(*) AS n, CAST(floor(1024 * sqrt(size)) AS BIGINT) AS root,
+    size / CAST(floor(1024 * sqrt(size)) AS BIGINT) AS certain_at FROM d WHERE size > 0 GROUP BY source, size),
+factors AS (
+  SELECT roots.source, certain_at, size,
+    (rest - coalesce(sum(roots.n * size) OVER b, 0)) /
+      (sum(roots.n * root) OVER (PARTITION BY roots.source) - coalesce(sum(roots.n * root) OVER b, 0)) AS factor
+  FROM roots JOIN rests ON roots.source IS NOT DISTINCT FROM rests.source
+  WINDOW b AS (PARTITION BY roots.source ORDER BY certain_at, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shares AS (
+  SELECT source, coalesce(arg_min(factor, (certain_at, size)) FILTER (WHERE factor <= certain_at), max(certain_at)) AS factor
+  FROM factors GROUP BY source),
+o AS (
+  SELECT u.*, source_size, target, whole, rest,
+    CASE WHEN size > 0 THEN least(1::DOUBLE, factor * CAST(floor(1024 * sqrt(size)) AS BIGINT) / size) END AS share
+  FROM u JOIN rests ON u.source IS NOT DISTINCT FROM rests.source
+  LEFT JOIN shares ON u.source IS NOT DISTINCT FROM shares.source),
+q AS (SELECT *, CASE WHEN share > 0 THEN u / (1 - u) * ((1 - share) / share) END AS odds FROM o),
 c AS (
   SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id, h
     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM q),

@@ -6,12 +6,13 @@ the excess is shared anew by weight until none is above its cap (water filling,
 closed form over the sources sorted by the level at which each fills).
 
 **Sample.** A source whose target is f times its words takes every document floor(f) times
-whole. The rest of its target is a fixed-size Pareto sample: every document draws u from a hash
-of its id and text, and documents are taken in ascending order of random odds u / (1 - u)
-over inclusion odds until the words are used up. A document's inclusion odds are
-proportional to 1 / sqrt(size relative to the source's mean), so that a few very long texts
-do not make up a source's remainder; the common factor does not change the order. The last
-place goes to the document, among all those left, that brings the sum nearest to the target.
+whole. The rest of its target is a Pareto sample. A document's inclusion probability is p =
+min(1, c / sqrt(size)), so that a few very long texts do not make up a source's remainder; c is solved
+per source so that the expected words, the sum of p * size, are the rest (over the counts of its distinct
+sizes). Every document draws u from a hash of its id and text, and documents are taken in ascending
+order of random odds u / (1 - u) over inclusion odds p / (1 - p) until the rest's words are used up: the
+sample is of fixed size in words. Documents with p = 1 are certain. What the cut leaves open, less than one
+document, goes to the document among all those left that brings the sum nearest to the target.
 
 **Scale.** No source is ever sorted whole. Ranks fall into ``BUCKETS`` fixed ranges of the
 odds; word sums per (source, bucket) locate each source's boundary bucket, and only that bucket
@@ -35,6 +36,8 @@ SHARE = 1.5
 CAP = 2
 SEED = "mix-1"
 BUCKETS = 4096
+#: Square roots of sizes are held as whole numbers of this fraction, so that their sums are exact.
+ROOT = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -60,6 +63,32 @@ def draw(seed: str) -> Column:
     return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def root(size: Column) -> Column:
+    return F.floor(ROOT * F.sqrt(size)).cast("long")
+
+
+def expected_shares(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan_source, factor: a document's inclusion probability is min(1, factor * root(size) / size).
+
+    Sizes are sorted by the factor at which their documents become certain; if those before are certain and
+    the others are not, the factor is what the certain ones leave of the rest over the others' roots. The
+    first size that this factor does not make certain is right."""
+    counts = rows.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("root", root(F.col("size"))).withColumn("certain_at", F.col("size") / F.col("root"))
+    whole = Window.partitionBy("source")
+    before = whole.orderBy("certain_at", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        "source", "size", "certain_at",
+        F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0)).alias("certain_words"),
+        (F.sum(F.col("n") * F.col("root")).over(whole) - F.coalesce(F.sum(F.col("n") * F.col("root")).over(before), F.lit(0))).alias("roots"),
+    )
+    counts = counts.join(broadcast_if_small(plan.select("plan_source", "rest")), F.col("source").eqNullSafe(F.col("plan_source")))
+    factor = (F.col("rest") - F.col("certain_words")) / F.col("roots")
+    found = F.min(F.when(factor <= F.col("certain_at"), F.struct("certain_at", "size", factor.alias("factor"))))
+    out = counts.groupBy("plan_source").agg(found.alias("found"), F.max("certain_at").alias("all_certain"))
+    return out.select("plan_source", F.coalesce("found.factor", "all_certain").alias("factor"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -67,7 +96,8 @@ def mix(
     cap: int = CAP,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per document: doc_id, text_md5, source, size, source_size, target, copies."""
+    """One row per document: doc_id, text_md5, source, size, source_size, target, copies, and share, the
+    probability of the copy beyond the whole ones (null for documents without words)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(text.cast("binary")).alias("text_md5")
@@ -79,12 +109,18 @@ def mix(
     plan = targets(materialize(sizes), weights, share, cap)
     fraction = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(fraction).cast("long"))
-    plan = materialize(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumnRenamed("source", "plan_source")
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan.withColumn("rest", rest).withColumnRenamed("source", "plan_source"))
+    factors = materialize(expected_shares(rows, plan)).withColumnRenamed("plan_source", "factor_source")
+    plan = plan.join(
+        broadcast_if_small(factors), F.col("plan_source").eqNullSafe(F.col("factor_source")), "left"
+    ).drop("factor_source")
+    plan = materialize(plan)
     rows = rows.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
     # random odds over inclusion odds; documents without words are never drawn
-    relative = F.col("size") / (F.col("source_size") / F.col("n_docs"))
-    odds = F.when(F.col("size") > 0, F.col("u") / (1 - F.col("u")) * F.sqrt(relative))
+    share = F.least(F.lit(1.0), F.col("factor") * root(F.col("size")) / F.col("size"))
+    rows = rows.withColumn("share", F.when(F.col("size") > 0, share))
+    odds = F.when(F.col("share") > 0, F.col("u") / (1 - F.col("u")) * ((1 - F.col("share")) / F.col("share")))
     rows = rows.withColumn("odds", odds).withColumn(
         "bucket", F.floor(F.lit(float(BUCKETS)) * (F.col("odds") / (1 + F.col("odds"))))
     )
@@ -112,7 +148,7 @@ def mix(
     ).select("cut_source", "cut_bucket", "last", "gap")
     cut = materialize(cut)
     rows = rows.join(broadcast_if_small(cut), at_edge, "left")
-    # without an edge the whole source is within its rest (rest 0 has its edge in the first bucket)
+    # without an edge the whole source is within its rest (nothing is drawn for a rest of 0)
     taken = F.col("odds").isNotNull() & (
         F.col("cut_bucket").isNull()
         | (F.col("bucket") < F.col("cut_bucket"))
@@ -131,7 +167,7 @@ def mix(
     rows = rows.join(filler, same, "left")
     filled = F.col("fill_odds").isNotNull()
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("sampled") | filled).cast("long")).otherwise(0)
-    return rows.select("doc_id", "text_md5", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "text_md5", "source", "size", "source_size", "target", copies.alias("copies"), "share")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
