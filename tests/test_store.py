@@ -186,6 +186,25 @@ def test_look_up_opens_few_of_a_thousand_files(spark, tmp_path):
     assert sum(len(store.of_business([i]).reviews.inputFiles()) for i in range(1001, 1040) if i % 5) <= 2
 
 
+def test_small_files_take_few_tasks(spark, store):
+    """A task writes its range as several files, and a folder whose files are all wanted is read as a folder."""
+    reviews = spark.range(4000).select(
+        "id", F.pmod(F.xxhash64("id"), F.lit(900)).alias("business_id"), F.lit(3).alias("rating"), F.lit("t").alias("text"),
+        F.lit(0.5).alias("sentiment_score"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"),
+    )
+    none = feedback(spark, [], [])
+    store.append(Feedback(none.businesses, reviews, none.responses), "all")
+    index = store.index("reviews", store.batches())
+    files = [r["file"] for r in index.collect()]
+    assert len(files) >= 40 and index.agg(F.max("n_rows")).first()[0] <= 100
+    tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in files}
+    assert len(tasks) <= spark.sparkContext.defaultParallelism
+    assert file_index.paths_where(index, file_index.between("id", 0, 4000)) == [files[0].rsplit("/", 1)[0]]
+    assert file_index.paths_where(index, file_index.between("id", None, None)) == []
+    some = file_index.paths_where(index, file_index.between("business_id", 5, 5))
+    assert 0 < len(some) < 5 and set(some) <= set(files)
+
+
 def test_look_ups_equal_filtered_operators(spark, store):
     batches = made(8)
     for i, batch in enumerate(batches):
