@@ -59,6 +59,17 @@ def test_large_groups_branch_and_use_pivots(make_docs, corpus, monkeypatch):
     _check(rows, _found(make_docs(rows), k=3, percent=85), k=3, percent=85)
 
 
+def test_sets_go_to_small_nodes_in_parts_and_are_not_stored(make_docs, corpus, monkeypatch):
+    """No part receives the sets of all small nodes, and no copy of the sets lies in the checkpoint folder beside their shuffle."""
+    given, kept = [], []
+    sets, store = chosen_path.shingle_sets, chosen_path.materialize
+    monkeypatch.setattr(chosen_path, "shingle_sets", lambda docs, ids, *a: given.append(ids.count()) or sets(docs, ids, *a))
+    monkeypatch.setattr(chosen_path, "materialize", lambda df: kept.append(df.columns) or store(df))
+    _check(corpus, _found(make_docs(corpus), k=3, percent=85), k=3, percent=85)
+    assert len(given) == chosen_path.PARTS and all(0 < n < sum(given) for n in given)
+    assert not any("items" in columns for columns in kept)
+
+
 def test_cases(make_docs):
     rows = [(5, None), (4, ""), (3, " \n "), (9, "two words"), (8, "TWO  words"), (7, "a b c"), (7, "a b c"), (6, "x y z"), (None, "a b c"), (None, None)]
     got = chosen_path.near_duplicates(make_docs(rows, extra=["id", "sketch", "component_id"]), k=3, percent=85).collect()

@@ -56,6 +56,8 @@ LEAF = 4096
 TOGETHER = 8192
 #: Sets of at most this size are confirmed in their small nodes, which receive them whole; larger ones by a join.
 WHOLE = 2048
+#: Parts, by node, in which the small nodes receive their sets one after the other: the disk holds those of a part.
+PARTS = 2
 #: Bits of an odd sketch.
 ODD_BITS = 1024
 #: Coordinates a node chooses, by level; below these one, and a second one so often that a pair at the threshold shares
@@ -413,8 +415,7 @@ def _node_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, slots: i
     node once. A group of thousands of copies thus gives a link a set, and the refused pairs never leave
     their node. Pairs with a set above ``WHOLE`` items come unconfirmed."""
     items = shingle_sets(docs, rows.select("id").distinct(), k, WHOLE)
-    items = items.select("id", F.xxhash64("set_a", "set_b").alias("sid"), "items")
-    full = materialize(items)
+    full = items.select("id", F.xxhash64("set_a", "set_b").alias("sid"), "items")  # read once, by the join
 
     def link(table: pa.Table) -> pa.RecordBatch:
         found = _linked(_Nodes(table, percent / 100, slots), table.column("items").combine_chunks(), percent)
@@ -514,8 +515,14 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     slots = min(trees * BRANCHES[0], COORDINATES - 1)
     marked = materialize(_open_sets(_union(leaves), sets, percent, slots))
     release(docs.sparkSession)
-    found = _node_links(_label(marked.drop("c"), labels), docs, k, percent, slots)
-    found, (n_far,) = materialize_counted(found, F.count_if(~F.col("linked")))
+    parts, n_far = [], 0
+    for part in range(PARTS):
+        rows = _label(marked.where(F.pmod("node", F.lit(PARTS)) == part).drop("c"), labels)
+        found, (n,) = materialize_counted(_node_links(rows, docs, k, percent, slots), F.count_if(~F.col("linked")))
+        parts.append(found)
+        n_far += n
+        release(docs.sparkSession)
+    found = _union(parts)
     edges, _ = _with_links(edges, found.where("linked"))
     release(docs.sparkSession)
     if n_far:
